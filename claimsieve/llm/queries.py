@@ -12,10 +12,11 @@ from claimsieve.llm.secrets import op6_secrets
 from claimsieve.llm.simhash import op2_simhash
 from claimsieve.llm.suffix_dedup import op3_suffix_dedup
 from claimsieve.llm.token_output import op1_token_output
+from claimsieve.llm.toxicity import op10_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_output, op2_simhash, op3_suffix_dedup, op4_best_fit_packing, op6_secrets, op9_byte_bpe)
+    found = (op1_token_output, op2_simhash, op3_suffix_dedup, op4_best_fit_packing, op6_secrets, op9_byte_bpe, op10_toxicity)
     return {f.__name__: f for f in found}
 
 
