@@ -21,8 +21,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """
     spark = edges.sparkSession
     a, b = F.col(src).alias("_a"), F.col(dst).alias("_b")
-    cur = edges.select(a, b).where("_a is not null and _b is not null and _a <> _b").select(F.greatest("_a", "_b").alias("u"), F.least("_a", "_b").alias("v")).distinct()
-    path = None
+    first = edges.select(a, b).where("_a is not null and _b is not null and _a <> _b").select(F.greatest("_a", "_b").alias("u"), F.least("_a", "_b").alias("v")).distinct()
+    path = new_path(spark, "components")
+    first.write.parquet(path)  # each round reads the edges more than once
+    cur = spark.read.schema(first.schema).parquet(path)
     before = None
     while True:
         large = _large_star(cur)
@@ -32,8 +34,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         cur = spark.read.schema(small.schema).parquet(new)
         # A fixed point is a forest of stars: the sum of parents no longer falls and the edge count no longer changes.
         state = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if path:
-            delete_path(spark, path)
+        delete_path(spark, path)
         path = new
         if before is not None and tuple(state) == before:
             break
