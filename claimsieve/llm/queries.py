@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from claimsieve.llm.ann import op5_vantage_point_ann
 from claimsieve.llm.bpe import op9_byte_bpe
 from claimsieve.llm.embedding_dedup import op7_embedding_dedup
+from claimsieve.llm.html_text import op8_html_text
 from claimsieve.llm.packing import op4_best_fit_packing
 from claimsieve.llm.secrets import op6_secrets
 from claimsieve.llm.simhash import op2_simhash
@@ -18,7 +19,7 @@ from claimsieve.llm.toxicity import op10_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_output, op2_simhash, op3_suffix_dedup, op4_best_fit_packing, op5_vantage_point_ann, op6_secrets, op7_embedding_dedup, op9_byte_bpe, op10_toxicity)
+    found = (op1_token_output, op2_simhash, op3_suffix_dedup, op4_best_fit_packing, op5_vantage_point_ann, op6_secrets, op7_embedding_dedup, op8_html_text, op9_byte_bpe, op10_toxicity)
     return {f.__name__: f for f in found}
 
 
