@@ -1,2 +1,132 @@
-def register():
-    pass
+"""Provider identity: links over shared attributes and clusters of linked providers.
+
+Links of one value are pairs. A value that very many providers share (a common agent, a large building) would give the square
+of them, so above ``STAR`` the value links each provider to its smallest one instead: the clusters are the same, and no link
+between different providers of a cluster is lost to reachability.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from claimsieve.functions import columns as C
+from claimsieve.operators import rules as R
+from claimsieve.plans.components import connected_components
+from claimsieve.sources.config import RuleConfig
+
+STAR = 200
+WEIGHTS = {"bank_hash": 1.0, "tin_hash": 1.0, "owner_exact": 0.9, "owner_fuzzy": 0.7, "address_suite": 0.6, "address_no_suite": 0.4, "registered_agent": 0.8}
+LINK_COLUMNS = ["provider_a", "provider_b", "basis", "confidence", "weight", "detail"]
+
+
+def _pairs(df: DataFrame, value: str) -> DataFrame:
+    """Pairs of providers with the same value; ``n`` is how many share it."""
+    rows = df.where(F.col(value).isNotNull()).select("provider_id", F.col(value).alias("value")).distinct()
+    sizes = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("provider_id").alias("least")).where("n > 1")
+    met = rows.join(sizes, "value")
+    other = rows.withColumnRenamed("provider_id", "b")
+    small = met.where(F.col("n") <= STAR).join(other, "value").where("provider_id < b").select(F.col("provider_id").alias("provider_a"), F.col("b").alias("provider_b"), "value", "n")
+    star = met.where((F.col("n") > STAR) & (F.col("provider_id") > F.col("least"))).select(F.col("least").alias("provider_a"), F.col("provider_id").alias("provider_b"), "value", "n")
+    return small.unionByName(star)
+
+
+def _links(pairs: DataFrame, basis: str | Column, confidence: float | Column, weight: float | Column, detail: Column) -> DataFrame:
+    as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return pairs.select("provider_a", "provider_b", as_col(basis).alias("basis"), as_col(confidence).cast("double").alias("confidence"), as_col(weight).cast("double").alias("weight"), detail.alias("detail"))
+
+
+def exact_links(providers: DataFrame, column: str) -> DataFrame:
+    """Providers with the same bank or tax hash."""
+    return _links(_pairs(providers, column), column, 1.0, WEIGHTS[column], F.col("value").cast("string"))
+
+
+def address_links(providers: DataFrame, building: int = 5) -> DataFrame:
+    """Same address and suite, and same address only; a building with many providers counts little and is tagged."""
+    base, own = C.split_suite(F.col("address"))
+    suite = F.coalesce(F.lower("suite"), own) if "suite" in providers.columns else own
+    rows = providers.select("provider_id", C.normal_address(base).alias("addr"), suite.alias("unit")).where("addr is not null")
+    with_suite = _pairs(rows.where("unit is not null").withColumn("key", F.concat_ws("|", "addr", "unit")), "key")
+    only = _pairs(rows, "addr").join(with_suite.select("provider_a", "provider_b"), ["provider_a", "provider_b"], "left_anti")
+    mob = F.col("n") >= building
+    tag = F.when(mob, F.concat(F.lit("[MOB] "), F.col("value"))).otherwise(F.col("value"))
+    weight = WEIGHTS["address_no_suite"]
+    return _links(with_suite, "address_suite", 0.9, WEIGHTS["address_suite"], F.col("value")).unionByName(_links(only, "address_no_suite", F.when(mob, 0.3).otherwise(0.6), F.when(mob, weight / 2).otherwise(weight), tag))
+
+
+def owner_links(providers: DataFrame, threshold: float = 88.0) -> DataFrame:
+    """Owners of the same name without corporate endings, and of similar names.
+
+    Similar names are looked for among distinct names that share a word or most three-letter pieces, then scored.
+    """
+    rows = providers.select("provider_id", C.normal_name(F.col("owner_name")).alias("plain"), C.normal_name(F.col("owner_name"), True).alias("owner")).where("owner is not null")
+    exact = _links(_pairs(rows, "owner"), "owner_exact", 0.95, WEIGHTS["owner_fuzzy"] + 0.2, F.col("value"))
+    names = rows.groupBy("owner").agg(F.min("plain").alias("plain"))
+    words = F.split("owner", " ")
+    grams = F.when(F.length("owner") >= 3, F.transform(F.sequence(F.lit(1), F.length("owner") - 2), lambda i: F.substring(F.col("owner"), i, F.lit(3)))).otherwise(F.array("owner"))
+    # Blocks: each word, and four least hashes of three-letter pieces (agreement in one is likely at a similarity of 88).
+    bands = F.transform(F.array(*map(F.lit, range(4))), lambda s: F.concat(F.lit("g"), s.cast("string"), F.lit(":"), F.array_min(F.transform(grams, lambda g: F.xxhash64(g, s))).cast("string")))
+    keyed = names.select("owner", "plain", F.explode(F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(F.lit("w:"), w)), bands))).alias("block"))
+    # A block of a word that most names have links nothing that its other blocks do not: it is told apart by its size.
+    sized = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("block"))).where("n > 1")
+    rare = sized.withColumn("rank", F.row_number().over(Window.partitionBy("owner").orderBy("n", "block"))).where((F.col("n") <= 1000) | (F.col("rank") <= 1))
+    other = rare.select("block", F.col("owner").alias("owner_b"), F.col("plain").alias("plain_b"))
+    candidates = rare.join(other, "block").where("owner < owner_b").select("owner", "plain", "owner_b", "plain_b").distinct()
+    scored = candidates.withColumn("score", F.greatest(C.token_set_ratio("plain", "plain_b"), C.token_set_ratio("owner", "owner_b"))).where(F.col("score") >= threshold)
+    a = rows.select(F.col("provider_id").alias("pa"), "owner")
+    b = rows.select(F.col("provider_id").alias("pb"), F.col("owner").alias("owner_b"))
+    pairs = scored.join(a, "owner").join(b, "owner_b").select(F.least("pa", "pb").alias("provider_a"), F.greatest("pa", "pb").alias("provider_b"), "score", F.concat_ws(" ~ ", "owner", "owner_b").alias("value"))
+    return exact.unionByName(_links(pairs, "owner_fuzzy", F.col("score") / 100, WEIGHTS["owner_fuzzy"], F.col("value")))
+
+
+def agent_links(providers: DataFrame) -> DataFrame:
+    return _links(_pairs(providers.withColumn("agent", C.normal_name(F.col("registered_agent"))), "agent"), "registered_agent", 0.85, WEIGHTS["registered_agent"], F.col("value"))
+
+
+def identity_links(providers: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
+    """All links that the columns of the table allow."""
+    have = set(providers.columns)
+    parts = [exact_links(providers, c) for c in ("bank_hash", "tin_hash") if c in have]
+    if "address" in have:
+        parts.append(address_links(providers, cfg.office_building))
+    if "owner_name" in have:
+        parts.append(owner_links(providers, cfg.fuzzy_owner))
+    if "registered_agent" in have:
+        parts.append(agent_links(providers))
+    if not parts:
+        return providers.sparkSession.createDataFrame([], "provider_a string, provider_b string, basis string, confidence double, weight double, detail string")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def identity_clusters(links: DataFrame, providers: DataFrame | None = None) -> DataFrame:
+    """Clusters of linked providers: members, bases, confidence, and whether all are of one documented group."""
+    members = connected_components(links, "provider_a", "provider_b").select(F.col("node").alias("provider_id"), F.col("component").alias("cluster_id"))
+    of_links = links.join(members.withColumnRenamed("provider_id", "provider_a"), "provider_a").groupBy("cluster_id").agg(
+        F.sort_array(F.collect_set("basis")).alias("bases"), F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("link_count")
+    )
+    if providers is not None and "group_id" in providers.columns:
+        members = members.join(providers.select("provider_id", "group_id"), "provider_id", "left")
+        documented = (F.countDistinct("group_id") == 1) & (F.count("group_id") == F.count(F.lit(1)))
+    else:
+        documented = F.lit(False)
+    sized = members.groupBy("cluster_id").agg(F.sort_array(F.collect_set("provider_id")).alias("provider_ids"), F.countDistinct("provider_id").alias("size"), documented.alias("documented"))
+    return sized.join(of_links, "cluster_id")
+
+
+def shared_identity(tables, cfg: RuleConfig = RuleConfig()) -> DataFrame:
+    """Clusters of two or more that are linked by more than addresses."""
+    clusters = identity_clusters(identity_links(tables["providers"], cfg), tables["providers"])
+    return clusters.where(F.exists("bases", lambda b: ~b.startswith("address"))).where("size >= 2")
+
+
+def register() -> None:
+    R.register_rule(
+        "R09",
+        lambda t, c: R.to_alerts(
+            shared_identity(t, c), "R09", "provider", "cluster_id", F.format_string("%s providers share %s.", F.col("size").cast("string"), F.array_join("bases", ", ")), "MEDIUM", note="Members of a documented group may share these.", cfg=c
+        ),
+        {"providers": ("provider_id",)},
+    )

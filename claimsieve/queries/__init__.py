@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("rules",)
+MODULES = ("windows", "rules", "variants", "features")
 
 
 def _entries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
