@@ -121,9 +121,7 @@ class BytePairCodec:
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [chunks(t) for t in texts]
-        of = self.cache.values(cut).__getitem__
-        return [np.frombuffer(b"".join(map(of, c)), "<u4") for c in cut]
+        return [np.frombuffer(b, "<u4") for b in self.cache.joined([chunks(t) for t in texts])]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))

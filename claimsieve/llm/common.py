@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from string import punctuation
 
 import pyarrow as pa
 
@@ -28,29 +29,49 @@ def chunk_text(key: str) -> str:
 
 
 class ChunkCache:
-    """Values of chunks, each computed once and remembered in two generations of at most ``limit`` chunks each.
+    """Values of chunks, each computed once and remembered in two generations of about ``limit`` chunks each.
 
-    The bound concerns memory only: a chunk that was forgotten is computed again.
+    The bound concerns memory only: a chunk that was forgotten is computed again. A word with punctuation after it is put
+    together from the word and what follows: a pre-token never goes from a letter to punctuation without letters after it.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list[bytes]], limit: int = 250_000):
+    def __init__(self, compute: Callable[[list[str]], list[bytes]], limit: int = 350_000):
         self.compute, self.limit = compute, limit
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def values(self, texts: list[list[str]]) -> dict[str, bytes]:
-        """The values of all chunks of these texts."""
-        wanted = set().union(*texts)
-        found = {k: v for k in wanted if (v := self.young.get(k)) is not None}
-        missing = [k for k in wanted if k not in found]
-        again = {k: v for k in missing if (v := self.old.get(k)) is not None}
-        missing = [k for k in missing if k not in again]
-        again.update(zip(missing, self.compute(missing), strict=True))
-        if len(self.young) + len(again) > self.limit:
+    def joined(self, texts: list[list[str]]) -> list[bytes]:
+        """For each text, the values of its chunks in order, joined."""
+        if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
-        self.young.update(again)
-        found.update(again)
-        return found
+        self._add(set().union(*texts).difference(self.young))
+        of = self.young.__getitem__
+        return [b"".join(map(of, c)) for c in texts]
+
+    def _add(self, missing: set[str]) -> None:
+        young, old = self.young, self.old
+        split: list[tuple[str, str, str]] = []
+        new: set[str] = set()
+        for k in missing:
+            if (v := old.get(k)) is not None:
+                young[k] = v
+                continue
+            word = k.rstrip(punctuation)
+            if word != k and word[-1:].isalpha():
+                tail = " " + k[len(word) :]
+                split.append((k, word, tail))
+                for part in (word, tail):
+                    if part not in young:
+                        if (v := old.get(part)) is not None:
+                            young[part] = v
+                        else:
+                            new.add(part)
+            else:
+                new.add(k)
+        keys = list(new)
+        young.update(zip(keys, self.compute(keys), strict=True))
+        for k, word, tail in split:
+            young[k] = young[word] + young[tail]
 
 
 def portions(batches: Iterator[pa.RecordBatch], column: str, chars: int = 3_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

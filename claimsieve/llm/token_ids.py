@@ -32,14 +32,14 @@ class TextEncoder:
         # Chunks that start with their space stay apart in a joined text, so many are encoded in one call.
         out: dict[str, bytes] = {}
         joined = [k for k in keys if k[0] != " "]
-        groups = [joined[i : i + 64] for i in range(0, len(joined), 64)]
+        groups = [joined[i : i + 256] for i in range(0, len(joined), 256)]
         for group, enc in zip(groups, self.tokenizer.encode_batch_fast(["".join(" " + k for k in g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(enc.ids, "<u4")
             ends = np.cumsum([len(k.encode()) + 1 for k in group])
             at = np.searchsorted(np.cumsum(self.width[ids]), ends)
             if len(ids) and np.array_equal(np.cumsum(self.width[ids])[np.minimum(at, len(ids) - 1)], ends):
                 raw, cut = ids.tobytes(), [0, *((at + 1) * 4).tolist()]
-                out.update((k, raw[a:b]) for k, a, b in zip(group, cut, cut[1:]))
+                out.update(zip(group, [raw[a:b] for a, b in zip(cut, cut[1:])], strict=True))
             else:  # not a byte-level vocabulary: each chunk by itself
                 out.update((k, self._one(k)) for k in group)
         out.update((k, self._one(k)) for k in keys if k[0] == " ")
@@ -49,9 +49,7 @@ class TextEncoder:
         return np.array(self.tokenizer.encode(chunk_text(key), add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [chunks(t) for t in texts]
-        of = self.cache.values(cut).__getitem__
-        return [b"".join(map(of, c)) for c in cut]
+        return self.cache.joined([chunks(t) for t in texts])
 
 
 @functools.lru_cache(1)
