@@ -113,7 +113,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block: int = BLOCK
     if n == 0:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     wanted = min(MAX_PIVOTS, -(-n // block))
-    sample = groups.orderBy(F.xxhash64("embedding"), "gid").limit(wanted).select("embedding").collect()  # at most MAX_PIVOTS
+    by_hash = F.pmod(F.xxhash64("embedding"), F.lit(max(1, n // wanted))) == 0
+    sample = groups.where(by_hash).limit(2 * wanted).select("embedding").collect()  # at most twice MAX_PIVOTS
+    sample = sample or groups.limit(1).select("embedding").collect()
     pivots = np.array([r["embedding"] for r in sample])
     pivots /= np.sqrt((pivots**2).sum(axis=1))[:, None]
 
