@@ -55,7 +55,7 @@ class _Page(HTMLParser):
         if not place.startswith("no "):
             what = self._no_text(tag, dict(attrs), place)
             if what:
-                place = f"no {what}"
+                place = f"no {what}" + "@article" * (place == "article")
             elif tag in ("article", "main"):
                 if place == "plain":
                     self.articles += 1
@@ -115,19 +115,24 @@ def _key(place: str, word: bool) -> str:
 
 
 def weights_from(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
-    """Log odds of standing in an article, by key; words of one are worth up to 1, and tags always cost."""
+    """Log odds of standing in an article, by key; words of one are worth up to 1, and tags always cost.
+
+    What stands in an article without being part of it is worth nothing, so that the run goes on behind it.
+    """
     out = {}
     for key, (inside, outside) in counts.items():
         odds = math.log((inside + 1) / (outside + 1))
-        out[key] = min(odds, 1.0) if key.startswith("word ") else min(odds, -0.05)
-        out[key] = max(out[key], -4.0)
+        if key.startswith("word "):
+            out[key] = min(max(odds, -1.0), 0.0 if key.endswith("@article") else 1.0)
+        else:
+            out[key] = min(max(odds, -4.0), -0.05)
     return out
 
 
 def default_weight(place: str, word: bool) -> float:
     """For what no labelled page has."""
     if place.startswith("no "):
-        return -2.0
+        return (0.0 if word else -0.05) if place.endswith("@article") else -1.0
     return 1.0 if word else -0.05
 
 
@@ -166,7 +171,7 @@ def fit_weights(pages: DataFrame, html_col: str = "html", max_pages: int = MAX_L
                 tokens, marked = parse(t)
                 if marked:
                     for place, word, _, text in tokens:
-                        (inside if place == "article" else outside)[_key(place, word)] += len(_WORD.findall(text)) if word else 1
+                        (inside if place.endswith("article") else outside)[_key(place, word)] += len(_WORD.findall(text)) if word else 1
         keys = sorted({*inside, *outside})
         yield pa.record_batch({"key": pa.array(keys, pa.string()), "inside": pa.array([inside[k] for k in keys], pa.int64()), "outside": pa.array([outside[k] for k in keys], pa.int64())})
 

@@ -329,13 +329,16 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` and ``spans array<struct<start long, stop long>>``, the byte runs to remove.
+def repeated_spans(docs: DataFrame, text_col: str = "text", out_col: str = "spans") -> DataFrame:
+    """All rows and columns of ``docs`` and ``out_col array<struct<start long, stop long>>``, the byte runs to remove.
+
+    A column that has the name of ``out_col`` already is replaced.
 
     A byte is in a run if a string of 200 bytes that covers it starts at two places or more, in one text or in several.
     Strings never go over the end of a text. NULL, empty and shorter texts have no spans; NULL stays NULL.
     """
     spark = docs.sparkSession
+    docs = docs.drop(out_col)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     inner = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     # One exchange of the texts, used three times.
@@ -347,7 +350,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     runs = plain.join(repeated.hint("shuffle_hash"), "rid").mapInArrow(_run_maker(n), "bucket int, run binary")
     found = runs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge, "rid long, start long, stop long")
     spans = found.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return texts.select("rid", "row").join(spans.hint("shuffle_hash"), "rid", "left").select("row.*", F.coalesce("spans", F.array().cast("array<struct<start:bigint,stop:bigint>>")).alias("spans"))
+    return texts.select("rid", "row").join(spans.hint("shuffle_hash"), "rid", "left").select("row.*", F.coalesce("spans", F.array().cast("array<struct<start:bigint,stop:bigint>>")).alias(out_col))
 
 
 def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -381,7 +384,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 new.append(None if z else _without(t.encode(), gone).decode(errors="ignore") if gone else t)
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:-1])], names=batch.schema.names[:-1])
 
-    return repeated_spans(docs, text_col).mapInArrow(cut, schema)
+    return repeated_spans(docs, text_col, "_repeated_spans").mapInArrow(cut, schema)
 
 
 def _without(raw: bytes, gone: list[tuple[int, int]]) -> bytes:
