@@ -176,12 +176,15 @@ def _token_set(a: str | None, b: str | None) -> float | None:
     return max(scores)
 
 
-@F.pandas_udf("double")
-def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similarity 0-100 of two names as sets of words; for candidate pairs only."""
+def _token_sets(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_token_set(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+def token_set_ratio(a: Column | str, b: Column | str) -> Column:
+    """Similarity 0-100 of two names as sets of words; for candidate pairs only."""
+    return F.pandas_udf(_token_sets, "double")(a, b)
+
+
 def tier(x: Column, cuts: Iterable[float], names: Iterable[str]) -> Column:
     """Name of the interval: names has one more than cuts, and a cut belongs to the upper one."""
     names, out = list(names), None
@@ -222,7 +225,7 @@ def severity_rank(s: Column) -> Column:
 def list_of(text: Column) -> Column:
     """A list from JSON text or comma-separated text; NULL and blank: empty."""
     parsed = F.when(F.trim(text).startswith("["), F.from_json(text, "array<string>"))
-    plain = F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    plain = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.coalesce(parsed, plain, F.array().cast("array<string>"))
 
 

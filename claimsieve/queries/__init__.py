@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("windows", "rules", "variants", "features")
+MODULES = ("scalar", "windows", "rules", "variants", "features", "network", "learning", "risk", "work")
 
 
 def _entries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
