@@ -10,8 +10,9 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import heapq
+from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -66,28 +67,32 @@ class PerfectHash:
 def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of a piece that isn't in the vocabulary as a whole."""
     n = len(piece)
-    after = list(range(1, n + 2))  # start of the part after the one that starts here
+    after = list(range(1, n + 2))  # start of the part after the one that starts here; 0: joined to the part before
     before = list(range(-1, n))
     get = ranks.get
-    heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
-    heapq.heapify(heap)
-    alive = bytearray(b"\1" * n)
+    # An entry is one number: rank, start of the pair, start of its second part and its end, from high bits to low.
+    w = (n + 1).bit_length()
+    w2, w3, mask = 2 * w, 3 * w, (1 << w) - 1
+    heap = [r << w3 | i << w2 | (i + 1) << w | (i + 2) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
+    heapify(heap)
     while heap:
-        _, i, j, k = heapq.heappop(heap)
-        if not alive[i] or after[i] != j or j >= n or after[j] != k:
+        x = heappop(heap)
+        i, j, k = x >> w2 & mask, x >> w & mask, x & mask
+        if after[i] != j or after[j] != k:
             continue
         after[i] = k
-        alive[j] = 0
+        after[j] = 0
         if k < n:
             before[k] = i
             if (r := get(piece[i : after[k]])) is not None:
-                heapq.heappush(heap, (r, i, k, after[k]))
+                heappush(heap, r << w3 | i << w2 | k << w | after[k])
         if (p := before[i]) >= 0 and (r := get(piece[p:k])) is not None:
-            heapq.heappush(heap, (r, p, i, k))
+            heappush(heap, r << w3 | p << w2 | i << w | k)
     out, i = [], 0
     while i < n:
-        out.append(ranks[piece[i : after[i]]])
-        i = after[i]
+        k = after[i]
+        out.append(ranks[piece[i:k]])
+        i = k
     return out
 
 
@@ -109,15 +114,12 @@ class BytePairCodec:
         return [self.ids[slot]] if slot >= 0 else merge_bytes(piece, self.ranks)
 
     def _encode_chunks(self, keys: list[str]) -> list[bytes]:
-        known: dict[str, list[int]] = {}  # words of these chunks, which differ in what stands around them
         out = []
         for k in keys:
             ids: list[int] = []
             for p in self.pieces(chunk_text(k)):
-                if (got := known.get(p)) is None:
-                    got = known[p] = self.encode_piece(p.encode())
-                ids += got
-            out.append(np.array(ids, "<u4").tobytes())
+                ids += self.encode_piece(p.encode())
+            out.append(array("I", ids).tobytes())
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
