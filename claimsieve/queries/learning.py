@@ -79,4 +79,28 @@ def m14(spark, d):
     return a.unionByName(ranking_metrics(random_scores(c), (50,)).withColumn("ranker", F.lit("random"))).withColumn("value", r6("value"))
 
 
-ENTRIES = {"m01_target": (m01, M01), "m02_grouped_folds": (m02, None), "m03_claim_scores": (m03, None), "m08_provider_anomaly": (m08, None), "m09_future_targets": (m09, M09), "m10_snapshot_panel": (m10, M10), "m14_baselines": (m14, None)}
+def m06(spark, d):
+    """Attributions of one model over all claims: the parts sum to the margin, and the reasons that come first."""
+    m, c = _matrix(spark, d)
+    rows = M.with_target(m, _labels(c))
+    names = ["paid_amount", "service_minutes", "claim_frequency", "distance_miles"]
+    model = M._model(tuple(names), (), 3, 3, 42).fit(M.weighted(rows))
+    out = M.attributions(model, rows, names)
+    return out.groupBy("reason_1").agg(F.count(F.lit(1)).alias("n"), F.max((F.abs(F.col("base") + F.col("contribution") - F.col("margin")) > 1e-9).cast("int")).alias("unreconciled"))
+
+
+def m11(spark, d):
+    c = V.claims(spark, d)
+    labels = c.select("claim_id", (F.col("service_minutes") >= 49).cast("int").alias("is_suspicious"))
+    bad = c.where("provider_id % 4 = 0").select("provider_id").distinct()
+    return M.future_risk(c, labels, bad, n=3, rounds=3).select("provider_id", *(r6(f"risk_{h}d").alias(f"risk_{h}d") for h in (30, 60, 90)))
+
+
+def m12(spark, d):
+    """Metrics with each group of columns left out, on the same folds."""
+    m, c = _matrix(spark, d)
+    rows = M.grouped_folds(M.with_target(m, _labels(c)), 2)
+    return M.ablation(rows, {"amounts": ("paid_amount", "billed_amount")}, ("paid_amount", "billed_amount", "claim_frequency"), k=2, rounds=2).select("experiment", "metric", r6("value").alias("value"))
+
+
+ENTRIES = {"m01_target": (m01, M01), "m02_grouped_folds": (m02, None), "m03_claim_scores": (m03, None), "m08_provider_anomaly": (m08, None), "m09_future_targets": (m09, M09), "m10_snapshot_panel": (m10, M10), "m14_baselines": (m14, None), "m06_attributions": (m06, None), "m11_future_risk": (m11, None), "m12_ablation": (m12, None)}

@@ -149,6 +149,47 @@ def q14(spark, d):
 Q14 = "WITH c AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS r FROM supplier) SELECT r % 10 <> 7 AS passes, r % 10 = 7 AS prohibited, count(*) AS n, CAST(sum(CASE WHEN r % 10 = 7 THEN 1 ELSE 0 END) AS BIGINT) AS unknown, CAST(sum(CASE WHEN r % 10 = 7 THEN 1 ELSE 0 END) AS BIGINT) AS excess FROM c GROUP BY 1, 2"
 
 
+def q03(spark, d):
+    """Detail of the first case: rows of each part."""
+    cs = _cases(spark, d)
+    parts = Q.case_detail("CASE-000001", cs, K.case_evidence(cs, alerts(spark, d)), alerts(spark, d), V.claims(spark, d))
+    out = None
+    for name, df in sorted(parts.items()):
+        one = df.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def q06(spark, d):
+    """Referral edges of a provider, the strongest fifteen."""
+    r = V.referrals(spark, d)
+    name = lambda c: F.concat(F.lit("provider:"), F.col(c).cast("string"))
+    edges = r.groupBy(name("referring_provider_id").alias("src"), name("target_provider_id").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("weight")).withColumn("edge_type", F.lit("refers_to"))
+    members = edges.select(F.col("src").alias("provider"), F.lit("c").alias("community")).distinct()
+    hubs = spark.range(1).select(F.lit("c").alias("community"), F.lit("provider:0").alias("hub"))
+    return Q.ego_network("provider:1", edges, hubs, members)
+
+
+Q06 = f"""{V.with_views('referrals')}, e AS (SELECT 'provider:' || referring_provider_id AS src, 'provider:' || target_provider_id AS dst, 'refers_to' AS edge_type, count(*)::DOUBLE AS weight FROM referrals GROUP BY 1, 2),
+ t AS (SELECT * FROM e WHERE src = 'provider:1' OR dst = 'provider:1' ORDER BY weight DESC, src, dst LIMIT 15) SELECT * FROM t UNION ALL SELECT 'provider:1', 'provider:0', 'hub', 1.0"""
+
+
+def q07(spark, d):
+    audit = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("case_id"), F.to_date("o_orderdate").alias("decided_at"))
+    return Q.audit_page(audit, 100, 10)
+
+
+Q07 = "SELECT o_orderkey AS case_id, CAST(o_orderdate AS DATE) AS decided_at FROM orders ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey LIMIT 100 OFFSET 10"
+
+
+def q08(spark, d):
+    n = spark.read.parquet(f"{d}/supplier.parquet").select(F.format_string("NET-%04d", F.col("s_suppkey").cast("int")).alias("network_id"), F.col("s_acctbal").alias("total_paid"), (F.col("s_suppkey") % 3).alias("hard_links"))
+    return Q.networks_page(n, hard_only=True, limit=30)
+
+
+Q08 = "SELECT 'NET-' || lpad(CAST(s_suppkey AS VARCHAR), 4, '0') AS network_id, s_acctbal AS total_paid, s_suppkey % 3 AS hard_links FROM supplier WHERE s_suppkey % 3 > 0 ORDER BY s_acctbal DESC, network_id LIMIT 30"
+
+
 def s06(spark, d):
     """Rows of lineitem against a contract, by failed checks."""
     rows = spark.read.parquet(f"{d}/lineitem.parquet")
@@ -170,6 +211,6 @@ def s07(spark, d):
 S07 = "SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"
 ENTRIES = {
     "k01_cases": (k01, None), "k03_case_evidence": (k03, K03), "k05_priority": (k05, None), "k06_queue": (k06, None), "k07_integrated_cases": (k07, K07), "k07_fixture_cases": (k07b, K07B), "k08_queue_evaluation": (k08, None), "k09_decisions": (k09, K09),
-    "q01_summary": (q01, Q01), "q02_queue_hours": (q02, None), "q04_evidence_ledger": (q04, None), "q05_timeline": (q05, Q05), "q09_claims_page": (q09, Q09), "q10_providers_page": (q10, Q10), "q11_risk_info": (q11, None), "q12_evaluation": (q12, None), "q13_packets": (q13, None), "q14_narrative_audit": (q14, Q14),
+    "q01_summary": (q01, Q01), "q02_queue_hours": (q02, None), "q04_evidence_ledger": (q04, None), "q05_timeline": (q05, Q05), "q03_case_detail": (q03, None), "q06_ego_network": (q06, Q06), "q07_audit": (q07, Q07), "q08_networks": (q08, Q08), "q09_claims_page": (q09, Q09), "q10_providers_page": (q10, Q10), "q11_risk_info": (q11, None), "q12_evaluation": (q12, None), "q13_packets": (q13, None), "q14_narrative_audit": (q14, Q14),
     "s06_contract": (s06, S06), "s07_latest_by_key": (s07, S07),
 }
