@@ -254,18 +254,21 @@ def repeated_windows(runs: list[RunReader]) -> tuple[np.ndarray, np.ndarray, np.
     return rid, at - high_of[rows], at - low_of[rows] + LENGTH
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, texts in portions(batches, "text"):
-        rids, grams, times = [], [], []
-        for rid, t in zip(batch.column("rid").to_pylist(), texts, strict=True):
-            h, n = np.unique(anchors(t.encode())[0], return_counts=True)
-            rids.append(np.full(len(h), rid, np.int64))
-            grams.append(h)
-            times.append(n)
-        yield pa.record_batch({"rid": pa.array(np.concatenate(rids)), "gram": pa.array(np.concatenate(grams)), "n": pa.array(np.concatenate(times).astype(np.int64))})
-
-
-def _run_maker(buckets: int):
+def _anchor_rows(text_col: str):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in portions(batches, text_col):
+            rids, grams, times = [], [], []
+            for rid, t in zip(batch.column("rid").to_pylist(), texts, strict=True):
+                h, n = np.unique(anchors(t.encode())[0], return_counts=True)
+                rids.append(np.full(len(h), rid, np.int64))
+                grams.append(h)
+                times.append(n)
+            yield pa.record_batch({"rid": pa.array(np.concatenate(rids)), "gram": pa.array(np.concatenate(grams)), "n": pa.array(np.concatenate(times).astype(np.int64))})
+
+    return find
+
+
+def _run_maker(text_col: str, buckets: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs: dict[int, Run] = {}
         size = 0
@@ -275,7 +278,7 @@ def _run_maker(buckets: int):
             runs.clear()
             return out
 
-        for batch, texts in portions(batches, "text"):
+        for batch, texts in portions(batches, text_col):
             for rid, t, cold, hot in zip(batch.column("rid").to_pylist(), texts, batch.column("cold").to_pylist(), batch.column("hot").to_pylist(), strict=True):
                 raw = t.encode()
                 gram, at, first, last = anchors(raw)
@@ -340,17 +343,18 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", out_col: str = "span
     spark = docs.sparkSession
     docs = docs.drop(out_col)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    inner = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    # One exchange of the texts, used three times.
-    texts = docs.select(F.monotonically_increasing_id().alias("rid"), inner, F.col(text_col).alias("text")).repartition(n, "rid")
-    plain = texts.select("rid", "text")
-    grams = plain.mapInArrow(_anchor_rows, "rid long, gram long, n long")
+    # One exchange of the rows, used three times: each use takes all columns, or pruning would make them differ.
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    text = names[text_col]
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), *(F.col(f"`{c}`").alias(x) for c, x in names.items())).repartition(n, "rid")
+    grams = rows.mapInArrow(_anchor_rows(text), "rid long, gram long, n long")
     counts = grams.groupBy("gram").agg(F.sum("n").alias("total")).where("total > 1").select("gram", (F.col("total") > HOT_GRAM).alias("is_hot"))
     repeated = grams.join(counts, "gram").groupBy("rid").agg(F.collect_list(F.when(~F.col("is_hot"), F.col("gram"))).alias("cold"), F.collect_list(F.when(F.col("is_hot"), F.col("gram"))).alias("hot"))
-    runs = plain.join(repeated.hint("shuffle_hash"), "rid").mapInArrow(_run_maker(n), "bucket int, run binary")
+    runs = rows.join(repeated.hint("shuffle_hash"), "rid").mapInArrow(_run_maker(text, n), "bucket int, run binary")
     found = runs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge, "rid long, start long, stop long")
     spans = found.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return texts.select("rid", "row").join(spans.hint("shuffle_hash"), "rid", "left").select("row.*", F.coalesce("spans", F.array().cast("array<struct<start:bigint,stop:bigint>>")).alias(out_col))
+    none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
+    return rows.join(spans.hint("shuffle_hash"), "rid", "left").select(*(F.col(x).alias(c) for c, x in names.items()), F.coalesce("spans", none).alias(out_col))
 
 
 def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
