@@ -81,8 +81,8 @@ def project_providers(edges: DataFrame, overrides: dict[str, float] | None = Non
 def communities(projection: DataFrame, rounds: int = 20, resolution: float = 1.0, min_size: int = 2) -> DataFrame:
     """Rows ``(provider, community)`` by synchronous local moving of weighted modularity.
 
-    In each half-round the nodes of one hash parity move to the neighbouring community with the largest gain (ties to the
-    smallest label); it ends when nothing moves or modularity falls. Each community is connected in the end: its parts
+    In each half-round the nodes of one hash parity, dealt anew each round, move to the neighbouring community with the largest
+    gain (ties to the smallest label); it ends when no node would gain by a move. The labels of most modularity count. Each community is connected in the end: its parts
     that hang together by no edge become communities of their own.
     """
     both = materialize(projection.select("u", "v", "weight").unionByName(projection.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight")), "both-ways")
@@ -101,14 +101,12 @@ def communities(projection: DataFrame, rounds: int = 20, resolution: float = 1.0
         rest = F.col("tot") - F.when(F.col("nc") == F.col("c"), F.col("k")).otherwise(0.0)
         gain = F.round(F.col("w") - resolution * F.col("k") * rest / total, 9)
         choice = options.withColumn("gain", gain).groupBy("u").agg(F.min_by("nc", F.struct(-F.col("gain"), (F.col("nc") != F.col("c")).cast("int"), F.col("nc"))).alias("nc"))
-        move = F.pmod(F.xxhash64("u"), F.lit(2)) == r % 2
-        label = materialize(mine.join(choice, "u").select("u", "k", F.when(move, F.col("nc")).otherwise(F.col("c")).alias("c"), (move & (F.col("nc") != F.col("c"))).alias("moved")), "labels")
+        move = F.pmod(F.xxhash64("u", F.lit(r // 2)), F.lit(2)) == r % 2
+        label = materialize(mine.join(choice, "u").select("u", "k", F.when(move, F.col("nc")).otherwise(F.col("c")).alias("c"), (F.col("nc") != F.col("c")).alias("wants")), "labels")
         q = modularity(both, label, total, resolution)
         if best_q is None or q > best_q + 1e-9:
-            best, best_q = label.drop("moved"), q
-        elif r % 2 and not label.where("moved").limit(1).count():
-            break
-        elif r > 3 and q < best_q - 1e-9:
+            best, best_q = label.drop("wants"), q
+        if not label.where("wants").limit(1).count():
             break
     labelled = best.select("u", "c")
     inside = projection.join(labelled, "u").join(labelled.select(F.col("u").alias("v"), F.col("c").alias("d")), "v").where("c = d")

@@ -111,35 +111,33 @@ N03 = f"""{_GRAPH}, h AS (SELECT * FROM edges WHERE dst NOT LIKE 'provider:%'),
  SELECT u, v, {R6("sum(weight * CASE edge_type WHEN 'has_bank' THEN 10 WHEN 'shared_bank_hash' THEN 10 WHEN 'located_at' THEN 2 WHEN 'works_at' THEN 0.3 WHEN 'refers_to' THEN 1 ELSE 0.5 END)")} AS weight FROM raw WHERE u <> v GROUP BY 1, 2"""
 
 
-def _membership(spark, d, projection):
-    # A network in which banks stand out.
-    strong = projection.where(F.try_element_at("edge_types", F.lit("has_bank")).isNotNull())
-    return materialize(N.communities(strong, rounds=6), "membership")
+def _membership(projection):
+    return materialize(N.communities(projection), "membership")
 
 
 def n04(spark, d):
     p = _projection(spark, d)
-    return N.community_table(p, _membership(spark, d, p)).select("community", "size", "hub", "hard_links", "category", F.array_join("providers", ",").alias("providers"))
+    return N.community_table(p, _membership(p)).select("community", "size", "hub", "hard_links", "category", F.array_join("providers", ",").alias("providers"))
 
 
 def n05(spark, d):
     p = _projection(spark, d)
     t = tables(spark, d)
     alerts, _ = R.run_rules(spark, t, only=["R10"])
-    e = N.enrich_communities(_membership(spark, d, p), t["claims"], alerts)
+    e = N.enrich_communities(_membership(p), t["claims"], alerts)
     return e.select("community", "claim_count", F.round("total_paid").alias("total_paid"), "rules", "suspicious_claims")
 
 
 def n06(spark, d):
     p = _projection(spark, d)
     bad = p.select(F.col("u").alias("provider")).where(F.pmod(F.xxhash64("provider"), F.lit(5)) == 0).distinct()
-    f = N.network_features(p, _membership(spark, d, p), bad)
+    f = N.network_features(p, _membership(p), bad)
     return f.select("provider", "degree", r6("weighted_degree").alias("weighted_degree"), "suspicious_neighbours", "identity_links", r6("referral_links").alias("referral_links"), r6("suspicious_ratio").alias("suspicious_ratio"), r6("community_density").alias("community_density"), r6("community_risk").alias("community_risk"))
 
 
 def n07(spark, d):
     p = _projection(spark, d)
-    m = _membership(spark, d, p)
+    m = _membership(p)
     out = N.network_table(N.community_table(p, m), N.enrich_communities(m, V.claims(spark, d)))
     return out.select("network_id", "community", "size", "hub", "hard_links", r6("referral_density").alias("referral_density"), r6("edge_variety").alias("edge_variety"), F.round("total_paid").alias("total_paid"), "claim_count", "category")
 
