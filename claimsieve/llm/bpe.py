@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimsieve.llm.common import ChunkCache, chunk_text, chunks, portions
+from claimsieve.llm.common import PieceCache, portions
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -107,23 +107,23 @@ class BytePairCodec:
         self.pieces = regex.compile(pattern).findall
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.decimal = {i: b"%d" % i for i in ranks.values()}
-        self.cache = ChunkCache(self._encode_chunks)
+        self.cache = PieceCache(self._encode_pieces)
 
     def encode_piece(self, piece: bytes) -> list[int]:
         slot = self.table.slot(piece)
         return [self.ids[slot]] if slot >= 0 else merge_bytes(piece, self.ranks)
 
-    def _encode_chunks(self, keys: list[str]) -> list[bytes]:
+    def _encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         out = []
-        for k in keys:
+        for x in pieces:
             ids: list[int] = []
-            for p in self.pieces(chunk_text(k)):
+            for p in self.pieces(x.decode()):
                 ids += self.encode_piece(p.encode())
             out.append(array("I", ids).tobytes())
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(b, "<u4") for b in self.cache.joined([chunks(t) for t in texts])]
+        return [np.frombuffer(b, "<u4") for b in self.cache.joined(texts)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))

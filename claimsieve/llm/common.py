@@ -2,76 +2,108 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
-from string import punctuation
+from string import ascii_letters, digits, punctuation
 
+import numpy as np
 import pyarrow as pa
 
-#: A space before a character that is no white space always starts a new pre-token of byte-level BPE, so a text may be cut there.
-_CUT = re.compile(r" (?=\S)")
-_IRREGULAR = re.compile(r" (?:\s|$)")
+_SPACE, _SURE, _STARTS, _ALNUM, _PUNCTUATION, _LEAD = (1 << i for i in range(6))
 
 
-def chunks(text: str) -> list[str]:
-    """Cut a text at every space that starts a pre-token.
-
-    The key of a chunk that had its space cut off is the rest of it (it starts with no white space); the key of the
-    first chunk, which had none, is a space and the chunk. ``chunk_text`` gives the chunk back.
-    """
-    parts = _CUT.split(text) if _IRREGULAR.search(text) else text.split(" ")
-    parts[0] = " " + parts[0]
-    return parts
+def _classes() -> np.ndarray:
+    """What each byte of UTF-8 may be: bits of the classes above."""
+    of = np.zeros(256, np.uint8)
+    of[[9, 10, 11, 12, 13, 32]] = _SPACE
+    plain = np.array([b for b in range(128) if not of[b] and not 0x1C <= b <= 0x1F])
+    of[plain] |= _SURE | _STARTS  # no white space
+    of[[b for b in range(0xC3, 0xF5) if b not in (0xE1, 0xE2, 0xE3)]] |= _STARTS  # begins no white space character
+    of[list((ascii_letters + digits).encode())] |= _ALNUM
+    of[list(punctuation.encode())] |= _PUNCTUATION
+    of[[0xC3, 0xD0, 0xD1]] |= _LEAD  # two bytes that are a letter, but for the signs of multiplication and division
+    return of
 
 
-def chunk_text(key: str) -> str:
-    return key[1:] if key[0] == " " else " " + key
+_CLASSES = _classes()
+#: Stands between texts; no byte of UTF-8.
+_END = b"\xff"
+#: Longer pieces are computed again wherever they occur, so that texts without spaces do not fill the memory.
+LONGEST = 48
 
 
-class ChunkCache:
-    """Values of chunks, each computed once and remembered in two generations of about ``limit`` chunks each.
+def piece_starts(raw: np.ndarray) -> np.ndarray:
+    """Where texts, each with ``_END`` after it, may be cut: every pre-token of byte-level BPE stays as it is.
 
-    The bound concerns memory only: a chunk that was forgotten is computed again. A word with punctuation after it is put
-    together from the word and what follows: a pre-token never goes from a letter to punctuation without letters after it.
+    Cut are: before a space that no white space follows; between a letter or digit and ASCII punctuation; around a line break
+    between two characters that are no white space; around ``_END``. Bytes of which the class is not known are not cut at.
+    """
+    of = _CLASSES[raw]
+    letter = (of & _ALNUM) > 0
+    wide = (of[:-1] & _LEAD > 0) & ~((raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7)))
+    letter[1:] |= wide & (raw[1:] >= 0x80) & (raw[1:] < 0xC0)
+    starts = np.append((of[1:] & _STARTS) > 0, False)  # of the next byte
+    cut = (raw == 32) & starts
+    cut[1:] |= letter[:-1] & (of[1:] & _PUNCTUATION > 0)
+    line = (raw == 10) & starts
+    line[1:] &= letter[:-1] | (of[:-1] & _SURE > 0)
+    line[0] = False
+    end = raw == 0xFF
+    cut |= line | end
+    cut[1:] |= line[:-1] | end[:-1]
+    cut[0] = True
+    return np.flatnonzero(cut)
+
+
+class PieceCache:
+    """Values of pieces of texts, joined by text. Each distinct piece of a call is computed once; short ones are remembered.
+
+    The memory that remembered pieces take is bounded by ``limit`` bytes for each of two generations: a piece that was
+    forgotten, or is longer than ``LONGEST``, is computed again.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list[bytes]], limit: int = 350_000):
+    def __init__(self, compute: Callable[[list[bytes]], list[bytes]], limit: int = 24 << 20):
         self.compute, self.limit = compute, limit
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def joined(self, texts: list[list[str]]) -> list[bytes]:
-        """For each text, the values of its chunks in order, joined."""
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-        self._add(set().union(*texts).difference(self.young))
-        of = self.young.__getitem__
-        return [b"".join(map(of, c)) for c in texts]
-
-    def _add(self, missing: set[str]) -> None:
-        young, old = self.young, self.old
-        split: list[tuple[str, str, str]] = []
-        new: set[str] = set()
-        for k in missing:
-            if (v := old.get(k)) is not None:
-                young[k] = v
-                continue
-            word = k.rstrip(punctuation)
-            if word != k and word[-1:].isalpha():
-                tail = " " + k[len(word) :]
-                split.append((k, word, tail))
-                for part in (word, tail):
-                    if part not in young:
-                        if (v := old.get(part)) is not None:
-                            young[part] = v
-                        else:
-                            new.add(part)
+        self.clear()
+
+    def clear(self) -> None:
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.size = 0
+
+    def joined(self, texts: list[str]) -> list[bytes]:
+        """For each text, the values of its pieces in order, joined."""
+        raw = _END.join([t.encode() for t in texts]) + _END
+        data = np.frombuffer(raw, np.uint8)
+        at = piece_starts(data)
+        ends = np.flatnonzero(data[at] == 0xFF)
+        offsets = np.append(at, len(raw)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+        values = self._values(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        got = pa.array(values, pa.large_binary()).take(coded.indices)
+        cuts = [0, *np.frombuffer(got.buffers()[1], np.int64)[ends].tolist()]
+        out = memoryview(got.buffers()[2] or b"")
+        return [bytes(out[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+    def _values(self, pieces: list[bytes]) -> list[bytes]:
+        if self.size > self.limit:
+            self.old, self.young, self.size = self.young, {}, 0
+        values = list(map(self.young.get, pieces))
+        new = []
+        for i in [i for i, v in enumerate(values) if v is None]:
+            if (v := b"" if pieces[i] == _END else self.old.get(pieces[i])) is not None:
+                self._keep(pieces[i], v)
+                values[i] = v
             else:
-                new.add(k)
-        keys = list(new)
-        young.update(zip(keys, self.compute(keys), strict=True))
-        for k, word, tail in split:
-            young[k] = young[word] + young[tail]
+                new.append(i)
+        for i, v in zip(new, self.compute([pieces[i] for i in new]), strict=True):
+            values[i] = v
+            if len(pieces[i]) <= LONGEST:
+                self._keep(pieces[i], v)
+        return values
+
+    def _keep(self, piece: bytes, value: bytes) -> None:
+        self.young[piece] = value
+        self.size += 170 + len(piece) + len(value)  # two objects and an entry of the dictionary
 
 
 def portions(batches: Iterator[pa.RecordBatch], column: str, chars: int = 3_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
