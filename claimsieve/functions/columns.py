@@ -108,15 +108,23 @@ def clip01(x: Column) -> Column:
 
 #: Short forms in addresses.
 _ADDRESS_TOKENS = {
-    "street": "st", "avenue": "ave", "boulevard": "blvd", "drive": "dr", "road": "rd", "lane": "ln", "court": "ct", "place": "pl", "suite": "ste", "apartment": "apt",
-    "north": "n", "south": "s", "east": "e", "west": "w", "#": "unit",
+    "street": "st", "st.": "st", "avenue": "ave", "ave.": "ave",
+    "boulevard": "blvd", "blvd.": "blvd", "drive": "dr", "dr.": "dr",
+    "lane": "ln", "ln.": "ln", "road": "rd", "rd.": "rd",
+    "court": "ct", "ct.": "ct", "circle": "cir", "cir.": "cir",
+    "place": "pl", "pl.": "pl", "suite": "ste", "ste.": "ste",
+    "apartment": "apt", "apt.": "apt", "building": "bldg", "bldg.": "bldg",
+    "floor": "fl", "fl.": "fl", "unit": "unit", "#": "unit",
+    "north": "n", "n.": "n", "south": "s", "s.": "s",
+    "east": "e", "e.": "e", "west": "w", "w.": "w",
+    "northeast": "ne", "ne.": "ne", "northwest": "nw", "nw.": "nw",
+    "southeast": "se", "se.": "se", "southwest": "sw", "sw.": "sw",
 }
 
 
 def normal_address(address: Column) -> Column:
     """Lower case, no stops and commas, short forms, single spaces; blank: NULL."""
     text = F.regexp_replace(F.regexp_replace(F.lower(address), r"\.(?!\d)", ""), ",", " ")
-    text = F.regexp_replace(text, "#", " # ")
     short = F.create_map(*(F.lit(x) for kv in _ADDRESS_TOKENS.items() for x in kv))
     out = F.array_join(F.transform(F.filter(F.split(text, r"\s+"), lambda t: t != ""), lambda t: F.coalesce(F.try_element_at(short, t), t)), " ")
     return F.when(out != "", out)
@@ -131,15 +139,16 @@ def split_suite(address: Column) -> tuple[Column, Column]:
     return F.regexp_replace(address, _SUITE, ""), F.when(suite != "", F.lower(suite))
 
 
-_CORPORATE = ("inc", "llc", "ltd", "corp", "co", "pllc", "pc", "pa", "lp", "llp", "group", "holdings", "company", "corporation", "incorporated")
+# Fixed values.
+_CORPORATE = ("llc", "inc", "corp", "corporation", "co", "company", "ltd", "limited", "pc", "pa", "pllc", "group", "holdings", "associates", "md", "do", "np")
 
 
 def normal_name(name: Column, strip_corporate: bool = False) -> Column:
-    """Lower case without punctuation; optionally without corporate endings if more than one word is left."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(name), r"[^\w\s]", " "), r"\s+"), lambda w: w != "")
+    """Lower case without punctuation; of several words optionally without corporate endings. Nothing left: NULL."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(name), r"(?U)[^\w\s]", ""), r"(?U)\s+"), lambda w: w != "")
     if strip_corporate:
         rest = F.filter(words, lambda w: ~w.isin(list(_CORPORATE)))
-        words = F.when((F.size(words) > 1) & (F.size(rest) > 0), rest).otherwise(words)
+        words = F.when(F.size(words) > 1, rest).otherwise(words)
     out = F.array_join(words, " ")
     return F.when(out != "", out)
 
@@ -239,7 +248,7 @@ def money(x: Column) -> Column:
 
 
 #: Wording that generated text must not hold.
-PROHIBITED = ("committed fraud", "is guilty", "fraudster", "criminal", "proven fraud", "definitely fraud")
+PROHIBITED = ("fraud confirmed", "confirmed fraud", "fraudster", "committed fraud", "guilty")
 
 
 def has_prohibited(text: Column) -> Column:

@@ -6,12 +6,15 @@ A table or column that a rule needs and that is missing gives no findings. NULL
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimsieve.functions import columns as C
 from claimsieve.operators import windows as W
+from claimsieve.plans.storage import materialize, new_path
 from claimsieve.sources.config import RuleConfig
 from claimsieve.sources.tables import canonical, has_columns
 
@@ -190,15 +193,19 @@ def ghost_members(claims: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFram
 # -- utilisation
 
 
-def over_caps(tables: Tables, cfg: RuleConfig = RuleConfig()) -> DataFrame:
-    """Members over the visits of a code group in 30 days: the peak and its first day."""
+def _over(tables: Tables, cfg: RuleConfig) -> DataFrame:
     claims = prepared_claims(tables)
     group, cap = F.lit(None).cast("string"), F.lit(None).cast("int")
     for name, (prefixes, most) in cfg.caps.items():
         on = C.has_prefix(F.col("procedure_code"), prefixes)
         group, cap = F.when(on, F.lit(name)).otherwise(group), F.when(on, F.lit(most)).otherwise(cap)
     rows = claims.withColumns({"code_group": group, "cap": cap}).where("code_group is not null")
-    over = W.rolling_days_count(rows, ["member_id", "code_group"]).where("rolling_count > cap").withColumn("amount", _amount("paid_amount", "allowed_amount", "billed_amount"))
+    return W.rolling_days_count(rows, ["member_id", "code_group"]).where("rolling_count > cap")
+
+
+def over_caps(tables: Tables, cfg: RuleConfig = RuleConfig()) -> DataFrame:
+    """Members over the visits of a code group in 30 days: the peak and its first day."""
+    over = _over(tables, cfg).withColumn("amount", _amount("paid_amount", "allowed_amount", "billed_amount"))
     return over.groupBy("member_id", "code_group", "cap").agg(
         F.max("rolling_count").alias("peak"), F.min_by("service_date", F.struct(-F.col("rolling_count"), F.col("service_date"))).alias("peak_date"), F.avg("amount").alias("mean_amount"), F.count(F.lit(1)).alias("over_rows")
     ).withColumn("est_dollars", F.col("mean_amount") * (F.col("peak") - F.col("cap")))
@@ -256,7 +263,7 @@ def member_overlaps(tables: Tables, cfg: RuleConfig = RuleConfig()) -> DataFrame
 def concentration(tables: Tables, cfg: RuleConfig = RuleConfig()) -> DataFrame:
     """Providers that send most of many referrals to one target; ties go to the smaller target."""
     _, pairs = W.referral_history(tables["referrals"])
-    best = pairs.groupBy("referring_provider_id").agg(F.sum("n").alias("total"), F.max("n").alias("top_n"), F.max_by("target_provider_id", F.struct("n", -F.col("target_provider_id").cast("double"))).alias("top_target"))
+    best = pairs.groupBy("referring_provider_id").agg(F.sum("n").alias("total"), F.max("n").alias("top_n"), F.min_by("target_provider_id", F.struct(-F.col("n"), F.col("target_provider_id"))).alias("top_target"))
     best = best.withColumn("share", F.col("top_n") / F.col("total"))
     median = best.agg(W.median_of("share").alias("peer_median"))
     return best.where((F.col("total") >= cfg.min_referrals) & (F.col("share") > cfg.concentration)).join(F.broadcast(median))
@@ -269,11 +276,16 @@ def reciprocal_loops(tables: Tables, cfg: RuleConfig = RuleConfig()) -> DataFram
     return many.join(back, ["referring_provider_id", "target_provider_id"]).where("referring_provider_id < target_provider_id").select(F.col("referring_provider_id").alias("provider_a"), F.col("target_provider_id").alias("provider_b"), F.col("n").alias("n_out"), "n_back")
 
 
-def same_day_labs(tables: Tables, cfg: RuleConfig = RuleConfig()) -> DataFrame:
+def lab_claims(tables: Tables, cfg: RuleConfig = RuleConfig()) -> DataFrame:
+    """Claims of a laboratory for a member on the day of a referral to it."""
     labs = tables["providers"].where(C.is_any(F.col("specialty"), cfg.lab_specialties)).select(F.col("provider_id").alias("target_provider_id"))
     r = tables["referrals"].join(labs, "target_provider_id", "left_semi").select("referring_provider_id", "target_provider_id", "member_id", F.col("referral_date").alias("service_date"))
     c = prepared_claims(tables).select(F.col("provider_id").alias("target_provider_id"), "member_id", "service_date", "claim_id", "paid_amount")
-    return r.join(c, ["target_provider_id", "member_id", "service_date"]).groupBy("referring_provider_id", "target_provider_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("paid_amount", F.lit(0.0))).alias("est_dollars"))
+    return r.join(c, ["target_provider_id", "member_id", "service_date"])
+
+
+def same_day_labs(tables: Tables, cfg: RuleConfig = RuleConfig()) -> DataFrame:
+    return lab_claims(tables, cfg).groupBy("referring_provider_id", "target_provider_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("paid_amount", F.lit(0.0))).alias("est_dollars"))
 
 
 def referral_spikes(tables: Tables, cfg: RuleConfig = RuleConfig()) -> DataFrame:
@@ -332,6 +344,52 @@ def weekly_bursts(tables: Tables, cfg: RuleConfig = RuleConfig()) -> DataFrame:
     )
 
 
+# -- claims behind findings of groups
+
+
+def em_claims(tables: Tables) -> DataFrame:
+    return prepared_claims(tables).where(C.em_level(F.col("procedure_code"), F.col("em_level")).isNotNull()).select("provider_id", "claim_id")
+
+
+def over_cap_claims(tables: Tables, cfg: RuleConfig = RuleConfig()) -> DataFrame:
+    return _over(tables, cfg).select("member_id", "code_group", "claim_id")
+
+
+def provider_claims(tables: Tables, *more: str) -> DataFrame:
+    return prepared_claims(tables).select("provider_id", *more, "claim_id")
+
+
+def referral_claims(tables: Tables) -> DataFrame:
+    rows = canonical(tables["referrals"], {"claim_id": "string"}, {})
+    return rows.select("referring_provider_id", F.col("target_provider_id").alias("top_target"), "claim_id")
+
+
+def loop_claims(tables: Tables) -> DataFrame:
+    """Claims of referrals between two providers, those of the smaller one first."""
+    rows = referral_claims(tables).withColumnRenamed("top_target", "target")
+    return rows.select(
+        F.least("referring_provider_id", "target").alias("provider_a"), F.greatest("referring_provider_id", "target").alias("provider_b"), (F.col("referring_provider_id") > F.col("target")).alias("back"), "claim_id"
+    )
+
+
+def county_claims(tables: Tables) -> DataFrame:
+    return prepared_claims(tables).select("provider_id", "member_id", "claim_id").join(tables["members"].where("county is not null").select("member_id"), "member_id").select("provider_id", "claim_id")
+
+
+def with_claims(core: DataFrame, rows: DataFrame, keys: list[str], most: int, first: tuple[str, ...] = ()) -> DataFrame:
+    """A core with ``claim_ids``: the ids of its claims in order, of which an alert lists at most ``most``.
+
+    ``rows`` has all of them at any size, one claim a row; the list is chosen by a partial rank in each task before any
+    exchange, so a provider with a third of all claims fills no task.
+    """
+    known = rows.where("claim_id is not null").select(*keys, *first, F.col("claim_id").cast("string").alias("_claim"))
+    met = core.join(known, keys, "left")  # a finding without claims keeps its row
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*first, "_claim"))
+    own = [c for c in core.columns]
+    listed = met.withColumn("_n", rank).where(F.col("_n") <= most).groupBy(*own).agg(F.array_sort(F.collect_list(F.when(F.col("_claim").isNotNull(), F.struct("_n", "_claim")))).alias("_listed"))
+    return listed.select(*own, F.col("_listed._claim").alias("claim_ids"))
+
+
 # -- alerts
 
 
@@ -380,7 +438,7 @@ def _defaults() -> None:
     claim = ("claim_id", "member_id", "provider_id", "procedure_code", "service_date")
     add("R01a", lambda t, c: to_alerts(exact_duplicates(t, c), "R01", "provider", "provider_id", _fmt("Claims %s and %s bill the same service, day and amount (%s).", "claim_id_a", "claim_id_b", C.money(F.col("est_dollars"))), "HIGH", _two("claim_id_a", "claim_id_b"), claim[1:], cfg=c), {"claims": claim})
     add("R01b", lambda t, c: to_alerts(near_duplicates(t, c), "R01", "provider", "provider_id", _fmt("Claims %s and %s bill the same service and amount %s day(s) apart.", "claim_id_a", "claim_id_b", "gap"), "MEDIUM", _two("claim_id_a", "claim_id_b"), claim[1:], cfg=c), {"claims": claim})
-    add("R02", lambda t, c: to_alerts(upcoding(t, c), "R02", "provider", "provider_id", _fmt("%s of %s visits are at the top two levels; peers' median is %s.", F.format_number(F.col("high_share"), 3), "total_em", F.format_number(F.col("peer_median"), 3)), "HIGH", fields=("procedure_code",), cfg=c), {"claims": claim})
+    add("R02", lambda t, c: to_alerts(with_claims(upcoding(t, c), em_claims(t), ["provider_id"], c.listed_claims), "R02", "provider", "provider_id", _fmt("%s of %s visits are at the top two levels; peers' median is %s.", F.format_number(F.col("high_share"), 3), "total_em", F.format_number(F.col("peer_median"), 3)), "HIGH", fields=("procedure_code",), claim_ids=F.col("claim_ids"), cfg=c), {"claims": claim})
     add("R03", lambda t, c: to_alerts(unbundling(t, c), "R03", "provider", "provider_id", _fmt("Component %s billed beside %s on %s.", "component_cpt", "comprehensive_cpt", "service_date"), F.col("severity"), F.col("claim_ids"), ("procedure_code",), cfg=c), {"claims": claim, "bundling_pairs": ("comprehensive_cpt", "component_cpt")})
     add("R04a", lambda t, c: to_alerts(after_death(t), "R04", "provider", "provider_id", _fmt("Claim %s is for %s, after the member's death on %s.", "claim_id", "service_date", "death_date"), "CRITICAL", _one(), ("service_date", "death_date"), cfg=c), {"claims": claim, "members": ("death_date",)})
     add("R04b", lambda t, c: to_alerts(after_enrollment(t), "R04", "provider", "provider_id", _fmt("Claim %s is for %s, after enrolment ended on %s.", "claim_id", "service_date", "end_date"), "CRITICAL", _one(), ("service_date",), cfg=c), {"claims": claim, "members": ("enrollment_end",)})
@@ -389,50 +447,66 @@ def _defaults() -> None:
     add("R04e", lambda t, c: to_alerts(non_operating_day(t), "R04", "facility", "facility_id", _fmt("Claim %s on %s is on a day without operation.", "claim_id", "service_date"), "HIGH", _one(), ("service_date",), cfg=c), {"claims": (*claim, "facility_id"), "facilities": ("operating_days",)})
     add("R04f", lambda t, c: to_alerts(orphan_ambulance(t, c), "R04", "provider", "provider_id", _fmt("Ambulance claim %s has no other service near %s.", "claim_id", "service_date"), "MEDIUM", _one(), ("procedure_code",), cfg=c), {"claims": claim})
     add("R04g", lambda t, c: to_alerts(ghost_members(prepared_claims(t), c), "R04", "member", "member_id", _fmt("First claims of the member within a year: %s with provider %s.", "claim_count", "provider_id"), "LOW", F.col("claim_ids"), note="Never opens a case alone.", cfg=c), {"claims": claim})
-    add("R05a", lambda t, c: to_alerts(over_caps(t, c), "R05", "member", "member_id", _fmt("%s visits of %s in 30 days; the cap is %s.", "peak", "code_group", "cap"), "MEDIUM", cfg=c), {"claims": claim})
-    add("R05b", lambda t, c: to_alerts(excessive_providers(t, c), "R05", "provider", "provider_id", _fmt("%s visits per member; peers' median is %s.", F.format_number(F.col("visits_per_member"), 2), F.format_number(F.col("peer_median"), 2)), "HIGH", cfg=c), {"claims": claim})
-    add("R06a", lambda t, c: to_alerts(overloaded_days(t, c), "R06", "provider", "provider_id", _fmt("%s service minutes on %s.", F.format_number(F.col("total_minutes"), 0), "service_date"), "HIGH", cfg=c), {"claims": (*claim, "service_minutes")})
+    add("R05a", lambda t, c: to_alerts(with_claims(over_caps(t, c), over_cap_claims(t, c), ["member_id", "code_group"], c.listed_claims), "R05", "member", "member_id", _fmt("%s visits of %s in 30 days; the cap is %s.", "peak", "code_group", "cap"), "MEDIUM", claim_ids=F.col("claim_ids"), cfg=c), {"claims": claim})
+    add("R05b", lambda t, c: to_alerts(with_claims(excessive_providers(t, c), provider_claims(t), ["provider_id"], c.listed_claims), "R05", "provider", "provider_id", _fmt("%s visits per member; peers' median is %s.", F.format_number(F.col("visits_per_member"), 2), F.format_number(F.col("peer_median"), 2)), "HIGH", claim_ids=F.col("claim_ids"), cfg=c), {"claims": claim})
+    add("R06a", lambda t, c: to_alerts(with_claims(overloaded_days(t, c), provider_claims(t, "service_date"), ["provider_id", "service_date"], c.listed_claims), "R06", "provider", "provider_id", _fmt("%s service minutes on %s.", F.format_number(F.col("total_minutes"), 0), "service_date"), "HIGH", claim_ids=F.col("claim_ids"), cfg=c), {"claims": (*claim, "service_minutes")})
     add("R06b", lambda t, c: to_alerts(impossible_travel(t, c), "R06", "provider", "provider_id", _fmt("Claims %s and %s need %s miles an hour.", "claim_id_a", "claim_id_b", F.format_number(F.col("mph"), 0)), "HIGH", _two("claim_id_a", "claim_id_b"), cfg=c), {"claims": (*claim, "service_start_ts"), "providers": ("latitude", "longitude")})
     add("R06c", lambda t, c: to_alerts(member_overlaps(t, c), "R06", "member", "member_id", _fmt("Claims %s and %s overlap in time at different places.", "claim_id_a", "claim_id_b"), "HIGH", _two("claim_id_a", "claim_id_b"), cfg=c), {"claims": (*claim, "service_start_ts")})
     ref = ("referring_provider_id", "target_provider_id", "member_id", "referral_date")
-    add("R07a", lambda t, c: to_alerts(concentration(t, c), "R07", "provider", "referring_provider_id", _fmt("%s of %s referrals go to %s.", "top_n", "total", "top_target"), "MEDIUM", cfg=c), {"referrals": ref})
-    add("R07b", lambda t, c: to_alerts(reciprocal_loops(t, c), "R07", "provider", "provider_a", _fmt("%s referrals to %s and %s back.", "n_out", "provider_b", "n_back"), "MEDIUM", cfg=c), {"referrals": ref})
-    add("R07c", lambda t, c: to_alerts(same_day_labs(t, c), "R07", "provider", "referring_provider_id", _fmt("%s referrals to laboratory %s with a claim on the same day.", "n", "target_provider_id"), "MEDIUM", cfg=c), {"referrals": ref, "claims": claim, "providers": ("specialty",)})
+    add("R07a", lambda t, c: to_alerts(with_claims(concentration(t, c), referral_claims(t), ["referring_provider_id", "top_target"], c.listed_samples), "R07", "provider", "referring_provider_id", _fmt("%s of %s referrals go to %s.", "top_n", "total", "top_target"), "MEDIUM", claim_ids=F.col("claim_ids"), cfg=c), {"referrals": ref})
+    add("R07b", lambda t, c: to_alerts(with_claims(reciprocal_loops(t, c), loop_claims(t), ["provider_a", "provider_b"], c.listed_samples, ("back",)), "R07", "provider", "provider_a", _fmt("%s referrals to %s and %s back.", "n_out", "provider_b", "n_back"), "MEDIUM", claim_ids=F.col("claim_ids"), cfg=c), {"referrals": ref})
+    add("R07c", lambda t, c: to_alerts(with_claims(same_day_labs(t, c), lab_claims(t, c), ["referring_provider_id", "target_provider_id"], c.listed_samples), "R07", "provider", "referring_provider_id", _fmt("%s referrals to laboratory %s with a claim on the same day.", "n", "target_provider_id"), "MEDIUM", claim_ids=F.col("claim_ids"), cfg=c), {"referrals": ref, "claims": claim, "providers": ("specialty",)})
     add("R07d", lambda t, c: to_alerts(referral_spikes(t, c), "R07", "provider", "referring_provider_id", _fmt("%s referrals in the week of %s.", "n", "week_start"), "MEDIUM", cfg=c), {"referrals": ref})
-    add("R08a", lambda t, c: to_alerts(distance_anomalies(t, c), "R08", "provider", "provider_id", _fmt("%s claims from members beyond the distance, up to %s miles.", "n", F.format_number(F.col("max_miles"), 0)), "MEDIUM", cfg=c), {"claims": claim, "providers": ("latitude", "specialty"), "members": ("latitude",)})
-    add("R08b", lambda t, c: to_alerts(many_counties(t, c), "R08", "provider", "provider_id", _fmt("Members from %s counties.", "county_count"), "LOW", cfg=c), {"claims": claim, "members": ("county",)})
+    add("R08a", lambda t, c: to_alerts(with_claims(distance_anomalies(t, c), claim_distances(t, c).where("miles > threshold"), ["provider_id"], c.listed_samples), "R08", "provider", "provider_id", _fmt("%s claims from members beyond the distance, up to %s miles.", "n", F.format_number(F.col("max_miles"), 0)), "MEDIUM", claim_ids=F.col("claim_ids"), cfg=c), {"claims": claim, "providers": ("latitude", "specialty"), "members": ("latitude",)})
+    add("R08b", lambda t, c: to_alerts(with_claims(many_counties(t, c), county_claims(t), ["provider_id"], c.listed_samples), "R08", "provider", "provider_id", _fmt("Members from %s counties.", "county_count"), "LOW", claim_ids=F.col("claim_ids"), cfg=c), {"claims": claim, "members": ("county",)})
     add("R08c", lambda t, c: to_alerts(suspicious_facilities(t, c), "R08", "facility", "facility_id", _fmt("Facility of type %s.", "facility_type"), "MEDIUM", cfg=c), {"facilities": ("facility_type",)})
     add("R10", lambda t, c: to_alerts(weekly_bursts(t, c), "R10", "provider", "provider_id", _fmt("%s in the week of %s; the median before is %s.", C.money(F.col("weekly_amount")), "week_start", C.money(F.col("trailing_median"))), F.col("severity"), cfg=c), {"claims": (*claim, "paid_amount")})
 
 
 def run_rules(spark: SparkSession, tables: Tables, cfg: RuleConfig = RuleConfig(), only: list[str] | None = None, disabled: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Alerts of all enabled rules and a status row for each: ``ok``, ``skipped`` (a table or column is missing) or ``failed``."""
+    """Alerts of all enabled rules and a status row for each: ``ok``, ``skipped`` (a table or column is missing) or ``failed``.
+
+    Claims are written once for all rules, then each rule writes its alerts to the shared folder in its own try: one that
+    fails, be it while it runs, leaves the others' alerts as they are.
+    """
     if not _REGISTRY:
         _defaults()
     from claimsieve.operators.identity import register as identity_rule
 
     identity_rule()
-    out, status = None, []
+    have = {k: canonical(v, {}) if k == "claims" else v for k, v in tables.items()}
+    todo, status = [], {}
     for name, (rule, needs) in _REGISTRY.items():
         if only is not None and not any(name.startswith(o) for o in only) or name in disabled:
             continue
-        have = {k: canonical(v, {}) if k == "claims" else v for k, v in tables.items()}
         missing = [k for k, cols in needs.items() if not has_columns(have.get(k), *cols)]
         if missing:
-            status.append((name, "skipped", ", ".join(missing)))
-            continue
+            status[name] = ("skipped", ", ".join(missing))
+        else:
+            todo.append(name)
+    if "claims" in tables and sum("claims" in _REGISTRY[name][1] for name in todo) > 2:
+        tables = {**tables, "claims": materialize(tables["claims"], "claims")}
+
+    def run(name: str) -> tuple[str, str, str | None]:
+        path = new_path(spark, f"alerts-{name}")
         try:
-            alerts = rule(tables, cfg)
+            _REGISTRY[name][0](tables, cfg).write.parquet(path)
         except Exception as e:  # shown in the status, and other rules go on
-            status.append((name, "failed", str(e)[:500]))
-            continue
-        status.append((name, "ok", ""))
-        out = alerts if out is None else out.unionByName(alerts)
-    if out is None:
-        out = spark.createDataFrame([], _ALERT_SCHEMA)
-    return out, spark.createDataFrame(status, "rule string, status string, detail string")
+            return "failed", str(e)[:500], None
+        return "ok", "", path
+
+    with ThreadPoolExecutor(RULES_AT_ONCE) as pool:
+        paths = []
+        for name, (state, detail, path) in zip(todo, pool.map(inheritable_thread_target(spark)(run), todo), strict=True):
+            status[name] = (state, detail)
+            paths += [path] if path else []
+    reader = spark.read.schema(_ALERT_SCHEMA)
+    out = reader.parquet(*paths) if paths else spark.createDataFrame([], _ALERT_SCHEMA)
+    return out, spark.createDataFrame([(n, *status[n]) for n in _REGISTRY if n in status], "rule string, status string, detail string")
 
 
+#: Rules that write their alerts at the same time.
+RULES_AT_ONCE = 4
 _ALERT_SCHEMA = (
     "alert_id string, rule_id string, rule_version string, entity_type string, entity_id string, claim_ids array<string>, severity string, est_dollars double, "
     "evidence array<struct<evidence_id:string,rule_id:string,rule_version:string,claim_ids:array<string>,fields_matched:array<string>,plain_text:string,est_overpay:double,severity:string,fp_notes:string>>, fp_notes string, metadata map<string,string>"

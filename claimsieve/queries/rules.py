@@ -283,8 +283,51 @@ R00 = f"""{WEEKLY.replace('WITH ', f"WITH members AS ({V.SQL['members']}), facil
  UNION ALL SELECT 'R10', CASE WHEN weekly_amount < 4.5 * trailing_median THEN 'LOW' ELSE 'MEDIUM' END, greatest(0, weekly_amount - trailing_median) FROM t WHERE weekly_amount > 5000 AND history_weeks >= 4 AND trailing_median > 0 AND weekly_amount > 3 * trailing_median)
  SELECT rule_id, severity, count(*) AS n, count(*) AS ids, round(sum(e)) AS est_dollars FROM a GROUP BY 1, 2"""
 
+
+def r00_claims(spark, d):
+    """Claims that alerts of groups list: their number and a digest of the ids in order."""
+    t = tables(spark, d)
+    t["claims"] = t["claims"].withColumn("em_level", F.least(F.lit(5), F.floor(F.col("service_minutes") / 10).cast("int") + 1))
+    t["referrals"] = t["referrals"].withColumn("claim_id", F.when(F.col("referring_provider_id") % 5 != 0, F.concat(F.lit("C"), "referral_id")))
+    cfg = RuleConfig(
+        mad_z=1.0, share_multiplier=1.02, min_em_claims=20, caps={"ones": (("Brand#1",), 2), "twos": (("Brand#2",), 1)}, peer_multiplier=1.01, day_minutes=100, concentration=0.02, reciprocal=8,
+        routine_specialties=("1", "2", "3"), routine_miles=1000, lab_specialties=("1", "2", "3"),
+    )
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.to_date("o_orderdate").alias("service_date"))
+    labs = {**t, "claims": t["claims"].drop("service_date").join(o, F.col("order_id") == F.col("o_orderkey"))}
+    a, _ = R.run_rules(spark, t, cfg, only=["R02", "R05", "R06a", "R07a", "R07b", "R08a", "R08b"])
+    b, _ = R.run_rules(spark, labs, cfg, only=["R07c"])
+    return a.unionByName(b).select("rule_id", "entity_type", "entity_id", "severity", F.size("claim_ids").alias("n_claims"), F.md5(F.array_join("claim_ids", ",")).alias("ids"))
+
+
+_LISTED = "coalesce(CAST(len({x}) AS INTEGER), 0) AS n_claims, md5(coalesce(array_to_string({x}, ','), '')) AS ids"
+
+
+def _alert(rule: str, kind: str, entity: str, severity: str, ids: str) -> str:
+    return f"SELECT '{rule}' AS rule_id, '{kind}' AS entity_type, CAST({entity} AS VARCHAR) AS entity_id, '{severity}' AS severity, {_LISTED.format(x=ids)}"
+
+
+R00_CLAIMS = f"""{V.with_views('claims', 'providers', 'members', 'referrals')}, own AS (SELECT provider_id, list(claim_id ORDER BY claim_id) AS ids FROM claims GROUP BY 1), day AS (SELECT provider_id, service_date, list(claim_id ORDER BY claim_id) AS ids FROM claims GROUP BY 1, 2),
+ g AS (SELECT *, CASE WHEN procedure_code LIKE 'Brand#1%' THEN 'ones' ELSE 'twos' END AS code_group, CASE WHEN procedure_code LIKE 'Brand#1%' THEN 2 ELSE 1 END AS cap FROM claims WHERE procedure_code LIKE 'Brand#1%' OR procedure_code LIKE 'Brand#2%'),
+ r AS (SELECT *, count(*) OVER (PARTITION BY member_id, code_group ORDER BY service_date RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW) AS n FROM g), over AS (SELECT member_id, code_group, list(claim_id ORDER BY claim_id) AS ids FROM r WHERE n > cap GROUP BY 1, 2),
+ ref AS (SELECT referring_provider_id AS a, target_provider_id AS b, 'C' || referral_id AS claim_id FROM referrals WHERE referring_provider_id % 5 <> 0), sent AS (SELECT a, b, list(claim_id ORDER BY claim_id)[1:50] AS ids FROM ref GROUP BY 1, 2),
+ loops AS (SELECT least(a, b) AS a, greatest(a, b) AS b, list(claim_id ORDER BY a > b, claim_id)[1:50] AS ids FROM ref GROUP BY 1, 2),
+ lab AS (SELECT referring_provider_id AS a, target_provider_id AS b, list(claim_id ORDER BY claim_id)[1:50] AS ids FROM referrals r JOIN providers p ON p.provider_id = target_provider_id AND specialty IN ('1', '2', '3')
+  JOIN (SELECT claim_id, provider_id, member_id, CAST(o_orderdate AS DATE) AS day FROM claims JOIN orders ON order_id = o_orderkey) c ON c.provider_id = target_provider_id AND c.member_id = r.member_id AND c.day = referral_date GROUP BY 1, 2),
+ m AS (SELECT claim_id, provider_id, specialty, {miles_sql('m.latitude', 'm.longitude', 'p.latitude', 'p.longitude')} AS miles FROM claims JOIN providers p USING (provider_id) JOIN members m USING (member_id)),
+ s AS (SELECT specialty, CASE WHEN specialty IN ('1', '2', '3') THEN 1000 WHEN count(*) >= 20 THEN greatest(quantile_cont(miles, 0.99), 150) ELSE 150 END AS cut FROM m GROUP BY 1), far AS (SELECT provider_id, list(claim_id ORDER BY claim_id)[1:50] AS ids FROM m JOIN s USING (specialty) WHERE miles > cut GROUP BY 1)
+ {_alert('R02', 'provider', 'f.provider_id', 'HIGH', 'ids')} FROM ({R02}) f LEFT JOIN own USING (provider_id)
+ UNION ALL {_alert('R05', 'member', 'member_id', 'MEDIUM', 'ids')} FROM over
+ UNION ALL {_alert('R05', 'provider', 'f.provider_id', 'HIGH', 'ids')} FROM ({R05B}) f LEFT JOIN own USING (provider_id)
+ UNION ALL {_alert('R06', 'provider', 'f.provider_id', 'HIGH', 'ids')} FROM ({R06A}) f LEFT JOIN day USING (provider_id, service_date)
+ UNION ALL {_alert('R07', 'provider', 'referring_provider_id', 'MEDIUM', 'ids')} FROM ({R07A}) f LEFT JOIN sent ON a = referring_provider_id AND b = top_target
+ UNION ALL {_alert('R07', 'provider', 'provider_a', 'MEDIUM', 'ids')} FROM ({R07B}) f LEFT JOIN loops ON a = provider_a AND b = provider_b
+ UNION ALL {_alert('R07', 'provider', 'a', 'MEDIUM', 'ids')} FROM lab
+ UNION ALL {_alert('R08', 'provider', 'provider_id', 'MEDIUM', 'ids')} FROM far
+ UNION ALL {_alert('R08', 'provider', 'f.provider_id', 'LOW', 'own.ids[1:50]')} FROM ({R08B}) f LEFT JOIN own USING (provider_id)"""
+
 ENTRIES = {
-    "r00_rule_runner": (r00, R00), "r01a_exact_duplicates": (r01a, R01A), "r01b_near_duplicates": (r01b, R01B), "r02_upcoding": (r02, R02), "r03_unbundling": (r03, R03), "r04a_after_death": (r04a, R04A),
+    "r00_rule_runner": (r00, R00), "r00_claim_ids": (r00_claims, R00_CLAIMS), "r01a_exact_duplicates": (r01a, R01A), "r01b_near_duplicates": (r01b, R01B), "r02_upcoding": (r02, R02), "r03_unbundling": (r03, R03), "r04a_after_death": (r04a, R04A),
     "r04b_after_enrollment": (r04b, R04B), "r04c_during_stay": (r04c, R04C), "r04d_closed_facility": (r04d, R04D), "r04e_non_operating_day": (r04e, R04E), "r04f_orphan_ambulance": (r04f, R04F), "r04g_ghost_members": (r04g, R04G),
     "r05a_over_caps": (r05a, R05A), "r05b_excessive_providers": (r05b, R05B), "r06a_overloaded_days": (r06a, R06A), "r06b_impossible_travel": (r06b, R06B), "r06c_member_overlaps": (r06c, R06C), "r07a_concentration": (r07a, R07A),
     "r07b_reciprocal_loops": (r07b, R07B), "r07c_same_day_labs": (r07c, R07C), "r07d_referral_spikes": (r07d, R07D), "r08a_distance": (r08a, R08A), "r08b_many_counties": (r08b, R08B), "r08c_facility_type": (r08c, R08C), "r10_weekly_burst": (r10, R10),

@@ -41,15 +41,26 @@ def f10(spark, d):
 F10 = "SELECT o_orderkey, CAST(date_trunc('week', o_orderdate) AS DATE) AS week_start, strftime(o_orderdate, '%G-W%V') AS iso_week, CAST(isodow(o_orderdate) - 1 AS INTEGER) AS weekday, CASE WHEN isodow(o_orderdate) >= 6 THEN 1 ELSE 0 END AS is_weekend FROM orders"
 
 
+#: Long forms of addresses and their short ones, and endings of company names, as the contract has them (fixed values).
+_LONG = "street st|avenue ave|boulevard blvd|drive dr|lane ln|road rd|court ct|circle cir|place pl|suite ste|apartment apt|building bldg|floor fl|unit unit|# unit|north n|south s|east e|west w|northeast ne|northwest nw|southeast se|southwest sw".split("|")
+_ENDINGS = "llc inc corp corporation co company ltd limited pc pa pllc group holdings associates md do np".split()
+
+
 def f15(spark, d):
-    """Addresses and names made from customers, in their normal forms."""
+    """Addresses and names made from customers with every long form and ending, in their normal forms."""
     c = spark.read.parquet(f"{d}/customer.parquet")
-    address = F.concat((F.col("c_custkey") % 90).cast("string"), F.lit(" North Main Street,  Suite "), (F.col("c_custkey") % 12).cast("string"))
+    k = F.col("c_custkey")
+    pick = lambda items: F.element_at(F.array(*map(F.lit, items)), (k % len(items) + 1).cast("int"))
+    stop = F.when(k % 2 == 0, ".").otherwise("")
+    address = F.concat((k % 90).cast("string"), F.lit(" "), F.initcap(pick([x.split()[0] for x in _LONG])), stop, F.lit(" North Main Street,  Suite "), (k % 12).cast("string"))
     base, suite = C.split_suite(address)
-    return c.select("c_custkey", C.normal_address(address).alias("address"), C.normal_address(base).alias("base"), suite.alias("suite"), C.normal_name(F.concat(F.col("c_mktsegment"), F.lit(", Inc.")), True).alias("name"))
+    name = F.concat(F.col("c_mktsegment"), F.lit(" & Sons, "), F.upper(pick(_ENDINGS)), stop)
+    return c.select("c_custkey", C.normal_address(address).alias("address"), C.normal_address(base).alias("base"), suite.alias("suite"), C.normal_name(name, True).alias("name"), C.normal_name(name).alias("plain"))
 
 
-F15 = """SELECT c_custkey, (c_custkey % 90) || ' n main st ste ' || (c_custkey % 12) AS address, (c_custkey % 90) || ' n main st' AS base, CAST(c_custkey % 12 AS VARCHAR) AS suite, lower(c_mktsegment) AS name FROM customer"""
+_SHORT = "[" + ", ".join(f"'{x.split()[1]}'" for x in _LONG) + "]"
+F15 = f"""WITH c AS (SELECT c_custkey, (c_custkey % 90) || ' ' || {_SHORT}[c_custkey % {len(_LONG)} + 1] || ' n main st' AS base, lower(c_mktsegment) || ' sons' AS name, {_ENDINGS}[c_custkey % {len(_ENDINGS)} + 1] AS ending FROM customer)
+ SELECT c_custkey, base || ' ste ' || (c_custkey % 12) AS address, base, CAST(c_custkey % 12 AS VARCHAR) AS suite, name, name || ' ' || ending AS plain FROM c"""
 
 
 def f19(spark, d):

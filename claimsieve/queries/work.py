@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from claimsieve.functions.columns import PROHIBITED
 from claimsieve.operators import cases as K
 from claimsieve.operators import investigate as Q
 from claimsieve.plans.storage import materialize
@@ -142,7 +143,8 @@ def q14(spark, d):
     cs = _cases(spark, d)
     packets = Q.evidence_packets(cs, K.case_evidence(cs, alerts(spark, d)))
     wrong = F.col("case_id").rlike("7$")
-    briefs = cs.select("case_id", F.when(wrong, F.lit("Pattern of CLM999; $99,999,999.00 at risk, proven fraud.")).otherwise(F.lit("Rule R01 found claims worth $10.00.")).alias("text"))
+    said = F.element_at(F.array(*map(F.lit, PROHIBITED)), (F.substring("case_id", -2, 1).cast("int") % len(PROHIBITED) + 1))
+    briefs = cs.select("case_id", F.when(wrong, F.concat(F.lit("Pattern of CLM999; $99,999,999.00 at risk: "), F.initcap(said), F.lit("."))).otherwise(F.lit("Rule R01 found claims worth $10.00.")).alias("text"))
     return Q.audit_narratives(briefs, packets).groupBy("passes", "prohibited").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("unknown_claims")).alias("unknown"), F.sum(F.size("excess_dollars")).alias("excess"))
 
 

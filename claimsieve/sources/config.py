@@ -11,6 +11,9 @@ class RuleConfig:
     """Defaults of all rule families (fixed values: detection thresholds)."""
 
     version: str = "1.0.0"
+    # claims that an alert lists; operators.rules has functions that give all of them as rows
+    listed_claims: int = 100_000
+    listed_samples: int = 50
     # duplicates
     void_statuses: tuple[str, ...] = ("voided", "void", "reversed")
     corrected_statuses: tuple[str, ...] = ("corrected", "adjusted", "replacement")
