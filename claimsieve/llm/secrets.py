@@ -18,11 +18,12 @@ import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimsieve.llm.common import portions
+from claimsieve.llm.common import bounded, portions
 
 BASE_KINDS = ("assign", "access", "hex")
 _BASE62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -43,7 +44,7 @@ def _jwt(token: bytes) -> bool:
     head = token.split(b".")[0]
     try:
         got = json.loads(base64.urlsafe_b64decode(head + b"=" * (-len(head) % 4)))
-    except (binascii.Error, ValueError):
+    except (binascii.Error, ValueError, RecursionError):  # a header nested that deeply is none
         return False
     return isinstance(got, dict) and "alg" in got
 
@@ -56,6 +57,8 @@ class Kind:
     keywords: tuple[bytes, ...]
     pattern: re.Pattern[bytes]
     valid: Callable[[re.Match[bytes]], bool]
+    #: Where the pattern fails, it fails for every keyword inside what this matches from there.
+    fails: re.Pattern[bytes] | None = None
 
 
 #: Order is that of equal starts in ``spans``: the base kinds first.
@@ -65,7 +68,7 @@ KINDS = (
     Kind("hex", (), re.compile(rb"[0-9a-f]+"), lambda m: len(m[0]) >= 16),
     Kind("host_token", (b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_"), re.compile(rb"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), lambda m: _crc_tail(m[0])),
     Kind("package_token", (b"npm_",), re.compile(rb"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), lambda m: _crc_tail(m[0])),
-    Kind("jwt", (b"eyj",), re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), lambda m: _jwt(m[0])),
+    Kind("jwt", (b"eyj",), re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), lambda m: _jwt(m[0]), re.compile(rb"[A-Za-z0-9_-]+")),
     Kind("private_key", (b"-----begin ",), re.compile(rb"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )?PRIVATE KEY-----"), lambda m: True),
 )
 _HEX_CLASS = bytes(ord("h") if c in b"0123456789abcdef" else ord(" ") for c in range(256))
@@ -99,13 +102,19 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     for k, starts in hits.items():
         done = 0
         for start in sorted(starts):
-            if start >= done and (match := KINDS[k].pattern.match(raw, start)):
+            if start < done:
+                continue
+            match = KINDS[k].pattern.match(raw, start)
+            if match is None:
+                done = KINDS[k].fails.match(raw, start).end() if KINDS[k].fails else done
+            else:
                 done = match.end()  # a match that fails below has still been consumed
                 if KINDS[k].valid(match):
                     spans.append((start, k, done))
     spans.sort()
     if spans and len(raw) != len(text):
-        spans = [(len(raw[:a].decode()), k, len(raw[:b].decode())) for a, k, b in spans]
+        before = np.cumsum((np.frombuffer(raw + b" ", np.uint8) & 0xC0) != 0x80) - 1  # characters before each that starts
+        spans = [(int(before[a]), k, int(before[b])) for a, k, b in spans]
     return spans
 
 
@@ -130,7 +139,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             a, b, c, digest, spans = zip(*rows, strict=True)
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_assign": pa.array(a, pa.int64()), "n_access": pa.array(b, pa.int64()), "n_hex": pa.array(c, pa.int64()), "base_sha256": pa.array(digest), "spans": pa.array(spans)})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(find, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
@@ -154,7 +163,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET
             new = pa.array([None if z else redact(t, mask) for z, t in zip(null, texts, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    return docs.mapInArrow(replace, schema)
+    return bounded(docs).mapInArrow(replace, schema)
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
