@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimsieve.llm.common import PieceCache, portions
+from claimsieve.llm.common import PieceCache, bounded, portions
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -150,7 +150,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).view("<i4")))})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, "doc_id long, ids array<int>")
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, "doc_id long, ids array<int>")
 
 
 def bpe_decode(tokens: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -163,7 +163,7 @@ def bpe_decode(tokens: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             data = [c.decode(x or []) for x in batch.column("ids").to_pylist()]
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "data": pa.array(data, pa.binary())})
 
-    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(decode, "doc_id long, data binary")
+    return bounded(tokens).select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(decode, "doc_id long, data binary")
 
 
 def bpe_digest(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,7 +181,7 @@ def bpe_digest(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                 text_hash.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_hash), "decoded_sha256": pa.array(text_hash)})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from string import ascii_letters, digits, punctuation
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 _SPACE, _SURE, _STARTS, _ALNUM, _PUNCTUATION, _LEAD = (1 << i for i in range(6))
 
@@ -106,9 +110,30 @@ class PieceCache:
         self.size += 170 + len(piece) + len(value)  # two objects and an entry of the dictionary
 
 
+#: Bytes of a batch of rows between Spark and a Python worker, whatever the length of texts.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, after batches for Python workers have been bounded in bytes: many long texts make a batch of any size else."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(key, None) != str(BATCH_BYTES):
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
+def give_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; at the end, memory that Python and Arrow hold for later goes back to the machine, since workers live on."""
+    yield from batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def portions(batches: Iterator[pa.RecordBatch], column: str, chars: int = 3_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of batches with their texts (NULL: empty), of about ``chars`` characters each, so that memory stays bounded."""
-    for batch in batches:
+    for batch in give_back(batches):
         if batch.num_rows == 0:
             continue
         texts = [t or "" for t in batch.column(column).to_pylist()]
