@@ -1,7 +1,7 @@
 """Best-fit packing of documents into sequences of bounded length.
 
 Only how many pieces there are of each length matters for the plan, so the plan is made from a histogram of at most
-``max_len`` entries, whatever the size of the corpus. Exact-complement hashing comes first: for each length, indexes of
+``max_len`` entries, whatever the size of the corpus. Exact-complement hashing comes first: for each length, hash indexes of
 single, pair and triple sums give combinations that fill the gap exactly, and each is used as often as availability
 counts allow. Best fit in falling order packs the rest. Pieces then look up their place by (length, rank).
 """
@@ -19,13 +19,95 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimsieve.llm.common import portions
+from claimsieve.llm.common import bounded, portions
 from claimsieve.llm.token_ids import text_encoder
 from claimsieve.plans.storage import materialize
 
 
+class ExactSums:
+    """Indexes of the sums of one, two and three available lengths, of which ``reserve`` pieces each are held back.
+
+    Availability only falls, so an entry that no longer stands is dropped when it is met and never comes back.
+    """
+
+    def __init__(self, left: np.ndarray, max_len: int, reserve: int = 0):
+        self.left, self.max_len, self.reserve = left, max_len, reserve
+        self.lengths = np.flatnonzero(left > reserve).tolist()
+        self.pairs: dict[int, list[tuple[int, int]]] = {}
+        for a in reversed(self.lengths):  # so that the most even pair of a sum comes last
+            for b in self.lengths:
+                if b > a or a + b >= max_len:
+                    break
+                self.pairs.setdefault(a + b, []).append((a, b))
+        self.triples: dict[int, list[int]] = {}
+
+    def _times(self, pattern: tuple[int, ...]) -> int:
+        """How often a pattern can be used."""
+        return min((int(self.left[x]) - self.reserve) // pattern.count(x) for x in pattern)
+
+    def _pair(self, total: int, before: tuple[int, ...]) -> tuple[int, ...] | None:
+        """A pair of this sum, neither over the last length of ``before``, that can be used along with it."""
+        entries = self.pairs.get(total, [])
+        while entries and self._times(entries[-1]) < 1:
+            entries.pop()
+        for a, b in reversed(entries):
+            if a > before[-1]:
+                return None
+            if self._times((*before, a, b)) > 0:
+                return (*before, a, b)
+        return None
+
+    def fill(self, length: int, most: int) -> tuple[int, ...] | None:
+        """The length with one to ``most`` others, none longer, that fill a sequence exactly."""
+        gap = self.max_len - length
+        if gap <= length and self._times((length, gap)) > 0:
+            return length, gap
+        if most >= 2 and (found := self._pair(gap, (length,))):
+            return found
+        if most >= 3:
+            if gap not in self.triples:  # the longest of three, the shortest such last
+                self.triples[gap] = [c for c in reversed(self.lengths) if 3 * c >= gap and gap - c in self.pairs]
+            entries = self.triples[gap]
+            while entries and (self.left[entries[-1]] <= self.reserve or not self.pairs[gap - entries[-1]]):
+                entries.pop()
+            for c in reversed(entries):
+                if c > length:
+                    return None
+                if self._times((length, c)) > 0 and (found := self._pair(gap - c, (length, c))):
+                    return found
+        return None
+
+    def use(self, pattern: tuple[int, ...]) -> int:
+        n = self._times(pattern)
+        for x in pattern:
+            self.left[x] -= n
+        return n
+
+
+#: Tried in turn: how many pieces may fill a gap exactly, and how many pieces of each length are held back for best fit. Where
+#: there are few pieces, using the short ones up early leaves long ones with nothing to fill their gaps.
+_TRIES = tuple((most, reserve) for reserve in (0, 1, 3) for most in (3, 2, 1))
+
+
 def plan_packing(counts: dict[int, int], max_len: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns ``(lengths, how many sequences)`` that use exactly ``counts`` pieces of each length."""
+    """Patterns ``(lengths, how many sequences)`` that use exactly ``counts`` pieces of each length.
+
+    The shortest of a few plans is taken; the search ends at one that has no more sequences than the tokens need.
+    """
+    least = -(-sum(k * n for k, n in counts.items()) // max_len)
+    best: list[tuple[tuple[int, ...], int]] = []
+    fewest = None
+    for most, reserve in _TRIES:
+        plan = _plan(counts, max_len, most, reserve)
+        n = sum(k for _, k in plan)
+        if fewest is None or n < fewest:
+            best, fewest = plan, n
+        if n <= least:
+            break
+    return best
+
+
+def _plan(counts: dict[int, int], max_len: int, most: int, reserve: int) -> list[tuple[tuple[int, ...], int]]:
     left = np.zeros(max_len + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
@@ -33,50 +115,13 @@ def plan_packing(counts: dict[int, int], max_len: int) -> list[tuple[tuple[int,
     if left[max_len]:
         done.append(((max_len,), int(left[max_len])))
         left[max_len] = 0
-    for length in range(max_len - 1, 0, -1):
-        while left[length]:
-            left[length] -= 1
-            combination = _exact(left, max_len - length, length)
-            left[length] += 1
-            if combination is None:
-                break
-            pattern = (length, *combination)
-            n = min(int(left[x]) // k for x, k in Counter(pattern).items())
-            for x in pattern:
-                left[x] -= n
-            done.append((pattern, n))
+    sums = ExactSums(left, max_len, reserve)
+    for length in reversed(sums.lengths):
+        while left[length] > reserve and (pattern := sums.fill(length, most)):
+            done.append((pattern, sums.use(pattern)))
     return done + _best_fit(left, max_len)
 
 
-def _exact(left: np.ndarray, gap: int, most: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths, none over ``most``, that sum to ``gap``; larger ones first."""
-    if gap <= most and left[gap]:
-        return (gap,)
-    have = left > 0
-    pair = _pair(left, have, gap, most)
-    if pair:
-        return pair
-    for first in range(min(most, gap - 2), (gap + 2) // 3 - 1, -1):
-        if have[first]:
-            left[first] -= 1
-            pair = _pair(left, left > 0, gap - first, min(first, most))
-            left[first] += 1
-            if pair:
-                return (first, *pair)
-    return None
-
-
-def _pair(left: np.ndarray, have: np.ndarray, gap: int, most: int) -> tuple[int, int] | None:
-    if gap < 2:
-        return None
-    low = np.arange(max(1, gap - most), gap // 2 + 1)
-    ok = have[low] & have[gap - low]
-    if gap % 2 == 0 and len(low) and low[-1] * 2 == gap:
-        ok[-1] &= left[gap // 2] >= 2
-    at = np.flatnonzero(ok)
-    return (int(gap - low[at[0]]), int(low[at[0]])) if len(at) else None
-
-
 def _best_fit(left: np.ndarray, max_len: int) -> list[tuple[tuple[int, ...], int]]:
     """Best fit in falling order; equal bins are handled together."""
     bins: dict[int, list[tuple[tuple[int, ...], int]]] = {}
@@ -119,7 +164,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_len: int = 1024, end_
     ``doc_id, piece, start, length, ids_crc32, part, rank`` and, if ``with_ids``, ``ids``. ``rank`` counts pieces of
     the same length in the same task.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
     return rows.mapInArrow(_cutter(tokenizer_path, max_len, end_id, with_ids), schema + ", ids array<int>" * with_ids)
 
