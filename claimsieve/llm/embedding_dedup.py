@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimsieve.llm.vectors import matrix, valid_vectors
+from claimsieve.llm.vectors import matrix, scaled, valid_vectors
 from claimsieve.plans.components import connected_components
 from claimsieve.plans.storage import materialize
 
@@ -88,7 +88,7 @@ def _pack(**arrays: np.ndarray) -> bytes:
 def _block(blob: bytes) -> dict[str, np.ndarray]:
     with np.load(io.BytesIO(blob), allow_pickle=False) as z:
         got = {k: z[k] for k in z.files}
-    got["v"] = got["v"].astype(np.float64)
+    got["v"] = scaled(got["v"].astype(np.float64))
     got["norm"] = np.sqrt((got["v"] ** 2).sum(axis=1))
     got["x"] = got["v"] / got["norm"][:, None]
     return got
@@ -102,7 +102,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block: int = BLOCK
     """Rows ``vec_id, n_links, component_id, kept``: one for every row of ``vectors`` (columns vec_id, embedding).
 
     Vectors that take no part (``valid_vectors``) link with nothing and are kept. Repeated rows each count as a vector;
-    rows with a NULL id take part, but a component has the smallest id that is not NULL.
+    rows with a NULL id take part, but a component has the smallest id that is not NULL. Components of any finite size
+    count: vectors are brought to one size before norms are taken, so that squares neither vanish nor overflow.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -116,14 +117,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block: int = BLOCK
     by_hash = F.pmod(F.xxhash64("embedding"), F.lit(max(1, n // wanted))) == 0
     sample = groups.where(by_hash).limit(2 * wanted).select("embedding").collect()  # at most twice MAX_PIVOTS
     sample = sample or groups.limit(1).select("embedding").collect()
-    pivots = np.array([r["embedding"] for r in sample])
+    pivots = scaled(np.array([r["embedding"] for r in sample]))
     pivots /= np.sqrt((pivots**2).sum(axis=1))[:, None]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             if t.num_rows == 0:
                 continue
-            v = matrix(t.column("embedding"))
+            v = scaled(matrix(t.column("embedding")))
             angle = _angles(v / np.sqrt((v**2).sum(axis=1))[:, None], pivots)
             cell = angle.argmin(axis=1)
             yield pa.RecordBatch.from_arrays([*t.columns, pa.array(cell.astype(np.int32)), pa.array(angle[np.arange(len(v)), cell])], names=[*t.schema.names, "cell", "angle"])
@@ -134,12 +135,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block: int = BLOCK
     apart = _angles(pivots, pivots)
     room = np.arccos(threshold) + 1e-6
     # Tiles of each block: its own cell and those it may link with. Cells are at most MAX_PIVOTS; blocks are counted per cell.
-    near = {c: [d for d in cells if c == d or apart[c, d] - cells[c][1] - cells[d][1] <= room] for c in cells}
+    near = {c: [d for d in cells if c == d or not apart[c, d] - cells[c][1] - cells[d][1] > room] for c in cells}
     near_rows = spark.createDataFrame([(c, parts[c], [(d, parts[d]) for d in ds]) for c, ds in near.items()], "cell int, n int, others array<struct<cell:int,n:int>>")
 
     def pack(t: pa.Table) -> pa.Table:
         t = t.sort_by("gid")
-        blob = _pack(gid=t["gid"].to_numpy(), times=t["times"].to_numpy(), v=matrix(t["embedding"].combine_chunks()))
+        v = matrix(t["embedding"].combine_chunks())
+        with np.errstate(over="ignore"):
+            half = v.astype(np.float32)  # half the bytes to exchange, where that loses nothing
+        blob = _pack(gid=t["gid"].to_numpy(), times=t["times"].to_numpy(), v=half if np.array_equal(half, v) else v)
         return pa.table({"cell": t["cell"][:1], "part": t["part"][:1], "blob": pa.array([blob], pa.binary())})
 
     part_of = F.pmod(F.xxhash64("gid"), F.col("n")).cast("int").alias("part")

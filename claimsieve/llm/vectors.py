@@ -26,3 +26,11 @@ def matrix(column) -> np.ndarray:
     n = len(column)
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return np.ascontiguousarray(flat, np.float64).reshape(n, -1)
+
+
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Each row times a power of two, so that its largest component is about one: norms neither underflow nor overflow.
+
+    Only exponents change, so directions stay exactly what they are (components 2**-1000 times the largest may become 0).
+    """
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])

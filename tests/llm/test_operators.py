@@ -60,6 +60,35 @@ def test_encoder_is_the_library(library):
     assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [library(t) for t in texts]
 
 
+ODD = [" ", " ", " ", "\n", "\t", "\r", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u3000", "\u2028", "\u1680", "a", "Zz", "é", "×", "÷", "ж", "я", "¡", "¿", "½", "²", "…", "“", "'", "'s", "'ll", ".", ",", "!?", "_", "9", "日本", "かな", "e\u0301", "ß", "\x00", "\x7f", "🙂"]
+
+
+def test_odd_characters_encode_as_the_libraries_do(library):
+    import tiktoken
+
+    draw = random.Random(11)
+    texts = ["".join(draw.choice(ODD) for _ in range(draw.randrange(1, 14))) for _ in range(6000)]
+    e = TextEncoder(BPE)
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [library(t) for t in texts]
+    ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    want = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe.BytePairCodec(ranks, P.PATTERN, bpe.PerfectHash(sorted(ranks)))
+    assert [x.tolist() for x in codec.encode(texts)] == [want.encode_ordinary(t) for t in texts]
+
+
+def test_remembered_pieces_are_bounded():
+    """Texts without spaces, as in Chinese or base64, leave nothing behind; short pieces leave two generations at most."""
+    from claimsieve.llm.common import PieceCache
+
+    c = PieceCache(lambda pieces: [b"abcd"] * len(pieces), limit=20_000)
+    draw = random.Random(3)
+    c.joined(["".join(chr(draw.randrange(0x4E00, 0x9FFF)) for _ in range(5000)) for _ in range(20)])
+    assert not any(len(k) > 48 for k in c.young)
+    for _ in range(30):
+        c.joined([" ".join(str(draw.random()) for _ in range(100))])
+    assert c.size < 60_000 and sum(map(len, c.young)) + sum(map(len, c.old)) < 40_000
+
+
 def test_token_files(spark, docs, empty, library):
     path = new_path(spark, "test-tokens")
     token_output.write_token_dataset(docs, path, BPE)
@@ -103,6 +132,47 @@ def test_packing(spark, docs, empty, library):
     assert packing.pack_documents(empty, BPE, 64).count() == 0
 
 
+def test_plans_of_few_pieces_are_the_shortest():
+    """Against the least number of sequences that any packing has, by trying all."""
+    r = random.Random(9)
+
+    def least(pieces, size):
+        best = [len(pieces)]
+
+        def place(i, bins):
+            if len(bins) >= best[0]:
+                return
+            if i == len(pieces):
+                best[0] = len(bins)
+                return
+            for k in sorted(set(bins)):
+                if k >= pieces[i]:
+                    rest = list(bins)
+                    rest[rest.index(k)] = k - pieces[i]
+                    place(i + 1, rest)
+            place(i + 1, [*bins, size - pieces[i]])
+
+        place(0, [])
+        return best[0]
+
+    more = 0
+    for _ in range(150):
+        size = r.randrange(5, 24)
+        pieces = sorted((r.randrange(1, size + 1) for _ in range(r.randrange(1, 10))), reverse=True)
+        n = sum(k for _, k in packing.plan_packing({x: pieces.count(x) for x in pieces}, size))
+        assert least(pieces, size) <= n <= least(pieces, size) + 1
+        more += n - least(pieces, size)
+    assert more <= 3
+
+
+def test_exact_sums():
+    left = np.array([0, 0, 0, 2, 1, 0, 0, 1])
+    sums = packing.ExactSums(left, 10)
+    assert sums.fill(7, 1) == (7, 3) and sums.fill(4, 2) == (4, 3, 3) and sums.fill(4, 1) is None
+    assert sums.use((4, 3, 3)) == 1 and left.tolist() == [0, 0, 0, 0, 0, 0, 0, 1] and sums.fill(7, 3) is None
+    assert packing.ExactSums(np.array([0, 3, 2, 0, 1]), 8).fill(4, 3) in ((4, 2, 2), (4, 2, 1, 1))
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_uses_every_piece(seed):
     r = random.Random(seed)
@@ -220,6 +290,29 @@ def test_suffix_dedup(spark, docs, empty, monkeypatch, hot):
     assert suffix_dedup.dedup_digest(empty).count() == 0
 
 
+@pytest.mark.parametrize("batch", [1, 7, 20_000])
+def test_runs_of_any_number_find_all_repeats(batch):
+    """Suffixes dealt at random to many small runs, merged a few at a time, cover what brute force covers."""
+    r = random.Random(batch)
+    shared = ["".join(r.choice("abcdefgh ") for _ in range(260)) for _ in range(6)]
+    texts = ["".join(x for _ in range(4) for x in ("".join(r.choice("abcdefgh ") for _ in range(150)), r.choice(shared)[r.randrange(30) :])) for _ in range(25)]
+    texts += ["ab" * 400, "ab" * 300, texts[0]]
+    runs = [suffix_dedup.Run() for _ in range(9)]
+    for rid, t in enumerate(texts):
+        raw = t.encode()
+        for _, a, p, q in zip(*(x.tolist() for x in suffix_dedup.anchors(raw)), strict=True):
+            r.choice(runs).add(raw[a : q + 200], raw[p:a], a - q, rid, a)
+    blobs = [x.blobs() for x in runs if x.items]
+    gone = [np.zeros(len(t), bool) for t in texts]
+    readers = [suffix_dedup.RunReader(i, b) for i, (b, _) in enumerate(blobs)]
+    for run, hits in suffix_dedup.repeated_windows(readers, batch):
+        for i in np.unique(run).tolist():
+            for rid, start, stop in zip(*(x.tolist() for x in suffix_dedup.found_places(blobs[i][1], hits[run == i].astype("<i4"))), strict=True):
+                gone[rid][start:stop] = True
+    want = brute_repeats(texts)
+    assert [int(g.sum()) for g in gone] == [w[1] for w in want] and sum(w[1] for w in want) > 5000
+
+
 def test_removal_keeps_rows_and_columns(docs):
     out = suffix_dedup.remove_repeats(docs)
     assert out.columns == docs.columns and out.count() == len(ROWS)
@@ -271,6 +364,27 @@ def test_secrets(spark, empty):
     assert secrets.redact_secrets(docs).where("text is null").count() == 1
 
 
+def test_secrets_of_bad_and_long_texts(spark):
+    """A token header nested beyond any limit is no header; long texts take time in proportion; repeats and clashes stay."""
+    import base64
+    import time
+
+    nested = "eyJ" + base64.urlsafe_b64encode(b'"a":' * 20_000).decode().rstrip("=") + ".abc.def"
+    real = base64.urlsafe_b64encode(b'{"alg":"none"}').decode().rstrip("=") + ".abc.def"
+    assert secrets.scan(nested) == [] and [s[1] for s in secrets.scan("x " + real)] == [5]
+    deep = base64.urlsafe_b64encode(b'{"a":' * 20_000 + b"1" + b"}" * 20_000).decode().rstrip("=") + ".abc.def"
+    assert secrets.scan(deep) == []
+    one = "é password=hunter2hunter2 "
+    before = time.process_time()
+    spans = secrets.scan(one * 40_000)
+    assert [s for s in spans[:2]] == [(2, 0, 25), (2 + len(one), 0, 25 + len(one))] and len(spans) == 40_000
+    assert secrets.scan("eyJ" * 300_000) == [] and secrets.scan("-----BEGIN PRIVATE KEY-----" * 40_000) == []
+    assert time.process_time() - before < 20
+    rows = spark.createDataFrame([(1, one, "x", 7), (1, one, "x", 7), (2, deep, "y", 8)], "doc_id long, text string, spans string, n_hex int")
+    assert sorted((r.doc_id, r.n_assign, r.spans) for r in secrets.find_secrets(rows).collect()) == [(1, 1, "assign:2:25"), (1, 1, "assign:2:25"), (2, 0, "")]
+    assert secrets.redact_secrets(rows).columns == rows.columns and secrets.redact_secrets(rows).where("spans = 'x' and n_hex = 7").count() == 2
+
+
 VECTORS = [(i, [float(np.float32(x)) for x in np.random.default_rng(i % 60).normal(size=8)]) for i in range(150)] + [(200, None), (201, [0.0] * 8), (202, [float("nan")] * 8), (203, [None] * 8), (204, [1.0, 2.0]), (None, [1.0] * 8), (7, [0.5] * 8)]
 
 
@@ -337,6 +451,51 @@ def test_html(spark):
     assert html_text.extract_text(none, html_text.fit_weights(none)).count() == 0
 
 
+def test_best_run_is_the_best_of_all():
+    r = random.Random(4)
+    for _ in range(300):
+        x = [r.randrange(-5, 6) for _ in range(r.randrange(0, 12))]
+        first, last = html_text.best_run(x)
+        sums = [sum(x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1)]
+        assert sum(x[first:last]) == max([0, *sums]) and (first, last) == (0, 0) or sum(x[first:last]) == max(sums) > 0
+
+
+def test_html_without_marks(spark, sf_dir):
+    """The text of all test pages is found as well when no tag tells where the article, the menu and the footer are."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    weights = html_text.fit_weights(pages)
+    for r in pages.collect():
+        body = re.search("<article>(.*)</article>", r.html, re.S)[1]
+        want = [" ".join(html_text.unescape(re.sub("<[^>]*>", "", re.sub("<br>", " ", x))).split()) for x in re.split("</?(?:p|h1)>", body)]
+        want = "\n\n".join(x for x in want if x)
+        assert html_text.main_text(r.html, weights) == want
+        for tags in ("article", "article|nav|footer|ul"):
+            assert html_text.main_text(re.sub(f"<(/?)(?:{tags})>", r"<\1div>", r.html), weights) == want
+    frame = '<div><a href="/in">Sign in</a> | <a>Register</a></div><ul><li><a>Home</a></li><li><a>News</a></li></ul>{}<div>Copyright 2020 All rights reserved</div>'
+    story = "<p>The first of two paragraphs with a good number of words in it.</p><p>And the second one, which has as many words as that.</p>"
+    text = "The first of two paragraphs with a good number of words in it.\n\nAnd the second one, which has as many words as that."
+    for w in (weights, html_text.Weights({})):
+        for held in (story, f'<div class="social-science">{story}</div>', f"<h1>About it</h1>{story}"):
+            assert html_text.main_text(frame.format(held), w).endswith(text)
+        assert html_text.main_text(frame.format(story), w) == text and html_text.main_text(frame.format(""), w) == ""
+
+
+def test_html_of_any_shape_takes_linear_time(spark):
+    import time
+
+    w = html_text.Weights({})
+    before = time.process_time()
+    nested = "".join(f"<div class=c{i}>" for i in range(20_000))
+    for html in ("</b>" * 60_000, "<a " * 30_000, nested + "a few words at the very bottom of it all", "<!--" * 50_000, '<a href="x>' * 20_000, "<p>" * 50_000, "<script>" * 30_000, "<" * 60_000, "&amp" * 40_000, "<p>word word</p>" * 30_000):
+        html_text.main_text(html, w)
+    assert time.process_time() - before < 15
+    assert html_text.main_text("<p>a &lt; b &amp;&nbsp;c</p><!-- <p>no</p> --><p>one<br>two</p><script>x = '<p>'</script><p>three four", w) == "a < b & c\n\none two\n\nthree four"
+    rows = spark.createDataFrame([(1, "u", PAGE, "x", 3), (1, "u", PAGE, "x", 3), (None, None, PAGE, None, None)], "page_id long, url string, html string, text string, n_chars int")
+    got = html_text.extract_text(rows, w)
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and sorted(str(r.page_id) for r in got.collect()) == ["1", "1", "None"]
+    assert all(r.n_chars == len(r.text) > 0 for r in got.collect())
+
+
 def test_toxicity(spark, empty):
     r = random.Random(2)
     docs, labels = [], []
@@ -356,3 +515,22 @@ def test_toxicity(spark, empty):
     none = toxicity.fit(empty, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score_documents(empty, none).count() == 0
     assert toxicity.by_language(toxicity.score_documents(d, none), none).count() == len(docs)
+
+
+def test_embedding_dedup_of_tiny_and_huge_components(spark):
+    """Squares of these vanish or overflow; over several cells they change no other vector's links and have their own."""
+    draw = np.random.default_rng(8)
+    base = draw.normal(size=(40, 8))
+    rows = [(i, (base[i % 40] + 0.15 * draw.normal(size=8)).tolist()) for i in range(300)]
+    rows += [(1000 + i, (base[i] * s).tolist()) for i, s in enumerate((1e-200, 1e200, 1e-300, 1e300, 1e-200, 5e-320))]
+    rows += [(2000, [1e-200] * 7 + [-1e-200]), (2001, [1e300] + [0.0] * 7)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.8, 32).collect()}
+    x = np.array([v for _, v in rows])
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+    x /= np.sqrt((x**2).sum(axis=1))[:, None]
+    links = x @ x.T >= 0.8
+    np.fill_diagonal(links, False)
+    least = np.array([i for i, _ in rows])
+    for _ in range(len(rows)):
+        least = np.minimum(least, np.where(links, least[None], 1 << 60).min(axis=1))
+    assert got == {i: (int(links[k].sum()), int(least[k])) for k, (i, _) in enumerate(rows)}
