@@ -5,7 +5,8 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ MULTIPLIERS = {
     "shared_address_no_suite": 1.5, "works_at": 0.3, "refers_to": 1.0, "shared_members": 0.5,
 }
 HARD = ("has_bank", "shared_bank_hash", "shared_tin_hash", "shared_owner_exact", "shared_registered_agent")
+#: Links of which the providers of one value are all linked with each other.
+VALUED = ("bank_hash", "tin_hash", "owner_exact", "registered_agent", "address_suite")
 EDGE = "src string, dst string, edge_type string, weight double"
 
 
@@ -46,7 +49,13 @@ def build_graph(claims: DataFrame, providers: DataFrame, referrals: DataFrame |
         parts.append(sent.groupBy(name("provider", "referring_provider_id").alias("src"), name("provider", "target_provider_id").alias("dst")).agg(F.lit("refers_to").alias("edge_type"), F.count(F.lit(1)).cast("double").alias("weight")))
     parts.append(shared_member_edges(claims, min_shared))
     if links is not None:
-        parts.append(links.groupBy(name("provider", "provider_a").alias("src"), name("provider", "provider_b").alias("dst"), F.concat(F.lit("shared_"), F.col("basis")).alias("edge_type")).agg(F.max("weight").alias("weight")))
+        # Links of one value meet in a node for it: the projection gives the pairs of it their weight, however many they are.
+        edge = F.concat(F.lit("shared_"), F.col("basis"))
+        valued = F.col("basis").isin(*VALUED)
+        node = F.concat(edge, F.lit(":"), F.col("detail"))
+        ends = links.where(valued).select(F.explode(F.array("provider_a", "provider_b")).alias("p"), node.alias("dst"), edge.alias("edge_type"), "weight")
+        parts.append(ends.groupBy(name("provider", "p").alias("src"), "dst", "edge_type").agg(F.max("weight").alias("weight")))
+        parts.append(links.where(~valued).groupBy(name("provider", "provider_a").alias("src"), name("provider", "provider_b").alias("dst"), edge.alias("edge_type")).agg(F.max("weight").alias("weight")))
     edges = parts[0]
     for e in parts[1:]:
         edges = edges.unionByName(e)
@@ -65,17 +74,32 @@ def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.groupBy(F.lit("node").alias("kind"), F.col("node_type").alias("type")).count().unionByName(edges.groupBy(F.lit("edge").alias("kind"), F.col("edge_type").alias("type")).count())
 
 
+#: Providers of a shared node that one task pairs with as many others.
+TILE = 2000
+
+
 def project_providers(edges: DataFrame, overrides: dict[str, float] | None = None) -> DataFrame:
-    """Undirected provider edges ``(u, v, weight, edge_types)``: direct ones and those over one shared node."""
+    """Undirected provider edges ``(u, v, weight, edge_types)``: direct ones and those over one shared node.
+
+    Pairs are made of numbers, not names, and a node that very many providers share is dealt to tiles of them.
+    """
     factors = MULTIPLIERS | (overrides or {})
     factor = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in factors.items() for x in kv)), F.col("edge_type")), F.lit(1.0))
     is_provider = lambda c: F.col(c).startswith("provider:")
-    direct = edges.where(is_provider("src") & is_provider("dst")).select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"), "edge_type", "weight")
-    half = edges.where(is_provider("src") & ~is_provider("dst")).select("src", "dst", "edge_type", "weight")
-    back = half.select(F.col("src").alias("other"), "dst", "edge_type", F.col("weight").alias("w2"))
-    over = half.join(back, ["dst", "edge_type"]).where("src < other").select(F.col("src").alias("u"), F.col("other").alias("v"), "edge_type", F.least("weight", "w2").alias("weight"))
-    raw = direct.unionByName(over).where("u <> v").groupBy("u", "v", "edge_type").agg(F.sum("weight").alias("raw"))
-    return raw.withColumn("part", F.col("raw") * factor).groupBy("u", "v").agg(F.sum("part").alias("weight"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("edge_type", "raw")))).alias("edge_types"))
+    ids = materialize(edges.select(F.explode(F.array("src", "dst")).alias("name")).where(is_provider("name")).distinct().withColumn("id", F.monotonically_increasing_id()), "provider-numbers")
+    src, dst = ids.select(F.col("name").alias("src"), F.col("id").alias("a")), ids.select(F.col("name").alias("dst"), F.col("id").alias("b"))
+    direct = edges.where(is_provider("src") & is_provider("dst") & (F.col("src") != F.col("dst"))).join(src, "src").join(dst, "dst").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "edge_type", "weight")
+    half = edges.where(is_provider("src") & ~is_provider("dst")).join(src, "src").select("a", "dst", "edge_type", "weight")
+    tiles = half.groupBy("dst", "edge_type").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")).where("tiles >= 1")
+    dealt = materialize(half.join(tiles, ["dst", "edge_type"]).withColumn("own", F.pmod(F.xxhash64("a"), F.col("tiles")).cast("int")), "dealt-edges")
+    every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    left = dealt.select("dst", "edge_type", "a", "weight", F.col("own").alias("i"), every.alias("j"))
+    right = dealt.select("dst", "edge_type", F.col("a").alias("b"), F.col("weight").alias("w2"), every.alias("i"), F.col("own").alias("j"))
+    over = left.join(right, ["dst", "edge_type", "i", "j"]).where("a < b").select("a", "b", "edge_type", F.least("weight", "w2").alias("weight"))
+    raw = direct.unionByName(over).groupBy("a", "b", "edge_type").agg(F.sum("weight").alias("raw"))
+    met = raw.withColumn("part", F.col("raw") * factor).groupBy("a", "b").agg(F.sum("part").alias("weight"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("edge_type", "raw")))).alias("edge_types"))
+    named = met.join(src, "a").join(dst, "b")
+    return named.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"), "weight", "edge_types")
 
 
 def communities(projection: DataFrame, rounds: int = 20, resolution: float = 1.0, min_size: int = 2) -> DataFrame:
@@ -169,66 +193,125 @@ def network_features(projection: DataFrame, membership: DataFrame, suspicious: D
     return out if betweenness is None else out.join(betweenness, "provider", "left").fillna(0.0, ["betweenness"])
 
 
-def betweenness_centrality(projection: DataFrame, max_nodes: int = 5000, pivots: int = 500, broadcast_edges: int = 2_000_000) -> DataFrame:
-    """Weighted betweenness, normalised; weights are distances. Exact up to ``max_nodes``, else from seeded pivots, scaled.
+def betweenness_centrality(projection: DataFrame, pivots: int | None = None) -> DataFrame:
+    """Weighted betweenness, normalised; weights are distances. All nodes are sources; with ``pivots`` an estimate from so many.
 
-    Each task takes sources and the adjacency, whose size is checked before it is broadcast; above the bound it raises.
+    Up to ``ADJACENCY_EDGES`` edges, whose number is checked, tasks get the adjacency and a part of the sources. Beyond it
+    paths grow along edges by joins (``_over_joins``), with the same result at any size.
     """
     spark = projection.sparkSession
-    if projection.limit(broadcast_edges + 1).count() > broadcast_edges:
-        raise ValueError(f"more than {broadcast_edges} edges: filter the projection first")
-    edges = projection.select("u", "v", "weight").toPandas()
-    near: dict[str, list[tuple[str, float]]] = {}
-    for u, v, w in edges.itertuples(index=False):
-        near.setdefault(u, []).append((v, w))
-        near.setdefault(v, []).append((u, w))
-    shared = spark.sparkContext.broadcast(near)
-    n = len(near)
-    nodes = projection.select(F.explode(F.array("u", "v")).alias("provider")).distinct()
-    sources = nodes if n <= max_nodes else nodes.orderBy(F.xxhash64("provider"), "provider").limit(pivots)
-    used = n if n <= max_nodes else min(pivots, n)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        adjacency = shared.value
-        for frame in frames:
-            total: dict[str, float] = {}
-            for s in frame["provider"]:
-                for k, x in _dependencies(adjacency, s).items():
-                    total[k] = total.get(k, 0.0) + x
-            yield pd.DataFrame({"provider": list(total), "b": list(total.values())})
+    edges = materialize(projection.select("u", "v", "weight"), "network-edges")
+    names = edges.select(F.explode(F.array("u", "v")).alias("provider")).distinct()
+    nodes = materialize(names.withColumn("id", F.monotonically_increasing_id()), "network-nodes")
+    n = nodes.count()
+    sources = nodes if pivots is None or pivots >= n else nodes.orderBy(F.xxhash64("provider"), "provider").limit(pivots)
+    used = n if pivots is None else min(pivots, n)
+    a, b = nodes.select(F.col("provider").alias("u"), F.col("id").alias("a")), nodes.select(F.col("provider").alias("v"), F.col("id").alias("b"))
+    numbered = edges.join(a, "u").join(b, "v").select("a", "b", F.col("weight").cast("double").alias("weight"))
+    both = materialize(numbered.unionByName(numbered.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")), "network-both-ways")
+    if both.limit(2 * ADJACENCY_EDGES + 1).count() <= 2 * ADJACENCY_EDGES:
+        summed = _over_adjacency(spark, both, sources)
+    else:
+        summed = _over_joins(both, sources.select(F.col("id").alias("s")))
+    scale = (n / used) / ((n - 1) * (n - 2)) if n > 2 else 0.0
+    return nodes.join(summed, "id", "left").select("provider", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+#: Edges of which the adjacency (two numbers an edge and way) is sent to each executor.
+ADJACENCY_EDGES = 2_000_000
+#: Distances that differ by less are the same.
+SAME = 1e-9
+
+
+def _over_adjacency(spark, both: DataFrame, sources: DataFrame) -> DataFrame:
+    got = both.toArrow()  # at most 2 * ADJACENCY_EDGES rows of three numbers
+    ids, index = np.unique(np.concatenate([got["a"].to_numpy(), got["b"].to_numpy()]), return_inverse=True)
+    src, dst = index[: got.num_rows], index[got.num_rows :]
+    order = np.argsort(src, kind="stable")
+    starts = np.searchsorted(src[order], np.arange(len(ids) + 1))
+    shared = spark.sparkContext.broadcast((ids, starts, dst[order].astype(np.int32), got["weight"].to_numpy()[order]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, starts, near, weight = shared.value
+        total = np.zeros(len(ids))
+        for batch in batches:
+            for s in np.searchsorted(ids, batch.column("id").to_numpy()).tolist():
+                total += _dependencies(starts, near, weight, s)
+        on = np.flatnonzero(total)
+        yield pa.record_batch({"id": pa.array(ids[on]), "b": pa.array(total[on])})
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    summed = sources.repartition(parts).mapInPandas(run, "provider string, b double").groupBy("provider").agg(F.sum("b").alias("b"))
-    scale = (n / used) / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    return nodes.join(summed, "provider", "left").select("provider", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
+    return sources.select("id").repartition(parts, "id").mapInArrow(run, "id long, b double").groupBy("id").agg(F.sum("b").alias("b"))
 
 
-def _dependencies(near: dict[str, list[tuple[str, float]]], s: str) -> dict[str, float]:
-    """How many shortest paths from s go through each node (Brandes, 2001)."""
-    dist, sigma, pred, done = {s: 0.0}, {s: 1.0}, {s: []}, []
-    heap, closed = [(0.0, s)], set()
+def _dependencies(starts: np.ndarray, near: np.ndarray, weight: np.ndarray, s: int) -> np.ndarray:
+    """How many shortest paths from s go through each node (Brandes, 2001), a node's neighbours at a time."""
+    n = len(starts) - 1
+    dist, sigma, closed, done = np.full(n, np.inf), np.zeros(n), np.zeros(n, bool), []
+    dist[s], sigma[s] = 0.0, 1.0
+    heap = [(0.0, s)]
     while heap:
         d, v = heapq.heappop(heap)
-        if v in closed:
+        if closed[v]:
             continue
-        closed.add(v)
+        closed[v] = True
         done.append(v)
-        for w, x in near[v]:
-            nd = d + x
-            if w not in dist or nd < dist[w] - 1e-12:
-                dist[w], sigma[w], pred[w] = nd, sigma[v], [v]
-                heapq.heappush(heap, (nd, w))
-            elif abs(nd - dist[w]) <= 1e-12 and w not in closed:
-                sigma[w] += sigma[v]
-                pred[w].append(v)
-    delta = dict.fromkeys(done, 0.0)
+        own = slice(starts[v], starts[v + 1])
+        to, nd = near[own], dist[v] + weight[own]
+        less = nd < dist[to] - SAME
+        same = ~less & (np.abs(nd - dist[to]) <= SAME) & ~closed[to]
+        sigma[to[same]] += sigma[v]
+        dist[to[less]] = nd[less]
+        sigma[to[less]] = sigma[v]
+        for x, w in zip(nd[less].tolist(), to[less].tolist()):
+            heapq.heappush(heap, (x, w))
+    delta = np.zeros(n)
     for w in reversed(done):
-        for v in pred[w]:
-            delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
-    delta.pop(s)
+        own = slice(starts[w], starts[w + 1])
+        to = near[own]
+        before = np.abs(dist[to] + weight[own] - dist[w]) <= SAME  # neighbours that come before w on shortest paths
+        delta[to[before]] += sigma[to[before]] / sigma[w] * (1 + delta[w])
+    delta[s] = 0.0
     return delta
 
 
+def _over_joins(both: DataFrame, sources: DataFrame) -> DataFrame:
+    """The same on edges that no task holds: rows (source, node, distance, paths) grow by joins, a step of edges at a time.
+
+    Distances first, until none falls; then paths along edges that lie on shortest ones, by number of steps, and back.
+    """
+    edge = both.select(F.col("a").alias("v"), F.col("b").alias("w"), "weight")
+    dist = materialize(sources.select("s", F.col("s").alias("v"), F.lit(0.0).alias("d"), F.lit(True).alias("new")), "distances")
+    while True:
+        reached = dist.where("new").join(edge, "v").select("s", F.col("w").alias("v"), (F.col("d") + F.col("weight")).alias("d"), F.lit(True).alias("new"))
+        # Of each node the least distance, and whether it is less than before.
+        old = F.min(F.when(F.col("old"), F.col("d")))
+        best = dist.withColumn("old", F.lit(True)).unionByName(reached.withColumn("old", F.lit(False))).groupBy("s", "v").agg(F.min("d").alias("d"), old.alias("was"))
+        dist = materialize(best.select("s", "v", F.when(F.col("was") - F.col("d") <= SAME, F.col("was")).otherwise(F.col("d")).alias("d"), (F.col("was").isNull() | (F.col("was") - F.col("d") > SAME)).alias("new")), "distances")
+        if dist.where("new").isEmpty():
+            break
+    d = dist.select("s", "v", "d")
+    ahead = d.select("s", F.col("v").alias("w"), F.col("d").alias("e"))
+    tight = materialize(d.join(edge, "v").join(ahead, ["s", "w"]).where(F.abs(F.col("d") + F.col("weight") - F.col("e")) <= SAME).select("s", "v", "w"), "tight-edges")
+    # A node is settled when all edges into it are: rounds of counting what still comes in.
+    into = tight.groupBy("s", F.col("w").alias("v")).agg(F.count(F.lit(1)).alias("wait"))
+    state = materialize(d.select("s", "v").join(into, ["s", "v"], "left").select("s", "v", F.coalesce("wait", F.lit(0)).alias("wait"), F.when(F.col("s") == F.col("v"), 1.0).otherwise(0.0).alias("sigma"), F.when(F.col("wait").isNull(), 0).alias("step")), "paths")
+    step = 0
+    while not state.where(F.col("step") == step).isEmpty():
+        sent = state.where(F.col("step") == step).join(tight, ["s", "v"]).groupBy("s", F.col("w").alias("v")).agg(F.count(F.lit(1)).alias("came"), F.sum("sigma").alias("more"))
+        left = F.col("wait") - F.coalesce("came", F.lit(0))
+        got = state.join(sent, ["s", "v"], "left").select("s", "v", left.alias("wait"), (F.col("sigma") + F.coalesce("more", F.lit(0.0))).alias("sigma"), F.when(F.col("step").isNull() & (left == 0), step + 1).otherwise(F.col("step")).alias("step"))
+        state, step = materialize(got, "paths"), step + 1
+    sigma = state.select("s", "v", "sigma", "step")
+    delta = sigma.select("s", "v", F.lit(0.0).alias("delta"))
+    behind = sigma.select("s", F.col("v").alias("w"), F.col("sigma").alias("sw"), "step")
+    for k in range(step - 1, 0, -1):
+        share = behind.where(F.col("step") == k).join(delta.select("s", F.col("v").alias("w"), "delta"), ["s", "w"]).join(tight, ["s", "w"]).join(sigma.select("s", "v", "sigma"), ["s", "v"])
+        more = share.groupBy("s", "v").agg(F.sum(F.col("sigma") / F.col("sw") * (1 + F.col("delta"))).alias("more"))
+        delta = materialize(delta.join(more, ["s", "v"], "left").select("s", "v", (F.col("delta") + F.coalesce("more", F.lit(0.0))).alias("delta")), "dependencies")
+    return delta.where("s <> v").groupBy(F.col("v").alias("id")).agg(F.sum("delta").alias("b"))
+
+
 def network_table(table: DataFrame, enriched: DataFrame) -> DataFrame:
     """Communities with their figures in [0, 1] and ids by exposure."""
     out = table.join(enriched, "community", "left")

@@ -1,8 +1,8 @@
 """Provider identity: links over shared attributes and clusters of linked providers.
 
-Links of one value are pairs. A value that very many providers share (a common agent, a large building) would give the square
-of them, so above ``STAR`` the value links each provider to its smallest one instead: the clusters are the same, and no link
-between different providers of a cluster is lost to reachability.
+All pairs of a value that very many providers share (a common agent, a large building) would be the square of them, so a value
+links each of its providers to its smallest one, at every size. The clusters are those of all pairs, and ``links`` says how many
+pairs of providers a row stands for: those of its value, split evenly over its rows, so that sums of it count all pairs.
 """
 
 from __future__ import annotations
@@ -15,72 +15,123 @@ from claimsieve.operators import rules as R
 from claimsieve.plans.components import connected_components
 from claimsieve.sources.config import RuleConfig
 
-STAR = 200
+#: How much a link of a kind counts.
 WEIGHTS = {"bank_hash": 1.0, "tin_hash": 1.0, "owner_exact": 0.9, "owner_fuzzy": 0.7, "address_suite": 0.6, "address_no_suite": 0.4, "registered_agent": 0.8}
-LINK_COLUMNS = ["provider_a", "provider_b", "basis", "confidence", "weight", "detail"]
+LINK_COLUMNS = ["provider_a", "provider_b", "basis", "confidence", "weight", "detail", "links"]
 
 
-def _pairs(df: DataFrame, value: str) -> DataFrame:
-    """Pairs of providers with the same value; ``n`` is how many share it."""
-    rows = df.where(F.col(value).isNotNull()).select("provider_id", F.col(value).alias("value")).distinct()
-    sizes = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("provider_id").alias("least")).where("n > 1")
-    met = rows.join(sizes, "value")
-    other = rows.withColumnRenamed("provider_id", "b")
-    small = met.where(F.col("n") <= STAR).join(other, "value").where("provider_id < b").select(F.col("provider_id").alias("provider_a"), F.col("b").alias("provider_b"), "value", "n")
-    star = met.where((F.col("n") > STAR) & (F.col("provider_id") > F.col("least"))).select(F.col("least").alias("provider_a"), F.col("provider_id").alias("provider_b"), "value", "n")
-    return small.unionByName(star)
+def value_members(providers: DataFrame, value: Column) -> DataFrame:
+    """Rows ``(value, provider_id, n, least)`` of values that ``n`` > 1 providers share; ``least`` is the smallest of them."""
+    rows = providers.select("provider_id", value.alias("value")).where("value is not null").distinct()
+    return rows.join(rows.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("provider_id").alias("least")).where("n > 1"), "value")
+
+
+def _stars(providers: DataFrame, value: Column) -> DataFrame:
+    """Each provider of a value with the smallest one of it; ``n`` is how many share it."""
+    met = value_members(providers, value).where("provider_id > least")
+    return met.select(F.col("least").alias("provider_a"), F.col("provider_id").alias("provider_b"), "value", "n", (F.col("n") / 2).alias("links"))
 
 
 def _links(pairs: DataFrame, basis: str | Column, confidence: float | Column, weight: float | Column, detail: Column) -> DataFrame:
     as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return pairs.select("provider_a", "provider_b", as_col(basis).alias("basis"), as_col(confidence).cast("double").alias("confidence"), as_col(weight).cast("double").alias("weight"), detail.alias("detail"))
+    return pairs.select("provider_a", "provider_b", as_col(basis).alias("basis"), as_col(confidence).cast("double").alias("confidence"), as_col(weight).cast("double").alias("weight"), detail.alias("detail"), F.col("links").cast("double").alias("links"))
 
 
 def exact_links(providers: DataFrame, column: str) -> DataFrame:
     """Providers with the same bank or tax hash."""
-    return _links(_pairs(providers, column), column, 1.0, WEIGHTS[column], F.col("value").cast("string"))
+    return _links(_stars(providers, F.col(column)), column, 1.0, WEIGHTS[column], F.col("value").cast("string"))
 
 
 def address_links(providers: DataFrame, building: int = 5) -> DataFrame:
-    """Same address and suite, and same address only; a building with many providers counts little and is tagged."""
+    """Same address and suite, and same address only; a building with many providers counts little and is tagged.
+
+    Of an address only, those are linked to its smallest provider that do not share its suite: the pairs that they stand for
+    are all of the address less those within a suite.
+    """
     base, own = C.split_suite(F.col("address"))
     suite = F.coalesce(F.lower("suite"), own) if "suite" in providers.columns else own
-    rows = providers.select("provider_id", C.normal_address(base).alias("addr"), suite.alias("unit")).where("addr is not null")
-    with_suite = _pairs(rows.where("unit is not null").withColumn("key", F.concat_ws("|", "addr", "unit")), "key")
-    only = _pairs(rows, "addr").join(with_suite.select("provider_a", "provider_b"), ["provider_a", "provider_b"], "left_anti")
+    rows = providers.select("provider_id", C.normal_address(base).alias("addr"), suite.alias("unit")).where("addr is not null").distinct()
+    with_suite = _stars(rows, F.when(F.col("unit").isNotNull(), F.concat_ws("|", "addr", "unit")))
+    square = F.col("s") * (F.col("s") - 1) / 2
+    suites = rows.groupBy("addr", "unit").agg(F.count(F.lit(1)).alias("s"), F.min("provider_id").alias("low"))
+    sizes = suites.groupBy("addr").agg(
+        F.sum("s").alias("n"), F.sum(F.when(F.col("unit").isNotNull(), square).otherwise(0.0)).alias("within"), F.min("low").alias("least"), F.min_by(F.struct("unit", "s"), "low").alias("of")
+    )
+    sizes = sizes.withColumn("rows", F.when(F.col("of.unit").isNotNull(), F.col("n") - F.col("of.s")).otherwise(F.col("n") - 1)).where("n > 1 and rows > 0")
+    met = rows.join(sizes, "addr").where("provider_id <> least and not coalesce(unit = of.unit, false)")
+    only = met.select(
+        F.col("least").alias("provider_a"), F.col("provider_id").alias("provider_b"), F.col("addr").alias("value"), "n", ((F.col("n") * (F.col("n") - 1) / 2 - F.col("within")) / F.col("rows")).alias("links")
+    )
     mob = F.col("n") >= building
     tag = F.when(mob, F.concat(F.lit("[MOB] "), F.col("value"))).otherwise(F.col("value"))
     weight = WEIGHTS["address_no_suite"]
     return _links(with_suite, "address_suite", 0.9, WEIGHTS["address_suite"], F.col("value")).unionByName(_links(only, "address_no_suite", F.when(mob, 0.3).otherwise(0.6), F.when(mob, weight / 2).otherwise(weight), tag))
 
 
+#: Share of the letters of both names that may differ at a score of 88.
+_LOOSE = 0.12
+
+
+def _candidates(names: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``(owner, other)`` of which the texts may score the threshold or more; ``names`` has owner and text."""
+    shared = threshold / (200 - threshold)  # of a text's letters, those of shared words: 2 s / (s + 1) >= threshold / 100
+    loose = min(_LOOSE, 1 - threshold / 100)
+    words = names.select("owner", F.length("text").alias("size"), F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    words = words.join(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word")
+    w = Window.partitionBy("owner").orderBy("n", "word").rowsBetween(Window.unboundedPreceding, -1)
+    rare = words.withColumn("before", F.coalesce(F.sum(F.length("word") + 1).over(w), F.lit(0))).where(F.col("before") <= (1 - shared) * (F.col("size") + 1))
+    by_word = rare.select("owner", "word").join(words.select(F.col("owner").alias("other"), "word"), "word").select("owner", "other")
+    ordered = names.select("owner", F.array_join(F.array_sort(F.array_distinct(F.split("text", " "))), " ").alias("text")).withColumn("size", F.length("text"))
+    pieces = lambda size: F.floor(2 * loose * size).cast("int") + 1
+    at = lambda i, size: F.floor(i * size / pieces(size)).cast("int")
+    size = F.col("size")
+    cut = F.transform(F.sequence(F.lit(0), pieces(size) - 1), lambda i: F.struct(size.alias("whole"), i.alias("i"), F.substr("text", at(i, size) + 1, at(i + 1, size) - at(i, size)).alias("piece")))
+    long = ordered.select("owner", F.explode(cut).alias("key"))
+    wholes = F.sequence(size, F.floor(size * (1 + loose) / (1 - loose)).cast("int"))
+
+    def met(whole: Column, i: Column) -> Column:
+        start, length, far = at(i, whole), at(i + 1, whole) - at(i, whole), pieces(whole) - 1
+        first, last = F.greatest(start - far, F.lit(0)), F.least(start + far, size - length)
+        spots = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(spots, lambda p: F.struct(whole.alias("whole"), i.alias("i"), F.substr("text", p + 1, length).alias("piece")))
+
+    probes = F.array_distinct(F.flatten(F.transform(wholes, lambda whole: F.flatten(F.transform(F.sequence(F.lit(0), pieces(whole) - 1), lambda i: met(whole, i))))))
+    by_piece = long.join(ordered.select(F.col("owner").alias("other"), F.explode(probes).alias("key")), "key").select("owner", "other")
+    return by_word.unionByName(by_piece).where("owner <> other")
+
+
+def similar_names(names: DataFrame, threshold: float = 88.0) -> DataFrame:
+    """Pairs ``(owner, owner_b, score)`` of distinct names (``owner``, ``plain``) with ``owner`` < ``owner_b``.
+
+    Two names score that much only if the words they share make up most of one of them, or if they are much the same letter
+    by letter. For the first, a name is looked up by its rarest words, so many that without them too little would be left. For
+    the second, the longer of two names (words in order) is cut into one piece more than letters may differ: one of the pieces
+    must stand in the other name, near the same place. Neither makes large blocks of a word that very many names have.
+    """
+    found = _candidates(names.select("owner", F.col("owner").alias("text")), threshold).unionByName(_candidates(names.select("owner", F.col("plain").alias("text")), threshold))
+    found = found.select(F.least("owner", "other").alias("owner"), F.greatest("owner", "other").alias("owner_b")).distinct()
+    plain = found.join(names, "owner").join(names.select(F.col("owner").alias("owner_b"), F.col("plain").alias("plain_b")), "owner_b")
+    score = F.greatest(C.token_set_ratio("plain", "plain_b"), C.token_set_ratio("owner", "owner_b"))
+    return plain.select("owner", "owner_b", score.alias("score")).where(F.col("score") >= threshold)
+
+
 def owner_links(providers: DataFrame, threshold: float = 88.0) -> DataFrame:
-    """Owners of the same name without corporate endings, and of similar names.
+    """Owners of the same name without corporate endings, and of similar names (``similar_names``).
 
-    Similar names are looked for among distinct names that share a word or most three-letter pieces, then scored.
+    Two similar names link the smallest providers of both and stand for all pairs of one's providers with the other's.
     """
     rows = providers.select("provider_id", C.normal_name(F.col("owner_name")).alias("plain"), C.normal_name(F.col("owner_name"), True).alias("owner")).where("owner is not null")
-    exact = _links(_pairs(rows, "owner"), "owner_exact", 0.95, WEIGHTS["owner_fuzzy"] + 0.2, F.col("value"))
-    names = rows.groupBy("owner").agg(F.min("plain").alias("plain"))
-    words = F.split("owner", " ")
-    grams = F.when(F.length("owner") >= 3, F.transform(F.sequence(F.lit(1), F.length("owner") - 2), lambda i: F.substring(F.col("owner"), i, F.lit(3)))).otherwise(F.array("owner"))
-    # Blocks: each word, and four least hashes of three-letter pieces (agreement in one is likely at a similarity of 88).
-    bands = F.transform(F.array(*map(F.lit, range(4))), lambda s: F.concat(F.lit("g"), s.cast("string"), F.lit(":"), F.array_min(F.transform(grams, lambda g: F.xxhash64(g, s))).cast("string")))
-    keyed = names.select("owner", "plain", F.explode(F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(F.lit("w:"), w)), bands))).alias("block"))
-    # A block of a word that most names have links nothing that its other blocks do not: it is told apart by its size.
-    sized = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("block"))).where("n > 1")
-    rare = sized.withColumn("rank", F.row_number().over(Window.partitionBy("owner").orderBy("n", "block"))).where((F.col("n") <= 1000) | (F.col("rank") <= 1))
-    other = rare.select("block", F.col("owner").alias("owner_b"), F.col("plain").alias("plain_b"))
-    candidates = rare.join(other, "block").where("owner < owner_b").select("owner", "plain", "owner_b", "plain_b").distinct()
-    scored = candidates.withColumn("score", F.greatest(C.token_set_ratio("plain", "plain_b"), C.token_set_ratio("owner", "owner_b"))).where(F.col("score") >= threshold)
-    a = rows.select(F.col("provider_id").alias("pa"), "owner")
-    b = rows.select(F.col("provider_id").alias("pb"), F.col("owner").alias("owner_b"))
-    pairs = scored.join(a, "owner").join(b, "owner_b").select(F.least("pa", "pb").alias("provider_a"), F.greatest("pa", "pb").alias("provider_b"), "score", F.concat_ws(" ~ ", "owner", "owner_b").alias("value"))
+    exact = _links(_stars(rows, F.col("owner")), "owner_exact", 0.95, WEIGHTS["owner_fuzzy"] + 0.2, F.col("value"))
+    names = rows.groupBy("owner").agg(F.min("plain").alias("plain"), F.countDistinct("provider_id").alias("n"), F.min("provider_id").alias("least"))
+    a = names.select("owner", F.col("n").alias("na"), F.col("least").alias("pa"))
+    b = names.select(F.col("owner").alias("owner_b"), F.col("n").alias("nb"), F.col("least").alias("pb"))
+    pairs = similar_names(names.select("owner", "plain"), threshold).join(a, "owner").join(b, "owner_b").where("pa <> pb")
+    pairs = pairs.select(F.least("pa", "pb").alias("provider_a"), F.greatest("pa", "pb").alias("provider_b"), "score", F.concat_ws(" ~ ", "owner", "owner_b").alias("value"), (F.col("na") * F.col("nb")).alias("links"))
     return exact.unionByName(_links(pairs, "owner_fuzzy", F.col("score") / 100, WEIGHTS["owner_fuzzy"], F.col("value")))
 
 
 def agent_links(providers: DataFrame) -> DataFrame:
-    return _links(_pairs(providers.withColumn("agent", C.normal_name(F.col("registered_agent"))), "agent"), "registered_agent", 0.85, WEIGHTS["registered_agent"], F.col("value"))
+    return _links(_stars(providers, C.normal_name(F.col("registered_agent"))), "registered_agent", 0.85, WEIGHTS["registered_agent"], F.col("value"))
 
 
 def identity_links(providers: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
@@ -94,7 +145,7 @@ def identity_links(providers: DataFrame, cfg: RuleConfig = RuleConfig()) -> Data
     if "registered_agent" in have:
         parts.append(agent_links(providers))
     if not parts:
-        return providers.sparkSession.createDataFrame([], "provider_a string, provider_b string, basis string, confidence double, weight double, detail string")
+        return providers.sparkSession.createDataFrame([], "provider_a string, provider_b string, basis string, confidence double, weight double, detail string, links double")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -105,7 +156,7 @@ def identity_clusters(links: DataFrame, providers: DataFrame | None = None) -> D
     """Clusters of linked providers: members, bases, confidence, and whether all are of one documented group."""
     members = connected_components(links, "provider_a", "provider_b").select(F.col("node").alias("provider_id"), F.col("component").alias("cluster_id"))
     of_links = links.join(members.withColumnRenamed("provider_id", "provider_a"), "provider_a").groupBy("cluster_id").agg(
-        F.sort_array(F.collect_set("basis")).alias("bases"), F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("link_count")
+        F.sort_array(F.collect_set("basis")).alias("bases"), F.max("confidence").alias("confidence"), F.round(F.sum("links")).cast("long").alias("link_count")
     )
     if providers is not None and "group_id" in providers.columns:
         members = members.join(providers.select("provider_id", "group_id"), "provider_id", "left")

@@ -12,48 +12,71 @@ from claimsieve.queries.common import R6, r6, tables
 from claimsieve.sources import views as V
 
 
+LINK = ["provider_a", "provider_b", "basis", "confidence", "weight", "links"]
+
+
 def e01(spark, d):
-    return E.exact_links(V.providers(spark, d), "bank_hash").select("provider_a", "provider_b", "basis", "confidence", "weight", "detail")
+    return E.exact_links(V.providers(spark, d), "bank_hash").select(*LINK, "detail")
+
+
+# A value links each of its providers to the smallest; `links` of its rows add up to its n (n - 1) / 2 pairs.
+_STAR = "(SELECT {v} AS v, count(*) AS n, min(provider_id) AS least FROM {t} WHERE {v} IS NOT NULL GROUP BY 1 HAVING count(*) > 1)"
 
 
-# As many providers of a bank as make a star of its links.
-E01 = f"""{V.with_views('providers')}, s AS (SELECT bank_hash, count(*) AS n, min(provider_id) AS least FROM providers GROUP BY 1)
- SELECT a.provider_id AS provider_a, b.provider_id AS provider_b, 'bank_hash' AS basis, 1.0::DOUBLE AS confidence, 1.0::DOUBLE AS weight, a.bank_hash AS detail FROM providers a JOIN providers b ON a.bank_hash = b.bank_hash AND a.provider_id < b.provider_id JOIN s ON s.bank_hash = a.bank_hash WHERE n <= 200 OR a.provider_id = least"""
+def _star_sql(table: str, value: str, basis: str, confidence: float, weight: float, detail: str = "") -> str:
+    more = f", {detail} AS detail" if detail else ""
+    return f"SELECT least AS provider_a, provider_id AS provider_b, '{basis}' AS basis, {confidence}::DOUBLE AS confidence, {weight}::DOUBLE AS weight, n / 2 AS links{more} FROM {table} JOIN {_STAR.format(v=value, t=table)} s ON s.v = {value} WHERE provider_id > least"
+
+
+E01 = f"{V.with_views('providers')} {_star_sql('providers', 'bank_hash', 'bank_hash', 1.0, 1.0, 'bank_hash')}"
 
 
 def e02(spark, d):
-    return E.address_links(V.providers(spark, d)).select("provider_a", "provider_b", "basis", "confidence", "weight")
+    return E.address_links(V.providers(spark, d)).select("provider_a", "provider_b", "basis", "confidence", "weight", r6("links").alias("links"))
+
 
+_ADDR = f"""{V.with_views('providers')}, a AS (SELECT provider_id, replace(lower(address), 'street', 'st') AS addr, suite, CASE WHEN suite IS NOT NULL THEN replace(lower(address), 'street', 'st') || '|' || suite END AS key FROM providers)"""
+E02 = f"""{_ADDR}, t AS (SELECT x.addr, count(*) AS total FROM a x JOIN a y ON x.addr = y.addr AND x.provider_id < y.provider_id AND NOT coalesce(x.suite = y.suite, false) GROUP BY 1),
+ z AS (SELECT addr, count(*) AS n, min(provider_id) AS least, arg_min(struct_pack(s := suite), provider_id).s AS of FROM a GROUP BY 1), r AS (SELECT a.*, n, least FROM a JOIN z USING (addr) WHERE provider_id <> least AND NOT coalesce(suite = of, false)), k AS (SELECT addr, count(*) AS k FROM r GROUP BY 1)
+ SELECT provider_a, provider_b, basis, confidence, weight, {R6('links')} AS links FROM ({_star_sql('a', 'key', 'address_suite', 0.9, 0.6)})
+ UNION ALL SELECT least, provider_id, 'address_no_suite', CASE WHEN n >= 5 THEN 0.3 ELSE 0.6 END::DOUBLE, CASE WHEN n >= 5 THEN 0.2 ELSE 0.4 END::DOUBLE, {R6('total / k')} FROM r JOIN t USING (addr) JOIN k USING (addr)"""
 
-_ADDR = f"""{V.with_views('providers')}, a AS (SELECT provider_id, replace(lower(address), 'street', 'st') AS addr, suite FROM providers)"""
-E02 = f"""{_ADDR}, n AS (SELECT addr, count(*) AS n FROM a GROUP BY 1), p AS (SELECT x.provider_id AS provider_a, y.provider_id AS provider_b, x.suite = y.suite AS same, n FROM a x JOIN a y ON x.addr = y.addr AND x.provider_id < y.provider_id JOIN n ON n.addr = x.addr)
- SELECT provider_a, provider_b, CASE WHEN same THEN 'address_suite' ELSE 'address_no_suite' END AS basis, CASE WHEN same THEN 0.9 WHEN n >= 5 THEN 0.3 ELSE 0.6 END::DOUBLE AS confidence, CASE WHEN same THEN 0.6 WHEN n >= 5 THEN 0.2 ELSE 0.4 END::DOUBLE AS weight FROM p"""
+#: Parts of made-up owner names: the number of a provider gives one of each, and every fifth is spelt a letter short.
+_FIRST = "johnson petersen alvarez lindqvist okafor montgomery takahashi rosenberg delacroix abernathy".split()
+_SECOND = "family harbor valley summit lakeside".split()
 
 
 def _owners(spark, d):
-    owner = F.concat(F.lit("Acme Care "), F.chr(F.col("provider_id") % 26 + 65), F.when(F.col("provider_id") % 2 == 0, F.lit(" Inc.")).otherwise(F.lit(" LLC")))
-    return V.providers(spark, d).withColumn("owner_name", owner)
+    """Owners made from providers, so that their number grows with the table."""
+    k = F.col("provider_id")
+    pick = lambda items, i: F.element_at(F.array(*map(F.lit, items)), (i % len(items) + 1).cast("int"))
+    first = pick(_FIRST, k)
+    spelt = F.when(k % 5 == 0, F.concat(F.substring(first, 1, 3), F.substring(first, 5, 20))).otherwise(first)
+    number = F.when(k % 7 == 0, F.concat(F.lit(" "), F.floor(k / 35).cast("string"))).otherwise("")
+    return V.providers(spark, d).withColumn("owner_name", F.concat(F.initcap(spelt), F.lit(" "), F.initcap(pick(_SECOND, F.floor(k / 10))), F.lit(" Care"), number, F.when(k % 2 == 0, ", Inc.").otherwise(" L.L.C.")))
+
+
+_OWNERS = f"""{V.with_views('providers')}, f AS (SELECT provider_id, {_FIRST}[provider_id % 10 + 1] AS f, {_SECOND}[(provider_id // 10) % 5 + 1] AS s FROM providers),
+ o AS (SELECT provider_id, CASE WHEN provider_id % 5 = 0 THEN f[1:3] || f[5:] ELSE f END || ' ' || s || ' care' || CASE WHEN provider_id % 7 = 0 THEN ' ' || (provider_id // 35) ELSE '' END AS owner FROM f)"""
 
 
 def e04(spark, d):
-    return E.owner_links(_owners(spark, d)).where("basis = 'owner_exact'").select("provider_a", "provider_b", "basis", "confidence", r6("weight").alias("weight"), "detail")
+    return E.owner_links(_owners(spark, d)).where("basis = 'owner_exact'").select("provider_a", "provider_b", "basis", "confidence", r6("weight").alias("weight"), "links", "detail")
 
 
-E04 = f"""{V.with_views('providers')}, o AS (SELECT provider_id, 'acme care ' || lower(chr(CAST(provider_id % 26 + 65 AS INTEGER))) AS owner FROM providers), s AS (SELECT owner, count(*) AS n, min(provider_id) AS least FROM o GROUP BY 1)
- SELECT a.provider_id AS provider_a, b.provider_id AS provider_b, 'owner_exact' AS basis, 0.95::DOUBLE AS confidence, 0.9::DOUBLE AS weight, a.owner AS detail FROM o a JOIN o b ON a.owner = b.owner AND a.provider_id < b.provider_id JOIN s ON s.owner = a.owner WHERE n <= 200 OR a.provider_id = least"""
+E04 = f"{_OWNERS} {_star_sql('o', 'owner', 'owner_exact', 0.95, 0.9, 'owner')}"
 
 
 def e05(spark, d):
-    return E.owner_links(_owners(spark, d)).where("basis = 'owner_fuzzy'").agg(F.count(F.lit(1)).alias("links"), r6(F.min("confidence")).alias("least"))
+    return E.owner_links(_owners(spark, d)).where("basis = 'owner_fuzzy'").select("provider_a", "provider_b", r6("confidence").alias("confidence"), "links", "detail")
 
 
 def e06(spark, d):
     p = V.providers(spark, d).withColumn("registered_agent", F.concat(F.lit("Agent, No. "), (F.col("provider_id") % 9).cast("string")))
-    return E.agent_links(p).select("provider_a", "provider_b", "basis", "confidence", "weight")
+    return E.agent_links(p).select(*LINK)
 
 
-E06 = f"""{V.with_views('providers')}, s AS (SELECT provider_id % 9 AS k, count(*) AS n, min(provider_id) AS least FROM providers GROUP BY 1) SELECT a.provider_id AS provider_a, b.provider_id AS provider_b, 'registered_agent' AS basis, 0.85::DOUBLE AS confidence, 0.8::DOUBLE AS weight
- FROM providers a JOIN providers b ON a.provider_id % 9 = b.provider_id % 9 AND a.provider_id < b.provider_id JOIN s ON s.k = a.provider_id % 9 WHERE n <= 200 OR a.provider_id = least"""
+E06 = f"{V.with_views('providers')}, g AS (SELECT *, provider_id % 9 AS k FROM providers) {_star_sql('g', 'k', 'registered_agent', 0.85, 0.8)}"
 
 
 def e07(spark, d):
@@ -61,13 +84,26 @@ def e07(spark, d):
     return E.identity_clusters(E.exact_links(p, "bank_hash"), p).select("cluster_id", "size", F.array_join("bases", ",").alias("bases"), "confidence", "link_count", "documented", F.array_join("provider_ids", ",").alias("provider_ids"))
 
 
-E07 = f"""{E01.replace('SELECT a.provider_id AS provider_a', ', links AS (SELECT a.provider_id AS provider_a', 1)}), c AS (SELECT bank_hash, min(provider_id) AS cluster_id, count(*) AS size, count(DISTINCT group_id) = 1 AS documented, string_agg(provider_id, ',' ORDER BY provider_id) AS provider_ids FROM providers GROUP BY 1 HAVING count(*) > 1)
- SELECT cluster_id, any_value(size) AS size, 'bank_hash' AS bases, 1.0::DOUBLE AS confidence, count(*) AS link_count, any_value(documented) AS documented, any_value(provider_ids) AS provider_ids FROM links JOIN c ON links.detail = c.bank_hash GROUP BY 1"""
+# All pairs of a bank are counted as they are.
+E07 = f"""{V.with_views('providers')}, c AS (SELECT bank_hash, min(provider_id) AS cluster_id, count(*) AS size, count(DISTINCT group_id) = 1 AS documented, string_agg(provider_id, ',' ORDER BY provider_id) AS provider_ids FROM providers GROUP BY 1 HAVING count(*) > 1),
+ p AS (SELECT a.bank_hash, count(*) AS link_count FROM providers a JOIN providers b ON a.bank_hash = b.bank_hash AND a.provider_id < b.provider_id GROUP BY 1) SELECT cluster_id, size, 'bank_hash' AS bases, 1.0::DOUBLE AS confidence, link_count, documented, provider_ids FROM c JOIN p USING (bank_hash)"""
 
 
 def r09(spark, d):
-    p = V.providers(spark, d).drop("owner_name")
-    return E.shared_identity({"providers": p}).select("cluster_id", "size", F.array_join("bases", ",").alias("bases"), "documented")
+    """Clusters over banks, tax hashes, addresses, owners (same names; similar ones as e05 has them) and agents."""
+    k = F.col("provider_id")
+    p = _owners(spark, d).withColumns({"tin_hash": F.when(k % 11 == 0, F.concat(F.lit("T"), F.floor(k / 44).cast("string"))), "registered_agent": F.when(k % 13 == 0, F.concat(F.lit("Agent "), F.floor(k / 39).cast("string"))), "bank_hash": F.concat(F.lit("B"), F.floor(k / 3).cast("string"))})
+    p = p.withColumn("address", F.concat_ws(" ", (k % 97).cast("string"), "address")).drop("owner_name")
+    return E.shared_identity({"providers": p}).select("cluster_id", "size", F.array_join("bases", ",").alias("bases"), "documented", "link_count")
+
+
+_R09_VALUES = """v AS (SELECT provider_id, 'bank_hash' AS basis, 'B' || (provider_id // 3) AS v FROM providers UNION ALL SELECT provider_id, 'tin_hash', 'T' || (provider_id // 44) FROM providers WHERE provider_id % 11 = 0
+ UNION ALL SELECT provider_id, 'registered_agent', 'agent ' || (provider_id // 39) FROM providers WHERE provider_id % 13 = 0 UNION ALL SELECT provider_id, 'address', (provider_id % 97) || ' ' || lower(address) FROM providers),
+ p AS (SELECT x.provider_id AS a, y.provider_id AS b, CASE WHEN x.basis <> 'address' THEN x.basis WHEN coalesce(sx.suite = sy.suite, false) THEN 'address_suite' ELSE 'address_no_suite' END AS basis
+  FROM v x JOIN v y ON x.basis = y.basis AND x.v = y.v AND x.provider_id < y.provider_id JOIN providers sx ON sx.provider_id = x.provider_id JOIN providers sy ON sy.provider_id = y.provider_id)"""
+R09 = f"""{V.with_views('providers').replace('WITH ', 'WITH RECURSIVE ', 1)}, {_R09_VALUES}, e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), reach AS (SELECT DISTINCT a AS node, a AS seen FROM e UNION SELECT reach.node, e.b FROM reach JOIN e ON e.a = reach.seen),
+ m AS (SELECT node, min(seen) AS cluster_id FROM reach GROUP BY 1), s AS (SELECT cluster_id, count(*) AS size, count(DISTINCT group_id) = 1 AS documented FROM m JOIN providers ON node = provider_id GROUP BY 1),
+ l AS (SELECT cluster_id, count(*) AS link_count, string_agg(DISTINCT basis, ',' ORDER BY basis) AS bases, bool_or(basis NOT LIKE 'address%') AS hard FROM p JOIN m ON node = a GROUP BY 1) SELECT cluster_id, size, bases, documented, link_count FROM s JOIN l USING (cluster_id) WHERE hard"""
 
 
 def _graph(spark, d):
@@ -83,11 +119,10 @@ def n01(spark, d):
     return e.groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
 
 
-_GRAPH = f"""{E01.replace(V.with_views('providers'), V.with_views('claims', 'providers', 'referrals')).replace('SELECT a.provider_id AS provider_a', ', links AS (SELECT a.provider_id AS provider_a', 1)}),
- pm AS (SELECT DISTINCT provider_id, member_id FROM claims), sm AS (SELECT a.provider_id AS x, b.provider_id AS y, count(*) AS n FROM pm a JOIN pm b ON a.member_id = b.member_id AND a.provider_id < b.provider_id GROUP BY 1, 2 HAVING count(*) >= 3),
+_GRAPH = f"""{V.with_views('claims', 'providers', 'referrals')}, pm AS (SELECT DISTINCT provider_id, member_id FROM claims), sm AS (SELECT a.provider_id AS x, b.provider_id AS y, count(*) AS n FROM pm a JOIN pm b ON a.member_id = b.member_id AND a.provider_id < b.provider_id GROUP BY 1, 2 HAVING count(*) >= 3),
  edges AS (SELECT 'provider:' || provider_id AS src, 'bank:' || bank_hash AS dst, 'has_bank' AS edge_type, 1.0::DOUBLE AS weight FROM providers UNION ALL SELECT 'provider:' || provider_id, 'address:' || address, 'located_at', 1.0 FROM providers
  UNION ALL SELECT 'provider:' || provider_id, 'facility:' || (order_id % 50), 'works_at', count(*) FROM claims GROUP BY 1, 2 UNION ALL SELECT 'provider:' || referring_provider_id, 'provider:' || target_provider_id, 'refers_to', count(*) FROM referrals GROUP BY 1, 2
- UNION ALL SELECT 'provider:' || x, 'provider:' || y, 'shared_members', n FROM sm UNION ALL SELECT 'provider:' || provider_a, 'provider:' || provider_b, 'shared_bank_hash', weight FROM links)"""
+ UNION ALL SELECT 'provider:' || x, 'provider:' || y, 'shared_members', n FROM sm UNION ALL SELECT 'provider:' || provider_id, 'shared_bank_hash:' || bank_hash, 'shared_bank_hash', 1.0 FROM providers WHERE bank_hash IN (SELECT bank_hash FROM providers GROUP BY 1 HAVING count(*) > 1))"""
 N01 = f"{_GRAPH} SELECT edge_type, count(*) AS n, sum(weight) AS weight FROM edges GROUP BY 1"
 
 
@@ -106,9 +141,13 @@ def n03(spark, d):
     return _projection(spark, d).select("u", "v", r6("weight").alias("weight"))
 
 
-N03 = f"""{_GRAPH}, h AS (SELECT * FROM edges WHERE dst NOT LIKE 'provider:%'), raw AS (SELECT least(src, dst) AS u, greatest(src, dst) AS v, edge_type, weight FROM edges WHERE dst LIKE 'provider:%'
- UNION ALL SELECT a.src, b.src, a.edge_type, least(a.weight, b.weight) FROM h a JOIN h b ON a.dst = b.dst AND a.edge_type = b.edge_type AND a.src < b.src)
- SELECT u, v, {R6("sum(weight * CASE edge_type WHEN 'has_bank' THEN 10 WHEN 'shared_bank_hash' THEN 10 WHEN 'located_at' THEN 2 WHEN 'works_at' THEN 0.3 WHEN 'refers_to' THEN 1 ELSE 0.5 END)")} AS weight FROM raw WHERE u <> v GROUP BY 1, 2"""
+# All pairs of providers that share a bank have its link, whatever their number.
+_PROJECTION = f"""{_GRAPH}, h AS (SELECT * FROM edges WHERE dst NOT LIKE 'provider:%' AND edge_type <> 'shared_bank_hash'), raw AS (SELECT least(src, dst) AS u, greatest(src, dst) AS v, edge_type, weight FROM edges WHERE dst LIKE 'provider:%'
+ UNION ALL SELECT least('provider:' || a.provider_id, 'provider:' || b.provider_id), greatest('provider:' || a.provider_id, 'provider:' || b.provider_id), 'shared_bank_hash', 1.0 FROM providers a JOIN providers b ON a.bank_hash = b.bank_hash AND a.provider_id < b.provider_id
+ UNION ALL SELECT a.src, b.src, a.edge_type, least(a.weight, b.weight) FROM h a JOIN h b ON a.dst = b.dst AND a.edge_type = b.edge_type AND a.src < b.src),
+ kinds AS (SELECT u, v, edge_type, sum(weight) AS raw FROM raw WHERE u <> v GROUP BY 1, 2, 3),
+ proj AS (SELECT u, v, sum(raw * CASE edge_type WHEN 'has_bank' THEN 10 WHEN 'shared_bank_hash' THEN 10 WHEN 'located_at' THEN 2 WHEN 'works_at' THEN 0.3 WHEN 'refers_to' THEN 1 ELSE 0.5 END) AS weight FROM kinds GROUP BY 1, 2)"""
+N03 = f"{_PROJECTION} SELECT u, v, {R6('weight')} AS weight FROM proj"
 
 
 def _membership(projection):
@@ -143,8 +182,7 @@ def n07(spark, d):
 
 
 def n08(spark, d):
-    p = _projection(spark, d).where(F.col("weight") >= 12)
-    return N.betweenness_centrality(p).select("provider", r6("betweenness").alias("betweenness"))
+    return N.betweenness_centrality(_projection(spark, d)).select("provider", r6("betweenness").alias("betweenness"))
 
 
 def n09(spark, d):
@@ -169,7 +207,10 @@ def n11(spark, d):
     return N.narratives(_projection(spark, d))
 
 
+N11 = f"""{_PROJECTION} SELECT u, v, any_value(u || ' is connected to ' || v || ' by ') || string_agg(edge_type || ' (' || CAST(CAST(round_even(raw, 0) AS BIGINT) AS VARCHAR) || ')', ', ' ORDER BY edge_type) || '.' AS text FROM kinds GROUP BY 1, 2"""
+
+
 ENTRIES = {
-    "e01_exact_links": (e01, E01), "e02_address_links": (e02, E02), "e04_owner_exact": (e04, E04), "e05_owner_fuzzy": (e05, None), "e06_agent_links": (e06, E06), "e07_clusters": (e07, E07), "r09_shared_identity": (r09, None), "n01_graph": (n01, N01), "n02_graph_summary": (n02, N02),
-    "n03_projection": (n03, N03), "n04_communities": (n04, None), "n05_enriched": (n05, None), "n06_features": (n06, None), "n07_networks": (n07, None), "n08_betweenness": (n08, None), "n09_neighbourhood": (n09, N09), "n09_member_cohorts": (n09b, N09B), "n11_narratives": (n11, None),
+    "e01_exact_links": (e01, E01), "e02_address_links": (e02, E02), "e04_owner_exact": (e04, E04), "e05_owner_fuzzy": (e05, None), "e06_agent_links": (e06, E06), "e07_clusters": (e07, E07), "r09_shared_identity": (r09, R09), "n01_graph": (n01, N01), "n02_graph_summary": (n02, N02),
+    "n03_projection": (n03, N03), "n04_communities": (n04, None), "n05_enriched": (n05, None), "n06_features": (n06, None), "n07_networks": (n07, None), "n08_betweenness": (n08, None), "n09_neighbourhood": (n09, N09), "n09_member_cohorts": (n09b, N09B), "n11_narratives": (n11, N11),
 }

@@ -1,7 +1,13 @@
-"""What the network queries take into communities."""
+"""Networks and identity: what the queries take into communities, candidates, betweenness, tiles."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
+from claimsieve.functions import columns as C
+from claimsieve.operators import graph as N
+from claimsieve.operators import identity as E
 from claimsieve.queries import network as Q
 
 
@@ -14,3 +20,81 @@ def test_communities_of_all_kinds_of_edges(spark):
     p = spark.createDataFrame(edges, "u string, v string, weight double, edge_types map<string, double>")
     got = Q._membership(p).groupBy("community").agg(F.sort_array(F.collect_list("provider")).alias("g")).collect()
     assert sorted(r.g for r in got) == groups
+
+
+def test_similar_names_finds_all_that_score(spark):
+    """Against all pairs of names, among them words that very many have, slips of the pen and changed orders."""
+    r = random.Random(6)
+    parts = ["johnson", "petersen", "alvarez", "care", "care", "care", "medical", "clinic", "st", "mary", "of", "harbor"]
+    names = set()
+    while len(names) < 260:
+        words = [r.choice(parts) for _ in range(r.randrange(1, 4))]
+        if r.random() < 0.6:
+            i = r.randrange(len(words))
+            w = list(words[i])
+            for _ in range(r.randrange(1, 3)):
+                k = r.randrange(len(w) + 1)
+                if r.random() < 0.5:
+                    w.insert(k, r.choice("aeiost"))
+                elif len(w) > 2:
+                    del w[min(k, len(w) - 1)]
+            words[i] = "".join(w)
+        names.add(" ".join(words))
+    df = spark.createDataFrame([(n, n + r.choice(["", " inc", " llc holdings"])) for n in sorted(names)], "owner string, plain string")
+    other = df.select(F.col("owner").alias("owner_b"), F.col("plain").alias("plain_b"))
+    score = F.greatest(C.token_set_ratio("plain", "plain_b"), C.token_set_ratio("owner", "owner_b"))
+    every = df.crossJoin(other).where("owner < owner_b").select("owner", "owner_b", score.alias("score")).where("score >= 88")
+    want = {(x.owner, x.owner_b): x.score for x in every.collect()}
+    got = {(x.owner, x.owner_b): x.score for x in E.similar_names(df).collect()}
+    assert len(want) > 300
+    missed = [k for k in want if k not in got]
+    assert len(missed) <= 0.01 * len(want), missed
+    assert all(got[k] == want.get(k) for k in got)
+
+
+def test_betweenness_is_exact_both_ways(spark):
+    """Against counting all shortest paths, over the adjacency and over joins."""
+    r = random.Random(2)
+    edges = {(f"p{a}", f"p{b}"): float(r.randrange(1, 4)) for a in range(14) for b in range(a) if r.random() < 0.3}
+    edges |= {("x", "y"): 1.0, ("y", "z"): 1.0}
+    df = spark.createDataFrame([(*sorted(k), w) for k, w in edges.items()], "u string, v string, weight double")
+    nodes = sorted({x for k in edges for x in k})
+    near = {a: {} for a in nodes}
+    for (a, b), w in edges.items():
+        near[a][b] = near[b][a] = w
+    want = dict.fromkeys(nodes, 0.0)
+    for s in nodes:
+        best = {}
+
+        def walk(path, length, best=best):
+            t = path[-1]
+            if length <= best.get(t, (1e9,))[0]:
+                if length < best.get(t, (1e9,))[0]:
+                    best[t] = (length, [])
+                best[t][1].append(path)
+                for x, w in near[t].items():
+                    if x not in path:
+                        walk([*path, x], length + w)
+
+        walk([s], 0.0)
+        for t, (_, paths) in best.items():
+            for p in paths:
+                for x in p[1:-1]:
+                    want[x] += 1 / len(paths)
+    scale = 1 / ((len(nodes) - 1) * (len(nodes) - 2))
+    want = {k: pytest.approx(x * scale, abs=1e-9) for k, x in want.items()}
+    assert {x.provider: x.betweenness for x in N.betweenness_centrality(df).collect()} == want
+    numbered = spark.createDataFrame([(nodes.index(a), nodes.index(b), w) for (a, b), w in edges.items()] + [(nodes.index(b), nodes.index(a), w) for (a, b), w in edges.items()], "a long, b long, weight double")
+    joined = {nodes[x.id]: x.b * scale for x in N._over_joins(numbered, spark.range(len(nodes)).withColumnRenamed("id", "s")).collect()}
+    assert {k: joined.get(k, 0.0) for k in nodes} == want
+
+
+def test_projection_in_tiles(spark, monkeypatch):
+    """A shared node gives all pairs once, whatever the size of a tile."""
+    rows = [(f"provider:{i}", "facility:1", "works_at", float(i % 3 + 1)) for i in range(23)] + [("provider:1", "provider:2", "refers_to", 2.0), ("provider:2", "provider:1", "refers_to", 1.0)]
+    df = spark.createDataFrame(rows, N.EDGE)
+    got = {}
+    for tile in (4, 2000):
+        monkeypatch.setattr(N, "TILE", tile)
+        got[tile] = sorted((r.u, r.v, round(r.weight, 9)) for r in N.project_providers(df).collect())
+    assert got[4] == got[2000] and len(got[4]) == 23 * 22 // 2

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from claimsieve.functions import columns as C
 from claimsieve.operators import evaluation as Ev
@@ -105,7 +106,7 @@ def test_identity(spark):
     p = spark.createDataFrame([(f"p{i}", "1 Main Street", None, f"b{i}", f"Owner {chr(65 + i)}{i}{i}") for i in range(6)] + [("p7", "9 Elm", "2", "b1", "Smith Holdings LLC"), ("p8", "9 Elm", "2", "b9", "Smith Holding LLC")], "provider_id string, address string, suite string, bank_hash string, owner_name string")
     links = E.identity_links(p).collect()
     mob = [r for r in links if r.basis == "address_no_suite"]
-    assert len(mob) == 15 and all(r.confidence <= 0.4 and r.detail.startswith("[MOB]") for r in mob)
+    assert len(mob) == 5 and sum(r.links for r in mob) == 15 and all(r.confidence <= 0.4 and r.detail.startswith("[MOB]") for r in mob)
     assert [(r.provider_a, r.provider_b) for r in links if r.basis == "bank_hash"] == [("p1", "p7")]
     assert ("p7", "p8") in {(r.provider_a, r.provider_b) for r in links if r.basis == "address_suite"}
     assert ("p7", "p8") in {(r.provider_a, r.provider_b) for r in links if r.basis in ("owner_fuzzy", "owner_exact")}
@@ -158,3 +159,21 @@ def test_no_future_in_panels(spark):
     got = {r.service_date.day: (r.claims_7d, r.claims_30d) for r in W.dense_panel(c).collect()}
     assert got[1] == (1, 1) and got[2] == (2, 2) and got[8] == (1, 2) and got[9] == (1, 3) and len(got) == 9
     assert RuleConfig().day_minutes == 960
+
+
+def test_rules_with_text_ids_and_a_rule_that_fails(spark):
+    """Ids may be any text; a rule that fails while it runs is told in the status and takes no other's alerts with it."""
+    day = D(2024, 1, 1)
+    refs = [(f"R{i}", "PRV002", "PRV009" if i % 2 else "PRV010", f"M{i}", day, f"C{i:03}" if i else None) for i in range(24)]
+    t = {"referrals": spark.createDataFrame(refs, "referral_id string, referring_provider_id string, target_provider_id string, member_id string, referral_date date, claim_id string")}
+    R.run_rules(spark, t, only=["R07d"])
+    boom = F.udf(lambda x: 1 // 0, "string")
+    R.register_rule("R99", lambda tables, cfg: R.to_alerts(tables["referrals"].withColumn("bad", boom("referral_id")), "R99", "provider", "bad", F.lit("never"), "LOW"), {"referrals": ("referral_id",)})
+    try:
+        alerts, status = R.run_rules(spark, t, R.RuleConfig(concentration=0.4), only=["R07a", "R99", "R04a"])
+        found = alerts.collect()
+    finally:
+        R._REGISTRY.pop("R99")
+    assert {r.rule: r.status for r in status.collect()} == {"R07a": "ok", "R99": "failed", "R04a": "skipped"}
+    # Ties go to the smaller id; claims in order, those without one left out.
+    assert [(r.entity_id, r.claim_ids) for r in found] == [("PRV002", [f"C{i:03}" for i in range(1, 24, 2)])]
