@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimsieve.functions import columns as C
+from claimsieve.operators import windows as W
 from claimsieve.sources.config import CaseConfig, QueueConfig
 
 
@@ -21,9 +22,7 @@ def eligible(scores: DataFrame, cfg: CaseConfig = CaseConfig()) -> DataFrame:
 
 def build_cases(scores: DataFrame, cfg: CaseConfig = CaseConfig()) -> DataFrame:
     """One case for each eligible provider, numbered by risk, evidence and id."""
-    rows = eligible(scores, cfg)
-    # Cases are the top of the ranking that people work through, not all providers.
-    order = Window.orderBy(F.desc("risk_score"), F.desc("evidence_strength"), "provider_id")
+    rows = W.ranked(eligible(scores, cfg), [F.desc("risk_score"), F.desc("evidence_strength"), F.col("provider_id")], "case_rank")
     fam = F.filter(F.array(*(F.when(F.col(f"{f}_signal") >= 0.15, F.lit(f)) for f in ("rules", "ml", "anomaly", "network", "temporal", "future", "historical"))), lambda x: x.isNotNull())
     high = F.coalesce("exposure", F.lit(0.0))
     text = F.concat(
@@ -38,7 +37,7 @@ def build_cases(scores: DataFrame, cfg: CaseConfig = CaseConfig()) -> DataFrame:
     )
     return rows.withColumns(
         {
-            "case_id": F.format_string("CASE-%06d", F.row_number().over(order)), "case_rank": F.row_number().over(order), "priority": C.priority_of(F.col("risk_tier")), "status": F.lit("NEW"), "families": fam,
+            "case_id": F.format_string("CASE-%06d", F.col("case_rank")), "priority": C.priority_of(F.col("risk_tier")), "status": F.lit("NEW"), "families": fam,
             "title": F.concat(F.lit("Provider "), F.col("provider_id"), F.lit(": "), F.col("risk_tier"), F.lit(" review priority")), "summary": text, "recommendations": F.slice(advice, 1, 6),
             "estimated_exposure": high, "exposure_low": 0.8 * high, "exposure_high": F.greatest(1.2 * high, F.lit(500.0)), "claim_count": F.greatest(F.coalesce(F.size("claim_ids"), F.lit(0)), F.lit(0)),
             "case_claims": F.slice(F.coalesce("claim_ids", F.array().cast("array<string>")), 1, cfg.max_claims), "case_alerts": F.slice(F.coalesce("alert_ids", F.array().cast("array<string>")), 1, cfg.max_alerts),
@@ -55,6 +54,18 @@ def peer_relationships(cases: DataFrame, membership: DataFrame, hubs: DataFrame,
     return met.withColumn("strength", strength).withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("case_id", F.col("provider").alias("peer"), "strength")
 
 
+def with_peers(cases: DataFrame, membership: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Cases with ``peers`` (how many peers are listed), ``peer_strength`` (the greatest) and ``network_relationships``."""
+    found = peer_relationships(cases, membership, hubs)
+    per = found.groupBy("case_id").agg(
+        F.count(F.lit(1)).cast("int").alias("peers"), F.max("strength").alias("peer_strength"), F.array_sort(F.collect_list(F.struct((-F.col("strength")).alias("order"), "peer", "strength"))).alias("_l")
+    )
+    listed = F.transform("_l", lambda x: F.struct(x["peer"].alias("peer"), x["strength"].alias("strength")))
+    none = F.array().cast("array<struct<peer:string,strength:double>>")
+    out = cases.join(per.withColumn("network_relationships", listed).drop("_l"), "case_id", "left")
+    return out.withColumns({"peers": F.coalesce("peers", F.lit(0)), "peer_strength": F.coalesce("peer_strength", F.lit(0.0)), "network_relationships": F.coalesce("network_relationships", none)})
+
+
 def case_evidence(cases: DataFrame, alerts: DataFrame, claim_ml: DataFrame | None = None, top_claims: int = 10) -> DataFrame:
     """A ledger: a row for each alert, for the first claims by probability, for an anomaly and for a community."""
     key = cases.select("case_id", "provider_id", "anomaly_flag", "anomaly_signal", "community_id")
@@ -107,8 +118,8 @@ def priority(signals: DataFrame, cfg: QueueConfig = QueueConfig()) -> DataFrame:
 def build_queue(cases: DataFrame, cfg: QueueConfig = QueueConfig()) -> DataFrame:
     """Eligible cases by priority, risk, evidence, exposure and id; the first ``capacity`` are queued, the rest deferred."""
     rows = priority(queue_signals(cases.where(F.col("status").isin(list(cfg.statuses)))), cfg)
-    order = Window.orderBy(F.desc("priority_score"), F.desc("risk_score"), F.desc("evidence_strength"), F.desc("estimated_exposure"), "case_id")
-    return rows.withColumn("queue_rank", F.row_number().over(order)).withColumns({"queue_id": F.format_string("SIU-%06d", F.col("queue_rank")), "queue_status": F.when(F.col("queue_rank") <= cfg.capacity, "QUEUED").otherwise("DEFERRED")})
+    order = [F.desc("priority_score"), F.desc("risk_score"), F.desc("evidence_strength"), F.desc("estimated_exposure"), F.col("case_id")]
+    return W.ranked(rows, order, "queue_rank").withColumns({"queue_id": F.format_string("SIU-%06d", F.col("queue_rank")), "queue_status": F.when(F.col("queue_rank") <= cfg.capacity, "QUEUED").otherwise("DEFERRED")})
 
 
 def integrated_cases(scores: DataFrame, alerts: DataFrame, claims: DataFrame) -> DataFrame:
@@ -127,8 +138,8 @@ def fixture_cases(alerts: DataFrame) -> DataFrame:
     base = F.when(F.col("worst") == 4, 35).when(F.col("worst") == 3, 25).when(F.col("worst") == 2, 15).otherwise(8)
     per = alerts.groupBy("entity_type", "entity_id").agg(F.max(C.severity_rank(F.col("severity"))).alias("worst"), F.countDistinct("rule_id").alias("rules"), F.size(F.array_distinct(F.flatten(F.collect_list("claim_ids")))).alias("claims"), F.sum("est_dollars").alias("dollars"))
     scored = per.withColumn("score", F.least(base + F.least(12 * F.col("rules"), F.lit(35)) + F.least(1.5 * F.col("claims"), F.lit(20)), F.lit(99)))
-    order = Window.orderBy(F.desc("score"), F.desc("dollars"), "entity_type", "entity_id")
-    return scored.withColumn("case_id", F.format_string("CASE-%06d", F.row_number().over(order)))
+    order = [F.desc("score"), F.desc("dollars"), F.col("entity_type"), F.col("entity_id")]
+    return W.ranked(scored, order, "case_rank").withColumn("case_id", F.format_string("CASE-%06d", F.col("case_rank"))).drop("case_rank")
 
 
 def queue_evaluation(queue: DataFrame, top: int = 20) -> DataFrame:

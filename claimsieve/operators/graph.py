@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimsieve.operators import windows as W
 from claimsieve.plans.components import connected_components
 from claimsieve.plans.storage import materialize
 
@@ -315,14 +316,13 @@ def _over_joins(both: DataFrame, sources: DataFrame) -> DataFrame:
 def network_table(table: DataFrame, enriched: DataFrame) -> DataFrame:
     """Communities with their figures in [0, 1] and ids by exposure."""
     out = table.join(enriched, "community", "left")
-    n = Window.orderBy(F.desc_nulls_last("total_paid"), "community")  # communities, not providers
-    return out.withColumns(
+    return W.ranked(out, [F.desc_nulls_last("total_paid"), F.col("community")], "_rank").withColumns(
         {
             "referral_density": F.least(F.col("referrals") / (5 * F.col("size")), F.lit(1.0)),
             "edge_variety": F.least(F.col("edge_type_count") / 5, F.lit(1.0)),
-            "network_id": F.format_string("NET-%04d", F.row_number().over(n)),
+            "network_id": F.format_string("NET-%04d", F.col("_rank")),
         }
-    )
+    ).drop("_rank")
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int = 2, edge_types: tuple[str, ...] = (), min_weight: float = 0.0) -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimsieve.functions import columns as C
@@ -32,7 +32,7 @@ def queue_page(queue: DataFrame, sort_by: str = "priority", capacity_hours: floa
     rows = queue if status is None else queue.where(F.col("queue_status") == status)
     order = [*(F.desc(c) for c in _QUEUE_ORDER[sort_by]), F.asc("case_id")]
     if capacity_hours is not None:
-        rows = rows.withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
+        rows = W.ranked(rows, order, "_rank")
         rows = W.greedy_capacity(rows, capacity_hours, "_rank").where("selected").drop("_rank")
     return rows.orderBy(*order).offset(offset).limit(limit)
 

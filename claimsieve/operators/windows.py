@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,22 +117,43 @@ def cumulative(counts: DataFrame, order: str, n: str, ascending: bool = True) ->
     return dealt.withColumn("_own", own).join(F.broadcast(base), "_part").withColumn("_below", F.col("_own") + F.col("_base")).drop("_part", "_own", "_base"), sums.agg(F.sum("_sum").alias("_all"))
 
 
-def greedy_capacity(items: DataFrame, capacity: float, order: str = "queue_rank", effort: str = "effort_hours", key: str = "case_id", max_items: int = 100_000) -> DataFrame:
-    """Take each item in order if it still fits, else go on: an ordered fold over the queue.
+def ranked(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Number rows from 1 in a total order, without a window over one partition: as ``cumulative`` adds, for counts of rows."""
+    from claimsieve.plans.storage import materialize
 
-    A running sum can't say this, since an item that doesn't fit leaves room for later ones. The fold is over one array, so
-    the queue must be a work list of people; more than ``max_items`` raises.
-    """
-    listed = items.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(effort).cast("double").alias("e"), F.col(key).alias("k")))).alias("xs"))
-    listed = listed.select(F.when(F.col("n") > max_items, F.raise_error(F.lit(f"more than {max_items} items"))).otherwise(F.col("xs")).alias("xs"))
-    start = F.struct(F.lit(0.0).alias("used"), F.array().cast("array<struct<k:" + items.schema[key].dataType.simpleString() + ",used:double>>").alias("taken"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    # As many rows as partitions.
+    base = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.withColumn("_own", own).join(F.broadcast(base), "_part").withColumn(out, (F.col("_own") + F.col("_base")).cast("int")).drop("_part", "_own", "_base")
 
-    def step(acc: Column, x: Column) -> Column:
-        used = acc["used"] + x["e"]
-        return F.when(used <= capacity, F.struct(used.alias("used"), F.concat(acc["taken"], F.array(F.struct(x["k"].alias("k"), used.alias("used")))).alias("taken"))).otherwise(acc)
 
-    taken = listed.select(F.explode(F.aggregate("xs", start, step)["taken"]).alias("t")).select(F.col("t.k").alias(key), F.col("t.used").alias("hours_used"))
-    return items.join(taken, key, "left").withColumn("selected", F.col("hours_used").isNotNull())
+def greedy_capacity(items: DataFrame, capacity: float, order: str = "queue_rank", effort: str = "effort_hours", key: str = "case_id") -> DataFrame:
+    """Take each item in order if it still fits, else go on (an item that doesn't fit leaves room for later ones).
+
+    In rounds: of the items that still fit the longest run from the front is taken by a running sum over ranges; behind it, what
+    no longer fits is dropped. Each round takes an item at least, and few are needed once the room is less than most items.
+    """
+    from claimsieve.plans.storage import materialize
+
+    rest = items.select(F.struct(F.col(order).alias("o"), F.col(key).alias("k")).alias("_o"), F.col(effort).cast("double").alias("_e")).where("_e is not null")
+    used, parts = 0.0, []
+    while True:
+        below, _ = cumulative(rest.where(F.col("_e") <= capacity - used), "_o", "_e")
+        taken = materialize(below.withColumn("hours_used", used + F.col("_below") + F.col("_e")).where(F.col("hours_used") <= capacity).select("_o", "hours_used"), "taken")
+        last = taken.agg(F.max("hours_used").alias("used"), F.max("_o").alias("o")).first()
+        if last["used"] is None:
+            break
+        parts.append(taken)
+        used = last["used"]
+        end = F.struct(F.lit(last["o"]["o"]).cast(items.schema[order].dataType).alias("o"), F.lit(last["o"]["k"]).cast(items.schema[key].dataType).alias("k"))
+        rest = rest.where(F.col("_o") > end)
+    if not parts:
+        return items.withColumns({"hours_used": F.lit(None).cast("double"), "selected": F.lit(False)})
+    chosen = reduce(lambda a, b: a.unionByName(b), parts).select(F.col("_o.k").alias(key), "hours_used")
+    return items.join(chosen, key, "left").withColumn("selected", F.col("hours_used").isNotNull())
 
 
 def same_day_events(claims: DataFrame) -> DataFrame:

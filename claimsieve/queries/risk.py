@@ -107,7 +107,7 @@ def u13(spark, d):
 
 def u14(spark, d):
     rows = fused(spark, d).select(F.col("provider_id").alias("id"), F.col("risk_score").alias("score"), (F.col("provider_id").cast("int") % 9 == 0).cast("int").alias("label"))
-    return Ev.ranking_metrics(rows, (10, 25))
+    return Ev.ranking_metrics(rows, (10, 25)).withColumn("value", r6("value"))
 
 
 def m13(spark, d):
@@ -189,7 +189,52 @@ def v03(spark, d):
 V03 = f"""WITH ring AS (SELECT CAST(s_suppkey % 12 AS VARCHAR) AS ring_id, s_suppkey AS p FROM supplier WHERE s_suppkey % 4 = 0), m AS (SELECT s_suppkey AS p, CAST(s_suppkey % 9 AS VARCHAR) AS community FROM supplier), z AS (SELECT community, count(*) AS community_size FROM m GROUP BY 1), t AS (SELECT ring_id, count(*) AS ring_size FROM ring GROUP BY 1),
  o AS (SELECT ring_id, community, count(*) AS overlap, count(*) OVER (PARTITION BY ring_id) AS n_communities, row_number() OVER (PARTITION BY ring_id ORDER BY count(*) DESC, community) AS k FROM ring JOIN m USING (p) GROUP BY 1, 2)
  SELECT ring_id, ring_size, community, overlap, community_size, n_communities, {R6('overlap / ring_size')} AS recovery, n_communities = 1 AND overlap = ring_size AS one_community, community_size - overlap AS false_members FROM t JOIN o USING (ring_id) JOIN z USING (community) WHERE k = 1"""
+
+# The score table as its definition has it: weights go to the families that are there, contributions sum to the score.
+_F = ("rules", "ml", "anomaly", "future")
+_W = {"rules": 0.25, "ml": 0.25, "anomaly": 0.15, "future": 0.1}
+_SAID = {"rules": "rule findings", "ml": "claim model probabilities", "anomaly": "unusual behaviour among providers", "future": "forward risk"}
+_CLIP = "least(greatest({}, 0.0), 1.0)"
+
+
+def _tiers(x: str, cuts: tuple[float, ...], names: tuple[str, ...]) -> str:
+    return "CASE " + " ".join(f"WHEN {x} >= {c} THEN '{n}'" for c, n in reversed(list(zip(cuts, names[1:])))) + f" ELSE '{names[0]}' END"
+
+
+FUTURE_COLUMNS = "fc AS (SELECT CAST(s_suppkey AS VARCHAR) AS provider_id, (s_suppkey % 10) / 10 AS risk_30d, CASE WHEN s_suppkey % 2 = 0 THEN (s_suppkey % 7) / 7 END AS risk_60d, (s_suppkey % 5) / 5 AS risk_90d FROM supplier WHERE s_suppkey % 3 <> 0)"
+_PARTS = ", ".join(f"CASE WHEN {f}_signal IS NULL THEN 0.0 ELSE {_CLIP.format(f + '_signal')} * {_W[f]} / aw END AS part_{f}" for f in _F)
+_ROUNDED = ", ".join(f"round(part_{f}, 4) AS raw_{f}" for f in _F)
+_MOST = "greatest(" + ", ".join(f"raw_{f}" for f in _F) + ")"
+_WHICH = "CASE " + " ".join(f"WHEN raw_{f} = {_MOST} THEN '{f}'" for f in _F) + " END"
+_GIVEN = ", ".join(f"round(raw_{f} + CASE WHEN {_WHICH} = '{f}' THEN rest ELSE 0.0 END, 4) AS {f}_contribution" for f in _F)
+_PRESENT = " + ".join(f"CASE WHEN {f}_signal IS NULL THEN 0 ELSE 1 END" for f in _F)
+_ACTIVE = " + ".join(f"CASE WHEN coalesce({_CLIP.format(f + '_signal')}, 0) >= 0.2 AND {f}_signal IS NOT NULL THEN 1 ELSE 0 END" for f in _F)
+_TOTAL = " + ".join(f"coalesce({f}_signal, 0)" for f in _F)
+_SPREAD = " + ".join(f"CASE WHEN {f}_signal IS NULL THEN 0.0 ELSE ({f}_signal - mean) * ({f}_signal - mean) END" for f in _F)
+_ITEMS = ", ".join(f"CASE WHEN {f}_contribution >= {0.02 if f in ('rules', 'ml') else 0.01} THEN struct_pack(c := -{f}_contribution, t := '{_SAID[f]} (+' || printf('%.4f', {f}_contribution) || ')') END" for f in _F)
+SCORES = f"""{V.with_views('claims')}, {ALERTS}, {_RULES}, {_ML}, {_AN}, {_FU}, {FUTURE_COLUMNS},
+ g0 AS (SELECT *, {" + ".join(f"CASE WHEN {f}_signal IS NULL THEN 0.0 ELSE {_W[f]} END" for f in _F)} AS aw, {_PRESENT} AS present FROM rs FULL JOIN ms USING (provider_id) FULL JOIN an USING (provider_id) FULL JOIN fu USING (provider_id) FULL JOIN fc USING (provider_id)),
+ g1 AS (SELECT *, {_PARTS}, ({_TOTAL}) / present AS mean FROM g0), g2 AS (SELECT *, {_ROUNDED}, round(least({" + ".join(f"part_{f}" for f in _F)}, 1.0), 4) AS risk_score, sqrt(({_SPREAD}) / present) AS std, {_ACTIVE} AS active_families FROM g1),
+ g3 AS (SELECT *, round(risk_score - ({" + ".join(f"raw_{f}" for f in _F)}), 4) AS rest FROM g2),
+ g4 AS (SELECT *, {_GIVEN}, round(least(0.2 * least(active_families / 3, 1) + 0.3 * least(coalesce(distinct_rules, 0) / 3, 1) + 0.25 * least((coalesce(n_claims, 0) + coalesce(ml_high_claims, 0)) / 15, 1), 1.0), 4) AS evidence_strength,
+  round(least(0.6 * aw + 0.25 * CASE WHEN present >= 2 THEN greatest(0.0, 1 - 2 * std) ELSE 0.5 END + 0.15 * least(coalesce(ml_claims, 0) / 50, 1), 1.0), 4) AS confidence FROM g3),
+ scores AS (SELECT *, {_tiers('risk_score', (0.25, 0.5, 0.75), ('LOW', 'MODERATE', 'HIGH', 'CRITICAL'))} AS risk_tier, {_tiers('evidence_strength', (0.25, 0.5, 0.75), ('LOW', 'MODERATE', 'HIGH', 'VERY_HIGH'))} AS evidence_tier, {_tiers('confidence', (0.4, 0.7), ('LOW', 'MEDIUM', 'HIGH'))} AS confidence_tier,
+  array_to_string([x.t for x in list_sort([x for x in [{_ITEMS}] if x IS NOT NULL])[1:4]], '; ') AS reasons FROM g4)"""
+U13 = f"""{SCORES} SELECT provider_id, risk_score, rules_contribution, ml_contribution, anomaly_contribution, 0.0::DOUBLE AS network_contribution, 0.0::DOUBLE AS temporal_contribution, future_contribution, 0.0::DOUBLE AS historical_contribution,
+ evidence_strength, confidence, active_families, risk_tier, evidence_tier, confidence_tier, reasons FROM scores"""
+
+
+def ranking_sql(rows: str, ks: tuple[int, ...]) -> str:
+    """Ranking metrics of ``rows``, a query of (id, score, label), to put behind other CTEs (starts with a comma)."""
+    tops = " UNION ALL ".join(f"SELECT {k} AS kk, sum(label) AS hits FROM k WHERE o <= {k}" for k in ks)
+    return f""", x AS ({rows}), t AS (SELECT count(*) AS n, sum(label) AS p FROM x), r AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS ar FROM x),
+ gs AS (SELECT score, count(*) AS n, sum(label) AS pos FROM x GROUP BY 1), c AS (SELECT pos, sum(pos) OVER (ORDER BY score DESC) / sum(n) OVER (ORDER BY score DESC) AS prec FROM gs), k AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS o FROM x), h AS ({tops})
+ SELECT 'roc_auc' AS metric, round(((SELECT sum(ar) FROM r WHERE label = 1) - p * (p + 1) / 2) / (p * (n - p)) * 1e6) / 1e6 AS value FROM t UNION ALL SELECT 'average_precision', {R6('(SELECT sum(pos * prec) FROM c) / p')} FROM t UNION ALL SELECT 'base_rate', {R6('p / n')} FROM t
+ UNION ALL SELECT 'precision_at_' || kk, {R6('hits / kk')} FROM h UNION ALL SELECT 'recall_at_' || kk, {R6('hits / p')} FROM h CROSS JOIN t UNION ALL SELECT 'lift_at_' || kk, {R6('hits / kk / (p / n)')} FROM h CROSS JOIN t"""
+
+
+U14 = SCORES + ranking_sql("SELECT provider_id AS id, risk_score AS score, CASE WHEN CAST(provider_id AS INTEGER) % 9 = 0 THEN 1 ELSE 0 END AS label FROM scores", (10, 25))
 ENTRIES = {
-    "u01_rule_signal": (u01, U01), "u02_ml_signal": (u02, U02), "u03_anomaly_signal": (u03, U03), "u04_future_signal": (u04, U04), "u05_network_signal": (u05, U05), "u08_fused_score": (u08, U08), "u13_score_table": (u13, None), "u14_prioritisation": (u14, None),
+    "u01_rule_signal": (u01, U01), "u02_ml_signal": (u02, U02), "u03_anomaly_signal": (u03, U03), "u04_future_signal": (u04, U04), "u05_network_signal": (u05, U05), "u08_fused_score": (u08, U08), "u13_score_table": (u13, U13), "u14_prioritisation": (u14, U14),
     "m13_ranking_metrics": (m13, M13), "m05_reliability": (m05, M05), "m05_calibration": (m05b, M05B), "v01_rule_quality": (v01, V01), "v02_claim_quality": (v02, V02), "v02_severities": (v02b, V02B), "v03_ring_recovery": (v03, V03),
 }

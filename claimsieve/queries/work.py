@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from claimsieve.functions.columns import PROHIBITED
@@ -9,7 +11,7 @@ from claimsieve.operators import cases as K
 from claimsieve.operators import investigate as Q
 from claimsieve.plans.storage import materialize
 from claimsieve.queries.common import R2, R6, r2, r6
-from claimsieve.queries.risk import ALERTS, alerts, claim_ml, fused
+from claimsieve.queries.risk import ALERTS, SCORES, V02, alerts, claim_ml, fused
 from claimsieve.sources import tables as T
 from claimsieve.sources import views as V
 from claimsieve.sources.config import CaseConfig, QueueConfig
@@ -28,6 +30,32 @@ def k01(spark, d):
     return K.build_cases(fused(spark, d), CaseConfig(min_risk=0.3)).select("case_id", "provider_id", "risk_score", "priority", "status", F.array_join("families", ",").alias("families"), "title", "claim_count", r2("estimated_exposure").alias("estimated_exposure"), F.size("recommendations").alias("n_recommendations"))
 
 
+_FAMILIES = "array_to_string([x for x in [" + ", ".join(f"CASE WHEN {f}_signal >= 0.15 THEN '{f}' END" for f in ("rules", "ml", "anomaly", "future")) + "] if x IS NOT NULL], ',')"
+_CASE = f"""'CASE-' || lpad(CAST(case_rank AS VARCHAR), 6, '0') AS case_id, {_FAMILIES} AS families, CASE risk_tier WHEN 'MODERATE' THEN 'MEDIUM' ELSE risk_tier END AS priority, coalesce(exposure, 0) AS estimated_exposure, coalesce(n_claims, 0) AS claim_count,
+ CAST(1 + CASE WHEN coalesce(alert_count, 0) > 0 THEN 1 ELSE 0 END + CASE WHEN coalesce(ml_high_claims, 0) > 0 THEN 1 ELSE 0 END + CASE WHEN coalesce(anomaly_flag, 0) = 1 THEN 1 ELSE 0 END + CASE WHEN coalesce(risk_30d, 0) >= 0.5 THEN 1 ELSE 0 END AS INTEGER) AS n_recommendations"""
+_RANK = "row_number() OVER (ORDER BY risk_score DESC, evidence_strength DESC, provider_id) AS case_rank"
+K01 = f"""{SCORES}, o AS (SELECT *, {_RANK} FROM scores WHERE risk_score >= 0.3 AND risk_tier <> 'LOW' OR evidence_strength >= 0.5), cases AS (SELECT *, {_CASE} FROM o)
+ SELECT case_id, provider_id, risk_score, priority, 'NEW' AS status, families, 'Provider ' || provider_id || ': ' || risk_tier || ' review priority' AS title, claim_count, {R2('estimated_exposure')} AS estimated_exposure, n_recommendations FROM cases"""
+#: A case for each provider.
+CASES = f"{SCORES}, o AS (SELECT *, {_RANK} FROM scores), cases AS (SELECT *, {_CASE} FROM o)"
+_QW = {"risk": 0.35, "evidence": 0.20, "exposure": 0.15, "anomaly": 0.05, "future": 0.10, "behaviour": 0.05}
+_SAID = {"risk": "high risk score", "evidence": "strong evidence", "exposure": "large exposure", "anomaly": "unusual behaviour", "future": "forward risk", "behaviour": "many findings"}
+_THERE = {k: f"q_{k} > 0" if k in ("anomaly", "future") else "true" for k in _QW}
+_QITEMS = ", ".join(f"CASE WHEN q_{k} >= 0.5 THEN struct_pack(w := -q_{k} * {w}, t := '{_SAID[k]}') END" for k, w in _QW.items())
+QUEUE = f"""{CASES}, lim AS (SELECT min(ln(1 + greatest(estimated_exposure, 0))) AS lo, max(ln(1 + greatest(estimated_exposure, 0))) AS hi FROM cases),
+ q0 AS (SELECT cases.*, risk_score AS q_risk, evidence_strength AS q_evidence, CASE WHEN hi > lo THEN (ln(1 + greatest(estimated_exposure, 0)) - lo) / (hi - lo) ELSE least(ln(1 + greatest(estimated_exposure, 0)) / ln(100001), 1) END AS q_exposure, 0.0::DOUBLE AS q_network,
+  CASE WHEN coalesce(anomaly_flag, 0) = 1 THEN greatest(anomaly_signal, 0.7) WHEN anomaly_signal >= 0.9 THEN anomaly_signal ELSE 0.5 * coalesce(anomaly_signal, 0) END AS q_anomaly, coalesce(greatest(risk_30d, risk_60d, risk_90d), 0) AS q_future,
+  0.35 * least(coalesce(alert_count, 0) / 10, 1) + 0.25 * least(coalesce(high_count, 0) / 5, 1) + 0.2 * least(coalesce(distinct_rules, 0) / 5, 1) + 0.2 * least(coalesce(ml_high_claims, 0) / 10, 1) AS q_behaviour FROM cases CROSS JOIN lim),
+ q1 AS (SELECT *, ({" + ".join(f"CASE WHEN {_THERE[k]} THEN q_{k} * {w} ELSE 0.0 END" for k, w in _QW.items())}) / ({" + ".join(f"CASE WHEN {_THERE[k]} THEN {w} ELSE 0.0 END" for k, w in _QW.items())}) AS priority_score,
+  array_to_string([x.t for x in list_sort([x for x in [{_QITEMS}] if x IS NOT NULL])[1:5]], '; ') AS queue_reasons FROM q0),
+ q2 AS (SELECT *, CASE WHEN priority_score >= 0.8 THEN 'CRITICAL' WHEN priority_score >= 0.6 THEN 'HIGH' WHEN priority_score >= 0.35 THEN 'MEDIUM' ELSE 'LOW' END AS priority_tier, CAST(row_number() OVER (ORDER BY priority_score DESC, risk_score DESC, evidence_strength DESC, estimated_exposure DESC, case_id) AS INTEGER) AS queue_rank FROM q1),
+ queue AS (SELECT *, 'SIU-' || lpad(CAST(queue_rank AS VARCHAR), 6, '0') AS queue_id, CASE WHEN queue_rank <= 20 THEN 'QUEUED' ELSE 'DEFERRED' END AS queue_status FROM q2)"""
+K05 = f"{QUEUE} SELECT case_id, provider_id, " + ", ".join(f"{R6('q_' + k)} AS q_{k}" for k in (*_QW, "network")) + f", {R6('priority_score')} AS priority_score, priority_tier, queue_reasons AS reasons FROM queue"
+K06 = f"{QUEUE} SELECT queue_id, case_id, queue_rank, queue_status, priority_tier, {R6('priority_score')} AS priority_score FROM queue"
+_MEANS = f"count(*) AS n, {R6('avg(risk_score)')} AS mean_risk, {R2('sum(estimated_exposure)')} AS exposure"
+K08 = f"{QUEUE} SELECT queue_status AS strategy, {_MEANS} FROM queue GROUP BY 1" + "".join(f" UNION ALL SELECT '{n}', {_MEANS} FROM (SELECT * FROM queue ORDER BY {o} DESC, case_id LIMIT 20)" for n, o in (("top_priority", "priority_score"), ("top_risk", "risk_score"), ("top_exposure", "estimated_exposure")))
+
+
 def k03(spark, d):
     e = K.case_evidence(_cases(spark, d), alerts(spark, d), claim_ml(spark, d))
     return e.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("case_id").alias("cases"))
@@ -152,14 +180,24 @@ Q14 = "WITH c AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS r FROM suppli
 
 
 def q03(spark, d):
-    """Detail of the first case: rows of each part."""
+    """Detail of the first case: what each part holds."""
     cs = _cases(spark, d)
     parts = Q.case_detail("CASE-000001", cs, K.case_evidence(cs, alerts(spark, d)), alerts(spark, d), V.claims(spark, d))
-    out = None
-    for name, df in sorted(parts.items()):
-        one = df.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    key = {"case": "case_id", "evidence": "source", "alerts": "alert_id", "claims": "claim_id"}
+    return reduce(lambda a, b: a.unionByName(b), (df.select(F.lit(name).alias("part"), F.col(key[name]).alias("id")) for name, df in sorted(parts.items())))
+
+
+_FIRST_CASE = "one AS (SELECT * FROM cases WHERE case_rank = 1), own AS (SELECT alerts.*, service_date FROM alerts JOIN claims USING (claim_id) WHERE CAST(alerts.provider_id AS VARCHAR) = (SELECT provider_id FROM one))"
+Q03 = f"""{CASES}, {_FIRST_CASE}, c AS (SELECT claim_id, service_date FROM own ORDER BY claim_id LIMIT 100), a AS (SELECT alert_id FROM own ORDER BY alert_id LIMIT 50) SELECT 'case' AS part, case_id AS id FROM one UNION ALL SELECT 'alerts', alert_id FROM a
+ UNION ALL (SELECT 'claims', claim_id FROM c ORDER BY service_date DESC, claim_id LIMIT 50) UNION ALL SELECT 'evidence', alert_id FROM own UNION ALL SELECT 'evidence', provider_id FROM one WHERE anomaly_flag = 1 OR anomaly_signal >= 0.7"""
+Q02 = f"""{QUEUE.replace('WITH ', 'WITH RECURSIVE ', 1)}, e AS (SELECT case_id, queue_rank, least(2 + 0.1 * claim_count, 8.0) AS h, row_number() OVER (ORDER BY priority_score DESC, case_id) AS r FROM queue),
+ t AS (SELECT r, CASE WHEN h <= 40 THEN h ELSE 0.0 END AS used, h <= 40 AS sel FROM e WHERE r = 1 UNION ALL SELECT e.r, CASE WHEN t.used + e.h <= 40 THEN t.used + e.h ELSE t.used END, t.used + e.h <= 40 FROM t JOIN e ON e.r = t.r + 1)
+ SELECT case_id, queue_rank, {R6('used')} AS hours_used FROM t JOIN e USING (r) WHERE sel"""
+Q04 = f"{CASES} SELECT rule_id, count(*) AS n, {R2('sum(est_dollars)')} AS amount FROM alerts GROUP BY 1 UNION ALL SELECT NULL, count(*), 0.0::DOUBLE FROM cases WHERE anomaly_flag = 1 OR anomaly_signal >= 0.7 HAVING count(*) > 0"
+Q11 = f"{SCORES} SELECT provider_id, risk_score, risk_tier FROM scores ORDER BY risk_score DESC, provider_id LIMIT 50"
+Q12 = f"SELECT count(*) AS rules, {R6('avg(f1)')} AS mean_f1, CAST(sum(fn) AS BIGINT) AS missed FROM ({V02})"
+Q13 = f"""{CASES}, l AS (SELECT CAST(provider_id AS VARCHAR) AS provider_id, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rules FROM alerts GROUP BY 1)
+ SELECT case_id, CAST(least(claim_count, 100) AS INTEGER) AS n_claims, coalesce(rules, '') AS rules, {R2('greatest(1.2 * estimated_exposure, 500)')} AS exposure_high FROM cases LEFT JOIN l USING (provider_id)"""
 
 
 def q06(spark, d):
@@ -212,7 +250,7 @@ def s07(spark, d):
 
 S07 = "SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"
 ENTRIES = {
-    "k01_cases": (k01, None), "k03_case_evidence": (k03, K03), "k05_priority": (k05, None), "k06_queue": (k06, None), "k07_integrated_cases": (k07, K07), "k07_fixture_cases": (k07b, K07B), "k08_queue_evaluation": (k08, None), "k09_decisions": (k09, K09),
-    "q01_summary": (q01, Q01), "q02_queue_hours": (q02, None), "q04_evidence_ledger": (q04, None), "q05_timeline": (q05, Q05), "q03_case_detail": (q03, None), "q06_ego_network": (q06, Q06), "q07_audit": (q07, Q07), "q08_networks": (q08, Q08), "q09_claims_page": (q09, Q09), "q10_providers_page": (q10, Q10), "q11_risk_info": (q11, None), "q12_evaluation": (q12, None), "q13_packets": (q13, None), "q14_narrative_audit": (q14, Q14),
+    "k01_cases": (k01, K01), "k03_case_evidence": (k03, K03), "k05_priority": (k05, K05), "k06_queue": (k06, K06), "k07_integrated_cases": (k07, K07), "k07_fixture_cases": (k07b, K07B), "k08_queue_evaluation": (k08, K08), "k09_decisions": (k09, K09),
+    "q01_summary": (q01, Q01), "q02_queue_hours": (q02, Q02), "q04_evidence_ledger": (q04, Q04), "q05_timeline": (q05, Q05), "q03_case_detail": (q03, Q03), "q06_ego_network": (q06, Q06), "q07_audit": (q07, Q07), "q08_networks": (q08, Q08), "q09_claims_page": (q09, Q09), "q10_providers_page": (q10, Q10), "q11_risk_info": (q11, Q11), "q12_evaluation": (q12, Q12), "q13_packets": (q13, Q13), "q14_narrative_audit": (q14, Q14),
     "s06_contract": (s06, S06), "s07_latest_by_key": (s07, S07),
 }
