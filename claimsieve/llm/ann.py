@@ -135,7 +135,8 @@ def build_index(vectors: DataFrame, shard_size: int = SHARD) -> DataFrame:
 def search(index: DataFrame, queries: DataFrame, k: int, factor: float = 1.0) -> DataFrame:
     """Rows ``query_id, rank, vec_id, score``: the k best of each query over all shards, best first, ties to smaller ids.
 
-    ``index`` is a written table. Queries go in blocks to each shard.
+    ``index`` is a written table. Queries go in blocks to each shard. Rows of one id are one query, with the k best of all of
+    them, and each is a candidate of its own; rows with a NULL id must be left out before. Other columns are ignored.
     """
     shards = index.count()
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
@@ -145,7 +146,9 @@ def search(index: DataFrame, queries: DataFrame, k: int, factor: float = 1.0) ->
         return pa.table({"block": t["block"][:1], "queries": pa.array([blob], pa.binary())})
 
     blobs = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(block, "block int, queries binary")
-    met = blobs.select("queries", F.explode(F.sequence(F.lit(0), F.lit(max(0, shards - 1)))).alias("shard")).join(index, "shard")
+    # Each tree meets each block in one exchange by both numbers, which a task that is run again deals in the same way.
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1))))
+    met = blobs.select("block", "queries", every(shards).alias("shard")).join(index.select("shard", "tree", every(blocks).alias("block")), ["shard", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +159,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, factor: float = 1.0) ->
                 on &= np.isfinite(score)
                 yield pa.record_batch({"query_id": pa.array(np.repeat(asked["ids"], k)[on.ravel()]), "vec_id": pa.array(ids[on]), "score": pa.array(score[on])})
 
-    found = met.repartition(max(1, shards * blocks // 4), F.monotonically_increasing_id()).select("queries", "tree").mapInArrow(run, "query_id long, vec_id long, score double")
+    found = met.select("queries", "tree").mapInArrow(run, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
