@@ -339,6 +339,11 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int = 2, edge_types
     return seen, kept.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
+def community_subgraph(edges: DataFrame, communities: DataFrame, community: str, depth: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges around the hub of one community (table with ``community`` and ``hub``); an unknown one gives none."""
+    return neighbourhood(edges, communities.where(F.col("community") == community).select(F.col("hub").alias("id")), depth)
+
+
 def member_cohorts(claims: DataFrame, provider_ids: DataFrame, least: int = 5) -> DataFrame:
     """Members of these providers by the set of them that they see; one row if there are more than ``least`` members."""
     rows = claims.join(provider_ids, "provider_id", "left_semi").where("member_id is not null")

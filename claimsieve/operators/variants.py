@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from claimsieve.operators import features as X
 from claimsieve.operators import rules as R
 from claimsieve.operators import windows as W
 from claimsieve.sources.config import RuleConfig
+from claimsieve.sources.tables import has_columns
 
 Tables = Mapping[str, DataFrame]
 #: Laboratory panels and their components.
@@ -139,3 +141,53 @@ def run_detection(tables: Tables) -> dict[str, DataFrame]:
         if "state" in c.columns:
             out["behaviour"] = X.behaviour(c)
     return out
+
+
+#: Rule, severity, what it says, and the columns that identify a finding of each variant.
+_FINDINGS = {
+    "duplicates": ("R01", "HIGH", "Claims bill the same service."), "near_duplicates": ("R01", "MEDIUM", "Claims bill the same service within days."), "upcoding": ("R02", "HIGH", "High visit levels stand out among peers."), "panels": ("R03", "MEDIUM", "Panel components are billed apart."),
+    "phantom": ("R04", "CRITICAL", "A claim contradicts the member's or provider's status."), "days": ("R05", "HIGH", "More service time than a day allows."), "volume": ("R05", "HIGH", "Volume is far over the baseline."), "places": ("R06", "HIGH", "Services at places too far apart."),
+    "referrals": ("R07", "MEDIUM", "Referrals concentrate on one target."), "out_of_state": ("R08", "MEDIUM", "Routine visits of members from other states."), "shared": ("R09", "LOW", "A member sees very many providers."), "bursts": ("R10", "CRITICAL", "A week is billed far over the usual."),
+}
+
+
+def detection_output(tables: Tables) -> dict[str, DataFrame]:
+    """Findings of all variants as ``alerts`` and ``evidence``, and feature tables ``(entity_id, features map)``.
+
+    Ids are digests of what was found, so a run over the same tables gives the same. Features are those of providers,
+    referrals, time and place that the tables allow.
+    """
+    found = run_detection(tables)
+    alerts, evidence = [], []
+    for name, (rule, severity, text) in _FINDINGS.items():
+        if name not in found:
+            continue
+        df = found[name]
+        plain = [c for c, t in df.dtypes if not t.startswith(("array", "map", "struct"))]
+        what = F.substring(F.sha2(F.to_json(F.struct(*df.columns)), 256), 1, 16)
+        who = F.col("provider_id").cast("string") if "provider_id" in df.columns else F.lit("UNKNOWN")
+        claims = F.array_compact(F.array(*(F.col(c).cast("string") for c in plain if c.startswith("claim_id")))) if any(c.startswith("claim_id") for c in plain) else F.transform("claim_ids", lambda x: x.cast("string")) if "claim_ids" in df.columns else F.array().cast("array<string>")
+        sev = F.col("severity") if "severity" in df.columns else F.lit(severity)
+        est = F.coalesce(F.col("est_dollars").cast("double"), F.lit(0.0)) if "est_dollars" in df.columns else F.lit(0.0)
+        base = df.select(F.concat(F.lit(f"{rule}-{name}-"), what).alias("k"), who.alias("provider_id"), claims.alias("claims"), sev.alias("severity"), est.alias("est"))
+        alerts.append(base.select(F.concat(F.lit("al-"), "k").alias("alert_id"), "provider_id", F.lit(rule).alias("rule_id"), "severity", F.array(F.concat(F.lit("ev-"), "k")).alias("evidence_ids")))
+        evidence.append(base.select(F.concat(F.lit("ev-"), "k").alias("evidence_id"), F.lit(rule).alias("rule_id"), F.lit(text).alias("description"), F.col("est").alias("estimated_overpayment"), F.col("claims").alias("claim_level_traceability")))
+    out = {"alerts": reduce(lambda a, b: a.unionByName(b), alerts), "evidence": reduce(lambda a, b: a.unionByName(b), evidence)}
+    c = tables["claims"]
+    out["provider_features"] = _as_map(X.provider_features(c), "provider_id")
+    weekly = c.where("provider_id is not null and service_date is not null").groupBy("provider_id", C.iso_week(F.col("service_date")).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("paid_amount").alias("paid"))
+    out["temporal_features"] = _as_map(weekly.groupBy("provider_id").agg(F.count(F.lit(1)).alias("active_weeks"), F.max("n").alias("most_weekly_claims"), F.avg("paid").alias("mean_weekly_paid"), F.max("paid").alias("most_weekly_paid")), "provider_id")
+    if "behaviour" in found:
+        out["behaviour_features"] = _as_map(found["behaviour"], "provider_id")
+    if has_columns(tables.get("members"), "county"):
+        place = c.select("provider_id", "member_id").join(tables["members"].select("member_id", "county"), "member_id")
+        out["geographic_features"] = _as_map(place.where("provider_id is not null").groupBy("provider_id").agg(F.countDistinct("county").alias("counties"), F.countDistinct("member_id").alias("members")), "provider_id")
+    if tables.get("referrals") is not None:
+        sent = tables["referrals"].where("referring_provider_id is not null").groupBy(F.col("referring_provider_id").alias("provider_id")).agg(F.count(F.lit(1)).alias("sent"), F.countDistinct("target_provider_id").alias("targets"))
+        out["referral_features"] = _as_map(sent, "provider_id")
+    return out
+
+
+def _as_map(df: DataFrame, key: str) -> DataFrame:
+    cols = [c for c, t in df.dtypes if c != key and t in ("int", "bigint", "double", "float", "smallint", "tinyint")]
+    return df.select(F.col(key).cast("string").alias("entity_id"), F.map_from_arrays(F.array(*map(F.lit, cols)), F.array(*(F.col(c).cast("double") for c in cols))).alias("features"))

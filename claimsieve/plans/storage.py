@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_ROOT = "/tmp/checkpoints"
+#: Paths that this driver has named, the oldest first, until they are deleted.
+_NAMED: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,7 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _NAMED.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
@@ -38,5 +42,18 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a table that ``new_path`` named and that is no longer read."""
+    if path in _NAMED:
+        _NAMED.remove(path)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def mark() -> int:
+    """Where the list of paths stands, for ``delete_since``."""
+    return len(_NAMED)
+
+
+def delete_since(spark: SparkSession, at: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Remove all tables that were named since a mark, but for some. Only what has been written elsewhere may lose them."""
+    for path in [p for p in _NAMED[at:] if p not in keep]:
+        delete_path(spark, path)

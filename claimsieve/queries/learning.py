@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from claimsieve.operators import features as X
 from claimsieve.operators import learning as M
 from claimsieve.queries.common import R6, event_claims, r6
+from claimsieve.queries.risk import anomaly, future, ranking_sql
 from claimsieve.sources import views as V
 
 
@@ -103,4 +104,59 @@ def m12(spark, d):
     return M.ablation(rows, {"amounts": ("paid_amount", "billed_amount")}, ("paid_amount", "billed_amount", "claim_frequency"), k=2, rounds=2).select("experiment", "metric", r6("value").alias("value"))
 
 
-ENTRIES = {"m01_target": (m01, M01), "m02_grouped_folds": (m02, None), "m03_claim_scores": (m03, None), "m08_provider_anomaly": (m08, None), "m09_future_targets": (m09, M09), "m10_snapshot_panel": (m10, M10), "m14_baselines": (m14, None), "m06_attributions": (m06, None), "m11_future_risk": (m11, None), "m12_ablation": (m12, None)}
+def m07(spark, d):
+    """The claim table of seventeen columns: rows and what the parts of it hold, by fold."""
+    m, c = _matrix(spark, d)
+    t, _ = M.claim_ml_table(m, _labels(c), k=3, rounds=3, depth=3)
+    assert len(t.columns) == 17
+    return t.groupBy("oof_fold").agg(F.count(F.lit(1)).alias("n"), F.sum("ml_prediction").alias("predicted"), F.countDistinct("top_feature_1").alias("first_reasons"), F.sum((F.col("ml_risk_score") != F.col("ml_probability")).cast("int")).alias("differ"), r6(F.max("top_feature_1_shap")).alias("most"))
+
+
+def m14b(spark, d):
+    """Claims ranked by their amount alone."""
+    from claimsieve.operators.evaluation import ranking_metrics
+
+    c = event_claims(spark, d).select(F.col("claim_id").alias("id"), F.col("paid_amount").alias("score"), (F.col("provider_id") % 5 == 0).cast("int").alias("label"))
+    return ranking_metrics(c, (10, 50)).withColumn("value", r6("value"))
+
+
+M14B = "WITH " + ranking_sql("SELECT event_id AS id, round(value * 100) / 100 AS score, CASE WHEN user_id % 5 = 0 THEN 1 ELSE 0 END AS label FROM events", (10, 50))[2:]
+
+
+def _entity_labels(spark, d, every=9):
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    return s.select(F.lit("provider").alias("entity_type"), F.col("s_suppkey").alias("entity_id"), (F.col("s_suppkey") % every == 0).cast("int").alias("is_suspicious"))
+
+
+def m15(spark, d):
+    """Anomaly scores of providers against known ones."""
+    a = anomaly(spark, d).select("provider_id", F.col("anomaly_percentile").alias("anomaly_score"), F.col("anomaly_flag").cast("int").alias("anomaly_flag"))
+    return M.evaluate_anomaly(a, _entity_labels(spark, d)).withColumn("value", r6("value"))
+
+
+_ANOMALY = "an AS (SELECT CAST(s_suppkey AS VARCHAR) AS id, CAST(s_suppkey % 101 AS DOUBLE) AS score, CASE WHEN s_suppkey % 9 = 0 THEN 1 ELSE 0 END AS label, CASE WHEN s_suppkey % 101 >= 95 THEN 1 ELSE 0 END AS flag FROM supplier)"
+_COUNTED = f"""SELECT count(*) AS n_providers, sum(label) AS n_suspicious, sum(flag) AS n_flagged, sum(flag * label) AS tp FROM an"""
+M15 = f"""WITH {_ANOMALY}, cnt AS ({_COUNTED}), long AS (SELECT unnest([struct_pack(metric := 'n_providers', value := n_providers::DOUBLE), struct_pack(metric := 'n_suspicious', value := n_suspicious::DOUBLE), struct_pack(metric := 'n_flagged', value := n_flagged::DOUBLE), struct_pack(metric := 'n_true_positive_flagged', value := tp::DOUBLE),
+  struct_pack(metric := 'n_false_positive_flagged', value := (n_flagged - tp)::DOUBLE), struct_pack(metric := 'flag_precision', value := {R6('coalesce(tp / nullif(n_flagged, 0), 0)')}), struct_pack(metric := 'flag_recall', value := {R6('coalesce(tp / nullif(n_suspicious, 0), 0)')})]) AS m FROM cnt)""" + ranking_sql("SELECT id, score, label FROM an", (5, 10, 25, 50)) + " UNION ALL SELECT m.metric, m.value FROM long"
+
+
+def m15b(spark, d):
+    """Forward risk of providers against known ones, by horizon; providers without a value take no part."""
+    return M.evaluate_future(future(spark, d), _entity_labels(spark, d, 4), ks=(5, 25)).withColumn("value", r6("value"))
+
+
+M15B = " UNION ALL ".join(
+    f"SELECT {h} AS horizon, metric, value FROM (WITH " + ranking_sql(f"SELECT CAST(s_suppkey AS VARCHAR) AS id, {v} AS score, CASE WHEN s_suppkey % 4 = 0 THEN 1 ELSE 0 END AS label FROM supplier WHERE s_suppkey % 3 <> 0{more}", (5, 25))[2:] + ")"
+    for h, v, more in ((30, "(s_suppkey % 10) / 10", ""), (60, "(s_suppkey % 7) / 7", " AND s_suppkey % 2 = 0"), (90, "(s_suppkey % 5) / 5", ""))
+)
+
+
+def m16(spark, d):
+    """All learning over claims made from events: what the evaluation holds."""
+    c = event_claims(spark, d).withColumns({"billed_amount": F.col("service_minutes"), "modifier": F.lit(None).cast("string"), "member_id": F.col("claim_id") % 500})
+    known = spark.read.parquet(f"{d}/events.parquet").select(F.lit("provider").alias("entity_type"), F.col("user_id").alias("entity_id"), (F.col("user_id") % 7 == 0).cast("int").alias("is_suspicious")).distinct()
+    out = M.run_learning(c, V.providers(spark, d), V.members(spark, d), _labels(c), known, k=2, rounds=2, trees=20, snapshots=2)
+    return out["evaluation"].select("part", "metric", r6("value").alias("value"))
+
+
+ENTRIES = {"m01_target": (m01, M01), "m02_grouped_folds": (m02, None), "m03_claim_scores": (m03, None), "m08_provider_anomaly": (m08, None), "m09_future_targets": (m09, M09), "m10_snapshot_panel": (m10, M10), "m14_baselines": (m14, None), "m06_attributions": (m06, None), "m11_future_risk": (m11, None), "m12_ablation": (m12, None), "m07_claim_table": (m07, None), "m14_amount": (m14b, M14B), "m15_anomaly_evaluation": (m15, M15), "m15_future_evaluation": (m15b, M15B), "m16_learning_run": (m16, None)}

@@ -210,7 +210,33 @@ def n11(spark, d):
 N11 = f"""{_PROJECTION} SELECT u, v, any_value(u || ' is connected to ' || v || ' by ') || string_agg(edge_type || ' (' || CAST(CAST(round_even(raw, 0) AS BIGINT) AS VARCHAR) || ')', ', ' ORDER BY edge_type) || '.' AS text FROM kinds GROUP BY 1, 2"""
 
 
+def n06b(spark, d):
+    """Features of providers with their banks as communities; every fifth provider counts as suspicious."""
+    p = _projection(spark, d)
+    v = V.providers(spark, d)
+    name = F.concat(F.lit("provider:"), F.col("provider_id").cast("string")).alias("provider")
+    f = N.network_features(p, v.select(name, F.col("bank_hash").alias("community")), v.where("provider_id % 5 = 0").select(name))
+    return f.select("provider", "degree", r6("weighted_degree").alias("weighted_degree"), "suspicious_neighbours", "identity_links", r6("referral_links").alias("referral_links"), r6("suspicious_ratio").alias("suspicious_ratio"), r6("community_density").alias("community_density"), r6("community_risk").alias("community_risk"))
+
+
+N06B = f"""{_PROJECTION}, hk AS (SELECT u, v, count(*) FILTER (WHERE edge_type IN ('has_bank', 'shared_bank_hash')) AS hard, sum(CASE WHEN edge_type = 'refers_to' THEN raw ELSE 0 END) AS ref FROM kinds GROUP BY 1, 2), e AS (SELECT u, v, weight, hard, ref FROM proj JOIN hk USING (u, v)),
+ b AS (SELECT u AS p, v AS o, weight, hard, ref FROM e UNION ALL SELECT v, u, weight, hard, ref FROM e), per AS (SELECT p, count(*) AS degree, sum(weight) AS wd, CAST(sum(CASE WHEN CAST(split_part(o, ':', 2) AS BIGINT) % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS sus, CAST(sum(hard) AS BIGINT) AS ident, sum(ref) AS ref FROM b GROUP BY 1),
+ mem AS (SELECT 'provider:' || provider_id AS p, bank_hash AS c FROM providers), n AS (SELECT c, count(*) AS n FROM mem GROUP BY 1), ins AS (SELECT x.c, count(*) AS k FROM proj JOIN mem x ON x.p = u JOIN mem y ON y.p = v WHERE x.c = y.c GROUP BY 1)
+ SELECT p AS provider, degree, {R6('wd')} AS weighted_degree, sus AS suspicious_neighbours, ident AS identity_links, {R6('ref')} AS referral_links, {R6('sus / degree')} AS suspicious_ratio, {R6('CASE WHEN n > 1 THEN coalesce(k, 0) / (n * (n - 1) / 2) ELSE 0 END')} AS community_density,
+ {R6('least((0.4 * ident + 0.3 * sus + 0.3 * ref) / 5, 1)')} AS community_risk FROM per JOIN mem USING (p) JOIN n USING (c) LEFT JOIN ins USING (c)"""
+
+
+def n10(spark, d):
+    """Nodes around the hub of the community that holds provider 1; banks are the communities, their smallest provider the hub."""
+    _, e = _graph(spark, d)
+    hubs = V.providers(spark, d).groupBy(F.col("bank_hash").alias("community")).agg(F.concat(F.lit("provider:"), F.min("provider_id").cast("string")).alias("hub"))
+    return N.community_subgraph(e, hubs, "B1")[0]
+
+
+N10 = f"""{_GRAPH}, hub AS (SELECT 'provider:' || min(provider_id) AS h FROM providers WHERE bank_hash = 'B1') SELECT h AS id, 0 AS hops FROM hub WHERE h IS NOT NULL
+ UNION ALL SELECT DISTINCT CASE WHEN src = h THEN dst ELSE src END, 1 FROM edges JOIN hub ON src = h OR dst = h WHERE src <> dst"""
+
 ENTRIES = {
     "e01_exact_links": (e01, E01), "e02_address_links": (e02, E02), "e04_owner_exact": (e04, E04), "e05_owner_fuzzy": (e05, None), "e06_agent_links": (e06, E06), "e07_clusters": (e07, E07), "r09_shared_identity": (r09, R09), "n01_graph": (n01, N01), "n02_graph_summary": (n02, N02),
-    "n03_projection": (n03, N03), "n04_communities": (n04, None), "n05_enriched": (n05, None), "n06_features": (n06, None), "n07_networks": (n07, None), "n08_betweenness": (n08, None), "n09_neighbourhood": (n09, N09), "n09_member_cohorts": (n09b, N09B), "n11_narratives": (n11, N11),
+    "n03_projection": (n03, N03), "n04_communities": (n04, None), "n05_enriched": (n05, None), "n06_features": (n06, None), "n07_networks": (n07, None), "n08_betweenness": (n08, None), "n09_neighbourhood": (n09, N09), "n09_member_cohorts": (n09b, N09B), "n06_bank_features": (n06b, N06B), "n10_community_subgraph": (n10, N10), "n11_narratives": (n11, N11),
 }

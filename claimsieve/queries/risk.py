@@ -86,6 +86,17 @@ U05 = f"""WITH c AS (SELECT s_suppkey % 30 AS k, count(*) AS size, min(s_suppkey
  {R6("0.35 * least((m % 3) / 2, 1) + 0.25 * least((m % 8) / (5 * size), 1) + 0.2 * 0.6 * CASE WHEN s_suppkey = m THEN 1 ELSE 0.5 END + 0.2 * least(size / 15, 1)")} AS network_signal, m % 3 AS hard_links FROM supplier JOIN c ON k = s_suppkey % 30"""
 
 
+def u06(spark, d):
+    """Temporal and historical signals made from suppliers' balances."""
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    burst = s.select(F.col("s_suppkey").alias("provider_id"), ((F.col("s_suppkey") % 50) / 10).alias("burst_cv"))
+    record = s.select(F.col("s_suppkey").alias("provider_id"), ((F.col("s_suppkey") % 40) / 20 - 0.5).alias("historical_score"))
+    return U.temporal_signal(burst).join(U.historical_signal(record), "provider_id").select("provider_id", r6("temporal_signal").alias("temporal_signal"), r6("historical_signal").alias("historical_signal"))
+
+
+U06 = f"SELECT CAST(s_suppkey AS VARCHAR) AS provider_id, {R6('least((s_suppkey % 50) / 10 / 3, 1)')} AS temporal_signal, {R6('least(greatest((s_suppkey % 40) / 20 - 0.5, 0), 1)')} AS historical_signal FROM supplier"
+
+
 def fused(spark, d):
     return U.fuse(signals(spark, d))
 
@@ -235,6 +246,6 @@ def ranking_sql(rows: str, ks: tuple[int, ...]) -> str:
 
 U14 = SCORES + ranking_sql("SELECT provider_id AS id, risk_score AS score, CASE WHEN CAST(provider_id AS INTEGER) % 9 = 0 THEN 1 ELSE 0 END AS label FROM scores", (10, 25))
 ENTRIES = {
-    "u01_rule_signal": (u01, U01), "u02_ml_signal": (u02, U02), "u03_anomaly_signal": (u03, U03), "u04_future_signal": (u04, U04), "u05_network_signal": (u05, U05), "u08_fused_score": (u08, U08), "u13_score_table": (u13, U13), "u14_prioritisation": (u14, U14),
+    "u01_rule_signal": (u01, U01), "u02_ml_signal": (u02, U02), "u03_anomaly_signal": (u03, U03), "u04_future_signal": (u04, U04), "u05_network_signal": (u05, U05), "u06_time_and_record": (u06, U06), "u08_fused_score": (u08, U08), "u13_score_table": (u13, U13), "u14_prioritisation": (u14, U14),
     "m13_ranking_metrics": (m13, M13), "m05_reliability": (m05, M05), "m05_calibration": (m05b, M05B), "v01_rule_quality": (v01, V01), "v02_claim_quality": (v02, V02), "v02_severities": (v02b, V02B), "v03_ring_recovery": (v03, V03),
 }

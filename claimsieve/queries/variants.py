@@ -123,7 +123,27 @@ def d12(spark, d):
     return out
 
 
+def d12b(spark, d):
+    """Feature tables of the second package, a row for each feature; and its alerts and evidence, which must match."""
+    t = tables(spark, d)
+    out = D.detection_output(t)
+    parts = [out[f"{n}_features"].select(F.lit(n).alias("kind"), "entity_id", F.explode("features").alias("feature", "value")) for n in ("temporal", "geographic", "referral")]
+    lost = out["alerts"].join(out["evidence"], F.col("evidence_ids")[0] == F.col("evidence_id"), "full").where("alert_id is null or evidence_id is null")
+    parts.append(lost.agg(F.lit("alerts").alias("kind"), F.lit("").alias("entity_id"), F.lit("without evidence").alias("feature"), F.count(F.lit(1)).cast("double").alias("value")))
+    rows = parts[0]
+    for x in parts[1:]:
+        rows = rows.unionByName(x)
+    return rows.withColumn("value", r6("value"))
+
+
+D12B = f"""{V.with_views('claims', 'members', 'referrals')}, w AS (SELECT provider_id, strftime(service_date, '%G-W%V') AS w, count(*) AS n, sum(paid_amount) AS paid FROM claims GROUP BY 1, 2), t AS (SELECT provider_id, count(*) AS a, max(n) AS b, avg(paid) AS c, max(paid) AS e FROM w GROUP BY 1),
+ g AS (SELECT provider_id, count(DISTINCT county) AS a, count(DISTINCT member_id) AS b FROM claims JOIN members USING (member_id) GROUP BY 1), r AS (SELECT referring_provider_id AS provider_id, count(*) AS a, count(DISTINCT target_provider_id) AS b FROM referrals GROUP BY 1),
+ l AS (SELECT 'temporal' AS kind, provider_id, unnest([struct_pack(f := 'active_weeks', v := a::DOUBLE), struct_pack(f := 'most_weekly_claims', v := b::DOUBLE), struct_pack(f := 'mean_weekly_paid', v := c::DOUBLE), struct_pack(f := 'most_weekly_paid', v := e::DOUBLE)]) AS x FROM t
+ UNION ALL SELECT 'geographic', provider_id, unnest([struct_pack(f := 'counties', v := a::DOUBLE), struct_pack(f := 'members', v := b::DOUBLE)]) FROM g UNION ALL SELECT 'referral', provider_id, unnest([struct_pack(f := 'sent', v := a::DOUBLE), struct_pack(f := 'targets', v := b::DOUBLE)]) FROM r)
+ SELECT kind, CAST(provider_id AS VARCHAR) AS entity_id, x.f AS feature, {R6('x.v')} AS value FROM l UNION ALL SELECT 'alerts', '', 'without evidence', 0.0"""
+
+
 ENTRIES = {
     "d01_group_duplicates": (d01, D01), "d02_upcoding_large": (d02, D02), "d03_panels": (d03, D03), "d04_phantom": (d04, D04), "d05_impossible_days": (d05, D05), "d05_volume_baseline": (d05b, D05B), "d06_impossible_places": (d06, D06), "d07_referral_anomalies": (d07, D07),
-    "d08_out_of_state": (d08, D08), "d09_shared_members": (d09, D09), "d10_billing_bursts": (d10, D10), "d12_detection": (d12, None),
+    "d08_out_of_state": (d08, D08), "d09_shared_members": (d09, D09), "d10_billing_bursts": (d10, D10), "d12_detection": (d12, None), "d12_output_tables": (d12b, D12B),
 }

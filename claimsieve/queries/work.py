@@ -5,11 +5,13 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from claimsieve.functions import columns as C
 from claimsieve.functions.columns import PROHIBITED
 from claimsieve.operators import cases as K
 from claimsieve.operators import investigate as Q
-from claimsieve.plans.storage import materialize
+from claimsieve.plans.storage import materialize, new_path
 from claimsieve.queries.common import R2, R6, r2, r6
 from claimsieve.queries.risk import ALERTS, SCORES, V02, alerts, claim_ml, fused
 from claimsieve.sources import tables as T
@@ -249,8 +251,72 @@ def s07(spark, d):
 
 
 S07 = "SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"
+def k02(spark, d):
+    """Peers of each case in communities made from the last digits of providers; the smallest provider is the hub."""
+    p = V.providers(spark, d).select(F.concat(F.lit("provider:"), F.col("provider_id").cast("string")).alias("provider"), (F.col("provider_id") % 13).cast("string").alias("community"), "provider_id")
+    hubs = p.groupBy("community").agg(F.min_by("provider", "provider_id").alias("hub"))
+    cs = K.with_peers(_cases(spark, d), p.drop("provider_id"), hubs)
+    return cs.select("case_id", "peers", "peer_strength", F.array_join(F.transform("network_relationships", lambda x: F.concat(x["peer"], F.lit("="), F.format_number(x["strength"], 2))), ",").alias("relationships"))
+
+
+K02 = f"""{CASES}, m AS (SELECT 'provider:' || s_suppkey AS p, s_suppkey % 13 AS c, s_suppkey AS k FROM supplier), h AS (SELECT c, arg_min(p, k) AS hub FROM m GROUP BY 1),
+ r AS (SELECT case_id, o.p AS peer, CASE WHEN o.p = hub THEN 0.85 ELSE 0.5 END AS strength FROM cases JOIN m ON m.p = 'provider:' || provider_id JOIN m o ON o.c = m.c AND o.p <> m.p JOIN h ON h.c = m.c), f AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY strength DESC, peer) AS n FROM r),
+ l AS (SELECT case_id, CAST(count(*) AS INTEGER) AS peers, CAST(max(strength) AS DOUBLE) AS peer_strength, string_agg(peer || '=' || printf('%.2f', strength), ',' ORDER BY strength DESC, peer) AS relationships FROM f WHERE n <= 5 GROUP BY 1)
+ SELECT case_id, coalesce(peers, 0) AS peers, coalesce(peer_strength, 0)::DOUBLE AS peer_strength, coalesce(relationships, '') AS relationships FROM cases LEFT JOIN l USING (case_id)"""
+
+
+def s01(spark, d):
+    """Orders written as CSV under other names, read back by a declared schema: a day that is none is NULL."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    path = new_path(spark, "csv")
+    day = F.when(F.col("o_orderkey") % 10 == 0, "no day").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    o.select(F.col("o_orderkey").alias("claim_id"), F.col("o_custkey").alias("patient_id"), day.alias("service_from"), F.col("o_totalprice").alias("paid")).write.option("header", True).csv(f"{path}/claims.csv")
+    schema = StructType.fromDDL("claim_id long, patient_id long, service_from string, paid double")
+    t = T.canonical(T.read_csv_tables(spark, path, {"claims": schema})["claims"], {"modifier": "string"})
+    t = t.withColumn("service_date", F.to_date(F.try_to_timestamp("service_date")))
+    return t.groupBy("service_date").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("member_id").alias("members"), r2(F.sum("paid_amount")).alias("paid"), F.count("modifier").alias("modifiers"))
+
+
+S01 = f"SELECT CASE WHEN o_orderkey % 10 <> 0 THEN CAST(o_orderdate AS DATE) END AS service_date, count(*) AS n, count(DISTINCT o_custkey) AS members, {R2('sum(o_totalprice)')} AS paid, CAST(0 AS BIGINT) AS modifiers FROM orders GROUP BY 1"
+
+
+def s03(spark, d):
+    """Alerts written as Parquet and CSV, read back from the one that is asked for or else the other."""
+    path = new_path(spark, "alerts-both")
+    T.write_both(alerts(spark, d), f"{path}/alerts")
+    T.flat(alerts(spark, d)).write.option("header", True).csv(f"{path}/only.csv")
+    nested = T.read_either(spark, f"{path}/alerts.parquet").select("alert_id", F.lit("parquet").alias("form"), F.col("claim_ids")[0].alias("claim_id"))
+    text = T.read_either(spark, f"{path}/only.parquet").select("alert_id", F.lit("csv").alias("form"), F.from_json("claim_ids", "array<string>")[0].alias("claim_id"))
+    return nested.unionByName(text)
+
+
+S03 = f"{V.with_views('claims')}, {ALERTS} SELECT alert_id, f AS form, claim_id FROM alerts CROSS JOIN (VALUES ('parquet'), ('csv')) t(f)"
+
+
+def s11(spark, d):
+    """Breaks of output contracts among made-up bad rows: by table and check."""
+    a = alerts(spark, d).withColumns({"severity": F.when(F.col("est_dollars") < 20000, F.col("severity")).otherwise("SEVERE"), "evidence": F.when(F.col("rule_id") != "R10", F.col("evidence")).otherwise(F.slice("evidence", 1, 0))})
+    e = K.case_evidence(_cases(spark, d), alerts(spark, d)).withColumn("source", F.when(F.col("amount") < 30000, F.col("source")))
+    q = _queue(spark, d).withColumn("queue_reasons", F.when(F.col("queue_rank") % 4 == 0, F.array(F.lit("Not guilty as yet"))).otherwise(F.col("queue_reasons")))
+    parts = [T.check_contract(df, T.contract(name)).select(F.lit(name).alias("table"), F.explode("failed").alias("check")) for name, df in (("alerts", a), ("case_evidence", e), ("queue", q))]
+    return reduce(lambda x, y: x.unionByName(y), parts).groupBy("table", "check").agg(F.count(F.lit(1)).alias("n"))
+
+
+S11 = f"""{CASES}, b AS (SELECT 'alerts' AS "table", 'severity' AS "check" FROM alerts WHERE est_dollars >= 20000 UNION ALL SELECT 'alerts', 'evidence' FROM alerts WHERE rule_id = 'R10' UNION ALL SELECT 'case_evidence', 'source' FROM alerts WHERE est_dollars >= 30000
+ UNION ALL SELECT 'queue', 'wording' FROM cases WHERE case_rank % 4 = 0) SELECT "table", "check", count(*) AS n FROM b GROUP BY 1, 2"""
+
+
+def f14(spark, d):
+    """Values that are no numbers count as 0, and others are clipped to [0, 1]."""
+    x = F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).when(F.col("event_id") % 5 == 1, F.lit(float("inf"))).when(F.col("event_id") % 5 == 2, F.lit(None)).otherwise(F.col("value") / 50 - 0.5)
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", r6(C.clip01(x)).alias("clipped"))
+
+
+F14 = f"SELECT event_id, CASE WHEN event_id % 5 < 3 THEN 0.0 ELSE {R6('least(greatest(value / 50 - 0.5, 0), 1)')} END AS clipped FROM events"
+
+
 ENTRIES = {
-    "k01_cases": (k01, K01), "k03_case_evidence": (k03, K03), "k05_priority": (k05, K05), "k06_queue": (k06, K06), "k07_integrated_cases": (k07, K07), "k07_fixture_cases": (k07b, K07B), "k08_queue_evaluation": (k08, K08), "k09_decisions": (k09, K09),
+    "k01_cases": (k01, K01), "k02_peers": (k02, K02), "s01_csv_tables": (s01, S01), "s03_both_forms": (s03, S03), "s11_output_contracts": (s11, S11), "f14_clipped": (f14, F14), "k03_case_evidence": (k03, K03), "k05_priority": (k05, K05), "k06_queue": (k06, K06), "k07_integrated_cases": (k07, K07), "k07_fixture_cases": (k07b, K07B), "k08_queue_evaluation": (k08, K08), "k09_decisions": (k09, K09),
     "q01_summary": (q01, Q01), "q02_queue_hours": (q02, Q02), "q04_evidence_ledger": (q04, Q04), "q05_timeline": (q05, Q05), "q03_case_detail": (q03, Q03), "q06_ego_network": (q06, Q06), "q07_audit": (q07, Q07), "q08_networks": (q08, Q08), "q09_claims_page": (q09, Q09), "q10_providers_page": (q10, Q10), "q11_risk_info": (q11, Q11), "q12_evaluation": (q12, Q12), "q13_packets": (q13, Q13), "q14_narrative_audit": (q14, Q14),
     "s06_contract": (s06, S06), "s07_latest_by_key": (s07, S07),
 }

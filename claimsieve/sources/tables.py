@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
+from claimsieve.functions.columns import PROHIBITED
+
 #: Date columns of the domain tables.
 DATE_COLUMNS = ("service_date", "referral_date", "dob", "enrolled_date", "death_date", "enrollment_end", "termination_date", "admission_date", "discharge_date", "open_date", "close_date")
 #: Other names that claims come with.
@@ -91,6 +93,11 @@ def split_valid(checked: DataFrame, strict: bool = False) -> tuple[DataFrame, Da
     return checked.where(F.size("failed") == 0).drop("failed"), rejects
 
 
+def _fair(text: str) -> str:
+    """An expression that is true of text without prohibited wording."""
+    return " and ".join(f"not contains(lower({text}), '{p}')" for p in PROHIBITED)
+
+
 #: Contracts of outputs, as check names and expressions.
 CONTRACTS: dict[str, dict[str, str]] = {
     "alerts": {"rule_id": "rule_id rlike '^R(0[1-9]|10)$'", "entity_id": "entity_id is not null", "severity": "severity in ('LOW','MEDIUM','HIGH','CRITICAL')", "est_dollars": "est_dollars >= 0", "evidence": "size(evidence) >= 1"},
@@ -98,7 +105,9 @@ CONTRACTS: dict[str, dict[str, str]] = {
     "risk_scores": {"provider_id": "provider_id is not null", "risk_score": "risk_score between 0 and 1", "confidence": "confidence between 0 and 1"},
     "claim_ml": {"claim_id": "claim_id is not null", "ml_probability": "ml_probability between 0 and 1"},
     "networks": {"network_id": "network_id is not null", "size": "size >= 2"},
-    "queue": {"case_id": "case_id is not null", "priority_score": "priority_score between 0 and 1", "rank": "queue_rank >= 1"},
+    "queue": {"case_id": "case_id is not null", "priority_score": "priority_score between 0 and 1", "rank": "queue_rank >= 1", "signals": " and ".join(f"q_{k} between 0 and 1" for k in ("risk", "evidence", "exposure", "network", "anomaly", "future", "behaviour")), "wording": _fair("array_join(queue_reasons, ' ')")},
+    "case_evidence": {"case_id": "case_id is not null", "source": "source is not null", "kind": "kind is not null"},
+    "case_wording": {"wording": _fair("concat(title, ' ', summary)")},
 }
 
 
