@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -85,20 +86,26 @@ def project_providers(edges: DataFrame, overrides: dict[str, float] | None = Non
     Pairs are made of numbers, not names, and a node that very many providers share is dealt to tiles of them.
     """
     factors = MULTIPLIERS | (overrides or {})
-    factor = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in factors.items() for x in kv)), F.col("edge_type")), F.lit(1.0))
+    edges = materialize(edges.select("src", "dst", "edge_type", "weight"), "edges")
+    kinds = sorted(r["edge_type"] for r in edges.select("edge_type").distinct().collect())  # a few kinds, which get numbers
+    named_kinds = F.array(*map(F.lit, kinds)) if kinds else F.array().cast("array<string>")
+    edges = edges.withColumn("kind", F.array_position(named_kinds, F.col("edge_type")).cast("int"))
     is_provider = lambda c: F.col(c).startswith("provider:")
     ids = materialize(edges.select(F.explode(F.array("src", "dst")).alias("name")).where(is_provider("name")).distinct().withColumn("id", F.monotonically_increasing_id()), "provider-numbers")
     src, dst = ids.select(F.col("name").alias("src"), F.col("id").alias("a")), ids.select(F.col("name").alias("dst"), F.col("id").alias("b"))
-    direct = edges.where(is_provider("src") & is_provider("dst") & (F.col("src") != F.col("dst"))).join(src, "src").join(dst, "dst").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "edge_type", "weight")
-    half = edges.where(is_provider("src") & ~is_provider("dst")).join(src, "src").select("a", "dst", "edge_type", "weight")
-    tiles = half.groupBy("dst", "edge_type").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")).where("tiles >= 1")
-    dealt = materialize(half.join(tiles, ["dst", "edge_type"]).withColumn("own", F.pmod(F.xxhash64("a"), F.col("tiles")).cast("int")), "dealt-edges")
+    direct = edges.where(is_provider("src") & is_provider("dst") & (F.col("src") != F.col("dst"))).join(src, "src").join(dst, "dst").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "kind", "weight")
+    half = edges.where(is_provider("src") & ~is_provider("dst")).join(src, "src").select("a", "dst", "kind", "weight")
+    tiles = half.groupBy("dst", "kind").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")).where("tiles >= 1")
+    dealt = materialize(half.join(tiles, ["dst", "kind"]).withColumn("own", F.pmod(F.xxhash64("a"), F.col("tiles")).cast("int")), "dealt-edges")
     every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    left = dealt.select("dst", "edge_type", "a", "weight", F.col("own").alias("i"), every.alias("j"))
-    right = dealt.select("dst", "edge_type", F.col("a").alias("b"), F.col("weight").alias("w2"), every.alias("i"), F.col("own").alias("j"))
-    over = left.join(right, ["dst", "edge_type", "i", "j"]).where("a < b").select("a", "b", "edge_type", F.least("weight", "w2").alias("weight"))
-    raw = direct.unionByName(over).groupBy("a", "b", "edge_type").agg(F.sum("weight").alias("raw"))
-    met = raw.withColumn("part", F.col("raw") * factor).groupBy("a", "b").agg(F.sum("part").alias("weight"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("edge_type", "raw")))).alias("edge_types"))
+    left = dealt.select("dst", "kind", "a", "weight", F.col("own").alias("i"), every.alias("j"))
+    right = dealt.select("dst", "kind", F.col("a").alias("b"), F.col("weight").alias("w2"), every.alias("i"), F.col("own").alias("j"))
+    over = left.join(right, ["dst", "kind", "i", "j"]).where("a < b").select("a", "b", "kind", F.least("weight", "w2").alias("weight"))
+    # A column for each kind: one aggregation of numbers, in which partial sums of a task are small.
+    sums = direct.unionByName(over).groupBy("a", "b").agg(F.count(F.lit(1)), *(F.sum(F.when(F.col("kind") == i, F.col("weight"))).alias(f"raw_{i}") for i in range(1, len(kinds) + 1)))
+    part = [F.coalesce(F.col(f"raw_{i}") * factors.get(k, 1.0), F.lit(0.0)) for i, k in enumerate(kinds, 1)]
+    listed = F.array(*(F.struct(F.lit(k).alias("edge_type"), F.col(f"raw_{i}").alias("raw")) for i, k in enumerate(kinds, 1))) if kinds else F.array().cast("array<struct<edge_type:string,raw:double>>")
+    met = sums.select("a", "b", reduce(lambda x, y: x + y, part, F.lit(0.0)).alias("weight"), F.map_from_entries(F.filter(listed, lambda x: x["raw"].isNotNull())).alias("edge_types"))
     named = met.join(src, "a").join(dst, "b")
     return named.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"), "weight", "edge_types")
 

@@ -6,13 +6,22 @@ a fresh folder below ``/tmp/checkpoints`` is used; on a cluster that is an error
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_ROOT = "/tmp/checkpoints"
-#: Paths that this driver has named, the oldest first, until they are deleted.
-_NAMED: list[str] = []
+
+
+class _Named(threading.local):
+    """Paths that a thread of the driver has named, the oldest first, until they are deleted."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_NAMED = _Named()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _NAMED.append(path)
+    _NAMED.paths.append(path)
     return path
 
 
@@ -42,18 +51,18 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a table that ``new_path`` named and that is no longer read."""
-    if path in _NAMED:
-        _NAMED.remove(path)
+    if path in _NAMED.paths:
+        _NAMED.paths.remove(path)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def mark() -> int:
-    """Where the list of paths stands, for ``delete_since``."""
-    return len(_NAMED)
+    """Where this thread's list of paths stands, for ``delete_since``."""
+    return len(_NAMED.paths)
 
 
 def delete_since(spark: SparkSession, at: int = 0, keep: tuple[str, ...] = ()) -> None:
-    """Remove all tables that were named since a mark, but for some. Only what has been written elsewhere may lose them."""
-    for path in [p for p in _NAMED[at:] if p not in keep]:
+    """Remove all tables that this thread named since a mark, but for some, once what was made of them is written."""
+    for path in [p for p in _NAMED.paths[at:] if p not in keep]:
         delete_path(spark, path)
