@@ -5,11 +5,13 @@ The anchor of a window of 200 bytes is where its least 24-byte gram (by hash, le
 at the same place in them. Windows whose anchor gram occurs once cannot repeat and are done. For the others:
 
 * each task sorts the suffixes at its anchors into runs, front-coded: a suffix carries its common prefix with the one before
-  it as a number. Equal suffixes with equal left contexts are sent once. Runs are dealt to merge tasks by the gram.
-* a merge task combines its runs by a loser tree. Prefixes known to be common are never compared again, and the tree leaves
+  it as a number. Equal suffixes with equal left contexts are sent once. Runs are dealt to slots by the gram.
+* a merge task combines the runs of a slot by a loser tree. Prefixes known to be common are never compared again, and the tree leaves
   the sorted suffixes with their common prefixes. Left contexts are sorted in the same way, from right to left.
 * windows at d bytes before their anchor are equal if their suffixes share 200 - d bytes and their left contexts d bytes:
   both are runs in sorted order, so equal windows are found by numbers, exactly, for each d.
+* where the suffixes of a run stand is not merged: a run is told which of them have repeated windows, and marks their places.
+  So a passage that very many documents share is one entry of each run, and no task gets all its places.
 
 A gram that occurs very often (``HOT_GRAM``) is dealt by whole windows instead, so that no task gets all its places.
 """
@@ -23,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimsieve.llm.common import portions
+from claimsieve.llm.common import bounded, portions
 
 LENGTH = 200
 GRAM = 24
@@ -34,6 +37,8 @@ HOT_GRAM = 50_000
 #: Texts are anchored in segments of so many bytes, and runs are sent when they hold so many bytes of suffixes.
 SEGMENT = 1 << 22
 RUN_BYTES = 24 << 20
+#: Slots of each merge task: it merges the runs of one after the other, so that only those of one are in memory.
+SLOTS = 16
 _WINDOW = LENGTH - GRAM + 1
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -90,54 +95,45 @@ def _common(a: bytes, b: bytes, known: int) -> int:
 
 
 class Run:
-    """A sorted run of distinct (suffix, left context, range of d) with their places."""
+    """A sorted run of distinct (suffix, left context, range of d), and where each of them stands."""
 
     def __init__(self) -> None:
         self.items: dict[tuple[bytes, bytes, int], list[tuple[int, int]]] = {}
-        self.size = 0
 
-    def add(self, suffix: bytes, left: bytes, d_low: int, rid: int, at: int) -> None:
+    def add(self, suffix: bytes, left: bytes, d_low: int, rid: int, at: int) -> int:
+        """Bytes that this takes, about."""
         key = (suffix, left, d_low)
         if (places := self.items.get(key)) is None:
-            places = self.items[key] = []
-            self.size += len(suffix) + len(left) + 200
+            self.items[key] = [(rid, at)]
+            return len(suffix) + len(left) + 300
         places.append((rid, at))
-        self.size += 100
+        return 100
 
-    def blob(self) -> bytes:
-        """Front-coded: lengths and common prefixes as arrays, then what is new of each suffix, left contexts and places."""
+    def blobs(self) -> tuple[bytes, bytes]:
+        """What is merged and the places, which stay behind.
+
+        Front-coded: lengths and common prefixes as arrays, then what is new of each suffix, and left contexts.
+        """
         keys = sorted(self.items)
-        lcp = np.zeros(len(keys), np.uint8)
-        tails, before = [], b""
-        for i, (suffix, _, _) in enumerate(keys):
-            lcp[i] = n = _common(before, suffix, 0)
+        lcp, tails, before = [], [], b""
+        for suffix, _, _ in keys:
+            n = _common(before, suffix, 0)
+            lcp.append(n)
             tails.append(suffix[n:])
             before = suffix
         places = [self.items[k] for k in keys]
-        arrays = (
-            lcp,
-            np.array([len(t) for t in tails], np.uint8),
-            np.array([len(k[1]) for k in keys], np.uint8),
-            np.array([k[2] for k in keys], np.uint8),
-            np.array([len(p) for p in places], np.uint32),
-            np.array([x for p in places for x in p], np.int64).reshape(-1),
-        )
-        text = b"".join(tails) + b"".join(k[1] for k in keys)
-        return struct.pack("<II", len(keys), len(arrays[5])) + b"".join(a.tobytes() for a in arrays) + text
+        head = (lcp, [len(t) for t in tails], [len(k[1]) for k in keys], [k[2] for k in keys], [len(p) > 1 for p in places])
+        blob = b"".join([struct.pack("<I", len(keys)), *map(bytes, head), *tails, *(k[1] for k in keys)])
+        times = np.array([len(p) for p in places], "<u4").tobytes()
+        return blob, struct.pack("<I", len(keys)) + times + np.array([x for p in places for x in p], "<i8").tobytes()
 
 
 class RunReader:
-    def __init__(self, blob: bytes):
-        n, m = struct.unpack_from("<II", blob)
-        at = 8
-        got = []
-        for kind, k in (("u1", n), ("u1", n), ("u1", n), ("u1", n), ("<u4", n), ("<i8", m)):
-            got.append(np.frombuffer(blob, kind, k, at))
-            at += got[-1].nbytes
-        self.lcp, tail, left, self.d_low, self.n_places, places = got
-        self.places = places.reshape(-1, 2)
-        ends = np.cumsum(np.concatenate([tail, left]).astype(np.int64)) + at
-        cut = [at, *ends.tolist()]
+    def __init__(self, number: int, blob: bytes):
+        self.number = number
+        (n,) = struct.unpack_from("<I", blob)
+        self.lcp, tail, left, self.d_low, self.many = np.frombuffer(blob, np.uint8, 5 * n, 4).reshape(5, n)
+        cut = [4 + 5 * n, *(np.cumsum(np.concatenate([tail, left]).astype(np.int64)) + 4 + 5 * n).tolist()]
         self.tails = [blob[a:b] for a, b in zip(cut[:n], cut[1 : n + 1])]
         self.lefts = [blob[a:b] for a, b in zip(cut[n:-1], cut[n + 1 :])]
 
@@ -149,6 +145,18 @@ class RunReader:
             yield n, before
 
 
+def found_places(places: bytes, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row id, first byte and end of what the repeated windows of a run cover; hits are rows (item, least d, greatest d)."""
+    (n,) = struct.unpack_from("<I", places)
+    times = np.frombuffer(places, "<u4", n, 4).astype(np.int64)
+    rid, at = np.frombuffer(places, "<i8", -1, 4 + 4 * n).reshape(-1, 2).T
+    item, low, high = hits.T.astype(np.int64)
+    k = times[item]
+    of = np.repeat(np.arange(len(item)), k)
+    place = (np.cumsum(times) - times)[item][of] + np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k)
+    return rid[place], at[place] - high[of], at[place] - low[of] + LENGTH
+
+
 def merge_runs(runs: list[Iterator[tuple[int, bytes]]]) -> Iterator[tuple[int, int, bytes]]:
     """Merge sorted runs of (common prefix with the one before, string) by a loser tree: (run, common prefix, string).
 
@@ -209,22 +217,31 @@ def _neighbours(sorted_strings: list[bytes]) -> np.ndarray:
     return out
 
 
-def repeated_windows(runs: list[RunReader]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the places of these runs, those with a repeated window: row id, first byte and end of what its windows cover."""
-    order = [(r, n) for r, n, _ in merge_runs([x.suffixes() for x in runs])]
-    if not order:
-        return (np.empty(0, np.int64),) * 3
-    run, lcp = np.array(order, np.int64).T
-    within = np.empty(len(run), np.int64)  # a run's items come in its own order
-    by_run = np.argsort(run, kind="stable")
-    sizes = np.bincount(run, minlength=len(runs))
-    within[by_run] = np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    item = within + (np.cumsum(sizes) - sizes)[run]  # position among all items, run by run
-    lefts = [s for x in runs for s in x.lefts]
-    left = [lefts[i][::-1] for i in item.tolist()]
-    d_low = np.concatenate([x.d_low for x in runs])[item].astype(np.int64)
+def repeated_windows(runs: list[RunReader], batch: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs, and rows (item of the run, least d, greatest d) with a repeated window, about ``batch`` merged items at a time.
+
+    Equal windows have the same gram at their anchors, so they never stand on both sides of a common prefix below it.
+    """
+    order: list[tuple[int, int, int]] = []
+    seen = [0] * len(runs)
+    for r, n, _ in merge_runs([x.suffixes() for x in runs]):
+        if n < GRAM and len(order) >= batch:
+            yield _repeated(runs, order)
+            order = []
+        order.append((r, n, seen[r]))
+        seen[r] += 1
+    if order:
+        yield _repeated(runs, order)
+
+
+def _repeated(runs: list[RunReader], order: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    left = [runs[r].lefts[i][::-1] for r, _, i in order]
+    d_low = np.array([runs[r].d_low[i] for r, _, i in order], np.int64)
+    many = np.array([runs[r].many[i] for r, _, i in order], bool)
+    run, lcp, item = np.array(order, np.int64).T
+    lcp = lcp.copy()
+    lcp[0] = 0
     d_high = np.array([len(s) for s in left], np.int64)
-    many = np.concatenate([x.n_places for x in runs])[item] > 1
     by_left = np.array(sorted(range(len(left)), key=left.__getitem__), np.int64)
     left_lcp = _neighbours([left[i] for i in by_left.tolist()])
     low, high = np.full(len(item), LENGTH, np.int64), np.full(len(item), -1, np.int64)
@@ -243,15 +260,8 @@ def repeated_windows(runs: list[RunReader]) -> tuple[np.ndarray, np.ndarray, np.
         found = on[again]
         low[found] = np.minimum(low[found], d)
         high[found] = d
-    hit = high >= 0
-    places_of = np.concatenate([x.n_places for x in runs]).astype(np.int64)
-    places = np.concatenate([x.places for x in runs])
-    low_of, high_of, hit_of = np.empty_like(low), np.empty_like(high), np.empty(len(item), bool)
-    low_of[item], high_of[item], hit_of[item] = low, high, hit
-    rows = np.repeat(np.arange(len(item)), places_of)
-    rid, at = places[hit_of[rows]].T
-    rows = rows[hit_of[rows]]
-    return rid, at - high_of[rows], at - low_of[rows] + LENGTH
+    hit = np.flatnonzero(high >= 0)
+    return run[hit], np.stack([item[hit], low[hit], high[hit]], axis=1)
 
 
 def _anchor_rows(text_col: str):
@@ -268,15 +278,20 @@ def _anchor_rows(text_col: str):
     return find
 
 
-def _run_maker(text_col: str, buckets: int):
+def _run_maker(text_col: str, slots: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs: dict[int, Run] = {}
-        size = 0
+        size, number = 0, TaskContext.get().partitionId() << 32
 
         def send() -> pa.RecordBatch:
-            out = pa.record_batch({"bucket": pa.array(list(runs), pa.int32()), "run": pa.array([r.blob() for r in runs.values()], pa.binary())})
-            runs.clear()
-            return out
+            """A row for the slot of a run, and one with its places, which goes to any slot and on from there."""
+            nonlocal number
+            blobs = [r.blobs() for r in runs.values()]
+            numbers = list(range(number, number + len(runs)))
+            number += len(runs)
+            none = [None] * len(runs)
+            slot = pa.array([*runs, *(x % slots for x in numbers)], pa.int32())
+            return pa.record_batch({"slot": slot, "run": pa.array(numbers * 2, pa.int64()), "suffixes": pa.array([*(x for x, _ in blobs), *none], pa.binary()), "places": pa.array([*none, *(x for _, x in blobs)], pa.binary())})
 
         for batch, texts in portions(batches, text_col):
             for rid, t, cold, hot in zip(batch.column("rid").to_pylist(), texts, batch.column("cold").to_pylist(), batch.column("hot").to_pylist(), strict=True):
@@ -284,20 +299,19 @@ def _run_maker(text_col: str, buckets: int):
                 gram, at, first, last = anchors(raw)
                 on = np.isin(gram, np.array(cold, np.int64))
                 for g, a, p, q in zip(gram[on].tolist(), at[on].tolist(), first[on].tolist(), last[on].tolist()):
-                    run = runs.setdefault(g % buckets, Run())
-                    before = run.size
-                    run.add(raw[a : q + LENGTH], raw[p:a], a - q, rid, a)
-                    size += run.size - before
+                    size += runs.setdefault(g % slots, Run()).add(raw[a : q + LENGTH], raw[p:a], a - q, rid, a)
                 on = np.isin(gram, np.array(hot, np.int64))
                 for p, q in zip(first[on].tolist(), last[on].tolist()):
                     for x in range(p, q + 1):
                         window = raw[x : x + LENGTH]
-                        run = runs.setdefault(zlib.crc32(window) % buckets, Run())
-                        before = run.size
-                        run.add(window, b"", 0, rid, x)
-                        size += run.size - before
+                        size += runs.setdefault(zlib.crc32(window) % slots, Run()).add(window, b"", 0, rid, x)
+                    if size > RUN_BYTES:
+                        yield send()
+                        runs.clear()
+                        size = 0
                 if size > RUN_BYTES:
                     yield send()
+                    runs.clear()
                     size = 0
         if runs:
             yield send()
@@ -306,20 +320,50 @@ def _run_maker(text_col: str, buckets: int):
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def merged(blobs: list[bytes]) -> pa.RecordBatch:
-        rid, start, end = repeated_windows([RunReader(b) for b in blobs])
-        return pa.record_batch({"rid": pa.array(rid), "start": pa.array(start), "stop": pa.array(end)})
+    """Rows in order of their slot: merge the runs of each and name what is repeated by run; places pass through."""
+
+    def merged(runs: list[RunReader]) -> Iterator[pa.RecordBatch]:
+        for run, hits in repeated_windows(runs):
+            by = np.argsort(run, kind="stable")
+            run, hits = run[by], hits[by].astype("<i4")
+            cut = np.flatnonzero(np.diff(run, prepend=-1))
+            blobs = [hits[a:b].tobytes() for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(run)])]
+            yield pa.record_batch({"run": pa.array([runs[r].number for r in run[cut].tolist()], pa.int64()), "hits": pa.array(blobs, pa.binary()), "places": pa.nulls(len(blobs), pa.binary())})
 
-    bucket, blobs = None, []
+    slot, runs = None, []
+    for batch in batches:
+        kept = batch.filter(batch.column("places").is_valid())
+        yield pa.record_batch({"run": kept.column("run"), "hits": pa.nulls(kept.num_rows, pa.binary()), "places": kept.column("places")})
+        for s, number, blob in zip(batch.column("slot").to_pylist(), batch.column("run").to_pylist(), batch.column("suffixes").to_pylist(), strict=True):
+            if s != slot and runs:
+                yield from merged(runs)
+                runs = []
+            slot = s
+            if blob is not None:
+                runs.append(RunReader(number, blob))
+    if runs:
+        yield from merged(runs)
+
+
+def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of their run: from places and hits of a run to spans."""
+
+    def located(places: bytes | None, hits: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if places is not None and hits:
+            rid, start, stop = found_places(places, np.frombuffer(b"".join(hits), "<i4").reshape(-1, 3))
+            yield pa.record_batch({"rid": pa.array(rid), "start": pa.array(start), "stop": pa.array(stop)})
+
+    run, places, hits = None, None, []
     for batch in batches:
-        for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("run").to_pylist(), strict=True):
-            if b != bucket and blobs:
-                yield merged(blobs)
-                blobs = []
-            bucket = b
-            blobs.append(blob)
-    if blobs:
-        yield merged(blobs)
+        for r, h, p in zip(batch.column("run").to_pylist(), batch.column("hits").to_pylist(), batch.column("places").to_pylist(), strict=True):
+            if r != run:
+                yield from located(places, hits)
+                run, places, hits = r, None, []
+            if h is None:
+                places = p
+            else:
+                hits.append(h)
+    yield from located(places, hits)
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -341,7 +385,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", out_col: str = "span
     Strings never go over the end of a text. NULL, empty and shorter texts have no spans; NULL stays NULL.
     """
     spark = docs.sparkSession
-    docs = docs.drop(out_col)
+    docs = bounded(docs).drop(out_col)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # One exchange of the rows, used three times: each use takes all columns, or pruning would make them differ.
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
@@ -350,8 +394,11 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", out_col: str = "span
     grams = rows.mapInArrow(_anchor_rows(text), "rid long, gram long, n long")
     counts = grams.groupBy("gram").agg(F.sum("n").alias("total")).where("total > 1").select("gram", (F.col("total") > HOT_GRAM).alias("is_hot"))
     repeated = grams.join(counts, "gram").groupBy("rid").agg(F.collect_list(F.when(~F.col("is_hot"), F.col("gram"))).alias("cold"), F.collect_list(F.when(F.col("is_hot"), F.col("gram"))).alias("hot"))
-    runs = rows.join(repeated.hint("shuffle_hash"), "rid").mapInArrow(_run_maker(text, n), "bucket int, run binary")
-    found = runs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge, "rid long, start long, stop long")
+    # In order of the row ids, so that a task that is run again makes the same runs with the same numbers.
+    marked = rows.join(repeated.hint("shuffle_hash"), "rid").sortWithinPartitions("rid")
+    runs = marked.mapInArrow(_run_maker(text, n * SLOTS), "slot int, run long, suffixes binary, places binary")
+    merged = runs.repartition(n, "slot").sortWithinPartitions("slot").mapInArrow(_merge, "run long, hits binary, places binary")
+    found = merged.repartition(n, "run").sortWithinPartitions("run").mapInArrow(_locate, "rid long, start long, stop long")
     spans = found.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
     return rows.join(spans.hint("shuffle_hash"), "rid", "left").select(*(F.col(x).alias(c) for c, x in names.items()), F.coalesce("spans", none).alias(out_col))
