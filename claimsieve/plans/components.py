@@ -1,7 +1,7 @@
 """Connected components by alternating star contraction (Kiveris et al., 2014) on DataFrames.
 
-Each half-step is one shuffle of the edges. Every node is linked to the smallest node known in its neighbourhood, so a chain
-of n nodes needs about log n rounds, not n. A node with very many neighbours is pre-aggregated map-side (``min``), and its
+Each half-step is one shuffle of the edges, and rounds end as soon as the edges are stars. Every node is linked to the smallest
+node known in its neighbourhood, so a chain of n nodes needs about log n rounds, not n. A node with very many neighbours is pre-aggregated map-side (``min``), and its
 neighbour rows are split by AQE's skew join; no neighbour list is ever built.
 """
 
@@ -25,24 +25,22 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     path = new_path(spark, "components")
     first.write.parquet(path)  # each round reads the edges more than once
     cur = spark.read.schema(first.schema).parquet(path)
-    before = None
-    while True:
-        large = _large_star(cur)
-        small = _small_star(large)
+    while not _is_stars(cur):
         new = new_path(spark, "components")
+        small = _small_star(_large_star(cur))
         small.write.parquet(new)
-        cur = spark.read.schema(small.schema).parquet(new)
-        # A fixed point is a forest of stars: the sum of parents no longer falls and the edge count no longer changes.
-        state = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         delete_path(spark, path)
-        path = new
-        if before is not None and tuple(state) == before:
-            break
-        before = tuple(state)
+        path, cur = new, spark.read.schema(small.schema).parquet(new)
     roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def _is_stars(e: DataFrame) -> bool:
+    """Whether each node has one edge to a smaller one at most, and then none from it: each star is a component."""
+    ends = e.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0").isEmpty()
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     """Link each larger neighbour of a node to the smallest of the node and its neighbours."""
     both = e.select(F.col("u").alias("n"), F.col("v").alias("m")).unionByName(e.select(F.col("v").alias("n"), F.col("u").alias("m")))
