@@ -2,6 +2,7 @@
 
 import glob
 import hashlib
+import re
 import zlib
 from collections import defaultdict
 
@@ -166,11 +167,19 @@ def test_op7(run, spark, sf_dir):
 def test_op6_and_op8(run, spark, sf_dir, texts):
     rows = run("op6_secrets").collect()
     assert {r.doc_id for r in rows} == set(texts)
+    pats = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)), ("access", re.compile(r"AKIA[A-Z0-9]+")), ("hex", re.compile(r"[0-9a-f]+"))]
+    seen = 0
     for r in rows:
-        base = [s for s in r.spans.split(",") if s.split(":")[0] in ("assign", "access", "hex")] if r.spans else []
-        assert hashlib.sha256(",".join(base).encode()).hexdigest() == r.base_sha256
-        assert [sum(s.startswith(k + ":") for s in base) for k in ("assign", "access", "hex")] == [r.n_assign, r.n_access, r.n_hex]
-    assert sum(r.n_assign for r in rows) > 0
+        spans, n = [], []
+        for k, (_, p) in enumerate(pats):
+            m = [z for z in p.finditer(texts[r.doc_id]) if (len(z[2]) >= 12 if k == 0 else len(z[0]) >= (18, 16)[k - 1])]
+            n.append(len(m))
+            spans += [(z.start(), k, z.end()) for z in m]
+        written = ",".join(f"{pats[k][0]}:{a}:{b}" for a, k, b in sorted(spans))
+        assert [r.n_assign, r.n_access, r.n_hex] == n and r.base_sha256 == hashlib.sha256(written.encode()).hexdigest()
+        assert set(filter(None, written.split(","))) <= set(r.spans.split(","))
+        seen += len(spans)
+    assert seen > 0
     pages = run("op8_html_text")
     assert pages.columns[:4] == ["page_id", "url", "text", "n_chars"] and pages.count() == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
 
