@@ -43,7 +43,7 @@ def test_folds(spark, sf_dir):
     rows = q(spark, sf_dir, "m02_grouped_folds")
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     assert sorted(r.fold for r in rows) == [0, 1, 2, 3, 4] and sum(r.n for r in rows) == events.count() and sum(r.providers for r in rows) == events.select("user_id").distinct().count()
-    assert max(r.providers for r in rows) - min(r.providers for r in rows) <= 65  # at most one for each slice
+    assert max(r.providers for r in rows) - min(r.providers for r in rows) <= 1
 
 
 def test_claim_scores_and_table(spark, sf_dir):
