@@ -1,8 +1,9 @@
 """The pipeline on a small scale: what each stage keeps and what its decisions are."""
 
 import corpus_pipeline as c
-from claimsieve.llm import secrets, simhash
+from claimsieve.llm import secrets
 from claimsieve.plans.storage import materialize
+from tests.llm.test_near_copies import brute
 
 
 def test_stages(spark, sf_dir):
@@ -16,8 +17,9 @@ def test_stages(spark, sf_dir):
         seen.append((docs, new))
         docs = new
     before, after = seen[1]
-    kept = simhash.near_duplicates(before).where("doc_id = component_id")
-    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in after.select("doc_id").collect()}
+    rows = sorted(before.select("doc_id", "text").collect())
+    component, _ = brute([r.text for r in rows])  # near copies by their definition, over all pairs
+    assert {rows[i].doc_id for i in set(component)} == {r.doc_id for r in after.select("doc_id").collect()}
     before, after = seen[2]
     assert before.count() == after.count() and after.where("n_chars <> length(text)").count() == 0
     before, after = seen[3]
