@@ -4,23 +4,30 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimsieve.functions import columns as C
 from claimsieve.operators import windows as W
 from claimsieve.plans.components import connected_components
 from claimsieve.plans.storage import materialize
 
-#: How much an edge of a type counts in the projection.
+#: How much a connection of a kind counts in the projection.
 MULTIPLIERS = {
-    "has_bank": 10.0, "shared_bank_hash": 10.0, "shared_tin_hash": 10.0, "owned_by": 8.0, "shared_owner_exact": 6.0, "shared_owner_fuzzy": 5.0, "shared_registered_agent": 7.0, "shared_address_suite": 3.0, "located_at": 2.0,
-    "shared_address_no_suite": 1.5, "works_at": 0.3, "refers_to": 1.0, "shared_members": 0.5,
+    "shared_bank_hash": 10.0, "shared_tin_hash": 10.0, "shared_owner_exact": 8.0, "shared_owner_fuzzy": 5.0, "shared_registered_agent": 7.0, "shared_address_suite": 3.0, "shared_address_no_suite": 2.0, "refers_to": 1.0,
+    "shared_members": 0.5, "works_at": 0.3, "shared_facility": 1.5, "shared_ownership": 6.0, "shared_address": 1.5,
 }
-HARD = ("has_bank", "shared_bank_hash", "shared_tin_hash", "shared_owner_exact", "shared_registered_agent")
+#: What providers that are linked to one node have in common, by type of node; each node counts once.
+SHARED = {"bank": "shared_bank_hash", "owner": "shared_ownership", "address": "shared_address"}
+HARD = ("shared_bank_hash", "shared_tin_hash", "shared_owner_exact", "shared_registered_agent")
+IDENTITY = ("shared_bank_hash", "shared_tin_hash", "shared_registered_agent")
+OWNERSHIP = ("shared_owner_exact", "shared_owner_fuzzy", "shared_ownership")
+ADDRESS = ("shared_address_suite", "shared_address_no_suite", "shared_address")
+FACILITY = ("works_at", "shared_facility")
 #: Links of which the providers of one value are all linked with each other.
 VALUED = ("bank_hash", "tin_hash", "owner_exact", "registered_agent", "address_suite")
 EDGE = "src string, dst string, edge_type string, weight double"
@@ -39,11 +46,13 @@ def build_graph(claims: DataFrame, providers: DataFrame, referrals: DataFrame |
 
     def attribute(column: str, kind: str, edge: str) -> None:
         if column in have:
-            parts.append(p.where(F.col(column).isNotNull()).select(name("provider", "provider_id").alias("src"), name(kind, column).alias("dst"), F.lit(edge).alias("edge_type"), F.lit(1.0).alias("weight")).distinct())
+            value = C.normal_address(F.col(column)) if kind == "address" else F.col(column)
+            found = p.select("provider_id", value.cast("string").alias(column)).where(F.trim(F.col(column)) != "")
+            parts.append(found.select(name("provider", "provider_id").alias("src"), name(kind, column).alias("dst"), F.lit(edge).alias("edge_type"), F.lit(1.0).alias("weight")).distinct())
 
     attribute("bank_hash", "bank", "has_bank")
     attribute("address", "address", "located_at")
-    attribute("owner_entity", "owner", "owned_by")
+    attribute("owner_name", "owner", "owned_by")
     if "facility_id" in claims.columns:
         parts.append(claims.where("provider_id is not null and facility_id is not null").groupBy(name("provider", "provider_id").alias("src"), name("facility", "facility_id").alias("dst")).agg(F.lit("works_at").alias("edge_type"), F.count(F.lit(1)).cast("double").alias("weight")))
     if referrals is not None:
@@ -76,99 +85,272 @@ def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.groupBy(F.lit("node").alias("kind"), F.col("node_type").alias("type")).count().unionByName(edges.groupBy(F.lit("edge").alias("kind"), F.col("edge_type").alias("type")).count())
 
 
-#: Providers of a shared node that one task pairs with as many others.
-TILE = 2000
+@dataclass(frozen=True)
+class Projection:
+    """The network of providers without its pairs.
+
+    ``nodes(id, provider)`` are all providers. In each class of ``members(id, cls, kind, raw, w)`` every two providers are
+    connected, with ``raw`` of a kind and weight ``w``; ``direct(a, b, kind, raw, w)`` has the connections of single pairs. What
+    is asked of the network is a sum over classes, so that a class of n providers costs n rows and not n squared.
+    """
 
+    nodes: DataFrame
+    members: DataFrame
+    direct: DataFrame
 
-def project_providers(edges: DataFrame, overrides: dict[str, float] | None = None) -> DataFrame:
-    """Undirected provider edges ``(u, v, weight, edge_types)``: direct ones and those over one shared node.
 
-    Pairs are made of numbers, not names, and a node that very many providers share is dealt to tiles of them.
+def project(edges: DataFrame, nodes: DataFrame | None = None, overrides: dict[str, float] | None = None) -> Projection:
+    """The projection of a graph on its providers; with ``nodes`` also those without an edge.
+
+    A node of banks, owners, addresses or facilities that providers share counts 1 for each pair of them, whatever the weight of
+    its edges; nodes of identity links count the weight of the link; edges between providers count their own.
     """
     factors = MULTIPLIERS | (overrides or {})
+    factor = lambda kind: F.coalesce(*(F.when(kind == k, F.lit(float(f))) for k, f in factors.items()), F.lit(1.0))
     edges = materialize(edges.select("src", "dst", "edge_type", "weight"), "edges")
-    kinds = sorted(r["edge_type"] for r in edges.select("edge_type").distinct().collect())  # a few kinds, which get numbers
-    named_kinds = F.array(*map(F.lit, kinds)) if kinds else F.array().cast("array<string>")
-    edges = edges.withColumn("kind", F.array_position(named_kinds, F.col("edge_type")).cast("int"))
     is_provider = lambda c: F.col(c).startswith("provider:")
-    ids = materialize(edges.select(F.explode(F.array("src", "dst")).alias("name")).where(is_provider("name")).distinct().withColumn("id", F.monotonically_increasing_id()), "provider-numbers")
-    src, dst = ids.select(F.col("name").alias("src"), F.col("id").alias("a")), ids.select(F.col("name").alias("dst"), F.col("id").alias("b"))
-    direct = edges.where(is_provider("src") & is_provider("dst") & (F.col("src") != F.col("dst"))).join(src, "src").join(dst, "dst").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "kind", "weight")
-    half = edges.where(is_provider("src") & ~is_provider("dst")).join(src, "src").select("a", "dst", "kind", "weight")
-    tiles = half.groupBy("dst", "kind").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")).where("tiles >= 1")
-    dealt = materialize(half.join(tiles, ["dst", "kind"]).withColumn("own", F.pmod(F.xxhash64("a"), F.col("tiles")).cast("int")), "dealt-edges")
-    every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    left = dealt.select("dst", "kind", "a", "weight", F.col("own").alias("i"), every.alias("j"))
-    right = dealt.select("dst", "kind", F.col("a").alias("b"), F.col("weight").alias("w2"), every.alias("i"), F.col("own").alias("j"))
-    over = left.join(right, ["dst", "kind", "i", "j"]).where("a < b").select("a", "b", "kind", F.least("weight", "w2").alias("weight"))
-    # A column for each kind: one aggregation of numbers, in which partial sums of a task are small.
-    sums = direct.unionByName(over).groupBy("a", "b").agg(F.count(F.lit(1)), *(F.sum(F.when(F.col("kind") == i, F.col("weight"))).alias(f"raw_{i}") for i in range(1, len(kinds) + 1)))
-    part = [F.coalesce(F.col(f"raw_{i}") * factors.get(k, 1.0), F.lit(0.0)) for i, k in enumerate(kinds, 1)]
-    listed = F.array(*(F.struct(F.lit(k).alias("edge_type"), F.col(f"raw_{i}").alias("raw")) for i, k in enumerate(kinds, 1))) if kinds else F.array().cast("array<struct<edge_type:string,raw:double>>")
-    met = sums.select("a", "b", reduce(lambda x, y: x + y, part, F.lit(0.0)).alias("weight"), F.map_from_entries(F.filter(listed, lambda x: x["raw"].isNotNull())).alias("edge_types"))
-    named = met.join(src, "a").join(dst, "b")
-    return named.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"), "weight", "edge_types")
-
-
-def communities(projection: DataFrame, rounds: int = 20, resolution: float = 1.0, min_size: int = 2) -> DataFrame:
-    """Rows ``(provider, community)`` by synchronous local moving of weighted modularity.
-
-    In each half-round the nodes of one hash parity, dealt anew each round, move to the neighbouring community with the largest
-    gain (ties to the smallest label); it ends when no node would gain by a move. The labels of most modularity count. Each community is connected in the end: its parts
-    that hang together by no edge become communities of their own.
+    names = edges.select(F.explode(F.array("src", "dst")).alias("provider")).where(is_provider("provider"))
+    if nodes is not None:
+        names = names.union(nodes.where("node_type = 'provider'").select("id"))
+    ids = materialize(names.distinct().withColumn("id", F.monotonically_increasing_id()), "provider-numbers").select("id", "provider")
+    src, dst = ids.select(F.col("provider").alias("src"), F.col("id").alias("a")), ids.select(F.col("provider").alias("dst"), F.col("id").alias("b"))
+    pairs = edges.where(is_provider("src") & is_provider("dst") & (F.col("src") != F.col("dst"))).join(src, "src").join(dst, "dst")
+    direct = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("edge_type").alias("kind")).agg(F.sum("weight").alias("raw"))
+
+    node = F.split_part("dst", F.lit(":"), F.lit(1))
+    linked = node.startswith("shared_")
+    kind = F.when(linked, node)
+    for n, k in SHARED.items():
+        kind = kind.when(node == n, k)
+    half = edges.where(is_provider("src") & ~is_provider("dst")).select("src", "dst", kind.otherwise("shared_facility").alias("kind"), F.when(linked, F.col("weight")).otherwise(1.0).alias("raw"))
+    half = half.groupBy("src", "dst", "kind").agg(F.max("raw").alias("raw"))
+    classes = half.groupBy("dst", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("raw").alias("raw")).where("n > 1").withColumn("cls", F.monotonically_increasing_id())
+    classes = materialize(classes.select("dst", "kind", "raw", "cls"), "shared-values")
+    members = half.select("src", "dst", "kind").join(classes, ["dst", "kind"]).join(src, "src").select(F.col("a").alias("id"), "cls", "kind", "raw")
+    weigh = lambda df: df.withColumn("w", F.col("raw") * factor(F.col("kind")))
+    return Projection(ids, materialize(weigh(members), "members-of-values"), materialize(weigh(direct), "direct"))
+
+
+#: Providers of a class that one task pairs with as many others.
+TILE = 2000
+
+
+def connections(p: Projection, asked: DataFrame | None = None) -> DataFrame:
+    """Pairs ``(u, v, weight, edge_types)`` of connected providers: all of them, or those of the providers that are asked for.
+
+    Without ``asked(provider)`` a class that very many share is dealt to tiles of its members.
     """
-    both = materialize(projection.select("u", "v", "weight").unionByName(projection.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight")), "both-ways")
-    total = both.agg(F.sum("weight")).first()[0]  # twice the weight of all edges
+    if asked is None:
+        tiles = p.members.groupBy("cls").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+        dealt = materialize(p.members.join(tiles, "cls").withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")), "dealt-members")
+        every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+        left = dealt.select("cls", "kind", "raw", "w", F.col("id").alias("a"), F.col("own").alias("i"), every.alias("j"))
+        right = dealt.select("cls", F.col("id").alias("b"), every.alias("i"), F.col("own").alias("j"))
+        over = left.join(right, ["cls", "i", "j"]).where("a < b")
+        direct = p.direct
+    else:
+        mine = p.nodes.join(asked.select("provider").distinct(), "provider", "left_semi").select("id")
+        left = p.members.join(mine, "id", "left_semi").select("cls", "kind", "raw", "w", F.col("id").alias("x"))
+        over = left.join(p.members.select("cls", F.col("id").alias("y")), "cls").where("x <> y").select("kind", "raw", "w", "cls", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        direct = p.direct.join(mine.select(F.col("id").alias("a")), "a", "left_semi").union(p.direct.join(mine.select(F.col("id").alias("b")), "b", "left_semi").select(*p.direct.columns)).distinct()
+    columns = ["a", "b", "kind", "raw", "w"]
+    kinds = direct.select(*columns).unionByName(over.select(*columns)).groupBy("a", "b", "kind").agg(F.sum("raw").alias("raw"), F.sum("w").alias("w"))
+    met = kinds.groupBy("a", "b").agg(F.sum("w").alias("weight"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "raw")))).alias("edge_types"))  # one entry a kind
+    a, b = p.nodes.select(F.col("id").alias("a"), F.col("provider").alias("src")), p.nodes.select(F.col("id").alias("b"), F.col("provider").alias("dst"))
+    return met.join(a, "a").join(b, "b").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"), "weight", "edge_types")
+
+
+def project_providers(edges: DataFrame, overrides: dict[str, float] | None = None) -> DataFrame:
+    """All connected pairs of providers ``(u, v, weight, edge_types)``."""
+    return connections(project(edges, overrides=overrides))
+
+
+def of_pairs(pairs: DataFrame) -> Projection:
+    """The projection of which ``pairs(u, v, weight, edge_types)`` are all connections."""
+    names = pairs.select(F.explode(F.array("u", "v")).alias("provider")).distinct().withColumn("id", F.monotonically_increasing_id())
+    ids = materialize(names, "provider-numbers").select("id", "provider")
+    a, b = ids.select(F.col("id").alias("a"), F.col("provider").alias("u")), ids.select(F.col("id").alias("b"), F.col("provider").alias("v"))
+    direct = pairs.join(a, "u").join(b, "v").select("a", "b", F.lit("pair").alias("kind"), F.lit(1.0).alias("raw"), F.col("weight").cast("double").alias("w"))
+    none = ids.limit(0).select("id", F.col("id").alias("cls"), F.lit("").alias("kind"), F.lit(0.0).alias("raw"), F.lit(0.0).alias("w"))
+    return Projection(ids, none, materialize(direct, "direct"))
+
+
+def both_ways(direct: DataFrame) -> DataFrame:
+    rest = [c for c in direct.columns if c not in ("a", "b")]
+    return direct.select("a", "b", *rest).union(direct.select("b", "a", *rest))
+
+
+def neighbour_counts(members: DataFrame, direct: DataFrame, marked: DataFrame | None = None) -> DataFrame:
+    """Rows ``(id, n)``: with how many different others (of ``marked(id)``, if given) a provider shares a class or an edge.
+
+    A class is a few bitmaps of 32,768 numbers each; a provider's neighbours are the union of those of its classes, so that no
+    pair is made. Providers without any are left out.
+    """
+    bucket, bit = F.bitmap_bucket_number, F.bitmap_bit_position
+    near = both_ways(direct.select("a", "b"))
+    held = members.select("id", "cls")
+    if marked is not None:
+        marked = marked.select("id").distinct()
+        near = near.join(marked.select(F.col("id").alias("b")), "b", "left_semi")
+        held = held.join(marked, "id", "left_semi")
+    maps = held.groupBy("cls", bucket("id").alias("bucket")).agg(F.bitmap_construct_agg(bit("id")).alias("bits"))
+    mine = members.select("id", "cls").join(maps, "cls").select("id", "bucket", "bits")
+    single = near.groupBy(F.col("a").alias("id"), bucket("b").alias("bucket")).agg(F.bitmap_construct_agg(bit("b")).alias("bits"))
+    union = mine.unionByName(single).groupBy("id", "bucket").agg(F.bitmap_or_agg("bits").alias("bits")).groupBy("id").agg(F.sum(F.bitmap_count("bits")).alias("n"))
+    itself = held.select("id").distinct().withColumn("self", F.lit(1))
+    return union.join(itself, "id", "left").select("id", (F.col("n") - F.coalesce("self", F.lit(0))).alias("n"))
+
+
+def degrees(p: Projection) -> DataFrame:
+    """Rows ``(id, k)``: the weighted degree of each provider that has a connection."""
+    size = p.members.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
+    over = p.members.join(size, "cls").select("id", (F.col("w") * (F.col("n") - 1)).alias("k"))
+    return over.unionByName(both_ways(p.direct.select("a", "b", "w")).select(F.col("a").alias("id"), F.col("w").alias("k"))).groupBy("id").agg(F.sum("k").alias("k"))
+
+
+#: Communities of a class that its members weigh, besides those of their own edges.
+CHOICES = 8
+#: The least rise of modularity by a move that counts.
+LEAST_RISE = 1e-7
+
+
+class _Level:
+    """A graph whose nodes are providers, or communities of them.
+
+    ``member(u, cls, w, x, mean)`` has how many of a class each node has, with the mean degree of the class; ``direct(u, v, w)``
+    edges both ways and what lies inside a node; ``node(u, k, own)`` weighted degrees and what classes put inside a node.
+    """
+
+    def __init__(self, member: DataFrame, direct: DataFrame, node: DataFrame, total: float, resolution: float):
+        own = member.groupBy("u").agg(F.sum(F.col("w") * F.col("x") * F.col("x")).alias("own"))
+        self.node = materialize(node.join(own, "u", "left").select("u", "k", F.coalesce("own", F.lit(0.0)).alias("own")), "level-nodes")
+        mean = member.join(self.node, "u").groupBy("cls").agg(F.avg("k").alias("mean"))
+        self.member, self.direct = materialize(member.join(mean, "cls"), "level-members"), materialize(direct, "level-direct")
+        self.total, self.resolution = total, resolution
+
+    def moves(self, label: DataFrame, turn: int) -> DataFrame:
+        """Rows ``(u, c, to, k, rise)`` of nodes of ``label(u, k, own, c)`` that gain by a move from ``c``, with the best choice.
+
+        Weighed are the communities at the other end of their edges and, of each class, the ones that would draw a mean member
+        most, ties dealt anew each turn. Each is weighed exactly.
+        """
+        tot = label.groupBy("c").agg(F.sum("k").alias("tot"))
+        counts = self.member.join(label.select("u", "c"), "u").groupBy("cls", "c").agg(F.max("w").alias("w"), F.sum("x").alias("n"), F.max("mean").alias("mean"))
+        pull = F.col("w") * F.col("n") - self.resolution * F.col("tot") * F.col("mean") / self.total
+        first = Window.partitionBy("cls").orderBy(F.desc("pull"), F.xxhash64("c", F.lit(turn)), "c")
+        drawn = counts.join(tot, "c").withColumn("pull", pull).withColumn("i", F.row_number().over(first)).where(F.col("i") <= CHOICES).select("cls", F.col("c").alias("to"))
+        near = self.direct.where("u <> v").join(label.select(F.col("u").alias("v"), F.col("c").alias("to")), "v").groupBy("u", "to").agg(F.sum("w").alias("w"))
+        options = self.member.select("u", "cls").join(drawn, "cls").select("u", "to").union(near.select("u", "to")).union(label.select("u", "c")).distinct()
+        over = options.join(self.member.select("u", "cls", "x"), "u").join(counts.select("cls", F.col("c").alias("to"), "w", "n"), ["cls", "to"]).select("u", "to", (F.col("w") * F.col("x") * F.col("n")).alias("w"))
+        sums = options.withColumn("w", F.lit(0.0)).unionByName(over).unionByName(near).groupBy("u", "to").agg(F.sum("w").alias("w"))
+        every = sums.join(label, "u").join(tot.withColumnRenamed("c", "to"), "to")
+        home = F.col("to") == F.col("c")
+        rest = F.col("tot") - F.when(home, F.col("k")).otherwise(0.0)
+        gain = F.col("w") - F.when(home, F.col("own")).otherwise(0.0) - self.resolution * F.col("k") * rest / self.total
+        away = F.when(~home, F.struct(F.round(-F.col("gain"), 9), F.col("to")))
+        best = every.withColumn("gain", gain).groupBy("u", "c", "k").agg(F.max(F.when(home, F.col("gain"))).alias("stay"), F.max(F.when(~home, F.col("gain"))).alias("leave"), F.min_by("to", away).alias("to"))
+        rise = F.col("leave") - F.col("stay")
+        return best.withColumn("rise", rise).where(2 * rise / self.total > LEAST_RISE).select("u", "c", "to", "k", "rise")
+
+    def together(self, moves: DataFrame) -> DataFrame:
+        """Moves ``(u, to)`` that raise the modularity when made at once; the best of all is among them.
+
+        A community takes nodes if the best move that concerns it goes in, and gives them if it goes out. A move counts with what
+        better ones into its target and out of its source can take from it at most.
+        """
+        one = F.struct("rise", F.col("u"))
+        sides = moves.select(F.col("to").alias("x"), one.alias("in"), F.lit(None).cast("struct<rise:double,u:bigint>").alias("out")).unionByName(moves.select(F.col("c").alias("x"), F.lit(None).cast("struct<rise:double,u:bigint>").alias("in"), one.alias("out")))
+        role = sides.groupBy("x").agg((F.coalesce(F.max("in") >= F.max("out"), F.max("in").isNotNull())).alias("takes"))
+        fit = moves.join(role.where("takes").select(F.col("x").alias("to")), "to", "left_semi").join(role.where("not takes").select(F.col("x").alias("c")), "c", "left_semi")
+        side = lambda c: Window.partitionBy(c).orderBy(F.desc("rise"), F.desc("u")).rowsBetween(Window.unboundedPreceding, -1)
+        before = sum(F.coalesce(F.sum("k").over(side(c)), F.lit(0.0)) for c in ("to", "c"))
+        return fit.withColumn("before", before).where(F.col("rise") - self.resolution * F.col("k") * F.col("before") / self.total > 0).select("u", "to")
+
+    def settle(self) -> tuple[DataFrame, bool]:
+        """Labels ``(u, c)`` after local moving, and whether any node moved. It ends when no node gains by a move."""
+        label, turn = self.node.withColumn("c", F.col("u")), 0
+        while True:
+            moves = materialize(self.moves(label, turn), "level-moves")
+            if moves.isEmpty():
+                return label.select("u", "c"), turn > 0
+            label = materialize(label.join(self.together(moves), "u", "left").select("u", "k", "own", F.coalesce("to", "c").alias("c")), "level-labels")
+            turn += 1
+
+    def contracted(self, label: DataFrame) -> _Level:
+        """The graph whose nodes are the communities of ``label``."""
+        to = label.select(F.col("u").alias("v"), F.col("c").alias("d"))
+        member = self.member.join(label, "u").groupBy(F.col("c").alias("u"), "cls").agg(F.max("w").alias("w"), F.sum("x").alias("x"))
+        direct = self.direct.join(label, "u").join(to, "v").groupBy(F.col("c").alias("u"), F.col("d").alias("v")).agg(F.sum("w").alias("w"))
+        node = self.node.join(label, "u").groupBy(F.col("c").alias("u")).agg(F.sum("k").alias("k"))
+        return _Level(member, direct, node, self.total, self.resolution)
+
+
+def communities(p: Projection, resolution: float = 1.0, min_size: int = 2) -> DataFrame:
+    """Rows ``(provider, community)``: weighted modularity, moved up locally and then on the graph of the communities, and so on.
+
+    Each level is contracted until no node moves; the labels are traced back. Communities are connected in the end: parts that
+    hang together by no connection become communities of their own, which never lowers the modularity. A community is named
+    after its smallest provider.
+    """
+    member = p.members.select(F.col("id").alias("u"), "cls", "w", F.lit(1.0).alias("x"))
+    direct = both_ways(p.direct.groupBy("a", "b").agg(F.sum("w").alias("w"))).select(F.col("a").alias("u"), F.col("b").alias("v"), "w")
+    node = degrees(p).select(F.col("id").alias("u"), "k").where("k > 0")
+    total = node.agg(F.sum("k")).first()[0]
     if not total:
-        return projection.select(F.col("u").alias("provider"), F.col("u").alias("community")).limit(0)
-    degree = materialize(both.groupBy("u").agg(F.sum("weight").alias("k")), "degrees")
-    label = degree.select("u", "k", F.col("u").alias("c"))
-    best, best_q = label, None
-    for r in range(2 * rounds):
-        mine = label.select("u", "k", "c")
-        sums = label.groupBy("c").agg(F.sum("k").alias("tot"))
-        near = both.join(label.select(F.col("u").alias("v"), F.col("c").alias("nc")), "v").groupBy("u", "nc").agg(F.sum("weight").alias("w"))
-        own = mine.select("u", F.col("c").alias("nc"), F.lit(0.0).alias("w"))
-        options = near.unionByName(own).groupBy("u", "nc").agg(F.sum("w").alias("w")).join(mine, "u").join(sums.withColumnRenamed("c", "nc"), "nc")
-        rest = F.col("tot") - F.when(F.col("nc") == F.col("c"), F.col("k")).otherwise(0.0)
-        gain = F.round(F.col("w") - resolution * F.col("k") * rest / total, 9)
-        choice = options.withColumn("gain", gain).groupBy("u").agg(F.min_by("nc", F.struct(-F.col("gain"), (F.col("nc") != F.col("c")).cast("int"), F.col("nc"))).alias("nc"))
-        move = F.pmod(F.xxhash64("u", F.lit(r // 2)), F.lit(2)) == r % 2
-        label = materialize(mine.join(choice, "u").select("u", "k", F.when(move, F.col("nc")).otherwise(F.col("c")).alias("c"), (F.col("nc") != F.col("c")).alias("wants")), "labels")
-        q = modularity(both, label, total, resolution)
-        if best_q is None or q > best_q + 1e-9:
-            best, best_q = label.drop("wants"), q
-        if not label.where("wants").limit(1).count():
+        return p.nodes.select("provider", F.col("provider").alias("community")).limit(0)
+    level = _Level(member, direct, node, total, resolution)
+    found = level.node.select(F.col("u").alias("id"), F.col("u").alias("c"))
+    while True:
+        label, moved = level.settle()
+        if not moved:
             break
-    labelled = best.select("u", "c")
-    inside = projection.join(labelled, "u").join(labelled.select(F.col("u").alias("v"), F.col("c").alias("d")), "v").where("c = d")
-    linked = connected_components(inside, "u", "v").select(F.col("node").alias("provider"), F.col("component").alias("community"))
-    return linked.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("community"))).where(F.col("n") >= min_size).drop("n")
-
-
-def modularity(both: DataFrame, label: DataFrame, total: float, resolution: float = 1.0) -> float:
-    inside = both.join(label.select("u", "c"), "u").join(label.select(F.col("u").alias("v"), F.col("c").alias("d")), "v").where("c = d").agg(F.sum("weight")).first()[0] or 0.0
-    squares = label.groupBy("c").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0]
-    return inside / total - resolution * squares / total**2
-
-
-def community_table(projection: DataFrame, membership: DataFrame) -> DataFrame:
-    """Size, hub, edge totals, hard links, referrals and category of each community."""
-    a = membership.select(F.col("provider").alias("u"), F.col("community").alias("c"))
-    b = membership.select(F.col("provider").alias("v"), F.col("community").alias("d"))
-    inside = projection.join(a, "u").join(b, "v").where("c = d")
-    degrees = inside.select("c", F.explode(F.array("u", "v")).alias("provider"), "weight").groupBy("c", "provider").agg(F.sum("weight").alias("degree"))
-    hubs = degrees.groupBy("c").agg(F.max_by("provider", F.struct("degree", F.col("provider"))).alias("hub"), F.max("degree").alias("hub_degree"))
-    kinds = inside.select("c", F.explode("edge_types").alias("t", "raw"))
-    totals = kinds.groupBy("c").agg(
-        F.sum(F.when(F.col("t").isin(list(HARD)), 1).otherwise(0)).alias("hard_links"), F.sum(F.when(F.col("t") == "refers_to", F.col("raw")).otherwise(0.0)).alias("referrals"), F.countDistinct("t").alias("edge_type_count")
-    )
-    sizes = membership.groupBy(F.col("community").alias("c")).agg(F.count(F.lit(1)).alias("size"), F.sort_array(F.collect_list("provider")).alias("providers"))
-    edges = inside.groupBy("c").agg(F.count(F.lit(1)).alias("edge_count"), F.sum("weight").alias("total_weight"))
-    category = (
-        F.when((F.col("hard_links") >= 2) | ((F.col("hard_links") >= 1) & (F.col("referrals") >= 2)), "high_risk_network").when((F.col("hard_links") >= 1) | (F.col("referrals") >= 3), "candidate").when(F.col("size") >= 3, "connected").otherwise("small")
-    )
-    return sizes.join(hubs, "c").join(totals, "c").join(edges, "c").withColumn("category", category).withColumnRenamed("c", "community")
+        found = materialize(found.join(label.select(F.col("u").alias("c"), F.col("c").alias("to")), "c").select("id", F.col("to").alias("c")), "traced")
+        level = level.contracted(label)
+    named = found.join(p.nodes, "id").select("id", "provider", "c")
+    other = found.select(F.col("id").alias("b"), F.col("c").alias("d"))
+    text = lambda c: F.col(c).cast("string")
+    hub = p.members.join(named, "id").select(F.col("provider").alias("src"), F.concat(F.lit("~"), text("cls"), F.lit(":"), text("c")).alias("dst"))
+    pair = p.direct.join(named.withColumnsRenamed({"id": "a", "provider": "src"}), "a").join(other, "b").where("c = d").join(p.nodes.withColumnsRenamed({"id": "b", "provider": "dst"}), "b").select("src", "dst")
+    linked = connected_components(hub.unionByName(pair), "src", "dst").where(~F.col("node").startswith("~")).select(F.col("node").alias("provider"), F.col("component").alias("community"))
+    return linked.join(linked.groupBy("community").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size), "community", "left_semi").select("provider", "community")
+
+
+def modularity(p: Projection, membership: DataFrame, resolution: float = 1.0) -> float:
+    """Weighted modularity of ``membership(provider, community)``; providers that it leaves out are alone."""
+    k = degrees(p)
+    total = k.agg(F.sum("k")).first()[0]
+    label = p.nodes.join(membership, "provider", "left").select("id", F.coalesce("community", "provider").alias("c"))
+    counts = p.members.join(label, "id").groupBy("cls", "c").agg(F.max("w").alias("w"), F.count(F.lit(1)).alias("n"))
+    over = counts.agg(F.sum(F.col("w") * F.col("n") * (F.col("n") - 1))).first()[0] or 0.0
+    kept = p.direct.join(label.withColumnRenamed("id", "a"), "a").join(label.select(F.col("id").alias("b"), F.col("c").alias("d")), "b").where("c = d").agg(F.sum("w")).first()[0] or 0.0
+    squares = k.join(label, "id").groupBy("c").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0]
+    return (over + 2 * kept) / total - resolution * squares / total**2
+
+
+def _inside(p: Projection, membership: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``members`` and ``direct`` within communities, with the community ``c`` in the class; and ``(id, provider, c)``."""
+    of = p.nodes.join(membership.select("provider", F.col("community").alias("c")), "provider").select("id", "provider", "c")
+    members = p.members.join(of.select("id", "c"), "id").withColumn("cls", F.struct("cls", "c"))
+    ends = of.select(F.col("id").alias("b"), F.col("c").alias("d"))
+    direct = p.direct.join(of.select(F.col("id").alias("a"), "c"), "a").join(ends, "b").where("c = d").drop("d")
+    return members, direct, of
+
+
+def community_table(p: Projection, membership: DataFrame) -> DataFrame:
+    """Size, hub (greatest weighted degree inside, ties to the smallest name), sums by kind and category of each community."""
+    members, direct, of = _inside(p, membership)
+    counts = members.groupBy("cls", "c", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("raw").alias("raw"), F.max("w").alias("w"))
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    kinds = counts.where("n > 1").select("c", "kind", (F.col("raw") * pairs).alias("raw"), (F.col("w") * pairs).alias("w")).unionByName(direct.select("c", "kind", "raw", "w")).groupBy("c", "kind").agg(F.sum("raw").alias("raw"), F.sum("w").alias("w"))
+    over = members.join(counts.select("cls", "n"), "cls").select("id", (F.col("w") * (F.col("n") - 1)).alias("degree"))
+    inner = over.unionByName(both_ways(direct.select("a", "b", "w")).select(F.col("a").alias("id"), F.col("w").alias("degree"))).groupBy("id").agg(F.sum("degree").alias("degree"))
+    hubs = of.join(inner, "id", "left").groupBy("c").agg(F.count(F.lit(1)).alias("size"), F.min_by("provider", F.struct(-F.coalesce("degree", F.lit(0.0)), "provider")).alias("hub"), F.sort_array(F.collect_list("provider")).alias("providers"))
+    of_kinds = lambda names: F.sum(F.when(F.col("kind").isin(*names), F.col("raw")).otherwise(0.0))
+    totals = kinds.groupBy("c").agg(of_kinds(HARD).alias("hard_links"), of_kinds(("refers_to",)).alias("referrals"), of_kinds(OWNERSHIP).alias("ownership"), F.count(F.lit(1)).alias("edge_type_count"), F.sum("w").alias("total_weight"))
+    out = hubs.join(totals, "c", "left").fillna(0.0, ["hard_links", "referrals", "ownership", "total_weight"]).fillna(0, ["edge_type_count"])
+    hard, sent = F.col("hard_links"), F.col("referrals")
+    category = F.when((hard >= 2) | ((hard >= 1) & (sent >= 2)), "high-risk network").when((hard >= 1) | (sent >= 3), "investigation candidate network").when(F.col("size") >= 3, "connected provider cluster").otherwise("small provider cluster")
+    return out.withColumn("category", category).withColumnRenamed("c", "community")
 
 
 def enrich_communities(membership: DataFrame, claims: DataFrame, alerts: DataFrame | None = None) -> DataFrame:
@@ -181,24 +363,51 @@ def enrich_communities(membership: DataFrame, claims: DataFrame, alerts: DataFra
     return money.join(found.groupBy("community").agg(F.array_join(F.sort_array(F.collect_set("rule_id")), ",").alias("rules"), F.countDistinct("claim_id").alias("suspicious_claims")), "community", "left")
 
 
-def network_features(projection: DataFrame, membership: DataFrame, suspicious: DataFrame, betweenness: DataFrame | None = None) -> DataFrame:
-    """Degrees, density of the community, suspicious neighbours, links by kind and a risk score of each provider."""
-    both = projection.select("u", "v", "weight", "edge_types").unionByName(projection.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight", "edge_types"))
-    flags = suspicious.select(F.col("provider").alias("v"), F.lit(1).alias("bad")).distinct()
-    hard = F.size(F.array_intersect(F.map_keys("edge_types"), F.array(*map(F.lit, HARD))))
-    per = both.join(flags, "v", "left").groupBy(F.col("u").alias("provider")).agg(
-        F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("weighted_degree"), F.sum(F.coalesce("bad", F.lit(0))).alias("suspicious_neighbours"), F.sum(hard).alias("identity_links"), F.sum(F.coalesce(F.try_element_at("edge_types", F.lit("refers_to")), F.lit(0.0))).alias("referral_links")
-    )
-    size = membership.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("community")))
-    inside = projection.join(membership.select(F.col("provider").alias("u"), F.col("community").alias("c")), "u").join(membership.select(F.col("provider").alias("v"), F.col("community").alias("d")), "v").where("c = d").groupBy("c").agg(F.count(F.lit(1)).alias("e"))
-    density = size.join(inside, F.col("community") == F.col("c"), "left").select("provider", "community", F.when(F.col("n") > 1, F.coalesce("e", F.lit(0)) / (F.col("n") * (F.col("n") - 1) / 2)).otherwise(0.0).alias("community_density"))
-    out = per.join(density, "provider", "left").withColumns(
-        {
-            "suspicious_ratio": F.col("suspicious_neighbours") / F.col("degree"),
-            "community_risk": F.least((0.4 * F.col("identity_links") + 0.3 * F.col("suspicious_neighbours") + 0.3 * F.col("referral_links")) / 5, F.lit(1.0)),
-        }
-    )
-    return out if betweenness is None else out.join(betweenness, "provider", "left").fillna(0.0, ["betweenness"])
+def network_features(p: Projection, membership: DataFrame, suspicious: DataFrame, edges: DataFrame | None = None, claims: DataFrame | None = None, betweenness: DataFrame | None = None) -> DataFrame:
+    """Network features of every provider: degrees, community, suspicious neighbours, connections by kind, exposure, scores.
+
+    ``suspicious(provider)`` are those with an alert. ``edges`` of the graph give the number of relationships, ``claims`` the
+    exposure, ``betweenness`` the referral centrality; without them these are 0. Each connection counts the whole number in its
+    raw weight. A provider without a community has -1 in its place, of size 1.
+    """
+    mark = p.nodes.join(suspicious.select("provider").distinct(), "provider", "left_semi").select("id")
+    size = p.members.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
+    raw = F.floor("raw").cast("long")
+    links = p.members.join(size, "cls").select("id", "kind", (raw * (F.col("n") - 1)).alias("n")).unionByName(both_ways(p.direct.select("a", "b", "kind", "raw")).select(F.col("a").alias("id"), "kind", raw.alias("n")))
+    of = lambda kinds, name: F.sum(F.when(F.col("kind").isin(*kinds), F.col("n")).otherwise(0)).alias(name)
+    groups = {"shared_identity_count": IDENTITY, "shared_ownership_count": OWNERSHIP, "shared_address_count": ADDRESS, "referral_connection_count": ("refers_to",), "facility_connection_count": FACILITY}
+    by_kind = links.groupBy("id").agg(*(of(k, n) for n, k in groups.items()))
+    members, direct, inside = _inside(p, membership)
+    sizes = inside.groupBy("c").agg(F.count(F.lit(1)).alias("community_size"))
+    met = neighbour_counts(members, direct).join(inside.select("id", "c"), "id").groupBy("c").agg((F.sum("n") / 2).alias("met"))
+    density = F.when(F.col("community_size") > 1, 2 * F.coalesce("met", F.lit(0.0)) / (F.col("community_size") * (F.col("community_size") - 1))).otherwise(0.0)
+    place = inside.select("id", "c").join(sizes, "c").join(met, "c", "left").select("id", F.col("c").alias("community"), "community_size", F.round(density, 4).alias("network_density"))
+    out = p.nodes.join(neighbour_counts(p.members, p.direct).withColumnRenamed("n", "network_degree"), "id", "left").join(degrees(p), "id", "left").join(neighbour_counts(p.members, p.direct, mark).withColumnRenamed("n", "suspicious_neighbor_count"), "id", "left").join(by_kind, "id", "left").join(place, "id", "left")
+    zero = F.lit(0).cast("long")
+    if edges is not None:
+        out = out.join(relationships(edges), "provider", "left")
+    if claims is not None:
+        out = out.join(claims.groupBy(F.concat(F.lit("provider:"), F.col("provider_id").cast("string")).alias("provider")).agg(F.sum("paid_amount").alias("network_exposure")), "provider", "left")
+    if betweenness is not None:
+        out = out.join(betweenness.select("provider", F.col("betweenness").alias("referral_centrality")), "provider", "left")
+    given = lambda c: F.coalesce(F.col(c), F.lit(0.0)) if c in out.columns else F.lit(0.0)
+    count = lambda c: F.coalesce(F.col(c).cast("long"), zero)
+    whole = ["network_degree", "suspicious_neighbor_count", *groups]
+    out = out.select(
+        "provider", F.coalesce("community", F.lit("-1")).alias("community"), F.coalesce("community_size", F.lit(1)).alias("community_size"), F.round(F.coalesce("k", F.lit(0.0)), 2).alias("weighted_degree"), F.coalesce("network_density", F.lit(0.0)).alias("network_density"),
+        *(count(c).alias(c) for c in whole), F.round(given("network_exposure"), 2).alias("network_exposure"), (count("network_relationship_count") if edges is not None else zero).alias("network_relationship_count"), F.round(given("referral_centrality"), 4).alias("referral_centrality"),
+    )
+    most = F.greatest(F.col("network_degree"), F.lit(1))
+    risk = (0.4 * F.col("shared_identity_count") + 0.3 * F.col("suspicious_neighbor_count") + 0.3 * F.col("referral_connection_count")) / 5
+    return out.withColumns({"suspicious_neighbor_ratio": F.round(F.col("suspicious_neighbor_count") / most, 4), "ownership_centrality": F.round(F.least(F.col("shared_ownership_count") / most, F.lit(1.0)), 4), "community_risk_score": F.round(F.least(risk, F.lit(1.0)), 4)})
+
+
+def relationships(edges: DataFrame) -> DataFrame:
+    """Rows ``(provider, network_relationship_count)``: edges of the graph at each provider; those of an identity value are its pairs."""
+    value = F.col("dst").startswith("shared_")
+    pairs = edges.where(value).select("src", "dst").join(edges.where(value).groupBy("dst").agg((F.count(F.lit(1)) - 1).alias("n")), "dst").select(F.col("src").alias("provider"), "n")
+    ends = edges.where(~value).select(F.explode(F.array("src", "dst")).alias("provider"), F.lit(1).cast("long").alias("n"))
+    return pairs.unionByName(ends).where(F.col("provider").startswith("provider:")).groupBy("provider").agg(F.sum("n").alias("network_relationship_count"))
 
 
 def betweenness_centrality(projection: DataFrame, pivots: int | None = None) -> DataFrame:
@@ -320,16 +529,16 @@ def _over_joins(both: DataFrame, sources: DataFrame) -> DataFrame:
     return delta.where("s <> v").groupBy(F.col("v").alias("id")).agg(F.sum("delta").alias("b"))
 
 
-def network_table(table: DataFrame, enriched: DataFrame) -> DataFrame:
-    """Communities with their figures in [0, 1] and ids by exposure."""
+def network_table(table: DataFrame, enriched: DataFrame, betweenness: DataFrame | None = None) -> DataFrame:
+    """Communities, the largest first, with their figures in [0, 1]; ``betweenness`` gives the centrality of hubs."""
     out = table.join(enriched, "community", "left")
-    return W.ranked(out, [F.desc_nulls_last("total_paid"), F.col("community")], "_rank").withColumns(
-        {
-            "referral_density": F.least(F.col("referrals") / (5 * F.col("size")), F.lit(1.0)),
-            "edge_variety": F.least(F.col("edge_type_count") / 5, F.lit(1.0)),
-            "network_id": F.format_string("NET-%04d", F.col("_rank")),
-        }
-    ).drop("_rank")
+    if betweenness is not None:
+        out = out.join(betweenness.select(F.col("provider").alias("hub"), F.col("betweenness").alias("hub_centrality")), "hub", "left")
+    centrality = F.coalesce("hub_centrality", F.lit(0.0)) if betweenness is not None else F.lit(0.0)
+    share = lambda c, by: F.round(F.least(F.col(c) / by, F.lit(1.0)), 4)
+    scores = {"hard_link_score": share("hard_links", F.col("size")), "referral_score": share("referrals", 5 * F.col("size")), "concentration_score": share("edge_type_count", F.lit(5.0)), "ownership_score": share("ownership", F.col("size")), "hub_centrality": F.round(centrality, 4), "documented_group": F.lit(False)}
+    numbers = W.ranked(out.select("community", "size"), [F.desc("size"), F.col("community")], "_rank")
+    return out.join(numbers.select("community", "_rank"), "community").withColumns(scores | {"network_id": F.format_string("NET-%04d", F.col("_rank"))}).drop("_rank")
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int = 2, edge_types: tuple[str, ...] = (), min_weight: float = 0.0) -> tuple[DataFrame, DataFrame]:
@@ -358,7 +567,31 @@ def member_cohorts(claims: DataFrame, provider_ids: DataFrame, least: int = 5) -
     return sets.groupBy("providers").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > least)
 
 
-def narratives(projection: DataFrame) -> DataFrame:
-    """A sentence for each connection of two providers."""
-    kinds = F.array_join(F.transform(F.map_entries("edge_types"), lambda e: F.concat(e["key"], F.lit(" ("), F.format_number(e["value"], 0), F.lit(")"))), ", ")
-    return projection.select("u", "v", F.concat(F.col("u"), F.lit(" is connected to "), F.col("v"), F.lit(" by "), kinds, F.lit(".")).alias("text"))
+def narratives(edges: DataFrame, communities: DataFrame | None = None) -> DataFrame:
+    """Rows ``(provider, text)``: what connects each provider that has an edge of the graph with others, in a sentence.
+
+    ``communities(provider, number, size, category)`` adds a second one.
+    """
+    focal = lambda c: F.col(c).startswith("provider:")
+    value = F.col("dst").startswith("shared_")
+    named = materialize(edges.select(F.explode(F.array("src", "dst")).alias("provider")).where(focal("provider")).distinct().withColumn("id", F.monotonically_increasing_id()), "provider-numbers")
+    src, dst = named.select(F.col("provider").alias("src"), F.col("id").alias("a")), named.select(F.col("provider").alias("dst"), F.col("id").alias("b"))
+    members = edges.where(value).join(src, "src").select(F.col("a").alias("id"), F.col("dst").alias("cls"), F.col("edge_type").alias("kind"))
+    direct = edges.where(focal("dst") & (F.col("src") != F.col("dst"))).join(src, "src").join(dst, "dst").select("a", "b", F.col("edge_type").alias("kind"))
+    size = members.groupBy("cls").agg((F.count(F.lit(1)) - 1).alias("n"))
+    one = F.lit(1).cast("long").alias("n")
+    works = edges.where("edge_type = 'works_at'").join(src, "src").select(F.col("a").alias("id"), F.lit("works_at").alias("kind"), one)
+    kinds = members.join(size, "cls").select("id", "kind", "n").unionByName(both_ways(direct).select(F.col("a").alias("id"), "kind", one)).unionByName(works)
+    groups = {"shared bank account link(s)": ("shared_bank_hash",), "shared TIN hash link(s)": ("shared_tin_hash",), "shared ownership relationship(s)": OWNERSHIP, "referral relationship(s)": ("refers_to",), "facility connection(s)": FACILITY, "shared address link(s)": ADDRESS}
+    of = lambda names: F.sum(F.when(F.col("kind").isin(*names), F.col("n")).otherwise(0))
+    counts = kinds.groupBy("id").agg(*(of(k).alias(f"_{i}") for i, k in enumerate(groups.values())), of(("works_at",)).alias("facilities"))
+    met = neighbour_counts(members, direct)
+    phrases = [F.when(F.col(f"_{i}") > 0, F.concat(F.col(f"_{i}").cast("string"), F.lit(f" {name}"))) for i, name in enumerate(groups)]
+    said = F.concat_ws(", ", *phrases)
+    id_ = F.regexp_replace("provider", "^provider:", "")
+    text = F.concat(F.lit("Provider "), id_, F.lit(" is connected to "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" provider(s)"), F.when(F.col("facilities") > 0, F.concat(F.lit(" and "), F.col("facilities").cast("string"), F.lit(" facility(ies)"))).otherwise(""), F.when(said != "", F.concat(F.lit(" via "), said)).otherwise(""), F.lit("."))
+    out = named.join(counts, "id", "left").join(met, "id", "left").fillna(0, ["facilities"]).withColumn("text", text)
+    if communities is not None:
+        more = F.format_string(" Provider belongs to Community C%02d (%d providers), classified as a %s.", F.col("number").cast("int"), F.col("size").cast("int"), F.col("category"))
+        out = out.join(communities.select("provider", "number", "size", "category"), "provider", "left").withColumn("text", F.concat("text", F.coalesce(F.when(F.col("number").isNotNull(), more), F.lit(""))))
+    return out.select("provider", "text")

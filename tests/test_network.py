@@ -18,7 +18,7 @@ def test_communities_of_all_kinds_of_edges(spark):
     # A bank across both does not outweigh the other ties.
     edges.append(("a1", "b2", 1.0, {"has_bank": 0.1}))
     p = spark.createDataFrame(edges, "u string, v string, weight double, edge_types map<string, double>")
-    got = Q._membership(p).groupBy("community").agg(F.sort_array(F.collect_list("provider")).alias("g")).collect()
+    got = N.communities(N.of_pairs(p)).groupBy("community").agg(F.sort_array(F.collect_list("provider")).alias("g")).collect()
     assert sorted(r.g for r in got) == groups
 
 
@@ -98,3 +98,67 @@ def test_projection_in_tiles(spark, monkeypatch):
         monkeypatch.setattr(N, "TILE", tile)
         got[tile] = sorted((r.u, r.v, round(r.weight, 9)) for r in N.project_providers(df).collect())
     assert got[4] == got[2000] and len(got[4]) == 23 * 22 // 2
+
+
+def louvain(near):
+    """Sequential local moving with contraction, the plain method: labels of the nodes of ``near[u][v] = weight``."""
+    k = {u: sum(x.values()) for u, x in near.items()}
+    total, top = sum(k.values()), {u: u for u in near}
+    while True:
+        c, tot, moved, again = {u: u for u in near}, dict(k), False, True
+        while again:
+            again = False
+            for u in near:
+                w = {}
+                for v, x in near[u].items():
+                    if v != u:
+                        w[c[v]] = w.get(c[v], 0) + x
+                tot[c[u]] -= k[u]
+                best = max([c[u], *sorted(w)], key=lambda t: (round(w.get(t, 0) - k[u] * tot[t] / total, 9), t == c[u]))
+                again |= best != c[u]
+                c[u] = best
+                tot[best] += k[u]
+            moved |= again
+        if not moved:
+            return top
+        top = {u: c[t] for u, t in top.items()}
+        new, sums = {}, {}
+        for u, x in near.items():
+            sums[c[u]] = sums.get(c[u], 0) + k[u]
+            for v, y in x.items():
+                row = new.setdefault(c[u], {})
+                row[c[v]] = row.get(c[v], 0) + y
+        near, k = new, sums
+
+
+def test_class_nodes_against_pairs(spark):
+    """Degrees, neighbours and modularity of class nodes are those of all pairs; communities are as good as the plain method's."""
+    r = random.Random(1)
+    rows = [(f"provider:{i}", x, t, 1.0) for i in range(90) for x, t in ((f"bank:{i // 5}", "has_bank"), (f"address:{i // 15}", "located_at"), (f"facility:{r.randrange(5)}", "works_at"), (f"shared_registered_agent:{i % 30}", "shared_registered_agent"))]
+    rows += [(f"provider:{a}", f"provider:{b}", "refers_to", 2.0) for a, b in {(r.randrange(90), r.randrange(90)) for _ in range(80)}]
+    p = N.project(spark.createDataFrame(rows, N.EDGE))
+    near, pairs = {}, N.connections(p).collect()
+    for x in pairs:
+        near.setdefault(x.u, {})[x.v] = x.weight
+        near.setdefault(x.v, {})[x.u] = x.weight
+    names = {x.id: x.provider for x in p.nodes.collect()}
+    assert {names[x.id]: round(x.k, 6) for x in N.degrees(p).collect()} == {u: round(sum(x.values()), 6) for u, x in near.items()}
+    assert {names[x.id]: x.n for x in N.neighbour_counts(p.members, p.direct).collect()} == {u: len(x) for u, x in near.items()}
+    some = [i for i in names if i % 3 == 0]
+    marked = {names[x.id]: x.n for x in N.neighbour_counts(p.members, p.direct, spark.createDataFrame([(i,) for i in some], "id long")).collect()}
+    assert all(marked.get(u, 0) == sum(v in {names[i] for i in some} for v in x) for u, x in near.items())
+    asked = N.connections(p, spark.createDataFrame([("provider:7",)], "provider string")).collect()
+    assert {x.v if x.u == "provider:7" else x.u: (x.weight, x.edge_types) for x in asked} == {x.v if x.u == "provider:7" else x.u: (x.weight, x.edge_types) for x in pairs if "provider:7" in (x.u, x.v)}
+
+    def quality(label):
+        k = {u: sum(x.values()) for u, x in near.items()}
+        total, size = sum(k.values()), {}
+        for u in k:
+            size[label[u]] = size.get(label[u], 0) + k[u]
+        return sum(w for u, x in near.items() for v, w in x.items() if label[u] == label[v]) / total - sum((s / total) ** 2 for s in size.values())
+
+    found = N.communities(p)
+    of = {x.provider: x.community for x in found.collect()}
+    label = {u: of.get(u, u) for u in near}
+    assert N.modularity(p, found) == pytest.approx(quality(label), abs=1e-9)
+    assert quality(label) >= quality(louvain(near)) - 0.005

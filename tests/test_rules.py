@@ -116,7 +116,7 @@ def test_communities_and_betweenness(spark):
     clique = lambda a: [(f"{a}{i}", f"{a}{j}", 10.0) for i in range(4) for j in range(i + 1, 4)]
     p = spark.createDataFrame(clique("x") + clique("y") + [("x0", "y0", 1.0)], "u string, v string, weight double")
     got = {}
-    for r in N.communities(p).collect():
+    for r in N.communities(N.of_pairs(p)).collect():
         got.setdefault(r.community, set()).add(r.provider)
     assert sorted(map(sorted, got.values())) == [["x0", "x1", "x2", "x3"], ["y0", "y1", "y2", "y3"]]
     path = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0)], "u string, v string, weight double")
