@@ -12,107 +12,199 @@ from claimsieve.operators import windows as W
 from claimsieve.sources.config import CaseConfig, QueueConfig
 
 
+def _number(column: str, default: float = 0.0) -> Column:
+    return F.coalesce(F.col(column), F.lit(default))
+
+
+def _count(column: str) -> Column:
+    return F.coalesce(F.col(column), F.lit(0))
+
+
+#: What to look into, by rule.
+ADVICE = {
+    "R01": "Review duplicate billing claims and clinical documentation for same-day service overlap.",
+    "R02": "Review E/M coding level distribution against patient acuity and clinical notes.",
+    "R03": "Examine mutually exclusive CPT procedure combinations against NCCI bundling edits.",
+    "R04": "Verify patient attendance and provider presence for flagged service dates.",
+    "R05": "Audit service frequencies and units per patient against specialty utilization baselines.",
+    "R06": "Audit travel feasibility and 24-hour service-minute totals across overlapping claims.",
+    "R07": "Examine referral reciprocity and concentration patterns with target diagnostic facilities.",
+    "R08": "Verify physical facility locations and patient-provider travel distances.",
+    "R09": "Investigate shared banking, TIN, or ownership ties with affiliated entities.",
+    "R10": "Audit historical billing records to determine operational rationale for recent billing surge.",
+}
+
+
 def eligible(scores: DataFrame, cfg: CaseConfig = CaseConfig()) -> DataFrame:
-    """Providers that get a case: enough risk in a tier that counts, or enough evidence."""
-    ok = (F.col("risk_score") >= cfg.min_risk) & F.col("risk_tier").isin(list(cfg.tiers)) | (F.col("evidence_strength") >= cfg.min_evidence)
+    """Providers that get a case: a tier that counts, with enough risk or enough evidence; optionally two families of signals."""
+    tier = F.upper("risk_tier").isin(list(cfg.tiers))
+    ok = tier & ((F.col("risk_score") >= cfg.min_risk) | (F.col("evidence_strength") >= cfg.min_evidence))
     if cfg.need_two_families:
-        ok = ok & (F.col("active_families") >= 2)
+        ok = ok & (reduce(lambda a, b: a + b, ((_number(f"{f}_signal") >= 0.15).cast("int") for f in ("rules", "ml", "anomaly", "network", "future"))) >= 2)
     return scores if cfg.all_providers else scores.where(ok)
 
 
 def build_cases(scores: DataFrame, cfg: CaseConfig = CaseConfig()) -> DataFrame:
-    """One case for each eligible provider, numbered by risk, evidence and id."""
+    """One case for each eligible provider, numbered by risk, evidence and id.
+
+    A case has all claims of its alerts and all that the claim model finds risky, and all of its alerts.
+    """
     rows = W.ranked(eligible(scores, cfg), [F.desc("risk_score"), F.desc("evidence_strength"), F.col("provider_id")], "case_rank")
-    fam = F.filter(F.array(*(F.when(F.col(f"{f}_signal") >= 0.15, F.lit(f)) for f in ("rules", "ml", "anomaly", "network", "temporal", "future", "historical"))), lambda x: x.isNotNull())
-    high = F.coalesce("exposure", F.lit(0.0))
-    text = F.concat(
-        F.lit("Provider "), F.col("provider_id"), F.lit(" has a "), F.lower("risk_tier"), F.lit(" priority score of "), F.format_number("risk_score", 4), F.lit(" with "), F.lower("evidence_tier"), F.lit(" evidence and "), F.lower("confidence_tier"), F.lit(" confidence. Exposure for review: "), C.money(high), F.lit(".")
-    )
-    advice = F.filter(
-        F.array(
-            F.when(F.coalesce("alert_count", F.lit(0)) > 0, F.lit("Review the claims of the rule findings.")), F.when(F.coalesce("ml_high_claims", F.lit(0)) > 0, F.lit("Sample the claims with a high model probability.")),
-            F.when(F.coalesce("hard_links", F.lit(0)) > 0, F.lit("Check shared identifiers with linked providers.")), F.when(F.coalesce("anomaly_flag", F.lit(0)) == 1, F.lit("Compare behaviour with peers.")),
-            F.when(F.coalesce("risk_30d", F.lit(0.0)) >= 0.5, F.lit("Watch claims of the next 30 days.")), F.lit("Ask for records before any conclusion."),
-        ), lambda x: x.isNotNull(),
+    none = F.array().cast("array<string>")
+    claims = F.array_sort(F.array_union(F.coalesce("claim_ids", none), F.coalesce("ml_claim_ids", none)))
+    there = {
+        "rules": (_number("rules_signal") > 0) | (_count("alert_count") > 0), "ml": (_number("ml_signal") > 0) | (_count("ml_high_claims") > 0), "anomaly": (_number("anomaly_signal") > 0) | (_count("anomaly_flag") > 0),
+        "network": (_number("network_signal") > 0) | F.col("community_id").isNotNull(), "future_risk": _number("future_signal") > 0, "temporal": _number("temporal_signal") > 0,
+    }
+    has = lambda f: F.array_contains("families", f)
+    topic = (
+        F.when(has("network") & has("rules"), "Multi-Signal Network & Billing Anomaly").when(has("rules") & (F.size("families") > 1), "Consolidated Billing Anomalies").when(has("ml") & has("anomaly"), "Elevated Claim Risk & Behavioral Outlier")
+        .when(has("anomaly"), "Macro Behavioral Billing Anomaly").when(has("network"), "Affiliated Entity Network Anomaly").otherwise("Prioritized Provider Billing Review")
     )
-    return rows.withColumns(
+    text, three = F.lit, lambda c: F.format_number(c, 3)
+    summary = F.concat_ws(
+        " ",
+        F.concat(text("Provider "), F.col("provider_id"), text(" was prioritized for human investigation based on consolidated signals across "), F.when(F.size("families") > 0, F.array_join("families", ", ")).otherwise("baseline metrics"), text(".")),
+        F.concat(text("The unified risk engine assigned a risk score of "), three("risk_score"), text(" ("), F.col("risk_tier"), text(" tier) with "), three("evidence_strength"), text(" evidence strength ("), F.col("evidence_tier"), text(") and "), three("confidence"), text(" confidence ("), F.col("confidence_tier"), text(").")),
+        F.when(F.col("estimated_exposure") > 0, F.concat(text("Estimated financial exposure identified from supporting evidence is $"), F.format_number("estimated_exposure", 2), text("."))).otherwise("Direct rule-calculated financial exposure is currently unquantified."),
+        F.when((_count("alert_count") > 0) | (F.col("claim_count") > 0), F.concat(text("Investigation package includes "), _count("alert_count").cast("string"), text(" rule alert(s) and "), F.col("claim_count").cast("string"), text(" suspicious claim transaction(s)."))),
+        F.concat(text("Primary investigation drivers: "), F.array_join(F.transform(F.slice("reasons", 1, 3), lambda r: F.rtrim(r, text("."))), "; "), text(".")),
+    )
+    found = F.coalesce("rules", none)
+    advice = [F.when(F.array_contains(found, r), t) for r, t in ADVICE.items()] + [
+        F.when(_count("ml_high_claims") > 0, F.concat(text("Conduct detailed clinical audit on the "), F.col("ml_high_claims").cast("string"), text(" high-risk claims flagged by claim ML."))),
+        F.when(_count("anomaly_flag") == 1, text("Examine provider's billing composition and procedure diversity compared to peer specialty baseline.")),
+        F.when(_number("risk_30d") >= 0.30, text("Institute prospective pre-payment claim review and enhanced monitoring on upcoming submissions.")),
+        F.when(F.col("community_id").isNotNull(), F.concat(text("Review affiliated providers in Community #"), F.col("community_id"), text(" to evaluate potential coordinated ring activity."))),
+    ]
+    said = F.array_compact(F.array(*advice))
+    high = _number("exposure")
+    out = rows.withColumns({"case_claims": claims, "families": F.array_compact(F.array(*(F.when(c, F.lit(f)) for f, c in there.items()))), "estimated_exposure": high})
+    out = out.withColumns({"claim_count": F.size("case_claims"), "high_risk_claim_count": _count("ml_high_claims"), "case_alerts": F.coalesce("alert_ids", none), **{c: _number(c) for c in ("anomaly_score", "risk_30d", "risk_60d", "risk_90d")}, **{c: _count(c) for c in ("anomaly_flag", "alert_count", "high_count", "distinct_rules")}})
+    return out.withColumns(
         {
-            "case_id": F.format_string("CASE-%06d", F.col("case_rank")), "priority": C.priority_of(F.col("risk_tier")), "status": F.lit("NEW"), "families": fam,
-            "title": F.concat(F.lit("Provider "), F.col("provider_id"), F.lit(": "), F.col("risk_tier"), F.lit(" review priority")), "summary": text, "recommendations": F.slice(advice, 1, 6),
-            "estimated_exposure": high, "exposure_low": 0.8 * high, "exposure_high": F.greatest(1.2 * high, F.lit(500.0)), "claim_count": F.greatest(F.coalesce(F.size("claim_ids"), F.lit(0)), F.lit(0)),
-            "case_claims": F.slice(F.coalesce("claim_ids", F.array().cast("array<string>")), 1, cfg.max_claims), "case_alerts": F.slice(F.coalesce("alert_ids", F.array().cast("array<string>")), 1, cfg.max_alerts),
+            "case_id": F.format_string("CASE-%06d", F.col("case_rank")), "priority": C.priority_of(F.col("risk_tier")), "status": F.lit("NEW"), "title": F.concat(text("Provider "), F.col("provider_id"), text(" \u2014 "), topic), "summary": summary,
+            "recommendations": F.when(F.size(said) > 0, F.slice(said, 1, 6)).otherwise(F.array(text("Review supporting claim documentation and provider billing history."))), "exposure_low": 0.8 * high, "exposure_high": F.greatest(1.2 * high, F.lit(500.0)),
         }
     )
 
 
-def peer_relationships(cases: DataFrame, membership: DataFrame, hubs: DataFrame, most: int = 5) -> DataFrame:
-    """Up to five peers of a case's provider in its community; the hub counts 0.85, others 0.50."""
+PEERS = 5
+
+
+def peer_relationships(cases: DataFrame, membership: DataFrame, hubs: DataFrame, most: int = PEERS) -> DataFrame:
+    """The first ``most`` other providers, by name, of the community of a case's provider, as ``case_id, peer, relationship, strength``.
+
+    The hub counts 0.85 and others 0.50; beside the hub the relationship is the ``main_kind`` of the community (in ``hubs``, if it
+    has one). Only the first ``most`` + 1 providers of a community are joined, so no pairs are made.
+    """
+    first = Window.partitionBy("community").orderBy("provider")
+    few = membership.withColumn("n", F.row_number().over(first)).where(F.col("n") <= most + 1).select("community", "provider")
     mine = cases.select("case_id", F.concat(F.lit("provider:"), F.col("provider_id")).alias("me")).join(membership.withColumnRenamed("provider", "me"), "me")
-    met = mine.join(membership, "community").where("provider <> me").join(hubs.select("community", "hub"), "community", "left")
-    strength = F.when(F.col("provider") == F.col("hub"), 0.85).otherwise(0.50)
-    w = Window.partitionBy("case_id").orderBy(F.desc("strength"), "provider")
-    return met.withColumn("strength", strength).withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("case_id", F.col("provider").alias("peer"), "strength")
+    kind = F.coalesce("main_kind", F.lit("connected_community")) if "main_kind" in hubs.columns else F.lit("connected_community")
+    met = mine.join(few, "community").where("provider <> me").join(hubs.select("community", "hub", kind.alias("kind")), "community", "left")
+    is_hub = F.col("provider") == F.col("hub")
+    place = F.row_number().over(Window.partitionBy("case_id").orderBy("provider"))
+    return met.withColumn("n", place).where(F.col("n") <= most).select("case_id", F.col("provider").alias("peer"), F.when(is_hub, "hub_link").otherwise(F.coalesce("kind", F.lit("connected_community"))).alias("relationship"), F.when(is_hub, 0.85).otherwise(0.50).alias("strength"))
 
 
 def with_peers(cases: DataFrame, membership: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Cases with ``peers`` (how many peers are listed), ``peer_strength`` (the greatest) and ``network_relationships``."""
+    """Cases with ``peers`` (how many are listed), ``peer_strength`` (their mean) and ``network_relationships``."""
     found = peer_relationships(cases, membership, hubs)
-    per = found.groupBy("case_id").agg(
-        F.count(F.lit(1)).cast("int").alias("peers"), F.max("strength").alias("peer_strength"), F.array_sort(F.collect_list(F.struct((-F.col("strength")).alias("order"), "peer", "strength"))).alias("_l")
+    per = found.groupBy("case_id").agg(F.count(F.lit(1)).cast("int").alias("peers"), F.avg("strength").alias("peer_strength"), F.array_sort(F.collect_list(F.struct("peer", "relationship", "strength"))).alias("network_relationships"))
+    none = F.array().cast("array<struct<peer:string,relationship:string,strength:double>>")
+    return cases.join(per, "case_id", "left").withColumns({"peers": F.coalesce("peers", F.lit(0)), "peer_strength": F.coalesce("peer_strength", F.lit(0.0)), "network_relationships": F.coalesce("network_relationships", none)})
+
+
+def case_evidence(cases: DataFrame, alerts: DataFrame, top_claims: int = 10) -> DataFrame:
+    """A ledger: a row for each alert, for the first ten claims of the case, for an anomaly and for a community.
+
+    ``text`` of an alert is its first evidence; ``description`` and ``severity`` are the case's view of it.
+    """
+    key = cases.select("case_id", "provider_id", "risk_tier", "anomaly_flag", "anomaly_signal", "anomaly_score", "community_id", F.slice("case_claims", 1, top_claims).alias("first"), (F.col("peers") if "peers" in cases.columns else F.lit(0)).alias("peers"))
+    own = alerts.where("entity_type = 'provider'").select(F.col("entity_id").alias("provider_id"), "rule_id", "alert_id", F.col("severity").alias("s"), F.col("evidence")[0]["plain_text"].alias("text"), "est_dollars", F.array_join(F.slice("claim_ids", 1, 3), ",").alias("claim_id"))
+    none, zero = F.lit(None).cast("string"), F.lit(0.0)
+
+    def row(df: DataFrame, kind: str, source: Column, claim: Column, rule: Column, description: Column, severity: Column, text: Column, amount: Column) -> DataFrame:
+        return df.select("case_id", F.lit(kind).alias("kind"), source.alias("source"), claim.alias("claim_id"), rule.alias("rule_id"), description.alias("description"), severity.alias("severity"), text.alias("text"), amount.alias("amount"))
+
+    high = lambda c: F.when(c, "HIGH").otherwise("MEDIUM")
+    rules = F.concat(F.lit("Detection rule "), F.col("rule_id"), F.lit(" alert ("), F.col("s"), F.lit(")"))
+    model = F.lit("Suspicious claim transaction flagged by claim-level ML model")
+    unusual = F.concat(F.lit("Behavioral anomaly decision score "), F.format_number("anomaly_score", 3))
+    near = F.concat(F.lit("Member of affiliated provider network (Community #"), F.col("community_id"), F.lit(")"))
+    return reduce(
+        lambda a, b: a.unionByName(b),
+        (
+            row(key.join(own, "provider_id"), "RULE", F.col("alert_id"), F.col("claim_id"), F.col("rule_id"), rules, F.coalesce("s", F.lit("MEDIUM")), F.col("text"), C.finite(F.col("est_dollars"))),
+            row(key.withColumn("c", F.explode("first")), "ML", F.col("c"), F.col("c"), none, model, high(F.col("risk_tier").isin("CRITICAL", "HIGH")), model, zero),
+            row(key.where("anomaly_flag = 1 or anomaly_signal >= 0.70"), "ANOMALY", F.lit("ISOLATION_FOREST"), none, none, unusual, high(F.col("anomaly_flag") == 1), unusual, zero),
+            row(key.where("community_id is not null"), "NETWORK", F.concat(F.lit("COMM-"), F.col("community_id")), none, none, near, high(F.col("peers") > 0), near, zero),
+        ),
     )
-    listed = F.transform("_l", lambda x: F.struct(x["peer"].alias("peer"), x["strength"].alias("strength")))
-    none = F.array().cast("array<struct<peer:string,strength:double>>")
-    out = cases.join(per.withColumn("network_relationships", listed).drop("_l"), "case_id", "left")
-    return out.withColumns({"peers": F.coalesce("peers", F.lit(0)), "peer_strength": F.coalesce("peer_strength", F.lit(0.0)), "network_relationships": F.coalesce("network_relationships", none)})
-
-
-def case_evidence(cases: DataFrame, alerts: DataFrame, claim_ml: DataFrame | None = None, top_claims: int = 10) -> DataFrame:
-    """A ledger: a row for each alert, for the first claims by probability, for an anomaly and for a community."""
-    key = cases.select("case_id", "provider_id", "anomaly_flag", "anomaly_signal", "community_id")
-    own = alerts.where("entity_type = 'provider'").select(F.col("entity_id").alias("provider_id"), "rule_id", "alert_id", F.col("evidence")[0]["plain_text"].alias("text"), "est_dollars")
-    parts = [key.join(own, "provider_id").select("case_id", F.lit("RULE").alias("kind"), F.col("alert_id").alias("source"), "rule_id", "text", F.col("est_dollars").alias("amount"))]
-    if claim_ml is not None:
-        p = F.coalesce("calibrated_probability", "ml_probability")
-        w = Window.partitionBy("case_id").orderBy(F.desc("p"), "claim_id")
-        rows = key.join(claim_ml.select(F.col("provider_id").cast("string").alias("provider_id"), "claim_id", p.alias("p")), "provider_id").withColumn("n", F.row_number().over(w)).where(F.col("n") <= top_claims)
-        parts.append(rows.select("case_id", F.lit("ML").alias("kind"), F.col("claim_id").cast("string").alias("source"), F.lit(None).cast("string").alias("rule_id"), F.concat(F.lit("Model probability "), F.format_number("p", 3)).alias("text"), F.lit(0.0).alias("amount")))
-    none = F.lit(None).cast("string").alias("rule_id")
-    parts.append(key.where((F.col("anomaly_flag") == 1) | (F.col("anomaly_signal") >= 0.70)).select("case_id", F.lit("ANOMALY").alias("kind"), F.col("provider_id").alias("source"), none, F.lit("Behaviour is unusual among providers.").alias("text"), F.lit(0.0).alias("amount")))
-    parts.append(key.where("community_id is not null").select("case_id", F.lit("NETWORK").alias("kind"), F.col("community_id").alias("source"), none, F.lit("Member of a provider community.").alias("text"), F.lit(0.0).alias("amount")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def queue_signals(cases: DataFrame) -> DataFrame:
-    """Seven signals of each case in [0, 1]; exposure is scaled between the least and the most of the queue."""
+    """Seven signals of each case in [0, 1], NULL where the case has nothing to take them from.
+
+    Exposure is scaled between the least and the most of the queue. The anomaly score is that of the detector, which is below 0
+    for most providers.
+    """
+    one, has = F.lit(1.0), set(cases.columns)
+    col = lambda c, kind="double": F.col(c) if c in has else F.lit(None).cast(kind)
     log = F.log1p(F.greatest(C.finite(F.col("estimated_exposure")), F.lit(0.0)))
     bounds = cases.agg(F.min(log).alias("_lo"), F.max(log).alias("_hi"))
     spread = F.when(F.col("_hi") > F.col("_lo"), (log - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(log / F.log1p(F.lit(100000.0)))
-    peers = F.col("peers") if "peers" in cases.columns else F.lit(0)
-    strength = C.finite(F.col("peer_strength")) if "peer_strength" in cases.columns else F.lit(0.0)
-    network = F.when(F.col("community_id").isNotNull() | (peers > 0), 0.3 + F.least(0.1 * peers, F.lit(0.4)) + 0.3 * strength).otherwise(0.0)
-    score = C.clip01(F.col("anomaly_signal"))
-    anomaly = F.when(F.coalesce("anomaly_flag", F.lit(0)) == 1, F.greatest(score, F.lit(0.7))).when(score >= 0.9, score).otherwise(0.5 * score)
-    behaviour = 0.35 * F.least(F.coalesce("alert_count", F.lit(0)) / 10, F.lit(1.0)) + 0.25 * F.least(F.coalesce("high_count", F.lit(0)) / 5, F.lit(1.0)) + 0.20 * F.least(F.coalesce("distinct_rules", F.lit(0)) / 5, F.lit(1.0)) + 0.20 * F.least(F.coalesce("ml_high_claims", F.lit(0)) / 10, F.lit(1.0))
+    peers = F.coalesce(col("peers", "int"), F.lit(0))
+    met = F.when(peers > 0, F.least(0.1 * peers, F.lit(0.4)) + 0.3 * C.clip01(F.coalesce(col("peer_strength"), F.lit(0.5)))).otherwise(0.0)
+    network = F.when(col("community_id", "string").isNotNull() | (peers > 0), F.when(col("community_id", "string").isNotNull(), 0.3).otherwise(0.0) + met)
+    score, flag = C.finite(col("anomaly_score")), F.coalesce(col("anomaly_flag", "int"), F.lit(0))
+    usual = F.when(score > 0, F.least(0.5 * score / 0.35, F.lit(0.5))).otherwise(F.greatest(F.least(score + 0.10, F.lit(0.20)), F.lit(0.0)))
+    anomaly = F.when(col("anomaly_score").isNotNull() | col("anomaly_flag", "int").isNotNull(), F.when(flag == 1, 0.6 + 0.4 * C.clip01(F.greatest(score, F.lit(0.0)) / 0.35)).otherwise(usual))
+    claims, alerts = F.coalesce(col("claim_count", "int"), F.lit(0)), F.coalesce(col("alert_count", "bigint"), F.lit(0))
+    of = lambda c: F.coalesce(col(c, "bigint"), F.lit(0))
+    behaviour = 0.35 * F.when(claims > 0, F.least(of("high_risk_claim_count") / claims, one)).otherwise(0.0) + 0.25 * F.least(alerts / 10, one) + 0.20 * F.when(alerts > 0, F.least(of("high_count") / alerts, one)).otherwise(0.0) + 0.20 * F.least(of("distinct_rules") / 5, one)
+    ahead = F.greatest(*(F.when(~F.isnan(col(c)), col(c)) for c in ("risk_30d", "risk_60d", "risk_90d")))
+    given = lambda c, v: F.when(c.isNotNull(), C.clip01(v))
     return cases.join(F.broadcast(bounds)).withColumns(
         {
-            "q_risk": C.clip01(F.col("risk_score")), "q_evidence": C.clip01(F.col("evidence_strength")), "q_exposure": C.clip01(spread), "q_network": C.clip01(network), "q_anomaly": C.clip01(anomaly),
-            "q_future": C.clip01(F.greatest("risk_30d", "risk_60d", "risk_90d")), "q_behaviour": C.clip01(behaviour),
+            "q_risk": given(F.col("risk_score"), F.col("risk_score")), "q_evidence": given(F.col("evidence_strength"), F.col("evidence_strength")), "q_exposure": given(F.col("estimated_exposure"), spread), "q_network": given(network, network),
+            "q_anomaly": given(anomaly, anomaly), "q_future": given(ahead, ahead), "q_behaviour": F.when((claims > 0) | (alerts > 0), C.clip01(behaviour)),
         }
     ).drop("_lo", "_hi")
 
 
-_REASONS = {"risk": "high risk score", "evidence": "strong evidence", "exposure": "large exposure", "network": "network links", "anomaly": "unusual behaviour", "future": "forward risk", "behaviour": "many findings"}
+def _queue_reasons(most: int) -> Column:
+    """Texts with a weight each, where a figure of the case reaches its level; the heaviest first, else in this order."""
+    three, t = lambda c: F.format_number(c, 3), F.lit
+    risk, evidence, money = F.col("risk_score"), F.col("evidence_strength"), F.col("estimated_exposure")
+    claims, rules, alerts = F.coalesce("high_risk_claim_count", t(0)), F.coalesce("distinct_rules", t(0)), F.coalesce("alert_count", t(0))
+    items = [
+        (0.95, risk >= 0.40, F.concat(t("High unified risk prioritization score ("), three(risk), t(")"))),
+        (0.75, (risk >= 0.25) & (risk < 0.40), F.concat(t("Elevated unified risk prioritization score ("), three(risk), t(")"))),
+        (0.90, evidence >= 0.70, F.concat(t("High supporting evidence strength ("), three(evidence), t(")"))),
+        (0.70, (evidence >= 0.50) & (evidence < 0.70), F.concat(t("Substantial corroborating evidence strength ("), three(evidence), t(")"))),
+        (0.85, money >= 50000, F.concat(t("High estimated financial exposure ($"), F.format_number(money, 2), t(")"))),
+        (0.65, (money >= 5000) & (money < 50000), F.concat(t("Identified financial exposure ($"), F.format_number(money, 2), t(")"))),
+        (0.80, F.col("community_id").isNotNull(), F.concat(t("Affiliated with network community #"), F.col("community_id"))),
+        (0.75, (F.coalesce("anomaly_flag", t(0)) == 1) | (F.col("q_anomaly") >= 0.60), t("Statistical behavioral billing anomaly flagged")),
+        (0.70, F.col("q_future") >= 0.05, F.concat(t("Elevated future risk trajectory ("), three(F.col("q_future")), t(")"))),
+        (0.82, claims >= 20, F.concat(t("Concentrated high-risk claim transactions ("), claims.cast("string"), t(" claims)"))),
+        (0.60, (claims > 0) & (claims < 20), F.concat(t("Contains "), claims.cast("string"), t(" flagged high-risk claim(s)"))),
+        (0.78, rules >= 3, F.concat(t("Triggered multiple independent detection rules ("), rules.cast("string"), t(" rules, "), alerts.cast("string"), t(" alerts)"))),
+        (0.65, (rules < 3) & (alerts >= 5), F.concat(t("Multiple detection rule alerts ("), alerts.cast("string"), t(" alerts)"))),
+    ]
+    found = F.filter(F.array(*(F.when(c, F.struct(t(-w).alias("w"), t(i).alias("i"), x.alias("t"))) for i, (w, c, x) in enumerate(items))), lambda x: x.isNotNull())
+    texts = F.transform(F.slice(F.array_sort(found), 1, most), lambda x: x["t"])
+    return F.when(F.size(texts) > 0, texts).otherwise(F.array(t("Prioritized for investigation based on consolidated risk signals")))
 
 
 def priority(signals: DataFrame, cfg: QueueConfig = QueueConfig()) -> DataFrame:
-    """Weighted mean of the signals that are there, tier and reasons."""
-    have = {k: F.lit(True) if k in ("risk", "evidence", "exposure", "behaviour") else F.col(f"q_{k}") > 0 for k in cfg.weights}
-    weight = reduce(lambda a, b: a + b, (F.when(have[k], w).otherwise(0.0) for k, w in cfg.weights.items()))
-    total = reduce(lambda a, b: a + b, (F.when(have[k], F.col(f"q_{k}") * w).otherwise(0.0) for k, w in cfg.weights.items()))
-    items = [F.when(F.col(f"q_{k}") >= 0.5, F.struct((-F.col(f"q_{k}") * w).alias("w"), F.lit(_REASONS[k]).alias("t"))) for k, w in cfg.weights.items()]
-    reasons = F.transform(F.slice(F.array_sort(F.filter(F.array(*items), lambda x: x.isNotNull())), 1, cfg.reasons), lambda x: x["t"])
+    """Weighted mean of the signals that a case has, also of those that are 0, with tier and reasons."""
+    weight = reduce(lambda a, b: a + b, (F.when(F.col(f"q_{k}").isNotNull(), w).otherwise(0.0) for k, w in cfg.weights.items()))
+    total = reduce(lambda a, b: a + b, (F.coalesce(F.col(f"q_{k}"), F.lit(0.0)) * w for k, w in cfg.weights.items()))
     out = signals.withColumn("priority_score", C.clip01(F.when(weight > 0, total / weight)))
-    return out.withColumns({"priority_tier": C.queue_tier(F.col("priority_score")), "queue_reasons": reasons})
+    return out.withColumns({"priority_tier": C.queue_tier(F.col("priority_score")), "queue_reasons": _queue_reasons(cfg.reasons)})
 
 
 def build_queue(cases: DataFrame, cfg: QueueConfig = QueueConfig()) -> DataFrame:
@@ -123,14 +215,26 @@ def build_queue(cases: DataFrame, cfg: QueueConfig = QueueConfig()) -> DataFrame
 
 
 def integrated_cases(scores: DataFrame, alerts: DataFrame, claims: DataFrame) -> DataFrame:
-    """The integrated build: a case for a score of at least 0.01 or any alert; effort from findings, value by hour."""
+    """The integrated build: a scored provider gets a case for a score of at least 1 in 100 or any alert.
+
+    Effort grows with its distinct claims; the queue priority weighs risk, dollars, members, severity and evidence. ``slot`` is
+    the place by score.
+    """
     own = alerts.where("entity_type = 'provider'")
     per = own.groupBy(F.col("entity_id").alias("provider_id")).agg(F.count(F.lit(1)).alias("n_alerts"), F.sum("est_dollars").alias("dollars"))
-    touched = own.select(F.col("entity_id").alias("provider_id"), F.explode("claim_ids").alias("claim_id")).distinct().join(claims.select(F.col("claim_id").cast("string").alias("claim_id"), "member_id"), "claim_id")
-    people = touched.groupBy("provider_id").agg(F.countDistinct("member_id").alias("members_affected"))
-    out = scores.select("provider_id", "risk_score").join(per, "provider_id", "full").join(people, "provider_id", "left").fillna(0, ["n_alerts", "dollars", "members_affected", "risk_score"])
-    out = out.where("risk_score * 100 >= 1 or n_alerts > 0").withColumns({"exposure_low": 0.8 * F.col("dollars"), "exposure_high": F.greatest(1.2 * F.col("dollars"), F.lit(500.0)), "effort_hours": F.least(2 + 0.1 * F.col("n_alerts"), F.lit(8.0))})
-    return out.withColumn("value_per_hour", F.col("exposure_high") / F.greatest(F.col("effort_hours"), F.lit(1.0)))
+    listed = own.select(F.col("entity_id").alias("provider_id"), F.explode("claim_ids").alias("claim_id")).distinct()
+    counted = listed.groupBy("provider_id").agg(F.count(F.lit(1)).alias("claims_count"))
+    people = listed.join(claims.select(F.col("claim_id").cast("string").alias("claim_id"), "member_id"), "claim_id").groupBy("provider_id").agg(F.countDistinct("member_id").alias("members_affected"))
+    out = scores.select("provider_id", F.round(100 * F.col("risk_score"), 1).alias("risk"), F.round("evidence_strength", 3).alias("evidence_strength"))
+    out = out.join(per, "provider_id", "left").join(counted, "provider_id", "left").join(people, "provider_id", "left").fillna(0, ["n_alerts", "dollars", "claims_count"]).fillna(1, ["members_affected"])
+    out = out.where("risk >= 1 or n_alerts > 0").withColumns({"exposure_low": F.round(0.8 * F.col("dollars"), 2), "exposure_high": F.round(F.greatest(1.2 * F.col("dollars"), F.lit(500.0)), 2), "effort_hours": F.round(F.least(2 + 0.1 * F.col("claims_count"), F.lit(8.0)), 1)})
+    tier = F.when(F.col("risk") >= 75, "CRITICAL").when(F.col("risk") >= 50, "HIGH").when(F.col("risk") >= 25, "MEDIUM").otherwise("LOW")
+    severity = F.when(F.col("priority") == "CRITICAL", 1.0).when(F.col("priority") == "HIGH", 0.75).when(F.col("priority") == "MEDIUM", 0.5).otherwise(0.25)
+    one = F.lit(1.0)
+    score = 0.30 * F.least(F.col("risk") / 100, one) + 0.25 * F.least(F.col("exposure_high") / 50000, one) + 0.15 * F.least(F.col("members_affected") / 10, one) + 0.10 * severity + 0.20 * F.col("evidence_strength")
+    out = out.withColumn("priority", tier).withColumns({"queue_priority": 100 * score, "value_per_hour": F.round(F.col("exposure_high") / F.greatest(F.col("effort_hours"), one), 2), "case_id": F.concat(F.lit("CASE-PRV-"), F.col("provider_id"))})
+    slots = W.ranked(out.select("provider_id", "risk"), [F.desc("risk"), F.col("provider_id")], "slot")
+    return out.join(slots.select("provider_id", "slot"), "provider_id")
 
 
 def fixture_cases(alerts: DataFrame) -> DataFrame:

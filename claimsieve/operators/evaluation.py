@@ -55,7 +55,7 @@ def ring_recovery(rings: DataFrame, membership: DataFrame) -> DataFrame:
 
 
 def ranking_metrics(scored: DataFrame, ks: tuple[int, ...] = (10, 25, 50, 100)) -> DataFrame:
-    """ROC-AUC (ties by mean rank), average precision, base rate, and precision, recall and lift of the top k.
+    """ROC-AUC (ties by mean rank), average precision, base rate, and precision, recall and lift of the top k (of all rows, if fewer).
 
     ``scored``: id, score, label (0 or 1). Rows are counted by distinct score and the counts are ranked, so no task sorts
     all rows; the top k is a limit.
@@ -79,7 +79,7 @@ def ranking_metrics(scored: DataFrame, ks: tuple[int, ...] = (10, 25, 50, 100))
     top = rows.orderBy(F.desc("score"), "id").limit(max(ks)).withColumn("r", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
     for k in ks:
         hit = top.where(F.col("r") <= k).agg(F.sum("label").alias("h"), F.count(F.lit(1)).alias("m")).join(F.broadcast(pos_total)).join(F.broadcast(totals))
-        base += [hit.select(F.lit(f"precision_at_{k}").alias("metric"), (F.col("h") / k).alias("value")), hit.select(F.lit(f"recall_at_{k}").alias("metric"), F.when(p > 0, F.col("h") / p).otherwise(0.0).alias("value")), hit.select(F.lit(f"lift_at_{k}").alias("metric"), F.when(p > 0, F.col("h") / k / (p / n)).alias("value"))]
+        base += [hit.select(F.lit(f"precision_at_{k}").alias("metric"), (F.col("h") / F.col("m")).alias("value")), hit.select(F.lit(f"recall_at_{k}").alias("metric"), F.when(p > 0, F.col("h") / p).otherwise(0.0).alias("value")), hit.select(F.lit(f"lift_at_{k}").alias("metric"), F.when(p > 0, F.col("h") / F.col("m") / (p / n)).alias("value"))]
     return reduce(lambda a, b: a.unionByName(b), base)
 
 

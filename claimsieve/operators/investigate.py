@@ -22,19 +22,35 @@ def summary(claims: DataFrame, alerts: DataFrame, cases: DataFrame, queue: DataF
     return reduce(lambda a, b: a.join(F.broadcast(b)), parts)  # one row each
 
 
-_QUEUE_ORDER = {"priority": ("priority_score",), "value": ("value_per_hour",), "risk": ("risk_score",)}
+#: What a listing is sorted by, and then by; the case id comes last.
+_QUEUE_ORDER = {"priority": (F.asc, ("queue_rank",)), "value": (F.desc, ("value_per_hour", "risk_score")), "risk": (F.desc, ("risk_score", "value_per_hour"))}
 
 
-def queue_page(queue: DataFrame, sort_by: str = "priority", capacity_hours: float | None = None, status: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-    """A page of the queue; with hours, items that fit are selected in order."""
+def queue_page(queue: DataFrame, sort_by: str = "priority", capacity_hours: float | None = None, status: str | None = None, limit: int | None = 50, offset: int = 0) -> DataFrame:
+    """A page of the queue with ``queue_status``, ``capacity_rank`` and ``slot``.
+
+    With hours, items that fit are taken in order and the others are deferred (rank 0, slot 999), but stay in the queue; ``status``
+    (QUEUED, also called ADDRESSABLE, or DEFERRED) chooses after that. Without hours every item is queued.
+    """
     if sort_by not in _QUEUE_ORDER:
         raise ValueError(f"sort_by {sort_by!r}")
-    rows = queue if status is None else queue.where(F.col("queue_status") == status)
-    order = [*(F.desc(c) for c in _QUEUE_ORDER[sort_by]), F.asc("case_id")]
-    if capacity_hours is not None:
-        rows = W.ranked(rows, order, "_rank")
-        rows = W.greedy_capacity(rows, capacity_hours, "_rank").where("selected").drop("_rank")
-    return rows.orderBy(*order).offset(offset).limit(limit)
+    way, columns = _QUEUE_ORDER[sort_by]
+    order = [*(way(c) for c in columns if c in queue.columns), F.asc("case_id")]
+    rows = W.ranked(queue, order, "_place")
+    if capacity_hours is None:
+        rows = rows.withColumns({"selected": F.lit(True), "capacity_rank": F.col("_place")})
+    else:
+        rows = W.greedy_capacity(rows, capacity_hours, "_place")
+        taken = W.ranked(rows.where("selected").select("case_id", "_place"), [F.asc("_place")], "capacity_rank")
+        rows = rows.join(taken.select("case_id", "capacity_rank"), "case_id", "left").withColumn("capacity_rank", F.coalesce("capacity_rank", F.lit(0)))
+    rows = rows.withColumns({"queue_status": F.when(F.col("selected"), "QUEUED").otherwise("DEFERRED"), "slot": F.when(F.col("selected"), F.col("capacity_rank")).otherwise(999)})
+    wanted = (status or "").strip().upper()
+    if wanted in ("QUEUED", "ADDRESSABLE"):
+        rows = rows.where("selected")
+    elif wanted == "DEFERRED":
+        rows = rows.where("not selected")
+    rows = rows.orderBy("_place").drop("_place").offset(offset)
+    return rows if limit is None else rows.limit(limit)
 
 
 def case_detail(case_id: str, cases: DataFrame, evidence: DataFrame, alerts: DataFrame, claims: DataFrame, most: int = 50) -> dict[str, DataFrame]:

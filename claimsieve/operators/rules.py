@@ -261,12 +261,13 @@ def member_overlaps(tables: Tables, cfg: RuleConfig = RuleConfig()) -> DataFrame
 
 
 def concentration(tables: Tables, cfg: RuleConfig = RuleConfig()) -> DataFrame:
-    """Providers that send most of many referrals to one target; ties go to the smaller target."""
+    """Providers that send most of many referrals to one target; ties go to the smaller target. Peers are those that send many, too."""
     _, pairs = W.referral_history(tables["referrals"])
     best = pairs.groupBy("referring_provider_id").agg(F.sum("n").alias("total"), F.max("n").alias("top_n"), F.min_by("target_provider_id", F.struct(-F.col("n"), F.col("target_provider_id"))).alias("top_target"))
     best = best.withColumn("share", F.col("top_n") / F.col("total"))
-    median = best.agg(W.median_of("share").alias("peer_median"))
-    return best.where((F.col("total") >= cfg.min_referrals) & (F.col("share") > cfg.concentration)).join(F.broadcast(median))
+    enough = best.where(F.col("total") >= cfg.min_referrals)
+    median = enough.agg(W.median_of("share").alias("peer_median"))
+    return enough.where(F.col("share") > cfg.concentration).join(F.broadcast(median))
 
 
 def reciprocal_loops(tables: Tables, cfg: RuleConfig = RuleConfig()) -> DataFrame:

@@ -73,11 +73,15 @@ def impossible_days(claims: DataFrame, minutes: Mapping[str, int] = MINUTES, def
     return claims.where("provider_id is not null and service_date is not null").groupBy("provider_id", "service_date").agg(F.sum(each).alias("minutes"), F.count(F.lit(1)).alias("claim_count")).where(F.col("minutes") > most)
 
 
-def volume_against_baseline(claims: DataFrame, providers: DataFrame, times: float = 3.0, high: float = 6.0) -> DataFrame:
-    """Daily claims against the provider's own history, else the median of peers."""
+def volume_against_baseline(claims: DataFrame, providers: DataFrame | None = None, times: float = 3.0, high: float = 6.0) -> DataFrame:
+    """Daily claims against the provider's own history (``historical_daily`` of ``providers``, above 0), else the median of all."""
     daily = claims.where("provider_id is not null and service_date is not null").groupBy("provider_id", "service_date").count().groupBy("provider_id").agg(F.avg("count").alias("avg_daily"))
-    p = providers.select("provider_id", "peer_group", (F.col("historical_daily") if "historical_daily" in providers.columns else F.lit(None).cast("double")).alias("historical"))
-    base = daily.join(p, "provider_id").withColumn("baseline", F.coalesce("historical", W.median_of("avg_daily").over(Window.partitionBy("peer_group"))))
+    daily = daily.join(F.broadcast(daily.agg(W.median_of("avg_daily").alias("median"))))
+    if providers is not None and "historical_daily" in providers.columns:
+        daily = daily.join(providers.select("provider_id", "historical_daily"), "provider_id", "left")
+    else:
+        daily = daily.withColumn("historical_daily", F.lit(None).cast("double"))
+    base = daily.withColumn("baseline", F.when(F.col("historical_daily") > 0, F.col("historical_daily")).otherwise(F.col("median"))).drop("historical_daily", "median")
     return base.where((F.col("baseline") > 0) & (F.col("avg_daily") > times * F.col("baseline"))).withColumn("severity", F.when(F.col("avg_daily") > high * F.col("baseline"), "HIGH").otherwise("MEDIUM"))
 
 
@@ -91,14 +95,14 @@ def impossible_places(claims: DataFrame) -> DataFrame:
 
 
 def referral_anomalies(claims: DataFrame, least: int = 20, share: float = 0.80, back: int = 10, back_share: float = 0.5) -> DataFrame:
-    """Referrals in claims (not to oneself) that go to one provider; HIGH if much comes back."""
+    """Referrals in claims (not to oneself) that go to one provider; HIGH if that one sends more than ``back`` and much of it here."""
     sent = claims.where("referring_provider_id is not null and provider_id is not null and referring_provider_id <> provider_id").groupBy(F.col("referring_provider_id").alias("a"), F.col("provider_id").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     totals = sent.groupBy("a").agg(F.sum("n").alias("total"))
     one = sent.join(totals, "a").where((F.col("total") > least) & (F.col("n") / F.col("total") > share))
     their = totals.select(F.col("a").alias("b"), F.col("total").alias("b_total"))
     loop = sent.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("n").alias("n_back")).join(their, "b")
     out = one.join(loop, ["a", "b"], "left")
-    high = (F.col("n_back") > back) & (F.col("n_back") / F.col("b_total") > back_share)
+    high = (F.col("b_total") > back) & (F.col("n_back") / F.col("b_total") > back_share)
     return out.select(F.col("a").alias("provider_id"), F.col("b").alias("target_id"), "n", "total", (F.col("n") / F.col("total")).alias("share"), F.coalesce("n_back", F.lit(0)).alias("n_back"), F.when(high, "HIGH").otherwise("MEDIUM").alias("severity"))
 
 
@@ -115,13 +119,13 @@ def shared_members(claims: DataFrame, most: int = 15) -> DataFrame:
 
 
 def weekly_billing_bursts(claims: DataFrame, providers: DataFrame | None = None, default: float = 5000, times: float = 10, floor: float = 50000) -> DataFrame:
-    """ISO weeks billed far over the provider's historical week."""
+    """ISO weeks billed far over the provider's historical week (5,000 where it has none above 0)."""
     weekly = claims.where("provider_id is not null and service_date is not null").groupBy("provider_id", C.iso_week(F.col("service_date")).alias("iso_week")).agg(F.sum("billed_amount").alias("billed"))
     if providers is not None and "historical_weekly" in providers.columns:
-        weekly = weekly.join(providers.select("provider_id", "historical_weekly"), "provider_id", "left").withColumn("baseline", F.coalesce("historical_weekly", F.lit(float(default)))).drop("historical_weekly")
+        weekly = weekly.join(providers.select("provider_id", "historical_weekly"), "provider_id", "left").withColumn("baseline", F.when(F.col("historical_weekly") > 0, F.col("historical_weekly").cast("double")).otherwise(float(default))).drop("historical_weekly")
     else:
         weekly = weekly.withColumn("baseline", F.lit(float(default)))
-    return weekly.where((F.col("billed") > times * F.col("baseline")) & (F.col("billed") > floor)).withColumn("severity", F.lit("CRITICAL"))
+    return weekly.where((F.col("billed") > times * F.col("baseline")) & (F.col("billed") > floor)).withColumns({"severity": F.lit("CRITICAL"), "est_dollars": F.col("billed") - F.col("baseline")})
 
 
 def run_detection(tables: Tables) -> dict[str, DataFrame]:

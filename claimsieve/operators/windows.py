@@ -85,11 +85,11 @@ def median_of(x: str | Column) -> Column:
 
 
 def with_mad_z(df: DataFrame, value: str, peer: str) -> DataFrame:
-    """Peer median, MAD and 0.6745-scaled robust z of each row; a MAD of 0 gives 0."""
+    """Peer median, MAD and robust z (by 1.4826 MAD) of each row; a MAD of 0 gives 0."""
     w = Window.partitionBy(peer)
     df = df.withColumn("peer_median", median_of(value).over(w))
     df = df.withColumn("_dev", F.abs(F.col(value) - F.col("peer_median"))).withColumn("peer_mad", median_of("_dev").over(w)).drop("_dev")
-    return df.withColumn("mad_z", F.when(F.col("peer_mad") > 0, 0.6745 * (F.col(value) - F.col("peer_median")) / F.col("peer_mad")).otherwise(0.0))
+    return df.withColumn("mad_z", F.when(F.col("peer_mad") > 0, (F.col(value) - F.col("peer_median")) / (1.4826 * F.col("peer_mad"))).otherwise(0.0))
 
 
 def percent_rank_average(df: DataFrame, value: str, out: str = "percentile", partitions: int = 64) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from claimsieve.operators import evaluation as Ev
 from claimsieve.operators import risk as U
+from claimsieve.plans.storage import materialize
 from claimsieve.queries.common import R2, R6, r2, r6
 from claimsieve.sources import views as V
 
@@ -29,7 +30,7 @@ def claim_ml(spark, d):
 
 
 def anomaly(spark, d):
-    return spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("provider_id"), (F.col("s_suppkey") % 101).cast("double").alias("anomaly_percentile"), (F.col("s_suppkey") % 101 >= 95).alias("anomaly_flag"))
+    return spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("provider_id"), (F.col("s_suppkey") % 101).cast("double").alias("anomaly_percentile"), (F.col("s_suppkey") % 101 >= 95).alias("anomaly_flag"), ((F.col("s_suppkey") % 101) / 200 - 0.2).alias("anomaly_score"))
 
 
 def future(spark, d):
@@ -37,15 +38,31 @@ def future(spark, d):
     return spark.read.parquet(f"{d}/supplier.parquet").where("s_suppkey % 3 <> 0").select(x.alias("provider_id"), ((x % 10) / 10).alias("risk_30d"), F.when(x % 2 == 0, (x % 7) / 7).alias("risk_60d"), ((x % 5) / 5).alias("risk_90d"))
 
 
+def networks(spark, d):
+    """Communities of several sizes: one of all providers with a digit, others of a few, some providers in none."""
+    k = F.col("s_suppkey")
+    group = F.when(k % 4 == 0, F.lit(0)).when(k % 4 == 1, F.floor(k / 12) + 1)
+    rows = spark.read.parquet(f"{d}/supplier.parquet").select(k, group.cast("string").alias("community")).where("community is not null")
+    n = rows.groupBy("community").agg(F.collect_list(F.concat(F.lit("provider:"), F.col("s_suppkey").cast("string"))).alias("providers"), F.count(F.lit(1)).alias("size"), F.min("s_suppkey").alias("m"))
+    return n.select("community", "providers", "size", F.concat(F.lit("provider:"), F.col("m").cast("string")).alias("hub"), (F.col("m") % 3 * 0.9).alias("hard_links"), (F.col("m") % 8).cast("double").alias("referrals"), ((F.col("m") % 10) / 10).alias("hub_centrality"))
+
+
+def times(spark, d):
+    """Temporal and historical figures of most suppliers."""
+    k = F.col("s_suppkey")
+    return spark.read.parquet(f"{d}/supplier.parquet").where("s_suppkey % 7 <> 0").select(k.alias("provider_id"), ((k % 50) / 10).alias("burst_cv"), ((k % 40) / 20 - 0.5).alias("historical_score"))
+
+
 def signals(spark, d):
-    return {"rules": U.rule_signal(alerts(spark, d)), "ml": U.ml_signal(claim_ml(spark, d)), "anomaly": U.anomaly_signal(anomaly(spark, d)), "future": U.future_signal(future(spark, d))}
+    t = times(spark, d)
+    return {"rules": U.rule_signal(alerts(spark, d)), "ml": U.ml_signal(claim_ml(spark, d)), "anomaly": U.anomaly_signal(anomaly(spark, d)), "future": U.future_signal(future(spark, d)), "network": U.network_signal(networks(spark, d)), "temporal": U.temporal_signal(t), "historical": U.historical_signal(t)}
 
 
 def u01(spark, d):
     return U.rule_signal(alerts(spark, d)).select("provider_id", "alert_count", "high_count", "distinct_rules", F.size("claim_ids").alias("n_claims"), r2("exposure").alias("exposure"), r6("rules_signal").alias("rules_signal"))
 
 
-_RULES = """rs AS (SELECT CAST(provider_id AS VARCHAR) AS provider_id, count(*) AS alert_count, CAST(sum(CASE WHEN severity IN ('HIGH', 'CRITICAL') THEN 1 ELSE 0 END) AS BIGINT) AS high_count, count(DISTINCT rule_id) AS distinct_rules, CAST(count(DISTINCT claim_id) AS INTEGER) AS n_claims, sum(est_dollars) AS exposure,
+_RULES = """rs AS (SELECT CAST(provider_id AS VARCHAR) AS provider_id, count(*) AS alert_count, CAST(sum(CASE WHEN severity IN ('HIGH', 'CRITICAL') THEN 1 ELSE 0 END) AS BIGINT) AS high_count, count(DISTINCT rule_id) AS distinct_rules, list_sort(list(DISTINCT rule_id)) AS rule_list, CAST(count(DISTINCT claim_id) AS INTEGER) AS n_claims, sum(est_dollars) AS exposure,
  least(1, 0.3 * least(count(*) / 10, 1) + 0.25 * avg(CASE severity WHEN 'LOW' THEN 0.25 WHEN 'MEDIUM' THEN 0.5 WHEN 'HIGH' THEN 0.75 ELSE 1.0 END) + 0.2 * avg(CASE WHEN severity IN ('HIGH', 'CRITICAL') THEN 1.0 ELSE 0.0 END) + 0.15 * least(count(DISTINCT rule_id) / 5, 1) + 0.1 * least(ln(1 + sum(est_dollars)) / ln(50001), 1)) AS rules_signal FROM alerts GROUP BY 1)"""
 U01 = f"{V.with_views('claims')}, {ALERTS}, {_RULES} SELECT provider_id, alert_count, high_count, distinct_rules, n_claims, {R2('exposure')} AS exposure, {R6('rules_signal')} AS rules_signal FROM rs"
 
@@ -54,16 +71,16 @@ def u02(spark, d):
     return U.ml_signal(claim_ml(spark, d)).select("provider_id", "ml_claims", "ml_high_claims", r6("ml_signal").alias("ml_signal"))
 
 
-_ML = "ms AS (SELECT CAST(provider_id AS VARCHAR) AS provider_id, count(*) AS ml_claims, CAST(sum(CASE WHEN service_minutes / 60 >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS ml_high_claims, 0.6 * avg(CASE WHEN service_minutes / 60 >= 0.5 THEN 1.0 ELSE 0.0 END) + 0.4 * avg(service_minutes / 60) AS ml_signal FROM claims GROUP BY 1)"
+_ML = "ms AS (SELECT CAST(provider_id AS VARCHAR) AS provider_id, count(*) AS ml_claims, CAST(sum(CASE WHEN service_minutes / 60 >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS ml_high_claims, 0.6 * avg(CASE WHEN service_minutes / 60 >= 0.5 THEN 1.0 ELSE 0.0 END) + 0.4 * avg(service_minutes / 60) AS ml_signal, avg(CASE WHEN service_minutes / 60 >= 0.5 THEN 1.0 ELSE 0.0 END) AS ml_share, avg(service_minutes / 60) AS ml_mean FROM claims GROUP BY 1)"
 U02 = f"{V.with_views('claims')}, {_ML} SELECT provider_id, ml_claims, ml_high_claims, {R6('ml_signal')} AS ml_signal FROM ms"
 
 
 def u03(spark, d):
-    return U.anomaly_signal(anomaly(spark, d)).withColumn("anomaly_signal", r6("anomaly_signal"))
+    return U.anomaly_signal(anomaly(spark, d)).withColumns({"anomaly_signal": r6("anomaly_signal"), "anomaly_score": r6("anomaly_score")})
 
 
-_AN = "an AS (SELECT CAST(s_suppkey AS VARCHAR) AS provider_id, least(1, (s_suppkey % 101) / 100) AS anomaly_signal, CAST(s_suppkey % 101 >= 95 AS INTEGER) AS anomaly_flag FROM supplier)"
-U03 = f"WITH {_AN} SELECT provider_id, {R6('anomaly_signal')} AS anomaly_signal, anomaly_flag FROM an"
+_AN = "an AS (SELECT CAST(s_suppkey AS VARCHAR) AS provider_id, least(1, (s_suppkey % 101) / 100) AS anomaly_signal, CAST(s_suppkey % 101 >= 95 AS INTEGER) AS anomaly_flag, CAST(s_suppkey % 101 AS DOUBLE) AS anomaly_percentile, (s_suppkey % 101) / 200 - 0.2 AS anomaly_score FROM supplier)"
+U03 = f"WITH {_AN} SELECT provider_id, {R6('anomaly_signal')} AS anomaly_signal, anomaly_flag, anomaly_percentile, {R6('anomaly_score')} AS anomaly_score FROM an"
 
 
 def u04(spark, d):
@@ -75,26 +92,24 @@ U04 = f"WITH {_FU} SELECT provider_id, {R6('future_signal')} AS future_signal FR
 
 
 def u05(spark, d):
-    """The network signal of two-provider communities by the last digits of the id."""
-    s = spark.read.parquet(f"{d}/supplier.parquet")
-    n = s.groupBy((F.col("s_suppkey") % 30).cast("string").alias("community")).agg(F.sort_array(F.collect_list(F.concat(F.lit("provider:"), F.col("s_suppkey").cast("string")))).alias("providers"), F.count(F.lit(1)).alias("size"), F.min("s_suppkey").alias("m"))
-    n = n.select("community", "providers", "size", F.concat(F.lit("provider:"), F.col("m").cast("string")).alias("hub"), (F.col("m") % 3).alias("hard_links"), (F.col("m") % 8).cast("double").alias("referrals"), F.lit(0.6).alias("hub_centrality"))
-    return U.network_signal(n).select("provider_id", "community_id", "is_hub", r6("network_signal").alias("network_signal"), "hard_links")
+    """The network signal of communities of several sizes."""
+    return U.network_signal(networks(spark, d)).select("provider_id", "community_id", "is_hub", r6("network_signal").alias("network_signal"), r6("hard_link_score").alias("hard_link_score"), "community_size", r6("hub_centrality").alias("hub_centrality"))
 
 
-U05 = f"""WITH c AS (SELECT s_suppkey % 30 AS k, count(*) AS size, min(s_suppkey) AS m FROM supplier GROUP BY 1) SELECT CAST(s_suppkey AS VARCHAR) AS provider_id, CAST(k AS VARCHAR) AS community_id, s_suppkey = m AS is_hub,
- {R6("0.35 * least((m % 3) / 2, 1) + 0.25 * least((m % 8) / (5 * size), 1) + 0.2 * 0.6 * CASE WHEN s_suppkey = m THEN 1 ELSE 0.5 END + 0.2 * least(size / 15, 1)")} AS network_signal, m % 3 AS hard_links FROM supplier JOIN c ON k = s_suppkey % 30"""
+_NT = """nc AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 4 = 0 THEN 0 WHEN s_suppkey % 4 = 1 THEN s_suppkey // 12 + 1 END AS c FROM supplier WHERE s_suppkey % 4 < 2), nz AS (SELECT c, count(*) AS size, min(k) AS m FROM nc GROUP BY 1),
+ nt AS (SELECT CAST(k AS VARCHAR) AS provider_id, CAST(c AS VARCHAR) AS community_id, size AS community_size, k = m AS is_hub, least(m % 3 * 0.9 / size, 1) AS hard_link_score, (m % 10) / 10 * CASE WHEN k = m THEN 1 ELSE 0.5 END AS hub_centrality,
+  least(0.35 * least(m % 3 * 0.9 / size, 1) + 0.25 * least((m % 8) / (5 * size), 1) + 0.2 * (m % 10) / 10 + 0.2 * least(size / 15, 1), 1) AS network_signal FROM nc JOIN nz USING (c))"""
+U05 = f"WITH {_NT} SELECT provider_id, community_id, is_hub, {R6('network_signal')} AS network_signal, {R6('hard_link_score')} AS hard_link_score, community_size, {R6('hub_centrality')} AS hub_centrality FROM nt"
 
 
 def u06(spark, d):
-    """Temporal and historical signals made from suppliers' balances."""
-    s = spark.read.parquet(f"{d}/supplier.parquet")
-    burst = s.select(F.col("s_suppkey").alias("provider_id"), ((F.col("s_suppkey") % 50) / 10).alias("burst_cv"))
-    record = s.select(F.col("s_suppkey").alias("provider_id"), ((F.col("s_suppkey") % 40) / 20 - 0.5).alias("historical_score"))
-    return U.temporal_signal(burst).join(U.historical_signal(record), "provider_id").select("provider_id", r6("temporal_signal").alias("temporal_signal"), r6("historical_signal").alias("historical_signal"))
+    """Temporal and historical signals made from suppliers' numbers."""
+    t = times(spark, d)
+    return U.temporal_signal(t).join(U.historical_signal(t), "provider_id").select("provider_id", r6("temporal_signal").alias("temporal_signal"), r6("historical_signal").alias("historical_signal"))
 
 
-U06 = f"SELECT CAST(s_suppkey AS VARCHAR) AS provider_id, {R6('least((s_suppkey % 50) / 10 / 3, 1)')} AS temporal_signal, {R6('least(greatest((s_suppkey % 40) / 20 - 0.5, 0), 1)')} AS historical_signal FROM supplier"
+_TM = "tm AS (SELECT CAST(s_suppkey AS VARCHAR) AS provider_id, least((s_suppkey % 50) / 10 / 3, 1) AS temporal_signal, least(greatest((s_suppkey % 40) / 20 - 0.5, 0), 1) AS historical_signal FROM supplier WHERE s_suppkey % 7 <> 0)"
+U06 = f"WITH {_TM} SELECT provider_id, {R6('temporal_signal')} AS temporal_signal, {R6('historical_signal')} AS historical_signal FROM tm"
 
 
 def fused(spark, d):
@@ -104,11 +119,7 @@ def fused(spark, d):
 def u08(spark, d):
     out = fused(spark, d)
     total = sum(F.col(f"{f}_contribution") for f in U.FAMILIES)
-    return out.select("provider_id", r6("available_weight").alias("available_weight"), F.round(F.col("risk_score") * 1000).alias("score"), (F.abs(total - F.col("risk_score")) < 1e-6).alias("reconciled"))
-
-
-_FUSED = f"{_RULES}, {_ML}, {_AN}, {_FU}, w AS (SELECT provider_id, rules_signal, ml_signal, anomaly_signal, future_signal, 0.65 + CASE WHEN future_signal IS NULL THEN 0 ELSE 0.1 END AS aw FROM rs FULL JOIN ms USING (provider_id) FULL JOIN an USING (provider_id) FULL JOIN fu USING (provider_id))"
-U08 = f"{V.with_views('claims')}, {ALERTS}, {_FUSED} SELECT provider_id, {R6('aw')} AS available_weight, round(round((0.25 * rules_signal + 0.25 * ml_signal + 0.15 * anomaly_signal + 0.1 * coalesce(future_signal, 0)) / aw * 10000) / 10000 * 1000) AS score, true AS reconciled FROM w"
+    return out.select("provider_id", r6("available_weight").alias("available_weight"), F.col("risk_score").alias("score"), (F.abs(total - F.col("risk_score")) < 1e-6).alias("reconciled"))
 
 
 def u13(spark, d):
@@ -117,8 +128,8 @@ def u13(spark, d):
 
 
 def u14(spark, d):
-    rows = fused(spark, d).select(F.col("provider_id").alias("id"), F.col("risk_score").alias("score"), (F.col("provider_id").cast("int") % 9 == 0).cast("int").alias("label"))
-    return Ev.ranking_metrics(rows, (10, 25)).withColumn("value", r6("value"))
+    rows = materialize(fused(spark, d).select("provider_id", "risk_score"), "scores").select(F.col("provider_id").alias("id"), F.col("risk_score").alias("score"), (F.col("provider_id").cast("int") % 9 == 0).cast("int").alias("label"))
+    return Ev.ranking_metrics(rows, (10, 25, 2000)).withColumn("value", r6("value"))
 
 
 def m13(spark, d):
@@ -132,7 +143,7 @@ M13 = f"""WITH x AS (SELECT doc_id AS id, CAST(n_chars AS DOUBLE) AS score, toxi
  r AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS ar FROM x), g AS (SELECT score, count(*) AS n, sum(label) AS pos FROM x GROUP BY 1), c AS (SELECT pos, sum(pos) OVER (ORDER BY score DESC) / sum(n) OVER (ORDER BY score DESC) AS prec FROM g),
  k AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS o FROM x), h AS (SELECT 10 AS kk, sum(label) AS hits FROM k WHERE o <= 10 UNION ALL SELECT 50, sum(label) FROM k WHERE o <= 50)
  SELECT 'roc_auc' AS metric, {R6('(SELECT sum(ar) FROM r WHERE label = 1) - p * (p + 1) / 2').replace('* 1e6) / 1e6', '/ (p * (n - p)) * 1e6) / 1e6')} AS value FROM t UNION ALL SELECT 'average_precision', {R6('(SELECT sum(pos * prec) FROM c) / p')} FROM t UNION ALL SELECT 'base_rate', {R6('p / n')} FROM t
- UNION ALL SELECT 'precision_at_' || kk, {R6('hits / kk')} FROM h UNION ALL SELECT 'recall_at_' || kk, {R6('hits / p')} FROM h CROSS JOIN t UNION ALL SELECT 'lift_at_' || kk, {R6('hits / kk / (p / n)')} FROM h CROSS JOIN t"""
+ UNION ALL SELECT 'precision_at_' || kk, {R6('hits / least(kk, n)')} FROM h CROSS JOIN t UNION ALL SELECT 'recall_at_' || kk, {R6('hits / p')} FROM h CROSS JOIN t UNION ALL SELECT 'lift_at_' || kk, {R6('hits / least(kk, n) / (p / n)')} FROM h CROSS JOIN t"""
 
 
 def _probabilities(spark, d):
@@ -202,9 +213,8 @@ V03 = f"""WITH ring AS (SELECT CAST(s_suppkey % 12 AS VARCHAR) AS ring_id, s_sup
  SELECT ring_id, ring_size, community, overlap, community_size, n_communities, {R6('overlap / ring_size')} AS recovery, n_communities = 1 AND overlap = ring_size AS one_community, community_size - overlap AS false_members FROM t JOIN o USING (ring_id) JOIN z USING (community) WHERE k = 1"""
 
 # The score table as its definition has it: weights go to the families that are there, contributions sum to the score.
-_F = ("rules", "ml", "anomaly", "future")
-_W = {"rules": 0.25, "ml": 0.25, "anomaly": 0.15, "future": 0.1}
-_SAID = {"rules": "rule findings", "ml": "claim model probabilities", "anomaly": "unusual behaviour among providers", "future": "forward risk"}
+_F = ("rules", "ml", "anomaly", "network", "temporal", "future", "historical")
+_W = {"rules": 0.25, "ml": 0.25, "anomaly": 0.15, "network": 0.2, "temporal": 0.05, "future": 0.1, "historical": 0.0}
 _CLIP = "least(greatest({}, 0.0), 1.0)"
 
 
@@ -219,20 +229,34 @@ _MOST = "greatest(" + ", ".join(f"raw_{f}" for f in _F) + ")"
 _WHICH = "CASE " + " ".join(f"WHEN raw_{f} = {_MOST} THEN '{f}'" for f in _F) + " END"
 _GIVEN = ", ".join(f"round(raw_{f} + CASE WHEN {_WHICH} = '{f}' THEN rest ELSE 0.0 END, 4) AS {f}_contribution" for f in _F)
 _PRESENT = " + ".join(f"CASE WHEN {f}_signal IS NULL THEN 0 ELSE 1 END" for f in _F)
-_ACTIVE = " + ".join(f"CASE WHEN coalesce({_CLIP.format(f + '_signal')}, 0) >= 0.2 AND {f}_signal IS NOT NULL THEN 1 ELSE 0 END" for f in _F)
+_ACTIVE = " + ".join(f"CASE WHEN coalesce({f}_signal, 0) >= 0.2 THEN 1 ELSE 0 END" for f in _F if f != "historical")
 _TOTAL = " + ".join(f"coalesce({f}_signal, 0)" for f in _F)
 _SPREAD = " + ".join(f"CASE WHEN {f}_signal IS NULL THEN 0.0 ELSE ({f}_signal - mean) * ({f}_signal - mean) END" for f in _F)
-_ITEMS = ", ".join(f"CASE WHEN {f}_contribution >= {0.02 if f in ('rules', 'ml') else 0.01} THEN struct_pack(c := -{f}_contribution, t := '{_SAID[f]} (+' || printf('%.4f', {f}_contribution) || ')') END" for f in _F)
-SCORES = f"""{V.with_views('claims')}, {ALERTS}, {_RULES}, {_ML}, {_AN}, {_FU}, {FUTURE_COLUMNS},
- g0 AS (SELECT *, {" + ".join(f"CASE WHEN {f}_signal IS NULL THEN 0.0 ELSE {_W[f]} END" for f in _F)} AS aw, {_PRESENT} AS present FROM rs FULL JOIN ms USING (provider_id) FULL JOIN an USING (provider_id) FULL JOIN fu USING (provider_id) FULL JOIN fc USING (provider_id)),
+# Texts by the conditions of each family, in this order where contributions are equal.
+_SAID = {
+    "rules": "CASE WHEN high_count >= 2 THEN 'Multiple high-severity billing rule alerts (' || high_count || ' alerts, $' || format('{:,.0f}', exposure) || ' est. exposure)' WHEN distinct_rules >= 2 THEN 'Triggered multiple detection rules (' || array_to_string(rule_list[1:3], ', ') || ')' WHEN alert_count > 0 THEN 'Billing anomalies detected (' || alert_count || ' alert(s), $' || format('{:,.0f}', exposure) || ' est. exposure)' END",
+    "ml": "CASE WHEN ml_share >= 0.25 AND ml_high_claims >= 3 THEN 'High concentration of suspicious claims (' || format('{:,.1f}', 100 * ml_share) || '% rate, ' || ml_high_claims || ' flagged claims)' ELSE 'Elevated claim-level ML risk score (mean calibrated probability: ' || format('{:,.2f}', ml_mean) || ')' END",
+    "network": "CASE WHEN hard_link_score >= 0.5 THEN 'Hard identity links with affiliated entities (shared bank/TIN/owner overlap)' WHEN is_hub THEN 'Central hub provider in multi-provider network (Community #' || community_id || ', ' || community_size || ' providers)' WHEN community_size >= 2 THEN 'Connected to elevated-risk provider community (Community #' || community_id || ', ' || community_size || ' providers)' END",
+    "anomaly": "CASE WHEN anomaly_percentile >= 90 OR anomaly_flag = 1 THEN 'Statistically anomalous macro billing behavior (' || format('{:,.0f}', anomaly_percentile) || 'th percentile among peer providers)' ELSE 'Elevated behavioral anomaly profile compared to peer specialty baseline' END",
+    "future": "'Elevated near-term forward risk forecast (' || format('{:,.2f}', coalesce(risk_30d, 0.0)) || ' 30-day forecast probability)'",
+    "temporal": "'Billing volume surge / velocity spike exceeding historical baseline'",
+}
+_ITEMS = ", ".join(f"CASE WHEN {f}_contribution > {0.01 if f == 'temporal' else 0.02} AND ({t}) IS NOT NULL THEN struct_pack(c := -{f}_contribution, i := {i}, t := {t}) END" for i, (f, t) in enumerate(_SAID.items()))
+SCORES = f"""{V.with_views('claims')}, {ALERTS}, {_RULES}, {_ML}, {_AN}, {_FU}, {_NT}, {_TM}, {FUTURE_COLUMNS},
+ both_claims AS (SELECT provider_id, count(*) AS union_claims FROM (SELECT CAST(provider_id AS VARCHAR) AS provider_id, claim_id FROM alerts UNION SELECT CAST(provider_id AS VARCHAR), claim_id FROM claims WHERE service_minutes / 60 >= 0.5) GROUP BY 1),
+ g00 AS (SELECT * FROM rs FULL JOIN ms USING (provider_id) FULL JOIN an USING (provider_id) FULL JOIN fu USING (provider_id) FULL JOIN nt USING (provider_id) FULL JOIN tm USING (provider_id) FULL JOIN fc USING (provider_id) LEFT JOIN both_claims USING (provider_id)),
+ gn AS (SELECT * REPLACE (coalesce(network_signal, 0.0) AS network_signal) FROM g00),
+ g0 AS (SELECT *, {" + ".join(f"CASE WHEN {f}_signal IS NULL THEN 0.0 ELSE {_W[f]} END" for f in _F)} AS aw, {_PRESENT} AS present FROM gn),
  g1 AS (SELECT *, {_PARTS}, ({_TOTAL}) / present AS mean FROM g0), g2 AS (SELECT *, {_ROUNDED}, round(least({" + ".join(f"part_{f}" for f in _F)}, 1.0), 4) AS risk_score, sqrt(({_SPREAD}) / present) AS std, {_ACTIVE} AS active_families FROM g1),
  g3 AS (SELECT *, round(risk_score - ({" + ".join(f"raw_{f}" for f in _F)}), 4) AS rest FROM g2),
- g4 AS (SELECT *, {_GIVEN}, round(least(0.2 * least(active_families / 3, 1) + 0.3 * least(coalesce(distinct_rules, 0) / 3, 1) + 0.25 * least((coalesce(n_claims, 0) + coalesce(ml_high_claims, 0)) / 15, 1), 1.0), 4) AS evidence_strength,
-  round(least(0.6 * aw + 0.25 * CASE WHEN present >= 2 THEN greatest(0.0, 1 - 2 * std) ELSE 0.5 END + 0.15 * least(coalesce(ml_claims, 0) / 50, 1), 1.0), 4) AS confidence FROM g3),
+ g4 AS (SELECT *, {_GIVEN}, round(least(0.2 * least(active_families / 3, 1) + 0.3 * (0.4 * least(coalesce(distinct_rules, 0) / 3, 1) + 0.35 * least(coalesce(high_count, 0) / 3, 1) + 0.25 * least(ln(1 + greatest(coalesce(exposure, 0), 0)) / ln(50001), 1)) + 0.25 * least(coalesce(union_claims, 0) / 15, 1)
+   + 0.25 * least(0.6 * coalesce(hard_link_score, 0) + 0.4 * least(coalesce(community_size, 0) / 10, 1), 1), 1.0), 4) AS evidence_strength,
+  round(least(0.6 * aw + 0.25 * CASE WHEN present >= 2 THEN greatest(0.0, 1 - 2 * std) ELSE 0.5 END + 0.15 * CASE WHEN coalesce(ml_high_claims, 0) + coalesce(n_claims, 0) > 0 THEN least((coalesce(ml_high_claims, 0) + coalesce(n_claims, 0)) / 50, 1) ELSE 0.4 END, 1.0), 4) AS confidence FROM g3),
+ g5 AS (SELECT *, [x.t for x in list_sort([x for x in [{_ITEMS}] if x IS NOT NULL])[1:4]] AS drivers FROM g4),
  scores AS (SELECT *, {_tiers('risk_score', (0.25, 0.5, 0.75), ('LOW', 'MODERATE', 'HIGH', 'CRITICAL'))} AS risk_tier, {_tiers('evidence_strength', (0.25, 0.5, 0.75), ('LOW', 'MODERATE', 'HIGH', 'VERY_HIGH'))} AS evidence_tier, {_tiers('confidence', (0.4, 0.7), ('LOW', 'MEDIUM', 'HIGH'))} AS confidence_tier,
-  array_to_string([x.t for x in list_sort([x for x in [{_ITEMS}] if x IS NOT NULL])[1:4]], '; ') AS reasons FROM g4)"""
-U13 = f"""{SCORES} SELECT provider_id, risk_score, rules_contribution, ml_contribution, anomaly_contribution, 0.0::DOUBLE AS network_contribution, 0.0::DOUBLE AS temporal_contribution, future_contribution, 0.0::DOUBLE AS historical_contribution,
- evidence_strength, confidence, active_families, risk_tier, evidence_tier, confidence_tier, reasons FROM scores"""
+  CASE WHEN len(drivers) > 0 THEN array_to_string(drivers, '; ') ELSE 'Baseline risk profile with no elevated indicators' END AS reasons FROM g5)"""
+U08 = f"{SCORES} SELECT provider_id, {R6('aw')} AS available_weight, risk_score AS score, true AS reconciled FROM scores"
+U13 = f"""{SCORES} SELECT provider_id, risk_score, {", ".join(f"{f}_contribution" for f in _F)}, evidence_strength, confidence, active_families, risk_tier, evidence_tier, confidence_tier, reasons FROM scores"""
 
 
 def ranking_sql(rows: str, ks: tuple[int, ...]) -> str:
@@ -241,10 +265,10 @@ def ranking_sql(rows: str, ks: tuple[int, ...]) -> str:
     return f""", x AS ({rows}), t AS (SELECT count(*) AS n, sum(label) AS p FROM x), r AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS ar FROM x),
  gs AS (SELECT score, count(*) AS n, sum(label) AS pos FROM x GROUP BY 1), c AS (SELECT pos, sum(pos) OVER (ORDER BY score DESC) / sum(n) OVER (ORDER BY score DESC) AS prec FROM gs), k AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS o FROM x), h AS ({tops})
  SELECT 'roc_auc' AS metric, round(((SELECT sum(ar) FROM r WHERE label = 1) - p * (p + 1) / 2) / (p * (n - p)) * 1e6) / 1e6 AS value FROM t UNION ALL SELECT 'average_precision', {R6('(SELECT sum(pos * prec) FROM c) / p')} FROM t UNION ALL SELECT 'base_rate', {R6('p / n')} FROM t
- UNION ALL SELECT 'precision_at_' || kk, {R6('hits / kk')} FROM h UNION ALL SELECT 'recall_at_' || kk, {R6('hits / p')} FROM h CROSS JOIN t UNION ALL SELECT 'lift_at_' || kk, {R6('hits / kk / (p / n)')} FROM h CROSS JOIN t"""
+ UNION ALL SELECT 'precision_at_' || kk, {R6('hits / least(kk, n)')} FROM h CROSS JOIN t UNION ALL SELECT 'recall_at_' || kk, {R6('hits / p')} FROM h CROSS JOIN t UNION ALL SELECT 'lift_at_' || kk, {R6('hits / least(kk, n) / (p / n)')} FROM h CROSS JOIN t"""
 
 
-U14 = SCORES + ranking_sql("SELECT provider_id AS id, risk_score AS score, CASE WHEN CAST(provider_id AS INTEGER) % 9 = 0 THEN 1 ELSE 0 END AS label FROM scores", (10, 25))
+U14 = SCORES + ranking_sql("SELECT provider_id AS id, risk_score AS score, CASE WHEN CAST(provider_id AS INTEGER) % 9 = 0 THEN 1 ELSE 0 END AS label FROM scores", (10, 25, 2000))
 ENTRIES = {
     "u01_rule_signal": (u01, U01), "u02_ml_signal": (u02, U02), "u03_anomaly_signal": (u03, U03), "u04_future_signal": (u04, U04), "u05_network_signal": (u05, U05), "u06_time_and_record": (u06, U06), "u08_fused_score": (u08, U08), "u13_score_table": (u13, U13), "u14_prioritisation": (u14, U14),
     "m13_ranking_metrics": (m13, M13), "m05_reliability": (m05, M05), "m05_calibration": (m05b, M05B), "v01_rule_quality": (v01, V01), "v02_claim_quality": (v02, V02), "v02_severities": (v02b, V02B), "v03_ring_recovery": (v03, V03),

@@ -44,7 +44,7 @@ def r02(spark, d):
 R02 = f"""{V.with_views('claims', 'providers')}, l AS (SELECT provider_id, least(5, CAST(floor(service_minutes / 10) AS INTEGER) + 1) AS level, paid_amount FROM claims),
  s AS (SELECT provider_id, count(*) AS total_em, sum(CASE WHEN level >= 4 THEN 1 ELSE 0 END) / count(*) AS high_share, sum(CASE WHEN level >= 4 THEN paid_amount ELSE 0 END) AS amount FROM l GROUP BY 1),
  p AS (SELECT s.*, peer_group, median(high_share) OVER (PARTITION BY peer_group) AS peer_median FROM s JOIN providers USING (provider_id)),
- m AS (SELECT *, median(abs(high_share - peer_median)) OVER (PARTITION BY peer_group) AS mad FROM p), z AS (SELECT *, CASE WHEN mad > 0 THEN 0.6745 * (high_share - peer_median) / mad ELSE 0 END AS mad_z FROM m)
+ m AS (SELECT *, median(abs(high_share - peer_median)) OVER (PARTITION BY peer_group) AS mad FROM p), z AS (SELECT *, CASE WHEN mad > 0 THEN (high_share - peer_median) / (1.4826 * mad) ELSE 0 END AS mad_z FROM m)
  SELECT provider_id, peer_group, total_em, {R6('high_share')} AS high_share, {R6('peer_median')} AS peer_median, {R6('mad_z')} AS mad_z, {R2('amount * 0.35')} AS est_dollars FROM z WHERE total_em >= 20 AND mad_z > 1 AND high_share >= 1.02 * peer_median"""
 
 
@@ -195,13 +195,13 @@ R06C = f"""WITH {EVENT_CLAIMS}, n AS (SELECT member_id, claim_id, claim_id % 3 A
 
 
 def r07a(spark, d):
-    found = R.concentration(tables(spark, d), RuleConfig(concentration=0.02))
+    found = R.concentration(tables(spark, d), RuleConfig(concentration=0.02, min_referrals=100))
     return found.select("referring_provider_id", "total", "top_n", "top_target", r6("share").alias("share"), r6("peer_median").alias("peer_median"))
 
 
 _PAIRS = f"{V.with_views('referrals')}, p AS (SELECT referring_provider_id AS a, target_provider_id AS b, count(*) AS n FROM referrals GROUP BY 1, 2)"
-R07A = f"""{_PAIRS}, t AS (SELECT a, CAST(sum(n) AS BIGINT) AS total, max(n) AS top_n, arg_max(b, n * 1000000 - b) AS top_target FROM p GROUP BY a), m AS (SELECT median(top_n / total) AS pm FROM t)
- SELECT a AS referring_provider_id, total, top_n, top_target, {R6('top_n / total')} AS share, {R6('pm')} AS peer_median FROM t CROSS JOIN m WHERE total >= 20 AND top_n / total > 0.02"""
+R07A = f"""{_PAIRS}, t AS (SELECT a, CAST(sum(n) AS BIGINT) AS total, max(n) AS top_n, arg_max(b, n * 1000000 - b) AS top_target FROM p GROUP BY a), m AS (SELECT median(top_n / total) AS pm FROM t WHERE total >= 100)
+ SELECT a AS referring_provider_id, total, top_n, top_target, {R6('top_n / total')} AS share, {R6('pm')} AS peer_median FROM t CROSS JOIN m WHERE total >= 100 AND top_n / total > 0.02"""
 
 
 def r07b(spark, d):

@@ -24,7 +24,7 @@ def d02(spark, d):
 
 
 D02 = f"""{V.with_views('claims', 'providers')}, s AS (SELECT provider_id, count(*) AS total_em, sum(CASE WHEN service_minutes >= 30 THEN 1 ELSE 0 END) / count(*) AS hs, sum(billed_amount) AS billed FROM claims GROUP BY 1 HAVING count(*) >= 20), p AS (SELECT s.*, peer_group, median(hs) OVER (PARTITION BY peer_group) AS pm FROM s JOIN providers USING (provider_id)),
- m AS (SELECT *, median(abs(hs - pm)) OVER (PARTITION BY peer_group) AS mad FROM p), z AS (SELECT *, CASE WHEN mad > 0 THEN 0.6745 * (hs - pm) / mad ELSE 0 END AS z FROM m)
+ m AS (SELECT *, median(abs(hs - pm)) OVER (PARTITION BY peer_group) AS mad FROM p), z AS (SELECT *, CASE WHEN mad > 0 THEN (hs - pm) / (1.4826 * mad) ELSE 0 END AS z FROM m)
  SELECT provider_id, total_em, {R6('hs')} AS high_share, {R6('z')} AS mad_z, CASE WHEN z > 1 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, {R2('greatest(0, round(billed * 0.35 * (hs - pm) * 100) / 100)')} AS est_dollars FROM z WHERE z > 0.5"""
 _PANELS = {"Brand#1": ("Brand#2", "Brand#3", "Brand#4"), "Brand#5": ("Brand#6", "Brand#7", "Brand#8", "Brand#9")}
 
@@ -63,12 +63,14 @@ D05 = f"{V.with_views('claims')} SELECT provider_id, service_date, CAST(sum(CASE
 
 
 def d05b(spark, d):
+    """Every third provider has a history, of which some is 0."""
     t = tables(spark, d)
-    return D.volume_against_baseline(t["claims"], t["providers"], 1.01, 1.05).select("provider_id", "peer_group", r6("avg_daily").alias("avg_daily"), r6("baseline").alias("baseline"), "severity")
+    p = t["providers"].withColumn("historical_daily", F.when(F.col("provider_id") % 3 == 0, F.col("provider_id") % 4 * 0.5))
+    return D.volume_against_baseline(t["claims"], p, 1.01, 1.05).select("provider_id", r6("avg_daily").alias("avg_daily"), r6("baseline").alias("baseline"), "severity")
 
 
-D05B = f"""{V.with_views('claims', 'providers')}, a AS (SELECT provider_id, avg(n) AS ad FROM (SELECT provider_id, service_date, count(*) AS n FROM claims GROUP BY 1, 2) GROUP BY 1), b AS (SELECT a.*, peer_group, median(ad) OVER (PARTITION BY peer_group) AS base FROM a JOIN providers USING (provider_id))
- SELECT provider_id, peer_group, {R6('ad')} AS avg_daily, {R6('base')} AS baseline, CASE WHEN ad > 1.05 * base THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM b WHERE ad > 1.01 * base"""
+D05B = f"""{V.with_views('claims')}, a AS (SELECT provider_id, avg(n) AS ad FROM (SELECT provider_id, service_date, count(*) AS n FROM claims GROUP BY 1, 2) GROUP BY 1), b AS (SELECT *, CASE WHEN provider_id % 3 = 0 AND provider_id % 4 > 0 THEN provider_id % 4 * 0.5 ELSE (SELECT median(ad) FROM a) END AS base FROM a)
+ SELECT provider_id, {R6('ad')} AS avg_daily, {R6('base')} AS baseline, CASE WHEN ad > 1.05 * base THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM b WHERE ad > 1.01 * base"""
 
 
 def d06(spark, d):
@@ -82,11 +84,11 @@ D06 = f"""{V.with_views('claims')}, c AS (SELECT claim_id, member_id % 100 AS me
 
 def d07(spark, d):
     r = V.referrals(spark, d).select(F.col("referring_provider_id"), F.col("target_provider_id").alias("provider_id"))
-    return D.referral_anomalies(r, 20, 0.02, 3, 0.01).withColumn("share", r6("share"))
+    return D.referral_anomalies(r, 20, 0.02, 40, 0.02).withColumn("share", r6("share"))
 
 
 D07 = f"""{V.with_views('referrals')}, s AS (SELECT referring_provider_id AS a, target_provider_id AS b, count(*) AS n FROM referrals GROUP BY 1, 2), t AS (SELECT a, CAST(sum(n) AS BIGINT) AS total FROM s GROUP BY 1)
- SELECT s.a AS provider_id, s.b AS target_id, s.n, t.total, {R6('s.n / t.total')} AS share, coalesce(k.n, 0) AS n_back, CASE WHEN k.n > 3 AND k.n / tb.total > 0.01 THEN 'HIGH' ELSE 'MEDIUM' END AS severity
+ SELECT s.a AS provider_id, s.b AS target_id, s.n, t.total, {R6('s.n / t.total')} AS share, coalesce(k.n, 0) AS n_back, CASE WHEN tb.total > 40 AND k.n / tb.total > 0.02 THEN 'HIGH' ELSE 'MEDIUM' END AS severity
  FROM s JOIN t USING (a) LEFT JOIN s k ON k.a = s.b AND k.b = s.a LEFT JOIN t tb ON tb.a = s.b WHERE t.total > 20 AND s.n / t.total > 0.02"""
 
 
@@ -106,10 +108,13 @@ D09 = f"{V.with_views('claims')}, p AS (SELECT member_id, provider_id, count(*)
 
 
 def d10(spark, d):
-    return D.weekly_billing_bursts(V.claims(spark, d), floor=100000).withColumn("billed", r2("billed"))
+    """Every second provider has a history, of which some is 0 or less."""
+    p = V.providers(spark, d).select("provider_id", F.when(F.col("provider_id") % 2 == 0, (F.col("provider_id") % 7 - 1) * 4000).alias("historical_weekly"))
+    return D.weekly_billing_bursts(V.claims(spark, d), p, floor=100000).withColumns({"billed": r2("billed"), "est_dollars": r2("est_dollars")})
 
 
-D10 = f"{V.with_views('claims')} SELECT provider_id, strftime(service_date, '%G-W%V') AS iso_week, {R2('sum(billed_amount)')} AS billed, 5000.0::DOUBLE AS baseline, 'CRITICAL' AS severity FROM claims GROUP BY 1, 2 HAVING sum(billed_amount) > 100000"
+D10 = f"""{V.with_views('claims')}, w AS (SELECT provider_id, strftime(service_date, '%G-W%V') AS iso_week, sum(billed_amount) AS billed, CASE WHEN provider_id % 2 = 0 AND provider_id % 7 > 1 THEN (provider_id % 7 - 1) * 4000.0 ELSE 5000.0 END::DOUBLE AS baseline FROM claims GROUP BY 1, 2)
+ SELECT provider_id, iso_week, {R2('billed')} AS billed, baseline, 'CRITICAL' AS severity, {R2('billed - baseline')} AS est_dollars FROM w WHERE billed > 100000 AND billed > 10 * baseline"""
 
 
 def d12(spark, d):

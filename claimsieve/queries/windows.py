@@ -84,7 +84,7 @@ def w10(spark, d):
 
 
 W10 = f"""{V.with_views('claims', 'providers')}, u AS (SELECT provider_id, count(*) / count(DISTINCT member_id) AS v FROM claims GROUP BY 1), p AS (SELECT u.*, peer_group, median(v) OVER (PARTITION BY peer_group) AS med, quantile_cont(v, 0.95) OVER (PARTITION BY peer_group) AS p95 FROM u JOIN providers USING (provider_id)),
- m AS (SELECT *, median(abs(v - med)) OVER (PARTITION BY peer_group) AS mad FROM p) SELECT provider_id, peer_group, {R6('v')} AS visits_per_member, {R6('med')} AS peer_median, {R6('mad')} AS peer_mad, {R6('CASE WHEN mad > 0 THEN 0.6745 * (v - med) / mad ELSE 0 END')} AS mad_z, {R6('p95')} AS peer_p95 FROM m"""
+ m AS (SELECT *, median(abs(v - med)) OVER (PARTITION BY peer_group) AS mad FROM p) SELECT provider_id, peer_group, {R6('v')} AS visits_per_member, {R6('med')} AS peer_median, {R6('mad')} AS peer_mad, {R6('CASE WHEN mad > 0 THEN (v - med) / (1.4826 * mad) ELSE 0 END')} AS mad_z, {R6('p95')} AS peer_p95 FROM m"""
 
 
 def w11(spark, d):

@@ -13,14 +13,18 @@ from claimsieve.operators import cases as K
 from claimsieve.operators import investigate as Q
 from claimsieve.plans.storage import materialize, new_path
 from claimsieve.queries.common import R2, R6, r2, r6
-from claimsieve.queries.risk import ALERTS, SCORES, V02, alerts, claim_ml, fused
+from claimsieve.queries.risk import ALERTS, SCORES, V02, alerts, fused
 from claimsieve.sources import tables as T
 from claimsieve.sources import views as V
 from claimsieve.sources.config import CaseConfig, QueueConfig
 
 
+def _scores(spark, d):
+    return materialize(fused(spark, d), "scores")
+
+
 def _cases(spark, d):
-    return materialize(K.build_cases(fused(spark, d), CaseConfig(all_providers=True)), "cases")
+    return materialize(K.build_cases(_scores(spark, d), CaseConfig(all_providers=True)), "cases")
 
 
 def _queue(spark, d):
@@ -29,42 +33,62 @@ def _queue(spark, d):
 
 def k01(spark, d):
     """Eligibility and case build."""
-    return K.build_cases(fused(spark, d), CaseConfig(min_risk=0.3)).select("case_id", "provider_id", "risk_score", "priority", "status", F.array_join("families", ",").alias("families"), "title", "claim_count", r2("estimated_exposure").alias("estimated_exposure"), F.size("recommendations").alias("n_recommendations"))
+    return K.build_cases(_scores(spark, d), CaseConfig(min_risk=0.3, min_evidence=0.7)).select("case_id", "provider_id", "risk_score", "priority", "status", F.array_join("families", ",").alias("families"), "title", "summary", "claim_count", r2("estimated_exposure").alias("estimated_exposure"), F.array_join("recommendations", "; ").alias("recommendations"))
 
 
-_FAMILIES = "array_to_string([x for x in [" + ", ".join(f"CASE WHEN {f}_signal >= 0.15 THEN '{f}' END" for f in ("rules", "ml", "anomaly", "future")) + "] if x IS NOT NULL], ',')"
-_CASE = f"""'CASE-' || lpad(CAST(case_rank AS VARCHAR), 6, '0') AS case_id, {_FAMILIES} AS families, CASE risk_tier WHEN 'MODERATE' THEN 'MEDIUM' ELSE risk_tier END AS priority, coalesce(exposure, 0) AS estimated_exposure, coalesce(n_claims, 0) AS claim_count,
- CAST(1 + CASE WHEN coalesce(alert_count, 0) > 0 THEN 1 ELSE 0 END + CASE WHEN coalesce(ml_high_claims, 0) > 0 THEN 1 ELSE 0 END + CASE WHEN coalesce(anomaly_flag, 0) = 1 THEN 1 ELSE 0 END + CASE WHEN coalesce(risk_30d, 0) >= 0.5 THEN 1 ELSE 0 END AS INTEGER) AS n_recommendations"""
+_THERE = {"rules": "rules_signal > 0 OR alert_count > 0", "ml": "ml_signal > 0 OR ml_high_claims > 0", "anomaly": "anomaly_signal > 0 OR anomaly_flag > 0", "network": "network_signal > 0 OR community_id IS NOT NULL", "future_risk": "future_signal > 0", "temporal": "temporal_signal > 0"}
+_FAMILIES = "[x for x in [" + ", ".join(f"CASE WHEN {c} THEN '{f}' END" for f, c in _THERE.items()) + "] if x IS NOT NULL]"
+_ADVICE = ", ".join(f"CASE WHEN list_contains(rule_list, '{r}') THEN '{t}' END" for r, t in K.ADVICE.items())
+_SAID = f"""[x for x in [{_ADVICE}, CASE WHEN ml_high_claims > 0 THEN 'Conduct detailed clinical audit on the ' || ml_high_claims || ' high-risk claims flagged by claim ML.' END,
+ CASE WHEN anomaly_flag = 1 THEN 'Examine provider''s billing composition and procedure diversity compared to peer specialty baseline.' END, CASE WHEN risk_30d >= 0.3 THEN 'Institute prospective pre-payment claim review and enhanced monitoring on upcoming submissions.' END,
+ CASE WHEN community_id IS NOT NULL THEN 'Review affiliated providers in Community #' || community_id || ' to evaluate potential coordinated ring activity.' END] if x IS NOT NULL]"""
+_CASE = f"""'CASE-' || lpad(CAST(case_rank AS VARCHAR), 6, '0') AS case_id, {_FAMILIES} AS families, CASE risk_tier WHEN 'MODERATE' THEN 'MEDIUM' ELSE risk_tier END AS priority, coalesce(exposure, 0) AS estimated_exposure, CAST(coalesce(union_claims, 0) AS INTEGER) AS claim_count"""
 _RANK = "row_number() OVER (ORDER BY risk_score DESC, evidence_strength DESC, provider_id) AS case_rank"
-K01 = f"""{SCORES}, o AS (SELECT *, {_RANK} FROM scores WHERE risk_score >= 0.3 AND risk_tier <> 'LOW' OR evidence_strength >= 0.5), cases AS (SELECT *, {_CASE} FROM o)
- SELECT case_id, provider_id, risk_score, priority, 'NEW' AS status, families, 'Provider ' || provider_id || ': ' || risk_tier || ' review priority' AS title, claim_count, {R2('estimated_exposure')} AS estimated_exposure, n_recommendations FROM cases"""
+_TOPIC = """CASE WHEN list_contains(families, 'network') AND list_contains(families, 'rules') THEN 'Multi-Signal Network & Billing Anomaly' WHEN list_contains(families, 'rules') AND len(families) > 1 THEN 'Consolidated Billing Anomalies'
+ WHEN list_contains(families, 'ml') AND list_contains(families, 'anomaly') THEN 'Elevated Claim Risk & Behavioral Outlier' WHEN list_contains(families, 'anomaly') THEN 'Macro Behavioral Billing Anomaly' WHEN list_contains(families, 'network') THEN 'Affiliated Entity Network Anomaly' ELSE 'Prioritized Provider Billing Review' END"""
+_SUMMARY = """'Provider ' || provider_id || ' was prioritized for human investigation based on consolidated signals across ' || array_to_string(families, ', ') || '. The unified risk engine assigned a risk score of ' || format('{:.3f}', risk_score) || ' (' || risk_tier || ' tier) with ' || format('{:.3f}', evidence_strength) || ' evidence strength (' || evidence_tier || ') and '
+ || format('{:.3f}', confidence) || ' confidence (' || confidence_tier || '). ' || CASE WHEN estimated_exposure > 0 THEN 'Estimated financial exposure identified from supporting evidence is $' || format('{:,.2f}', estimated_exposure) || '.' ELSE 'Direct rule-calculated financial exposure is currently unquantified.' END
+ || CASE WHEN coalesce(alert_count, 0) > 0 OR claim_count > 0 THEN ' Investigation package includes ' || coalesce(alert_count, 0) || ' rule alert(s) and ' || claim_count || ' suspicious claim transaction(s).' ELSE '' END || ' Primary investigation drivers: ' || array_to_string([rtrim(x, '.') for x in CASE WHEN len(drivers) > 0 THEN drivers[1:3] ELSE [reasons] END], '; ') || '.'"""
+K01 = f"""{SCORES}, o AS (SELECT *, {_RANK} FROM scores WHERE risk_tier <> 'LOW' AND (risk_score >= 0.3 OR evidence_strength >= 0.7)), cases AS (SELECT *, {_CASE}, {_SAID} AS advice FROM o)
+ SELECT case_id, provider_id, risk_score, priority, 'NEW' AS status, array_to_string(families, ',') AS families, 'Provider ' || provider_id || ' — ' || {_TOPIC} AS title, {_SUMMARY} AS summary, claim_count, {R2('estimated_exposure')} AS estimated_exposure,
+ CASE WHEN len(advice) > 0 THEN array_to_string(advice[1:6], '; ') ELSE 'Review supporting claim documentation and provider billing history.' END AS recommendations FROM cases"""
 #: A case for each provider.
 CASES = f"{SCORES}, o AS (SELECT *, {_RANK} FROM scores), cases AS (SELECT *, {_CASE} FROM o)"
-_QW = {"risk": 0.35, "evidence": 0.20, "exposure": 0.15, "anomaly": 0.05, "future": 0.10, "behaviour": 0.05}
-_SAID = {"risk": "high risk score", "evidence": "strong evidence", "exposure": "large exposure", "anomaly": "unusual behaviour", "future": "forward risk", "behaviour": "many findings"}
-_THERE = {k: f"q_{k} > 0" if k in ("anomaly", "future") else "true" for k in _QW}
-_QITEMS = ", ".join(f"CASE WHEN q_{k} >= 0.5 THEN struct_pack(w := -q_{k} * {w}, t := '{_SAID[k]}') END" for k, w in _QW.items())
+_QW = {"risk": 0.35, "evidence": 0.20, "exposure": 0.15, "network": 0.10, "anomaly": 0.05, "future": 0.10, "behaviour": 0.05}
+# Signals from the figures of the case; those of network and behaviour are NULL where it has none.
+_QITEMS = """CASE WHEN risk_score >= 0.4 THEN struct_pack(w := -0.95, i := 0, t := 'High unified risk prioritization score (' || format('{:.3f}', risk_score) || ')') WHEN risk_score >= 0.25 THEN struct_pack(w := -0.75, i := 1, t := 'Elevated unified risk prioritization score (' || format('{:.3f}', risk_score) || ')') END,
+ CASE WHEN evidence_strength >= 0.7 THEN struct_pack(w := -0.9, i := 2, t := 'High supporting evidence strength (' || format('{:.3f}', evidence_strength) || ')') WHEN evidence_strength >= 0.5 THEN struct_pack(w := -0.7, i := 3, t := 'Substantial corroborating evidence strength (' || format('{:.3f}', evidence_strength) || ')') END,
+ CASE WHEN estimated_exposure >= 50000 THEN struct_pack(w := -0.85, i := 4, t := 'High estimated financial exposure ($' || format('{:,.2f}', estimated_exposure) || ')') WHEN estimated_exposure >= 5000 THEN struct_pack(w := -0.65, i := 5, t := 'Identified financial exposure ($' || format('{:,.2f}', estimated_exposure) || ')') END,
+ CASE WHEN community_id IS NOT NULL THEN struct_pack(w := -0.8, i := 6, t := 'Affiliated with network community #' || community_id) END, CASE WHEN anomaly_flag = 1 OR q_anomaly >= 0.6 THEN struct_pack(w := -0.75, i := 7, t := 'Statistical behavioral billing anomaly flagged') END,
+ CASE WHEN q_future >= 0.05 THEN struct_pack(w := -0.7, i := 8, t := 'Elevated future risk trajectory (' || format('{:.3f}', q_future) || ')') END,
+ CASE WHEN ml_high_claims >= 20 THEN struct_pack(w := -0.82, i := 9, t := 'Concentrated high-risk claim transactions (' || ml_high_claims || ' claims)') WHEN ml_high_claims > 0 THEN struct_pack(w := -0.6, i := 10, t := 'Contains ' || ml_high_claims || ' flagged high-risk claim(s)') END,
+ CASE WHEN distinct_rules >= 3 THEN struct_pack(w := -0.78, i := 11, t := 'Triggered multiple independent detection rules (' || distinct_rules || ' rules, ' || alert_count || ' alerts)') WHEN alert_count >= 5 THEN struct_pack(w := -0.65, i := 12, t := 'Multiple detection rule alerts (' || alert_count || ' alerts)') END"""
 QUEUE = f"""{CASES}, lim AS (SELECT min(ln(1 + greatest(estimated_exposure, 0))) AS lo, max(ln(1 + greatest(estimated_exposure, 0))) AS hi FROM cases),
- q0 AS (SELECT cases.*, risk_score AS q_risk, evidence_strength AS q_evidence, CASE WHEN hi > lo THEN (ln(1 + greatest(estimated_exposure, 0)) - lo) / (hi - lo) ELSE least(ln(1 + greatest(estimated_exposure, 0)) / ln(100001), 1) END AS q_exposure, 0.0::DOUBLE AS q_network,
-  CASE WHEN coalesce(anomaly_flag, 0) = 1 THEN greatest(anomaly_signal, 0.7) WHEN anomaly_signal >= 0.9 THEN anomaly_signal ELSE 0.5 * coalesce(anomaly_signal, 0) END AS q_anomaly, coalesce(greatest(risk_30d, risk_60d, risk_90d), 0) AS q_future,
-  0.35 * least(coalesce(alert_count, 0) / 10, 1) + 0.25 * least(coalesce(high_count, 0) / 5, 1) + 0.2 * least(coalesce(distinct_rules, 0) / 5, 1) + 0.2 * least(coalesce(ml_high_claims, 0) / 10, 1) AS q_behaviour FROM cases CROSS JOIN lim),
- q1 AS (SELECT *, ({" + ".join(f"CASE WHEN {_THERE[k]} THEN q_{k} * {w} ELSE 0.0 END" for k, w in _QW.items())}) / ({" + ".join(f"CASE WHEN {_THERE[k]} THEN {w} ELSE 0.0 END" for k, w in _QW.items())}) AS priority_score,
-  array_to_string([x.t for x in list_sort([x for x in [{_QITEMS}] if x IS NOT NULL])[1:5]], '; ') AS queue_reasons FROM q0),
- q2 AS (SELECT *, CASE WHEN priority_score >= 0.8 THEN 'CRITICAL' WHEN priority_score >= 0.6 THEN 'HIGH' WHEN priority_score >= 0.35 THEN 'MEDIUM' ELSE 'LOW' END AS priority_tier, CAST(row_number() OVER (ORDER BY priority_score DESC, risk_score DESC, evidence_strength DESC, estimated_exposure DESC, case_id) AS INTEGER) AS queue_rank FROM q1),
+ q0 AS (SELECT cases.*, risk_score AS q_risk, evidence_strength AS q_evidence, CASE WHEN hi > lo THEN (ln(1 + greatest(estimated_exposure, 0)) - lo) / (hi - lo) ELSE least(ln(1 + greatest(estimated_exposure, 0)) / ln(100001), 1) END AS q_exposure, CASE WHEN community_id IS NOT NULL THEN 0.3 END::DOUBLE AS q_network,
+  CASE WHEN coalesce(anomaly_flag, 0) = 1 THEN 0.6 + 0.4 * least(greatest(coalesce(anomaly_score, 0), 0) / 0.35, 1) WHEN coalesce(anomaly_score, 0) > 0 THEN least(0.5, 0.5 * anomaly_score / 0.35) ELSE greatest(0, least(0.2, (coalesce(anomaly_score, 0) + 0.1) / 0.2 * 0.2)) END::DOUBLE AS q_anomaly,
+  greatest(coalesce(risk_30d, 0), coalesce(risk_60d, 0), coalesce(risk_90d, 0)) AS q_future, CASE WHEN claim_count > 0 OR alert_count > 0 THEN 0.35 * CASE WHEN claim_count > 0 THEN least(coalesce(ml_high_claims, 0) / claim_count, 1) ELSE 0 END + 0.25 * least(coalesce(alert_count, 0) / 10, 1)
+   + 0.2 * CASE WHEN alert_count > 0 THEN least(high_count / alert_count, 1) ELSE 0 END + 0.2 * least(coalesce(distinct_rules, 0) / 5, 1) END AS q_behaviour FROM cases CROSS JOIN lim),
+ q1 AS (SELECT *, ({" + ".join(f"coalesce(q_{k}, 0.0) * {w}" for k, w in _QW.items())}) / ({" + ".join(f"CASE WHEN q_{k} IS NULL THEN 0.0 ELSE {w} END" for k, w in _QW.items())}) AS priority_score, [x.t for x in list_sort([x for x in [{_QITEMS}] if x IS NOT NULL])[1:5]] AS why FROM q0),
+ q2 AS (SELECT *, CASE WHEN len(why) > 0 THEN array_to_string(why, '; ') ELSE 'Prioritized for investigation based on consolidated risk signals' END AS queue_reasons, CASE WHEN priority_score >= 0.8 THEN 'CRITICAL' WHEN priority_score >= 0.6 THEN 'HIGH' WHEN priority_score >= 0.35 THEN 'MEDIUM' ELSE 'LOW' END AS priority_tier,
+  CAST(row_number() OVER (ORDER BY priority_score DESC, risk_score DESC, evidence_strength DESC, estimated_exposure DESC, case_id) AS INTEGER) AS queue_rank FROM q1),
  queue AS (SELECT *, 'SIU-' || lpad(CAST(queue_rank AS VARCHAR), 6, '0') AS queue_id, CASE WHEN queue_rank <= 20 THEN 'QUEUED' ELSE 'DEFERRED' END AS queue_status FROM q2)"""
-K05 = f"{QUEUE} SELECT case_id, provider_id, " + ", ".join(f"{R6('q_' + k)} AS q_{k}" for k in (*_QW, "network")) + f", {R6('priority_score')} AS priority_score, priority_tier, queue_reasons AS reasons FROM queue"
+K05 = f"{QUEUE} SELECT case_id, provider_id, " + ", ".join(f"{R6('q_' + k)} AS q_{k}" for k in _QW) + f", {R6('priority_score')} AS priority_score, priority_tier, queue_reasons AS reasons FROM queue"
 K06 = f"{QUEUE} SELECT queue_id, case_id, queue_rank, queue_status, priority_tier, {R6('priority_score')} AS priority_score FROM queue"
 _MEANS = f"count(*) AS n, {R6('avg(risk_score)')} AS mean_risk, {R2('sum(estimated_exposure)')} AS exposure"
 K08 = f"{QUEUE} SELECT queue_status AS strategy, {_MEANS} FROM queue GROUP BY 1" + "".join(f" UNION ALL SELECT '{n}', {_MEANS} FROM (SELECT * FROM queue ORDER BY {o} DESC, case_id LIMIT 20)" for n, o in (("top_priority", "priority_score"), ("top_risk", "risk_score"), ("top_exposure", "estimated_exposure")))
 
 
 def k03(spark, d):
-    e = K.case_evidence(_cases(spark, d), alerts(spark, d), claim_ml(spark, d))
-    return e.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("case_id").alias("cases"))
+    """Every row of the ledger."""
+    return K.case_evidence(_cases(spark, d), alerts(spark, d)).select("case_id", "kind", "source", "claim_id", "rule_id", "description", "severity", r2("amount").alias("amount"))
 
 
-K03 = f"""{V.with_views('claims')}, {ALERTS}, p AS (SELECT provider_id, least(10, count(*)) AS n FROM claims GROUP BY 1) SELECT 'RULE' AS kind, count(*) AS n, count(DISTINCT provider_id) AS cases FROM alerts UNION ALL SELECT 'ML', CAST(sum(n) AS BIGINT), count(*) FROM p
- UNION ALL SELECT 'ANOMALY', count(*), count(*) FROM supplier WHERE s_suppkey % 101 >= 70 HAVING count(*) > 0"""
+_CASE_CLAIMS = "cc AS (SELECT CAST(provider_id AS VARCHAR) AS provider_id, claim_id FROM alerts UNION SELECT CAST(provider_id AS VARCHAR), claim_id FROM claims WHERE service_minutes / 60 >= 0.5)"
+K03 = f"""{CASES}, {_CASE_CLAIMS}, f AS (SELECT *, row_number() OVER (PARTITION BY provider_id ORDER BY claim_id) AS n FROM cc)
+ SELECT case_id, 'RULE' AS kind, alert_id AS source, claim_id, rule_id, 'Detection rule ' || rule_id || ' alert (' || severity || ')' AS description, severity, {R2('est_dollars')} AS amount FROM alerts a JOIN cases c ON c.provider_id = CAST(a.provider_id AS VARCHAR)
+ UNION ALL SELECT case_id, 'ML', claim_id, claim_id, NULL, 'Suspicious claim transaction flagged by claim-level ML model', CASE WHEN risk_tier IN ('HIGH', 'CRITICAL') THEN 'HIGH' ELSE 'MEDIUM' END, 0.0 FROM f JOIN cases USING (provider_id) WHERE n <= 10
+ UNION ALL SELECT case_id, 'ANOMALY', 'ISOLATION_FOREST', NULL, NULL, 'Behavioral anomaly decision score ' || format('{{:.3f}}', anomaly_score), CASE WHEN anomaly_flag = 1 THEN 'HIGH' ELSE 'MEDIUM' END, 0.0 FROM cases WHERE anomaly_flag = 1 OR anomaly_signal >= 0.7
+ UNION ALL SELECT case_id, 'NETWORK', 'COMM-' || community_id, NULL, NULL, 'Member of affiliated provider network (Community #' || community_id || ')', 'MEDIUM', 0.0 FROM cases WHERE community_id IS NOT NULL"""
 
 
 def k05(spark, d):
@@ -77,12 +101,19 @@ def k06(spark, d):
 
 
 def k07(spark, d):
-    out = K.integrated_cases(fused(spark, d), alerts(spark, d), V.claims(spark, d))
-    return out.select("provider_id", "n_alerts", r6("exposure_low").alias("exposure_low"), r6("exposure_high").alias("exposure_high"), "members_affected", r6("effort_hours").alias("effort_hours"), r6("value_per_hour").alias("value_per_hour"))
+    """Each alert lists up to three claims of its provider and order, so that alerts and claims differ in number."""
+    c = V.claims(spark, d).where("modifier <> 'N'").groupBy("provider_id", (F.col("order_id") % 40).alias("k")).agg(F.array_sort(F.collect_list("claim_id")).alias("all"), F.sum("paid_amount").alias("est_dollars"))
+    a = c.select(F.lit("provider").alias("entity_type"), F.col("provider_id").cast("string").alias("entity_id"), F.slice("all", 1, 3).alias("claim_ids"), r2("est_dollars").alias("est_dollars")).where(F.col("entity_id").cast("int") % 5 != 0)
+    out = K.integrated_cases(_scores(spark, d).where("provider_id % 11 <> 0"), a, V.claims(spark, d))
+    return out.select("case_id", "risk", "priority", "evidence_strength", "n_alerts", "claims_count", "exposure_low", "exposure_high", "members_affected", "effort_hours", "value_per_hour", r6("queue_priority").alias("queue_priority"), "slot")
 
 
-K07 = f"""{V.with_views('claims')}, {ALERTS}, a AS (SELECT CAST(a.provider_id AS VARCHAR) AS provider_id, count(*) AS n, sum(est_dollars) AS e, count(DISTINCT member_id) AS m FROM alerts a JOIN claims USING (claim_id) GROUP BY 1)
- SELECT provider_id, n AS n_alerts, {R6('0.8 * e')} AS exposure_low, {R6('greatest(1.2 * e, 500)')} AS exposure_high, m AS members_affected, {R6('least(2 + 0.1 * n, 8)')} AS effort_hours, {R6('greatest(1.2 * e, 500) / least(2 + 0.1 * n, 8)')} AS value_per_hour FROM a"""
+K07 = f"""{SCORES}, ka AS (SELECT provider_id, order_id % 40 AS k, round(sum(paid_amount) * 100) / 100 AS e, list_sort(list(claim_id))[1:3] AS l FROM claims WHERE modifier <> 'N' AND provider_id % 5 <> 0 GROUP BY 1, 2), kp AS (SELECT CAST(provider_id AS VARCHAR) AS provider_id, count(*) AS n, sum(e) AS e FROM ka GROUP BY 1),
+ kl AS (SELECT DISTINCT CAST(provider_id AS VARCHAR) AS provider_id, unnest(l) AS claim_id FROM ka), km AS (SELECT kl.provider_id, count(DISTINCT kl.claim_id) AS k, count(DISTINCT member_id) AS m FROM kl JOIN claims USING (claim_id) GROUP BY 1),
+ x AS (SELECT provider_id, CAST(round(CAST(CAST(100 * risk_score AS VARCHAR) AS DECIMAL(24, 15)), 1) AS DOUBLE) AS risk, CAST(round(CAST(CAST(evidence_strength AS VARCHAR) AS DECIMAL(24, 15)), 3) AS DOUBLE) AS ev, coalesce(n, 0) AS n, coalesce(e, 0) AS e, coalesce(k, 0) AS k, coalesce(m, 1) AS m FROM scores LEFT JOIN kp USING (provider_id) LEFT JOIN km USING (provider_id) WHERE CAST(provider_id AS INTEGER) % 11 <> 0),
+ y AS (SELECT *, round(0.8 * e, 2) AS lo, round(greatest(1.2 * e, 500), 2) AS hi, round(least(2 + 0.1 * k, 8), 1) AS h, CASE WHEN risk >= 75 THEN 'CRITICAL' WHEN risk >= 50 THEN 'HIGH' WHEN risk >= 25 THEN 'MEDIUM' ELSE 'LOW' END AS tier FROM x WHERE risk >= 1 OR n > 0)
+ SELECT 'CASE-PRV-' || provider_id AS case_id, risk, tier AS priority, ev AS evidence_strength, n AS n_alerts, k AS claims_count, lo AS exposure_low, hi AS exposure_high, m AS members_affected, h AS effort_hours, round(hi / greatest(h, 1), 2) AS value_per_hour,
+ {R6("100 * (0.3 * least(risk / 100, 1) + 0.25 * least(hi / 50000, 1) + 0.15 * least(m / 10, 1) + 0.1 * CASE tier WHEN 'CRITICAL' THEN 1 WHEN 'HIGH' THEN 0.75 WHEN 'MEDIUM' THEN 0.5 ELSE 0.25 END + 0.2 * ev)")} AS queue_priority, CAST(row_number() OVER (ORDER BY risk DESC, provider_id) AS INTEGER) AS slot FROM y"""
 
 
 def k07b(spark, d):
@@ -119,13 +150,21 @@ Q01 = f"{V.with_views('claims')} SELECT count(*) AS claims, count(DISTINCT provi
 
 
 def q02(spark, d):
-    q = _queue(spark, d).withColumn("effort_hours", F.least(2 + 0.1 * F.col("claim_count"), F.lit(8.0)))
-    return Q.queue_page(q, capacity_hours=40.0).select("case_id", "queue_rank", r6("hours_used").alias("hours_used"))
+    """The whole queue by value for the hour, with what does not fit deferred."""
+    q = _queue(spark, d).withColumn("effort_hours", F.least(2 + 0.1 * (F.col("claim_count") % 37), F.lit(8.0)))
+    q = q.withColumn("value_per_hour", r2(F.col("exposure_high") / F.col("effort_hours")))
+    return Q.queue_page(q, "value", capacity_hours=40.0, limit=None).select("case_id", "queue_rank", "queue_status", "capacity_rank", "slot", r6("hours_used").alias("hours_used"))
+
+
+def q02b(spark, d):
+    """The second page of what is deferred."""
+    q = _queue(spark, d).withColumn("effort_hours", F.lit(2.5))
+    return Q.queue_page(q, capacity_hours=10.0, status="deferred", limit=50, offset=5).select("case_id", "slot", "capacity_rank")
 
 
 def q04(spark, d):
     cs = _cases(spark, d)
-    return Q.evidence_ledger(K.case_evidence(cs, alerts(spark, d)), cs).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), r2(F.sum("amount")).alias("amount"))
+    return Q.evidence_ledger(K.case_evidence(cs, alerts(spark, d)), cs).select("case_id", "kind", "source", "rule_id", r2("amount").alias("amount"))
 
 
 def q05(spark, d):
@@ -189,17 +228,18 @@ def q03(spark, d):
     return reduce(lambda a, b: a.unionByName(b), (df.select(F.lit(name).alias("part"), F.col(key[name]).alias("id")) for name, df in sorted(parts.items())))
 
 
-_FIRST_CASE = "one AS (SELECT * FROM cases WHERE case_rank = 1), own AS (SELECT alerts.*, service_date FROM alerts JOIN claims USING (claim_id) WHERE CAST(alerts.provider_id AS VARCHAR) = (SELECT provider_id FROM one))"
-Q03 = f"""{CASES}, {_FIRST_CASE}, c AS (SELECT claim_id, service_date FROM own ORDER BY claim_id LIMIT 100), a AS (SELECT alert_id FROM own ORDER BY alert_id LIMIT 50) SELECT 'case' AS part, case_id AS id FROM one UNION ALL SELECT 'alerts', alert_id FROM a
- UNION ALL (SELECT 'claims', claim_id FROM c ORDER BY service_date DESC, claim_id LIMIT 50) UNION ALL SELECT 'evidence', alert_id FROM own UNION ALL SELECT 'evidence', provider_id FROM one WHERE anomaly_flag = 1 OR anomaly_signal >= 0.7"""
-Q02 = f"""{QUEUE.replace('WITH ', 'WITH RECURSIVE ', 1)}, e AS (SELECT case_id, queue_rank, least(2 + 0.1 * claim_count, 8.0) AS h, row_number() OVER (ORDER BY priority_score DESC, case_id) AS r FROM queue),
- t AS (SELECT r, CASE WHEN h <= 40 THEN h ELSE 0.0 END AS used, h <= 40 AS sel FROM e WHERE r = 1 UNION ALL SELECT e.r, CASE WHEN t.used + e.h <= 40 THEN t.used + e.h ELSE t.used END, t.used + e.h <= 40 FROM t JOIN e ON e.r = t.r + 1)
- SELECT case_id, queue_rank, {R6('used')} AS hours_used FROM t JOIN e USING (r) WHERE sel"""
-Q04 = f"{CASES} SELECT rule_id, count(*) AS n, {R2('sum(est_dollars)')} AS amount FROM alerts GROUP BY 1 UNION ALL SELECT NULL, count(*), 0.0::DOUBLE FROM cases WHERE anomaly_flag = 1 OR anomaly_signal >= 0.7 HAVING count(*) > 0"
+Q03 = f"""{CASES}, {_CASE_CLAIMS}, one AS (SELECT * FROM cases WHERE case_rank = 1), own AS (SELECT alerts.* FROM alerts JOIN one ON CAST(alerts.provider_id AS VARCHAR) = one.provider_id), mine AS (SELECT claim_id FROM cc JOIN one USING (provider_id))
+ SELECT 'case' AS part, case_id AS id FROM one UNION ALL SELECT 'alerts', alert_id FROM own UNION ALL (SELECT 'claims', claim_id FROM mine JOIN claims USING (claim_id) ORDER BY service_date DESC, claim_id LIMIT 50) UNION ALL SELECT 'evidence', alert_id FROM own UNION ALL SELECT 'evidence', claim_id FROM (SELECT claim_id FROM mine ORDER BY 1 LIMIT 10)
+ UNION ALL SELECT 'evidence', 'ISOLATION_FOREST' FROM one WHERE anomaly_flag = 1 OR anomaly_signal >= 0.7 UNION ALL SELECT 'evidence', 'COMM-' || community_id FROM one WHERE community_id IS NOT NULL"""
+Q02 = f"""{QUEUE.replace('WITH ', 'WITH RECURSIVE ', 1)}, e0 AS (SELECT case_id, queue_rank, risk_score, least(2 + 0.1 * (claim_count % 37), 8.0) AS h, {R2('greatest(1.2 * estimated_exposure, 500) / least(2 + 0.1 * (claim_count % 37), 8.0)')} AS v FROM queue), e AS (SELECT *, row_number() OVER (ORDER BY v DESC, risk_score DESC, case_id) AS r FROM e0),
+ t AS (SELECT r, CASE WHEN h <= 40 THEN h ELSE 0.0 END AS used, h <= 40 AS sel FROM e WHERE r = 1 UNION ALL SELECT e.r, CASE WHEN t.used + e.h <= 40 THEN t.used + e.h ELSE t.used END, t.used + e.h <= 40 FROM t JOIN e ON e.r = t.r + 1),
+ z AS (SELECT *, CASE WHEN sel THEN sum(CASE WHEN sel THEN 1 ELSE 0 END) OVER (ORDER BY r) ELSE 0 END AS cr FROM t JOIN e USING (r)) SELECT case_id, queue_rank, CASE WHEN sel THEN 'QUEUED' ELSE 'DEFERRED' END AS queue_status, CAST(cr AS INTEGER) AS capacity_rank, CAST(CASE WHEN sel THEN cr ELSE 999 END AS INTEGER) AS slot, CASE WHEN sel THEN {R6('used')} END AS hours_used FROM z"""
+Q02B = f"{QUEUE} SELECT case_id, 999 AS slot, 0 AS capacity_rank FROM queue WHERE queue_rank > 4 ORDER BY queue_rank LIMIT 50 OFFSET 5"
+Q04 = K03.replace("SELECT case_id, 'RULE' AS kind", "SELECT case_id, kind, source, rule_id, CASE WHEN rule_id IN ('R06', 'R08', 'R09') AND amount = 0 THEN NULL ELSE amount END AS amount FROM (SELECT case_id, c.provider_id AS p, claim_id AS txt, 'RULE' AS kind", 1).replace("UNION ALL SELECT case_id, '", "UNION ALL SELECT case_id, provider_id, NULL, '") + ") WHERE coalesce(rule_id, '') <> 'R09' OR contains('Claim ' || txt, p)"
 Q11 = f"{SCORES} SELECT provider_id, risk_score, risk_tier FROM scores ORDER BY risk_score DESC, provider_id LIMIT 50"
 Q12 = f"SELECT count(*) AS rules, {R6('avg(f1)')} AS mean_f1, CAST(sum(fn) AS BIGINT) AS missed FROM ({V02})"
 Q13 = f"""{CASES}, l AS (SELECT CAST(provider_id AS VARCHAR) AS provider_id, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rules FROM alerts GROUP BY 1)
- SELECT case_id, CAST(least(claim_count, 100) AS INTEGER) AS n_claims, coalesce(rules, '') AS rules, {R2('greatest(1.2 * estimated_exposure, 500)')} AS exposure_high FROM cases LEFT JOIN l USING (provider_id)"""
+ SELECT case_id, claim_count AS n_claims, coalesce(rules, '') AS rules, {R2('greatest(1.2 * estimated_exposure, 500)')} AS exposure_high FROM cases LEFT JOIN l USING (provider_id)"""
 
 
 def q06(spark, d):
@@ -254,15 +294,15 @@ S07 = "SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS day FROM order
 def k02(spark, d):
     """Peers of each case in communities made from the last digits of providers; the smallest provider is the hub."""
     p = V.providers(spark, d).select(F.concat(F.lit("provider:"), F.col("provider_id").cast("string")).alias("provider"), (F.col("provider_id") % 13).cast("string").alias("community"), "provider_id")
-    hubs = p.groupBy("community").agg(F.min_by("provider", "provider_id").alias("hub"))
+    hubs = p.groupBy("community").agg(F.min_by("provider", "provider_id").alias("hub")).withColumn("main_kind", F.when(F.col("community") % 2 == 0, "shared_bank_hash"))
     cs = K.with_peers(_cases(spark, d), p.drop("provider_id"), hubs)
-    return cs.select("case_id", "peers", "peer_strength", F.array_join(F.transform("network_relationships", lambda x: F.concat(x["peer"], F.lit("="), F.format_number(x["strength"], 2))), ",").alias("relationships"))
+    return cs.select("case_id", "peers", r6("peer_strength").alias("peer_strength"), F.array_join(F.transform("network_relationships", lambda x: F.concat_ws("=", x["peer"], x["relationship"], F.format_number(x["strength"], 2))), ",").alias("relationships"))
 
 
 K02 = f"""{CASES}, m AS (SELECT 'provider:' || s_suppkey AS p, s_suppkey % 13 AS c, s_suppkey AS k FROM supplier), h AS (SELECT c, arg_min(p, k) AS hub FROM m GROUP BY 1),
- r AS (SELECT case_id, o.p AS peer, CASE WHEN o.p = hub THEN 0.85 ELSE 0.5 END AS strength FROM cases JOIN m ON m.p = 'provider:' || provider_id JOIN m o ON o.c = m.c AND o.p <> m.p JOIN h ON h.c = m.c), f AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY strength DESC, peer) AS n FROM r),
- l AS (SELECT case_id, CAST(count(*) AS INTEGER) AS peers, CAST(max(strength) AS DOUBLE) AS peer_strength, string_agg(peer || '=' || printf('%.2f', strength), ',' ORDER BY strength DESC, peer) AS relationships FROM f WHERE n <= 5 GROUP BY 1)
- SELECT case_id, coalesce(peers, 0) AS peers, coalesce(peer_strength, 0)::DOUBLE AS peer_strength, coalesce(relationships, '') AS relationships FROM cases LEFT JOIN l USING (case_id)"""
+ r AS (SELECT case_id, o.p AS peer, o.p = hub AS is_hub, m.c AS c FROM cases JOIN m ON m.p = 'provider:' || provider_id JOIN m o ON o.c = m.c AND o.p <> m.p JOIN h ON h.c = m.c), f AS (SELECT *, CASE WHEN is_hub THEN 0.85 ELSE 0.5 END AS strength, CASE WHEN is_hub THEN 'hub_link' WHEN c % 2 = 0 THEN 'shared_bank_hash' ELSE 'connected_community' END AS kind, row_number() OVER (PARTITION BY case_id ORDER BY peer) AS n FROM r),
+ l AS (SELECT case_id, CAST(count(*) AS INTEGER) AS peers, CAST(avg(strength) AS DOUBLE) AS s, string_agg(peer || '=' || kind || '=' || printf('%.2f', strength), ',' ORDER BY peer) AS relationships FROM f WHERE n <= 5 GROUP BY 1)
+ SELECT case_id, coalesce(peers, 0) AS peers, {R6('coalesce(s, 0)')} AS peer_strength, coalesce(relationships, '') AS relationships FROM cases LEFT JOIN l USING (case_id)"""
 
 
 def s01(spark, d):
@@ -317,6 +357,6 @@ F14 = f"SELECT event_id, CASE WHEN event_id % 5 < 3 THEN 0.0 ELSE {R6('least(gre
 
 ENTRIES = {
     "k01_cases": (k01, K01), "k02_peers": (k02, K02), "s01_csv_tables": (s01, S01), "s03_both_forms": (s03, S03), "s11_output_contracts": (s11, S11), "f14_clipped": (f14, F14), "k03_case_evidence": (k03, K03), "k05_priority": (k05, K05), "k06_queue": (k06, K06), "k07_integrated_cases": (k07, K07), "k07_fixture_cases": (k07b, K07B), "k08_queue_evaluation": (k08, K08), "k09_decisions": (k09, K09),
-    "q01_summary": (q01, Q01), "q02_queue_hours": (q02, Q02), "q04_evidence_ledger": (q04, Q04), "q05_timeline": (q05, Q05), "q03_case_detail": (q03, Q03), "q06_ego_network": (q06, Q06), "q07_audit": (q07, Q07), "q08_networks": (q08, Q08), "q09_claims_page": (q09, Q09), "q10_providers_page": (q10, Q10), "q11_risk_info": (q11, Q11), "q12_evaluation": (q12, Q12), "q13_packets": (q13, Q13), "q14_narrative_audit": (q14, Q14),
+    "q01_summary": (q01, Q01), "q02_queue_hours": (q02, Q02), "q02_deferred_page": (q02b, Q02B), "q04_evidence_ledger": (q04, Q04), "q05_timeline": (q05, Q05), "q03_case_detail": (q03, Q03), "q06_ego_network": (q06, Q06), "q07_audit": (q07, Q07), "q08_networks": (q08, Q08), "q09_claims_page": (q09, Q09), "q10_providers_page": (q10, Q10), "q11_risk_info": (q11, Q11), "q12_evaluation": (q12, Q12), "q13_packets": (q13, Q13), "q14_narrative_audit": (q14, Q14),
     "s06_contract": (s06, S06), "s07_latest_by_key": (s07, S07),
 }

@@ -107,8 +107,6 @@ class CaseConfig:
     min_evidence: float = 0.50
     need_two_families: bool = False
     all_providers: bool = False
-    max_claims: int = 100
-    max_alerts: int = 50
 
 
 def _sums_to_one(what: str, values, within: float) -> None:

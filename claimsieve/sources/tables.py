@@ -105,7 +105,7 @@ CONTRACTS: dict[str, dict[str, str]] = {
     "risk_scores": {"provider_id": "provider_id is not null", "risk_score": "risk_score between 0 and 1", "confidence": "confidence between 0 and 1"},
     "claim_ml": {"claim_id": "claim_id is not null", "ml_probability": "ml_probability between 0 and 1"},
     "networks": {"network_id": "network_id is not null", "size": "size >= 2"},
-    "queue": {"case_id": "case_id is not null", "priority_score": "priority_score between 0 and 1", "rank": "queue_rank >= 1", "signals": " and ".join(f"q_{k} between 0 and 1" for k in ("risk", "evidence", "exposure", "network", "anomaly", "future", "behaviour")), "wording": _fair("array_join(queue_reasons, ' ')")},
+    "queue": {"case_id": "case_id is not null", "priority_score": "priority_score between 0 and 1", "rank": "queue_rank >= 1", "signals": " and ".join(f"coalesce(q_{k}, 0) between 0 and 1" for k in ("risk", "evidence", "exposure", "network", "anomaly", "future", "behaviour")), "wording": _fair("array_join(queue_reasons, ' ')")},
     "case_evidence": {"case_id": "case_id is not null", "source": "source is not null", "kind": "kind is not null"},
     "case_wording": {"wording": _fair("concat(title, ' ', summary)")},
 }
