@@ -44,49 +44,56 @@ def duration_stats(claims: DataFrame, peer: str | None = None) -> DataFrame:
     return claims.where("service_minutes is not null and procedure_code is not null").groupBy(*keys).agg(F.percentile("service_minutes", F.lit(0.25)).alias("p25"), W.median_of("service_minutes").alias("median"), F.count(F.lit(1)).alias("n"))
 
 
-#: Columns of the claim matrix: numeric ones, and categories as text.
-CLAIM_NUMERIC = (
-    "paid_amount", "billed_amount", "paid_ratio", "log_paid", "service_minutes", "has_modifier", "has_place", "weekday", "is_weekend", "month", "claim_frequency", "member_claims", "member_providers", "provider_claims",
-    "provider_members", "provider_mean_paid", "paid_vs_provider", "paid_vs_procedure", "procedure_claims", "claims_7d", "claims_30d", "claims_90d", "amount_7d", "amount_30d", "amount_90d", "distance_miles",
-)
-CLAIM_CATEGORIES = ("procedure_code", "pos_code", "specialty")
+#: Columns of the claim matrix with what stands for a missing value (fixed values), and categories as text.
+CLAIM_DEFAULTS = {
+    "paid_amount": 0.0, "billed_amount": 0.0, "allowed_amount": 0.0, "paid_to_billed_ratio": 1.0, "log_paid_amount": 0.0, "service_minutes": 30.0, "em_level": 0.0, "has_facility": 0.0, "has_referring_provider": 0.0,
+    "service_day_of_week": 0.0, "is_weekend": 0.0, "rolling_7d_claims": 0.0, "rolling_30d_claims": 0.0, "rolling_90d_claims": 0.0, "rolling_30d_dollars": 0.0, "provider_total_claims": 0.0, "provider_unique_members": 0.0,
+    "provider_total_paid": 0.0, "provider_visits_per_member": 1.0, "provider_em_45_share": 0.0, "member_total_claims": 0.0, "member_unique_providers": 1.0, "member_unique_cpts": 0.0, "member_days_since_last_claim": 999.0,
+    "dist_member_provider_miles": 0.0,
+}
+CLAIM_NUMERIC = tuple(CLAIM_DEFAULTS)
+CLAIM_CATEGORIES = ("pos_code", "claim_type", "provider_specialty")
 
 
 def claim_features(claims: DataFrame, providers: DataFrame, members: DataFrame, snapshot: str | None = None, as_of: str = "all") -> DataFrame:
-    """One row per claim: keys, numbers without NULL as float, and categories ("unknown" for NULL).
+    """One row per claim: keys, numbers as float with defaults for NULL, and categories ("unknown" for NULL).
 
-    ``as_of="snapshot"`` counts totals of providers, members and procedures over claims up to the snapshot only; ``"all"``
-    counts all claims. Rolling panels never look ahead.
+    ``as_of="snapshot"`` counts totals of providers over claims up to the snapshot only; ``"all"`` counts all claims. Members are
+    counted over the 365 days up to the snapshot (by default the last day). Rolling panels never look ahead. A column that
+    ``claims`` lacks counts as NULL.
     """
     if as_of not in ("all", "snapshot"):
         raise ValueError(f"as_of {as_of!r}")
+    kinds = {"allowed_amount": "double", "facility_id": "string", "referring_provider_id": "string", "claim_type": "string", "pos_code": "string"}
+    claims = claims.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in claims.columns})
     rows = claims.where("claim_id is not null")
     if snapshot:
         rows = rows.where(F.col("service_date") <= F.to_date(F.lit(snapshot)))
     base = rows if as_of == "snapshot" else claims
-    by_provider = base.where("provider_id is not null").groupBy("provider_id").agg(F.count(F.lit(1)).alias("provider_claims"), F.countDistinct("member_id").alias("provider_members"), F.avg("paid_amount").alias("provider_mean_paid"))
-    by_member = base.where("member_id is not null").groupBy("member_id").agg(F.count(F.lit(1)).alias("member_claims"), F.countDistinct("provider_id").alias("member_providers"))
-    by_code = base.where("procedure_code is not null").groupBy("procedure_code").agg(F.count(F.lit(1)).alias("procedure_claims"), F.avg("paid_amount").alias("_code_mean"))
-    panel = W.dense_panel(claims, snapshot)
-    p = providers.select("provider_id", "specialty", F.col("latitude").alias("_pa"), F.col("longitude").alias("_po"))
+    level = C.em_level(F.col("procedure_code"))
+    seen = base.where("provider_id is not null")
+    by_provider = seen.groupBy("provider_id").agg(F.count("claim_id").alias("provider_total_claims"), F.countDistinct("member_id").alias("provider_unique_members"), F.sum("paid_amount").alias("provider_total_paid"))
+    by_provider = by_provider.withColumn("provider_visits_per_member", F.col("provider_total_claims") / F.greatest(F.col("provider_unique_members"), F.lit(1)))
+    levels = level_distribution(seen, level).select("provider_id", F.col("high_share").alias("provider_em_45_share"))
+    use = member_utilisation(claims, reference=snapshot).select("member_id", F.col("claim_count").alias("member_total_claims"), F.col("provider_count").alias("member_unique_providers"), F.col("procedure_count").alias("member_unique_cpts"), F.col("days_since_last").alias("member_days_since_last_claim"))
+    panel = W.dense_panel(claims, snapshot).select("provider_id", "service_date", F.col("claims_7d").alias("rolling_7d_claims"), F.col("claims_30d").alias("rolling_30d_claims"), F.col("claims_90d").alias("rolling_90d_claims"), F.col("amount_30d").alias("rolling_30d_dollars"))
+    p = providers.select("provider_id", F.col("specialty").alias("provider_specialty"), F.col("latitude").alias("_pa"), F.col("longitude").alias("_po"))
     m = members.select("member_id", F.col("latitude").alias("_ma"), F.col("longitude").alias("_mo"))
-    out = claim_frequency(rows).join(by_provider, "provider_id", "left").join(by_member, "member_id", "left").join(by_code, "procedure_code", "left").join(panel, ["provider_id", "service_date"], "left").join(p, "provider_id", "left").join(m, "member_id", "left")
+    out = rows.join(by_provider, "provider_id", "left").join(levels, "provider_id", "left").join(use, "member_id", "left").join(panel, ["provider_id", "service_date"], "left").join(p, "provider_id", "left").join(m, "member_id", "left")
     out = out.withColumns(
         {
-            "paid_ratio": C.paid_ratio(F.col("paid_amount"), F.col("billed_amount")),
-            "log_paid": F.log1p(F.greatest(F.col("paid_amount"), F.lit(0.0))),
-            "has_modifier": F.col("modifier").isNotNull().cast("int"),
-            "has_place": F.col("pos_code").isNotNull().cast("int"),
-            "weekday": F.weekday("service_date"),
+            "paid_to_billed_ratio": C.paid_ratio(F.coalesce("paid_amount", F.lit(0.0)), F.coalesce("billed_amount", F.lit(0.0))),
+            "log_paid_amount": F.log1p(F.greatest(F.col("paid_amount"), F.lit(0.0))),
+            "em_level": level,
+            "has_facility": F.col("facility_id").isNotNull().cast("int"),
+            "has_referring_provider": F.col("referring_provider_id").isNotNull().cast("int"),
+            "service_day_of_week": F.weekday("service_date"),
             "is_weekend": C.is_weekend(F.col("service_date")),
-            "month": F.month("service_date"),
-            "paid_vs_provider": F.when(F.col("provider_mean_paid") > 0, F.col("paid_amount") / F.col("provider_mean_paid")),
-            "paid_vs_procedure": F.when(F.col("_code_mean") > 0, F.col("paid_amount") / F.col("_code_mean")),
-            "distance_miles": C.haversine_miles(F.col("_ma"), F.col("_mo"), F.col("_pa"), F.col("_po")),
+            "dist_member_provider_miles": C.haversine_miles(F.col("_ma"), F.col("_mo"), F.col("_pa"), F.col("_po")),
         }
     )
-    numbers = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).cast("float").alias(c) for c in CLAIM_NUMERIC]
-    return out.select("claim_id", "provider_id", *numbers, *(F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(f"cat_{c}") for c in CLAIM_CATEGORIES))
+    numbers = [F.coalesce(F.col(c).cast("double"), F.lit(d)).cast("float").alias(c) for c, d in CLAIM_DEFAULTS.items()]
+    return out.select("claim_id", "provider_id", *numbers, *(F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c) for c in CLAIM_CATEGORIES))
 
 
 PROVIDER_NUMERIC = (

@@ -54,18 +54,31 @@ def _event_tables(spark, d):
 
 
 def x08(spark, d):
-    m = X.claim_features(*_event_tables(spark, d))
-    keep = ["claims_7d", "claims_90d", "claim_frequency", "member_claims", "provider_claims", "provider_members", "weekday", "is_weekend", "month", "paid_ratio", "distance_miles"]
-    return m.select("claim_id", "provider_id", *(F.round(F.col(c).cast("double") * 100).alias(c) for c in keep), "cat_specialty", "cat_pos_code")
-
-
-X08 = f"""WITH {EVENT_CLAIMS}, providers AS ({V.SQL['providers']}), members AS ({V.SQL['members']}), c AS (SELECT claim_id, provider_id, claim_id % 500 AS member_id, service_date, paid_amount, service_minutes AS billed, pos_code FROM event_claims),
- dd AS (SELECT provider_id, service_date, count(*) AS n FROM c GROUP BY 1, 2), p7 AS (SELECT a.provider_id, a.service_date, sum(b.n) FILTER (WHERE b.service_date > a.service_date - 7) AS c7, sum(b.n) AS c90 FROM dd a JOIN dd b ON a.provider_id = b.provider_id AND b.service_date <= a.service_date AND b.service_date > a.service_date - 90 GROUP BY 1, 2),
- bp AS (SELECT provider_id, count(*) AS pc, count(DISTINCT member_id) AS pm FROM c GROUP BY 1), bm AS (SELECT member_id, count(*) AS mc FROM c GROUP BY 1)
- SELECT c.claim_id, c.provider_id, round(CAST(CAST(c7 AS FLOAT) AS DOUBLE) * 100) AS claims_7d, round(CAST(CAST(c90 AS FLOAT) AS DOUBLE) * 100) AS claims_90d, count(*) OVER (PARTITION BY c.member_id, c.provider_id) * 1e2::DOUBLE AS claim_frequency, mc * 1e2::DOUBLE AS member_claims, pc * 1e2::DOUBLE AS provider_claims, pm * 1e2::DOUBLE AS provider_members,
- (isodow(c.service_date) - 1) * 1e2::DOUBLE AS weekday, CASE WHEN isodow(c.service_date) >= 6 THEN 1e2::DOUBLE ELSE 0::DOUBLE END AS is_weekend, month(c.service_date) * 1e2::DOUBLE AS month, round(CAST(CAST(CASE WHEN billed > 0 THEN greatest(0, least(2, paid_amount / billed)) ELSE 1 END AS FLOAT) AS DOUBLE) * 100) AS paid_ratio,
- round(CAST(CAST(coalesce({miles_sql('m.latitude', 'm.longitude', 'p.latitude', 'p.longitude')}, 0) AS FLOAT) AS DOUBLE) * 100) AS distance_miles, coalesce(specialty, 'unknown') AS cat_specialty, coalesce(pos_code, 'unknown') AS cat_pos_code
- FROM c LEFT JOIN p7 USING (provider_id, service_date) LEFT JOIN bp USING (provider_id) LEFT JOIN bm USING (member_id) LEFT JOIN providers p USING (provider_id) LEFT JOIN members m USING (member_id)"""
+    """All columns, from events of which some lack an amount, minutes, a facility or a place; procedures are visits of all levels."""
+    c, p, m = _event_tables(spark, d)
+    k = F.col("claim_id")
+    gone = lambda by, x: F.when(k % by == 0, None).otherwise(x)
+    c = c.withColumns({"procedure_code": F.concat(F.lit("9921"), (k % 7).cast("string")), "paid_amount": gone(11, F.col("paid_amount")), "service_minutes": gone(5, F.col("service_minutes")), "allowed_amount": gone(3, F.col("paid_amount")), "facility_id": gone(4, F.col("facility_id")), "referring_provider_id": F.when(k % 6 == 0, "x"), "claim_type": F.when(k % 8 < 6, F.concat(F.lit("t"), (k % 2).cast("string"))), "pos_code": gone(9, F.col("pos_code"))})
+    out = X.claim_features(c, p, m)
+    return out.select("claim_id", "provider_id", *(F.round(F.col(n).cast("double") * 100).alias(n) for n in X.CLAIM_NUMERIC), *X.CLAIM_CATEGORIES)
+
+
+_X08 = {
+    "paid_amount": "coalesce(paid, 0)", "billed_amount": "billed", "allowed_amount": "coalesce(allowed, 0)", "paid_to_billed_ratio": "CASE WHEN billed > 0 THEN greatest(0, least(2, coalesce(paid, 0) / billed)) ELSE 1 END", "log_paid_amount": "ln(1 + coalesce(paid, 0))", "service_minutes": "coalesce(minutes, 30)",
+    "em_level": "coalesce(lvl, 0)", "has_facility": "CASE WHEN fac IS NULL THEN 0 ELSE 1 END", "has_referring_provider": "CASE WHEN claim_id % 6 = 0 THEN 1 ELSE 0 END", "service_day_of_week": "isodow(service_date) - 1", "is_weekend": "CASE WHEN isodow(service_date) >= 6 THEN 1 ELSE 0 END",
+    "rolling_7d_claims": "coalesce(c7, 0)", "rolling_30d_claims": "coalesce(c30, 0)", "rolling_90d_claims": "coalesce(c90, 0)", "rolling_30d_dollars": "coalesce(d30, 0)", "provider_total_claims": "pc", "provider_unique_members": "pm", "provider_total_paid": "coalesce(pp, 0)", "provider_visits_per_member": "pc / greatest(pm, 1)",
+    "provider_em_45_share": "coalesce(hs, 0)", "member_total_claims": "coalesce(mc, 0)", "member_unique_providers": "coalesce(mp, 1)", "member_unique_cpts": "coalesce(mk, 0)", "member_days_since_last_claim": "coalesce(ml, 999)", "dist_member_provider_miles": "coalesce(" + miles_sql("m.latitude", "m.longitude", "p.latitude", "p.longitude") + ", 0)",
+}
+_X08_OUT = ", ".join(f"round(CAST(CAST({e} AS FLOAT) AS DOUBLE) * 100) AS {n}" for n, e in _X08.items())
+X08 = f"""WITH {EVENT_CLAIMS}, providers AS ({V.SQL['providers']}), members AS ({V.SQL['members']}),
+ c AS (SELECT claim_id, provider_id, claim_id % 500 AS member_id, service_date, service_minutes AS billed, CASE WHEN claim_id % 11 <> 0 THEN paid_amount END AS paid, CASE WHEN claim_id % 5 <> 0 THEN service_minutes END AS minutes, CASE WHEN claim_id % 3 <> 0 THEN paid_amount END AS allowed,
+  CASE WHEN claim_id % 4 <> 0 THEN facility_id END AS fac, CASE WHEN claim_id % 8 < 6 THEN 't' || (claim_id % 2) END AS claim_type, CASE WHEN claim_id % 9 <> 0 THEN pos_code END AS place, CASE WHEN claim_id % 7 BETWEEN 1 AND 5 THEN claim_id % 7 END AS lvl, claim_id % 7 AS proc FROM event_claims),
+ dd AS (SELECT provider_id, service_date, count(*) AS n, sum(paid) AS s FROM c GROUP BY 1, 2),
+ pan AS (SELECT a.provider_id, a.service_date, sum(b.n) FILTER (WHERE b.service_date > a.service_date - 7) AS c7, sum(b.n) FILTER (WHERE b.service_date > a.service_date - 30) AS c30, sum(b.n) AS c90, sum(b.s) FILTER (WHERE b.service_date > a.service_date - 30) AS d30 FROM dd a JOIN dd b ON a.provider_id = b.provider_id AND b.service_date <= a.service_date AND b.service_date > a.service_date - 90 GROUP BY 1, 2),
+ bp AS (SELECT provider_id, count(*) AS pc, count(DISTINCT member_id) AS pm, sum(paid) AS pp, avg(CASE WHEN lvl >= 4 THEN 1.0 ELSE 0.0 END) FILTER (WHERE lvl IS NOT NULL) AS hs FROM c GROUP BY 1), r AS (SELECT max(service_date) AS ref FROM c),
+ bm AS (SELECT member_id, count(*) AS mc, count(DISTINCT provider_id) AS mp, count(DISTINCT proc) AS mk, max(ref) - max(service_date) AS ml FROM c CROSS JOIN r WHERE service_date >= ref - 365 GROUP BY 1)
+ SELECT c.claim_id, c.provider_id, {_X08_OUT}, coalesce(place, 'unknown') AS pos_code, coalesce(claim_type, 'unknown') AS claim_type, coalesce(specialty, 'unknown') AS provider_specialty
+ FROM c LEFT JOIN pan USING (provider_id, service_date) LEFT JOIN bp USING (provider_id) LEFT JOIN bm USING (member_id) LEFT JOIN providers p USING (provider_id) LEFT JOIN members m USING (member_id)"""
 
 
 def x09(spark, d):

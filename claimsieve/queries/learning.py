@@ -84,7 +84,7 @@ def m06(spark, d):
     """Attributions of one model over all claims: the parts sum to the margin, and the reasons that come first."""
     m, c = _matrix(spark, d)
     rows = M.with_target(m, _labels(c))
-    names = ["paid_amount", "service_minutes", "claim_frequency", "distance_miles"]
+    names = ["paid_amount", "service_minutes", "member_total_claims", "dist_member_provider_miles"]
     model = M._model(tuple(names), (), 3, 3, 42).fit(M.weighted(rows))
     out = M.attributions(model, rows, names)
     return out.groupBy("reason_1").agg(F.count(F.lit(1)).alias("n"), F.max((F.abs(F.col("base") + F.col("contribution") - F.col("margin")) > 1e-9).cast("int")).alias("unreconciled"))
@@ -101,7 +101,7 @@ def m12(spark, d):
     """Metrics with each group of columns left out, on the same folds."""
     m, c = _matrix(spark, d)
     rows = M.grouped_folds(M.with_target(m, _labels(c)), 2)
-    return M.ablation(rows, {"amounts": ("paid_amount", "billed_amount")}, ("paid_amount", "billed_amount", "claim_frequency"), k=2, rounds=2).select("experiment", "metric", r6("value").alias("value"))
+    return M.ablation(rows, {"amounts": ("paid_amount", "billed_amount")}, ("paid_amount", "billed_amount", "member_total_claims"), k=2, rounds=2).select("experiment", "metric", r6("value").alias("value"))
 
 
 def m07(spark, d):

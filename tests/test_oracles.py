@@ -56,7 +56,7 @@ def test_claim_scores_and_table(spark, sf_dir):
 
 def test_attributions_sum_to_margins(spark, sf_dir):
     rows = q(spark, sf_dir, "m06_attributions")
-    assert not any(r.unreconciled for r in rows) and {r.reason_1 for r in rows} <= {"paid_amount", "service_minutes", "claim_frequency", "distance_miles"}
+    assert not any(r.unreconciled for r in rows) and {r.reason_1 for r in rows} <= {"paid_amount", "service_minutes", "member_total_claims", "dist_member_provider_miles"}
 
 
 def test_anomaly_and_future(spark, sf_dir):
