@@ -4,6 +4,10 @@ A triangle inequality needs a metric, so a vector x becomes (x, sqrt(M² - |x|²
 a query (q, 0): then the squared distance is |q|² + M² - 2 q·x, and the nearest vectors are those of largest inner product.
 A subtree is left out if it lies further than the best k so far by the triangle inequality, times a factor: one restores
 exact search, more prunes more. Shards are trees of bounded size, so a search task needs one tree and one block of queries.
+
+Distances are taken of vectors times a power of two, one for a shard and one for a query, so that no square overflows or
+vanishes; scores are those of the vectors as they are. A score that overflows is infinite and ranks so, with ties to smaller
+ids; one of which parts overflow both ways is no number and ranks like minus infinity.
 """
 
 from __future__ import annotations
@@ -26,9 +30,11 @@ QUERY_BLOCK = 1024
 
 def build_tree(ids: np.ndarray, x: np.ndarray, seed: int = 1) -> dict[str, np.ndarray]:
     """Arrays of a tree: rows in leaf order and, per node, vantage row, radius, children (-1: a leaf) and rows."""
-    norm2 = (x * x).sum(axis=1)
+    exponent = int(np.frexp(np.abs(x).max())[1])
+    near = np.ldexp(x, -exponent)
+    norm2 = (near * near).sum(axis=1)
     top = norm2.max()
-    lifted = np.concatenate([x, np.sqrt(np.maximum(top - norm2, 0))[:, None]], axis=1)
+    lifted = np.concatenate([near, np.sqrt(np.maximum(top - norm2, 0))[:, None]], axis=1)
     rng = np.random.default_rng(seed)
     order: list[int] = []
     nodes: list[list[float]] = []  # vantage row, radius, inside, outside, first, end
@@ -54,23 +60,31 @@ def build_tree(ids: np.ndarray, x: np.ndarray, seed: int = 1) -> dict[str, np.nd
     build(np.arange(len(ids)))
     t = np.array(nodes)
     keep = np.array(order)
-    return {"ids": ids[keep], "x": x[keep], "vantage": lifted[t[:, 0].astype(int)], "radius": t[:, 1], "child": t[:, 2:4].astype(np.int64), "span": t[:, 4:6].astype(np.int64), "top": np.array([top])}
+    return {"ids": ids[keep], "x": x[keep], "vantage": lifted[t[:, 0].astype(int)], "radius": t[:, 1], "child": t[:, 2:4].astype(np.int64), "span": t[:, 4:6].astype(np.int64), "top": np.array([top]), "exponent": np.array([exponent])}
 
 
 def search_tree(tree: dict[str, np.ndarray], q_ids: np.ndarray, q: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Ids (-1: none) and inner products of the k best candidates of each query, its own id left out; ties to smaller ids."""
-    n = len(q)
-    best_id = np.full((n, k), -1, np.int64)
+    n, none = len(q), np.iinfo(np.int64).max
+    best_id = np.full((n, k), none, np.int64)
     best = np.full((n, k), -np.inf)
-    lifted = np.concatenate([q, np.zeros((n, 1))], axis=1)
-    q2 = (q * q).sum(axis=1)
+    exponent = np.frexp(np.abs(q).max(axis=1))[1].astype(np.int64) if n else np.zeros(0, np.int64)
+    near_q = np.ldexp(q, -exponent[:, None])
+    lifted = np.concatenate([near_q, np.zeros((n, 1))], axis=1)
+    q2 = (near_q * near_q).sum(axis=1)
     top = tree["top"][0]
     slack = 1e-9 * (np.sqrt(q2) + np.sqrt(top) + 1)
+    largest, both = np.finfo(float).max, exponent + int(tree["exponent"][0])
+    # What products lose that are too small for a double, in the units of the distances.
+    lost = np.ldexp(float(q.shape[1]), np.clip(-1074 - both, -2000, 2000).astype(int))
 
     def reach(rows: np.ndarray) -> np.ndarray:
         """Distance of the k-th best so far, a little more against rounding, so that ties are not lost."""
-        kth = best[rows, -1]
-        return np.where(np.isfinite(kth), np.sqrt(np.maximum(q2[rows] + top - 2 * np.where(np.isfinite(kth), kth, 0), 0)), np.inf) + slack[rows]
+        kth = np.ldexp(np.clip(best[rows, -1], -largest, largest), -both[rows]) - lost[rows]
+        return np.where(best_id[rows, -1] == none, np.inf, np.sqrt(np.maximum(q2[rows] + top - 2 * kth, 0))) + slack[rows]
+
+    def rank(s: np.ndarray) -> np.ndarray:
+        return np.where(np.isnan(s), -np.inf, s)
 
     def leaf(node: int, rows: np.ndarray) -> None:
         a, b = tree["span"][node]
@@ -78,13 +92,12 @@ def search_tree(tree: dict[str, np.ndarray], q_ids: np.ndarray, q: np.ndarray, k
         for c in range(0, len(rows), 64):
             part = rows[c : c + 64]
             s = (q[part][:, None, :] * x[None]).sum(axis=2)  # the same sum for equal vectors wherever they stand
-            s = np.where(ids[None] == q_ids[part][:, None], -np.inf, s)
-            all_s = np.concatenate([best[part], s], axis=1)
-            all_i = np.concatenate([best_id[part], np.broadcast_to(ids, s.shape)], axis=1)
-            by = np.lexsort((all_i, -all_s), axis=1)[:, :k]
+            own = ids[None] == q_ids[part][:, None]
+            all_s = np.concatenate([best[part], np.where(own, -np.inf, s)], axis=1)
+            all_i = np.concatenate([best_id[part], np.where(own, none, np.broadcast_to(ids, s.shape))], axis=1)
+            by = np.lexsort((all_i, -rank(all_s)), axis=1)[:, :k]
             best[part] = np.take_along_axis(all_s, by, axis=1)
-            got = np.take_along_axis(all_i, by, axis=1)
-            best_id[part] = np.where(np.isfinite(best[part]), got, -1)
+            best_id[part] = np.take_along_axis(all_i, by, axis=1)
 
     def visit(node: int, rows: np.ndarray) -> None:
         if not len(rows):
@@ -103,8 +116,9 @@ def search_tree(tree: dict[str, np.ndarray], q_ids: np.ndarray, q: np.ndarray, k
         visit(outside, rows[near & again])
         visit(inside, rows[~near & again])
 
-    visit(0, np.arange(n))
-    return best_id, best
+    with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+        visit(0, np.arange(n))
+    return np.where(best_id == none, -1, best_id), best
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -156,11 +170,10 @@ def search(index: DataFrame, queries: DataFrame, k: int, factor: float = 1.0) ->
                 asked = _unpack(blob.as_py())
                 ids, score = search_tree(_unpack(tree.as_py()), asked["ids"], asked["q"], k, factor)
                 on = ids >= 0 if len(ids) else np.zeros((0, k), bool)
-                on &= np.isfinite(score)
                 yield pa.record_batch({"query_id": pa.array(np.repeat(asked["ids"], k)[on.ravel()]), "vec_id": pa.array(ids[on]), "score": pa.array(score[on])})
 
     found = met.select("queries", "tree").mapInArrow(run, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.when(F.isnan("score"), float("-inf")).otherwise(F.col("score"))), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

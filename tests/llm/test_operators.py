@@ -534,3 +534,28 @@ def test_embedding_dedup_of_tiny_and_huge_components(spark):
     for _ in range(len(rows)):
         least = np.minimum(least, np.where(links, least[None], 1 << 60).min(axis=1))
     assert got == {i: (int(links[k].sum()), int(least[k])) for k, (i, _) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("scale", [(1e200, 1.0), (1e-200, 1.0), (1e-300, 1e-300), (1e300, 1e300), (1e160, 1e-160)])
+def test_nearest_at_any_size(spark, monkeypatch, scale):
+    """Components of which products overflow or vanish: all candidates come back in the order of their scores."""
+    from claimsieve.llm import ann
+    from claimsieve.plans.storage import materialize
+
+    monkeypatch.setattr(ann, "LEAF", 8)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(120, 5)) * np.where(np.arange(120) % 3 == 0, *scale)[:, None]
+    v[60] = v[0]
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    index = materialize(ann.build_index(frame, 40), "t")
+    got = {}
+    for r in ann.search(index, frame.where("vec_id % 20 = 0"), 15).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    with np.errstate(all="ignore"):
+        for q in range(0, 120, 20):
+            s = (v[q][None] * v).sum(axis=1)
+            key = np.where(np.isnan(s), -np.inf, s)
+            order = [i for i in np.lexsort((np.arange(120), -key)) if i != q][:15]
+            rows = sorted(got[q])
+            assert [i for _, i, _ in rows] == order
+            assert np.array_equal(np.array([x for *_, x in rows]), s[order], equal_nan=True)
