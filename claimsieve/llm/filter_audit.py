@@ -174,12 +174,14 @@ def masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_
         for batch, texts in portions(batches, "text"):
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "h": batch.column("h"), "part": batch.column("part"), "mask": pa.array([text_mask(t) for t in texts], pa.int32())})
 
-    light = bounded(rows.withColumn("h", F.xxhash64("text"))).mapInArrow(own, "doc_id long, h long, part string, mask int")
-    light = light.groupBy("doc_id", "h", "part", "mask").count()
-    known = light.where("doc_id is not null").join(first_texts(docs, id_col, text_col).withColumn("first", F.lit(True)), ["doc_id", "h"], "left")
+    def light(which: str) -> DataFrame:
+        got = bounded(rows.where(which).withColumn("h", F.xxhash64("text"))).mapInArrow(own, "doc_id long, h long, part string, mask int")
+        return got.groupBy("doc_id", "h", "part", "mask").count()
+
+    known = light("doc_id is not null").join(first_texts(docs, id_col, text_col).withColumn("first", F.lit(True)), ["doc_id", "h"], "left")
     known = known.withColumn("mask", F.when(F.col("first"), F.col("mask")).otherwise(F.col("mask").bitwiseOR(_DUPLICATE)))
     columns = ["doc_id", "part", "mask", F.col("count").alias("n")]
-    return known.select(*columns).unionByName(light.where("doc_id is null").select(*columns))
+    return known.select(*columns).unionByName(light("doc_id is null").select(*columns))
 
 
 def interactions(counts: DataFrame, filters: str = FILTERS) -> DataFrame:
@@ -223,9 +225,8 @@ def audit_filters(docs: DataFrame, labels: DataFrame) -> DataFrame:
     label count as neither. See ``masks`` for NULLs and repeated rows; other columns are ignored, an empty table gives no rows.
     """
     said = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("quality") == 1).cast("long")).alias("good"), F.max((F.col("toxic") == 1).cast("long")).alias("toxic"))
-    rows = masks(docs)
     lit = F.lit(0).cast("long")
-    joined = rows.where("doc_id is not null").join(said, "doc_id", "left").unionByName(rows.where("doc_id is null").withColumns({"good": lit, "toxic": lit}))
+    joined = masks(docs.where("doc_id is not null")).join(said, "doc_id", "left").unionByName(masks(docs.where("doc_id is null")).withColumns({"good": lit, "toxic": lit}))
     counts = joined.groupBy("part", "mask").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.coalesce("good", lit)).alias("good"), F.sum(F.col("n") * F.coalesce("toxic", lit)).alias("toxic"))
     return interactions(counts)
 
