@@ -140,7 +140,10 @@ def _with_codec(spark: SparkSession, ranks_path: str, pattern: str):
 
 
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows ``doc_id, ids array<int>`` for every row; the text is whole, NULL counts as empty (no ids)."""
+    """Rows ``doc_id, ids array<int>`` for every row; the text is whole, NULL counts as empty (no ids).
+
+    Repeated rows give a row each. Other columns, whatever their names, are left out; an empty table gives no rows.
+    """
     codec = _with_codec(docs.sparkSession, ranks_path, pattern)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

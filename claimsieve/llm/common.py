@@ -110,6 +110,14 @@ class PieceCache:
         self.size += 170 + len(piece) + len(value)  # two objects and an entry of the dictionary
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, longer where ``df`` has a column of that name."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 #: Bytes of a batch of rows between Spark and a Python worker, whatever the length of texts.
 BATCH_BYTES = 8 << 20
 

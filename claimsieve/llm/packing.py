@@ -255,7 +255,11 @@ def _placer(plan):
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, max_len: int = 1024, end_id: int = 2, with_ids: bool = True) -> DataFrame:
-    """Rows ``doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset`` for all documents."""
+    """Rows ``doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset`` for all documents.
+
+    A NULL or empty text is its end id alone. Repeated rows and ids are documents of their own, each with its pieces. Other
+    columns, whatever their names, are left out; an empty table gives no rows.
+    """
     pieces = materialize(token_pieces(docs, tokenizer_path, max_len, end_id, with_ids=with_ids), "pieces")
     return pack_pieces(pieces, max_len)
 

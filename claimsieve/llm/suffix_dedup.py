@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimsieve.llm.common import bounded, portions
+from claimsieve.llm.common import bounded, portions, spare
 
 LENGTH = 200
 GRAM = 24
@@ -423,7 +423,11 @@ def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All rows and columns with repeated strings cut out of the text; a character that is cut through goes too."""
+    """All rows and columns with repeated strings cut out of the text; a character that is cut through goes too.
+
+    NULL texts stay NULL. Repeated rows stay rows; what they repeat of each other is cut like any other repetition. Columns of
+    any names stay as they are, and an empty table gives an empty one.
+    """
     schema, at = docs.schema, docs.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,7 +439,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 new.append(None if z else _without(t.encode(), gone).decode(errors="ignore") if gone else t)
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:-1])], names=batch.schema.names[:-1])
 
-    return repeated_spans(docs, text_col, "_repeated_spans").mapInArrow(cut, schema)
+    return repeated_spans(docs, text_col, spare(docs, "_repeated_spans")).mapInArrow(cut, schema)
 
 
 def _without(raw: bytes, gone: list[tuple[int, int]]) -> bytes:

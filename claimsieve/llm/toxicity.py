@@ -247,7 +247,11 @@ def held_out(id_col: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """Fit on labelled rows that are not held out; the sample takes ids by a hash, about ``max_rows`` of each label."""
+    """Fit on labelled rows that are not held out; the sample takes ids by a hash, about ``max_rows`` of each label.
+
+    Several labels of an id, and several rows of ``docs`` with it, are examples of their own. Without a column ``lang`` all texts
+    are of one language. Longer texts than ``max_chars`` are left out of the fit, never of the scoring.
+    """
     lab = labels.select(F.col("doc_id").alias("id"), (F.col("toxic") != 0).cast("int").alias("label")).where("label is not null and id is not null").where(~held_out(F.col("id")))
     sizes = {int(r["label"]): r["n"] for r in lab.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     cut = F.lit(0)
@@ -255,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         cut = F.when(F.col("label") == label, int((1 << 30) * min(1.0, settings.max_rows / n))).otherwise(cut)
     # At most so many ids, whatever the number of labels: small enough to broadcast, so texts are not moved.
     chosen = lab.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < cut).limit(4 * settings.max_rows)
-    rows = docs.select(F.col("doc_id").alias("id"), "text", F.coalesce("lang", F.lit("")).alias("lang")).where(F.col("text").isNotNull() & (F.length("text") <= settings.max_chars))
+    rows = docs.select(F.col("doc_id").alias("id"), "text", (F.coalesce("lang", F.lit("")) if "lang" in docs.columns else F.lit("")).alias("lang")).where(F.col("text").isNotNull() & (F.length("text") <= settings.max_chars))
     got = rows.join(F.broadcast(chosen), "id").select("id", "text", "lang", "label").limit(8 * settings.max_rows).collect()
     got.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"], r["label"], r["text"]))
     share = {label: n / max(1, sum(r["label"] == label for r in got)) for label, n in sizes.items()}

@@ -10,6 +10,8 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
+from pyspark.sql import functions as F
+
 from claimsieve.llm import ann, bpe, embedding_dedup, html_text, packing, secrets, simhash, suffix_dedup, token_output, toxicity
 from claimsieve.llm.token_ids import TextEncoder
 from claimsieve.llm.vectors import valid_vectors
@@ -559,3 +561,20 @@ def test_nearest_at_any_size(spark, monkeypatch, scale):
             rows = sorted(got[q])
             assert [i for _, i, _ in rows] == order
             assert np.array_equal(np.array([x for *_, x in rows]), s[order], equal_nan=True)
+
+
+def test_clashing_columns_of_stages(spark, sf_dir):
+    """Columns with the names that stages use for themselves come through, and a fit needs no language."""
+    import corpus_pipeline
+
+    text = "a line of words that two documents share, " * 8
+    rows = [(1, text + "one", "x", 1.5, 7), (2, text + "two", None, 2.5, 8), (3, None, "y", 3.5, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _repeated_spans string, _stage_score double, _stage_row int")
+    cut = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert [cut[i]._repeated_spans for i in (1, 2, 3)] == ["x", None, "y"] and len(cut[1].text) < len(text) and cut[3].text is None
+    kept = {r.doc_id: r for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()}
+    assert 1 in kept and kept[1]._stage_row == 7 and kept[1]._stage_score == 1.5
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, toxicity.Settings())
+    long = docs.withColumn("text", F.repeat(F.lit("word "), 40000))
+    assert all(0 <= r.toxicity <= 1 for r in toxicity.score_documents(long, model).collect())
