@@ -4,7 +4,8 @@ A page is a sequence of tags and blocks of words. A word scores by what can be s
 it, how long it is, how much of it is links, the names and kinds of the elements around it); a tag costs. Weights are log odds
 counted on labelled pages, those that mark their article, with the tags ``article`` and ``main`` hidden, so that they hold for
 pages without them; small counts set beforehand stand for what no labelled page has. One linear scan finds the run of blocks and
-tags with the largest sum. Of its blocks, menus, asides, forms and what is named as an advert or a comment are left out.
+tags with the largest sum. Of its blocks, menus, asides, forms and what is named as an advert or a comment are left out; a form,
+a dialog or an element with a name like "banner" that holds most of the page's words is a wrapper of the page and is none of these.
 
 All steps take time in proportion to the page, whatever its nesting or how its tags are left open.
 """
@@ -39,6 +40,13 @@ _BESIDE = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments disqus cookie cookies consent notice popup modal overlay share sharing social "
     "related recommended recommendations subscribe newsletter signup signin login widget skip toolbar".split()
 )
+#: Those of them that, like forms and dialogs, may as well be around the whole page.
+_WRAPS = frozenset("promo promotion banner masthead notice popup modal overlay share sharing social subscribe newsletter signup signin login widget skip toolbar sponsor sponsored".split())
+_WRAP_TAGS = frozenset("form dialog".split())
+_WRAP_ROLES = frozenset("dialog alertdialog banner".split())
+_HEADINGS = frozenset("h1 h2 h3".split())
+#: Words, not in links, that a wrapper holds at least.
+WRAPPED_WORDS = 50
 _NEUTRAL = frozenset("site page list box bar wrap wrapper block area top bottom left right section container item items link links button buttons text inner outer main global the to and form".split())
 #: Words that short lines of a page's frame hold.
 _FRAME_WORDS = frozenset("copyright © (c) cookie cookies login log-in signin sign-in register subscribe".split())
@@ -69,6 +77,13 @@ class Element:
     holds_header: bool = False
     names: tuple[str, ...] = ()
     beside: float = 0.0  # what the names around it score
+    up: Element | None = None
+    wraps: bool = False  # what sets it apart does not if it holds most of the page
+    header: bool = False  # it is set apart as a header unless it is that of a post
+    own: tuple[tuple[bool, float], ...] = ()  # of its names: may it be that of a wrapper, and its score
+    words: int = 0  # not in links, with all below
+    headings: int = 0  # with all below
+    paragraphs: int = 0  # directly below
 
 
 @dataclass
@@ -114,6 +129,10 @@ def _is_beside(name: str) -> bool:
     return any(p in _BESIDE for p in parts) and all(p in _BESIDE or p in _NEUTRAL or p.isdigit() for p in parts)
 
 
+def _may_wrap(name: str) -> bool:
+    return _is_beside(name) and all(p in _WRAPS for p in _NAME.findall(name) if p in _BESIDE)
+
+
 def tokens(html: str) -> Iterator[tuple[str, str, str]]:
     """("text", its characters, ""), ("open", tag, attributes as written) and ("close", tag, ""); comments are left out."""
     at, n, simple = 0, len(html), False
@@ -165,10 +184,10 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
 def parse(html: str, weigh: Callable[[str], float] = lambda name: 0.0) -> tuple[list[Block], bool]:
     """Blocks of words and tags in page order, and whether the page marks its article."""
     root = Element("", "root")
-    stack, counts = [root], Counter()
+    stack, counts, elements = [root], Counter(), [root]
     out: list[Block] = []
     current: Block | None = None
-    links, marked = 0, False
+    links = 0
     for kind, what, attributes in tokens(html):
         top = stack[-1]
         if kind == "text":
@@ -201,16 +220,16 @@ def parse(html: str, weigh: Callable[[str], float] = lambda name: 0.0) -> tuple[
             names = [] if what in _ROOTS else _names(own)
             hidden = "hidden" in own or own.get("aria-hidden", "").lower() == "true" or "display:none" in own.get("style", "").replace(" ", "").lower()
             place = top.place if what in _INLINE or what in _ROOTS else what
-            apart = what in _APART or own.get("role", "").lower() in _APART_ROLES or what == "header" and not top.holds_header
-            if what in ("article", "main") and not top.apart:
-                marked = True
-            beside = top.beside + sum(map(weigh, names))
+            role, header = own.get("role", "").lower(), what == "header" and not top.holds_header
+            top.paragraphs += what == "p"
             stack.append(
                 Element(
-                    what, place, top.skip or hidden or what in _NO_TEXT, top.apart or apart, top.article or what in ("article", "main"), top.holds_header or what in _HOLDS_HEADER, (*top.names, *names)[-_COUNTED_NAMES:] if names else top.names,
-                    min(max(beside, -3.0), 3.0),
+                    what, place, top.skip or hidden or what in _NO_TEXT, what in _APART or role in _APART_ROLES or header, top.article or what in ("article", "main"), top.holds_header or what in _HOLDS_HEADER,
+                    (*top.names, *names)[-_COUNTED_NAMES:] if names else top.names, up=top, wraps=what in _WRAP_TAGS and role not in _APART_ROLES - _WRAP_ROLES or what not in _APART and role in _WRAP_ROLES,
+                    header=header and role not in _APART_ROLES, own=tuple((_may_wrap(x), weigh(x)) for x in names), headings=what in _HEADINGS,
                 )
             )
+            elements.append(stack[-1])
             counts[what] += 1
             links += what == "a"
         else:
@@ -222,7 +241,24 @@ def parse(html: str, weigh: Callable[[str], float] = lambda name: 0.0) -> tuple[
                 links -= gone.tag == "a"
                 if gone.tag == what:
                     break
-    return out, marked
+    return out, _set_apart(elements, out)
+
+
+def _set_apart(elements: list[Element], blocks: list[Block]) -> bool:
+    """Settle which elements (parents first) are set apart, now that all words are known; whether an article is marked."""
+    for b in blocks:
+        b.element.words += b.words - b.linked
+    for e in reversed(elements[1:]):
+        e.up.words += e.words
+        e.up.headings += e.headings
+    most, marked = max(elements[0].words / 2, WRAPPED_WORDS - 1), False
+    for e in elements[1:]:
+        holds = e.words > most
+        post = e.header and e.headings and e.up.paragraphs and e.up.place != "root"
+        marked |= e.tag in ("article", "main") and not e.up.apart
+        e.apart = e.up.apart or e.apart and not (e.wraps and holds) and not post
+        e.beside = min(max(e.up.beside + sum(x for wraps, x in e.own if not (wraps and holds)), -3.0), 3.0)
+    return marked
 
 
 class Weights:

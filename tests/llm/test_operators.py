@@ -482,6 +482,24 @@ def test_html_without_marks(spark, sf_dir):
         assert html_text.main_text(frame.format(story), w) == text and html_text.main_text(frame.format(""), w) == ""
 
 
+def test_html_wrapped_as_a_whole(spark, sf_dir):
+    """A form, dialog or banner around the page is no form; small ones, comments and menus stay out, whatever their size."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    parts = [f"Paragraph {i} of the story tells, in a good number of plain words, what came to pass on that day and why it did." for i in range(3)]
+    story, want = "".join(f"<p>{p}</p>" for p in parts), "\n\n".join(parts)
+    beside = '<form action="/s"><p>Search all of the pages here</p></form><div class="banner"><p>Get the new thing now, it is cheap</p></div>'
+    for w in (html_text.fit_weights(pages), html_text.Weights({})):
+        for a, b in (("<form>", "</form>"), ("<form><article>", "</article></form>"), ("<dialog open><article>", "</article></dialog>"), ('<div class="banner">', "</div>"), ('<div class="promo-main">', "</div>"), ('<div role="dialog">', "</div>")):
+            for before, after in (("", ""), (beside, ""), ("", beside)):
+                assert html_text.main_text(f"<html><body><nav><a>Home</a></nav>{before}{a}{story}{b}{after}<footer>Copyright x</footer></body></html>", w) == want, (a, before, after)
+        assert html_text.main_text(f"<body><form><nav><a>Home</a></nav><aside>More of it</aside>{story}</form></body>", w) == want
+        title = '<header><h1>The title of it</h1></header>'
+        assert html_text.main_text(f'<body><header><h1>Site</h1></header><div class="x">{title}{story}</div></body>', w) == "The title of it\n\n" + want
+        assert html_text.main_text(f"<body><div><header><h1>Site</h1></header><div>{story}</div></div></body>", w) == want
+        for kind in ('div class="comments"', 'div id="sidebar"', "nav", "aside", "footer"):
+            assert html_text.main_text(f"<body><{kind}>{story * 4}</{kind.split()[0]}></body>", w) == "", kind
+
+
 def test_html_of_any_shape_takes_linear_time(spark):
     import time
 
