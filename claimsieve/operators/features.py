@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claimsieve.functions import columns as C
 from claimsieve.operators import windows as W
+from claimsieve.plans.storage import materialize
 
 #: What tells the answer and must never be a feature.
 LEAKAGE = ("status", "is_suspicious", "scenario_id", "label_reason")
@@ -36,12 +37,12 @@ def member_utilisation(claims: DataFrame, days: int = 365, reference: str | None
 
 def peer_stats(metrics: DataFrame, value: str, peer: str = "peer_group") -> DataFrame:
     """Median, 95th percentile, MAD and robust z of a metric among peers."""
-    return W.with_mad_z(metrics, value, peer).withColumn("peer_p95", F.percentile(value, F.lit(0.95)).over(Window.partitionBy(peer)))
+    return W.with_quantiles(W.with_mad_z(metrics, value, peer), [peer], value, {"peer_p95": 0.95})
 
 
 def duration_stats(claims: DataFrame, peer: str | None = None) -> DataFrame:
     keys = ["procedure_code", *([peer] if peer else [])]
-    return claims.where("service_minutes is not null and procedure_code is not null").groupBy(*keys).agg(F.percentile("service_minutes", F.lit(0.25)).alias("p25"), W.median_of("service_minutes").alias("median"), F.count(F.lit(1)).alias("n"))
+    return W.quantiles(claims.where("procedure_code is not null"), keys, "service_minutes", {"p25": 0.25, "median": 0.5}).withColumnRenamed("n_values", "n")
 
 
 #: Columns of the claim matrix with what stands for a missing value (fixed values), and categories as text.
@@ -111,12 +112,13 @@ def provider_features(claims: DataFrame, providers: DataFrame | None = None, sna
     level = C.em_level_behaviour(F.col("procedure_code"))
     main = rows.withColumn("_level", level).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_claims"), F.countDistinct("member_id").alias("unique_members"), F.countDistinct("procedure_code").alias("unique_procedures"), F.sum("paid_amount").alias("total_paid"), F.avg("paid_amount").alias("mean_paid"),
-        W.median_of("paid_amount").alias("median_paid"), F.stddev_samp("paid_amount").alias("std_paid"), F.max("paid_amount").alias("max_paid"), F.sum("billed_amount").alias("total_billed"), F.sum((F.col("_level") > 0).cast("int")).alias("em_claims"),
+        F.stddev_samp("paid_amount").alias("std_paid"), F.max("paid_amount").alias("max_paid"), F.sum("billed_amount").alias("total_billed"), F.sum((F.col("_level") > 0).cast("int")).alias("em_claims"),
         F.sum((F.col("_level") >= 4).cast("int")).alias("_high"), F.avg("service_minutes").alias("mean_minutes"), F.max("service_minutes").alias("max_minutes"), F.avg(C.is_weekend(F.col("service_date")).cast("double")).alias("weekend_rate"),
     )
     daily = rows.where("service_date is not null").groupBy(*keys, "service_date").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("member_id").alias("m"))
     by_day = daily.groupBy(*keys).agg(F.count(F.lit(1)).alias("active_days"), F.avg("n").alias("daily_mean"), F.stddev_samp("n").alias("daily_std"), F.max("n").alias("max_daily"), F.avg("m").alias("members_per_day"))
-    out = main.join(by_day, keys, "left").withColumns(
+    middle = W.quantiles(rows, keys, "paid_amount", {"median_paid": 0.5}).drop("n_values")
+    out = main.join(by_day, keys, "left").join(middle, keys, "left").withColumns(
         {
             "claims_per_member": F.when(F.col("unique_members") > 0, F.col("total_claims") / F.col("unique_members")),
             "paid_ratio": F.when(F.col("total_billed") > 0, F.col("total_paid") / F.col("total_billed")),
@@ -124,7 +126,10 @@ def provider_features(claims: DataFrame, providers: DataFrame | None = None, sna
             "daily_cv": F.when(F.col("daily_mean") > 0, F.col("daily_std") / F.col("daily_mean")),
         }
     )
-    medians = out.agg(*(F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(f"_m_{c}") for c in PROVIDER_NUMERIC))
+    out = materialize(out, "provider-features")
+    names = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in PROVIDER_NUMERIC))
+    middles = W.quantiles(out.select(F.inline(names)), ["name"], "value", {"m": 0.5})
+    medians = middles.agg(*(F.max(F.when(F.col("name") == c, F.col("m"))).alias(f"_m_{c}") for c in PROVIDER_NUMERIC))
     filled = out.join(F.broadcast(medians)).select(*keys, *(F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}"), F.lit(0.0)).alias(c) for c in PROVIDER_NUMERIC))
     if providers is None:
         return filled

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from claimsieve.functions import columns as C
 from claimsieve.operators import rules as R
 from claimsieve.plans.components import connected_components
+from claimsieve.plans.storage import materialize
 from claimsieve.sources.config import RuleConfig
 
 #: How much a link of a kind counts.
@@ -169,15 +170,35 @@ def identity_clusters(links: DataFrame, providers: DataFrame | None = None) -> D
 
 def shared_identity(tables, cfg: RuleConfig = RuleConfig()) -> DataFrame:
     """Clusters of two or more that are linked by more than addresses."""
-    clusters = identity_clusters(identity_links(tables["providers"], cfg), tables["providers"])
+    return _suspicious(identity_clusters(identity_links(tables["providers"], cfg), tables["providers"]))
+
+
+def _suspicious(clusters: DataFrame) -> DataFrame:
     return clusters.where(F.exists("bases", lambda b: ~b.startswith("address"))).where("size >= 2")
 
 
+def cluster_links(clusters: DataFrame, links: DataFrame) -> DataFrame:
+    """All links within the given clusters, one a row, with ``cluster_id`` and ``n``, their number in the cluster."""
+    members = clusters.select("cluster_id", F.explode("provider_ids").alias("provider_a"))
+    return links.join(members, "provider_a").withColumn("n", F.row_number().over(Window.partitionBy("cluster_id").orderBy("provider_a", "provider_b", "basis", "detail")))
+
+
+def identity_findings(tables, cfg: RuleConfig = RuleConfig()) -> DataFrame:
+    """``shared_identity`` and, as ``more_evidence``, one evidence for each link, of which an alert nests the first ones."""
+    links = materialize(identity_links(tables["providers"], cfg), "identity-links")
+    clusters = materialize(_suspicious(identity_clusters(links, tables["providers"])), "identity-clusters")
+    told = F.format_string("Providers %s and %s share %s: '%s' (confidence: %s).", F.col("provider_a").cast("string"), F.col("provider_b").cast("string"), "basis", F.coalesce("detail", F.lit("")), F.format_number("confidence", 2))
+    fields = F.array("basis", *map(F.lit, ("source_id", "target_id", "matched_value")))
+    rows = cluster_links(clusters, links).where(F.col("n") <= cfg.listed_links)
+    rows = rows.select("cluster_id", F.struct("n", *R._more(F.array().cast("array<string>"), fields, told, F.lit("MEDIUM"))).alias("e"))
+    return clusters.join(rows.groupBy("cluster_id").agg(F.sort_array(F.collect_list("e")).alias("more_evidence")), "cluster_id", "left")
+
+
 def register() -> None:
     R.register_rule(
         "R09",
         lambda t, c: R.to_alerts(
-            shared_identity(t, c), "R09", "provider", "cluster_id", F.format_string("%s providers share %s.", F.col("size").cast("string"), F.array_join("bases", ", ")), "MEDIUM", note="Members of a documented group may share these.", cfg=c
+            identity_findings(t, c), "R09", "provider", "cluster_id", F.format_string("%s providers share %s.", F.col("size").cast("string"), F.array_join("bases", ", ")), "MEDIUM", note="Members of a documented group may share these.", cfg=c
         ),
         {"providers": ("provider_id",)},
     )

@@ -93,10 +93,27 @@ def upcoding(tables: Tables, cfg: RuleConfig = RuleConfig()) -> DataFrame:
 def low_complexity_visits(tables: Tables, flagged: DataFrame, cfg: RuleConfig = RuleConfig(), top: int = 10) -> DataFrame:
     """Level-5 claims of low complexity of flagged providers, the first ten each, and whether they were short for their code."""
     claims = prepared_claims(tables).withColumn("level", C.em_level(F.col("procedure_code"), F.col("em_level")))
-    short = claims.where("service_minutes is not null").groupBy("procedure_code").agg(F.percentile("service_minutes", F.lit(0.25)).alias("p25"))
+    short = W.quantiles(claims, ["procedure_code"], "service_minutes", {"p25": 0.25}).drop("n_values")
     rows = claims.where((F.col("level") == 5) & (F.col("dx_complexity") <= cfg.low_complexity)).join(flagged.select("provider_id"), "provider_id", "left_semi").join(short, "procedure_code", "left")
     w = Window.partitionBy("provider_id").orderBy("claim_id")
-    return rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= top).select("provider_id", "claim_id", "dx_complexity", (F.col("service_minutes") < F.col("p25")).alias("short"))
+    return rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= top).select("provider_id", "claim_id", "dx_complexity", "service_minutes", "n", (F.col("service_minutes") < F.col("p25")).alias("short"))
+
+
+def upcoding_findings(tables: Tables, cfg: RuleConfig = RuleConfig()) -> DataFrame:
+    """``upcoding`` with its claims and, as ``more_evidence``, one evidence for each of the first low-complexity visits."""
+    flagged = materialize(with_claims(upcoding(tables, cfg), em_claims(tables), ["provider_id"], cfg.listed_claims), "upcoding")
+    told = F.format_string("Claim %s billed Level 5 for dx_complexity=%s", F.col("claim_id").cast("string"), F.col("dx_complexity").cast("int").cast("string"))
+    short = F.coalesce("short", F.lit(False))
+    told = F.when(short, F.concat(told, F.format_string(" with service duration %s min below peer p25.", F.format_number("service_minutes", 0)))).otherwise(F.concat(told, F.lit(".")))
+    fields = F.when(short, F.array(*map(F.lit, ("em_level", "dx_complexity", "service_minutes")))).otherwise(F.array(*map(F.lit, ("em_level", "dx_complexity"))))
+    visits = low_complexity_visits(tables, flagged, cfg).select("provider_id", F.struct("n", *_more(F.array(F.col("claim_id").cast("string")), fields, told, F.lit("MEDIUM"))).alias("e"))
+    listed = visits.groupBy("provider_id").agg(F.sort_array(F.collect_list("e")).alias("more_evidence"))  # ten a provider at most
+    return flagged.join(listed, "provider_id", "left")
+
+
+def _more(claim_ids: Column, fields: Column, text: Column, severity: Column) -> tuple[Column, ...]:
+    """Fields that ``to_alerts`` reads of each entry of ``more_evidence``, behind those that order them."""
+    return claim_ids.alias("claim_ids"), fields.alias("fields_matched"), text.alias("plain_text"), severity.alias("severity")
 
 
 def unbundled_pairs(tables: Tables, cfg: RuleConfig = RuleConfig()) -> DataFrame:
@@ -221,7 +238,7 @@ def excessive_providers(tables: Tables, cfg: RuleConfig = RuleConfig()) -> DataF
     stats = utilisation(prepared_claims(tables))
     peers = tables.get("providers")
     stats = stats.join(peers.select("provider_id", "peer_group"), "provider_id", "left").fillna("all", ["peer_group"]) if has_columns(peers, "peer_group") else stats.withColumn("peer_group", F.lit("all"))
-    return stats.withColumn("peer_median", W.median_of("visits_per_member").over(Window.partitionBy("peer_group"))).where((F.col("peer_median") > 0) & (F.col("visits_per_member") > cfg.peer_multiplier * F.col("peer_median")))
+    return W.with_quantiles(materialize(stats, "visits"), ["peer_group"], "visits_per_member", {"peer_median": 0.5}).where((F.col("peer_median") > 0) & (F.col("visits_per_member") > cfg.peer_multiplier * F.col("peer_median")))
 
 
 # -- timing
@@ -302,7 +319,7 @@ def claim_distances(tables: Tables, cfg: RuleConfig = RuleConfig()) -> DataFrame
     m = tables["members"].select("member_id", F.col("latitude").alias("m_lat"), F.col("longitude").alias("m_lon"))
     claims = prepared_claims(tables).where(~F.coalesce(F.col("pos_code").isin(list(cfg.telehealth_pos)), F.lit(False)))
     rows = claims.join(p, "provider_id").join(m, "member_id").withColumn("miles", C.haversine_miles(F.col("m_lat"), F.col("m_lon"), F.col("p_lat"), F.col("p_lon"))).where("miles is not null")
-    by = rows.groupBy("specialty").agg(F.count(F.lit(1)).alias("n"), F.percentile("miles", F.lit(0.99)).alias("p99"))
+    by = W.quantiles(rows, ["specialty"], "miles", {"p99": 0.99}).withColumnRenamed("n_values", "n")
     far = F.when(F.col("n") >= cfg.distance_min_rows, F.greatest(F.col("p99"), F.lit(float(cfg.other_miles)))).otherwise(float(cfg.other_miles))
     cuts = by.select("specialty", F.when(C.is_any(F.col("specialty"), cfg.routine_specialties), float(cfg.routine_miles)).otherwise(far).alias("threshold"))
     return rows.join(cuts, "specialty").select("claim_id", "member_id", "provider_id", "specialty", "miles", "threshold")
@@ -395,7 +412,10 @@ def with_claims(core: DataFrame, rows: DataFrame, keys: list[str], most: int, fi
 
 
 def to_alerts(core: DataFrame, rule_id: str, entity_type: str, entity: str, text: Column, severity: str | Column, claim_ids: Column | None = None, fields: tuple[str, ...] = (), note: str = "", cfg: RuleConfig = RuleConfig()) -> DataFrame:
-    """Alert rows of a core: deterministic ids, one evidence with its text, and the measures as metadata."""
+    """Alert rows of a core: deterministic ids, one evidence with its text, and the measures as metadata.
+
+    Where the core has ``more_evidence``, each of its entries follows as an evidence of its own, without an amount.
+    """
     claims = F.array().cast("array<string>") if claim_ids is None else claim_ids
     est = F.coalesce("est_dollars", F.lit(0.0)).cast("double") if "est_dollars" in core.columns else F.lit(0.0)
     sev = F.lit(severity) if isinstance(severity, str) else severity
@@ -405,10 +425,20 @@ def to_alerts(core: DataFrame, rule_id: str, entity_type: str, entity: str, text
         F.concat(F.lit("E-"), F.col("_id")).alias("evidence_id"), F.lit(rule_id).alias("rule_id"), F.lit(cfg.version).alias("rule_version"), F.col("_claims").alias("claim_ids"), F.array(*map(F.lit, fields or (entity,))).alias("fields_matched"),
         F.col("_text").alias("plain_text"), F.col("_est").alias("est_overpay"), F.col("_sev").alias("severity"), F.lit(note).alias("fp_notes"),
     )
+    listed = F.array(evidence)
+    if "more_evidence" in core.columns:
+        further = F.transform(
+            "more_evidence",
+            lambda e, i: F.struct(
+                F.concat(F.lit("E-"), F.col("_id"), F.lit("-"), (i + 1).cast("string")).alias("evidence_id"), F.lit(rule_id).alias("rule_id"), F.lit(cfg.version).alias("rule_version"), e["claim_ids"].alias("claim_ids"),
+                e["fields_matched"].alias("fields_matched"), e["plain_text"].alias("plain_text"), F.lit(0.0).alias("est_overpay"), e["severity"].alias("severity"), F.lit(note).alias("fp_notes"),
+            ),
+        )
+        listed = F.when(F.col("more_evidence").isNull(), listed).otherwise(F.concat(listed, further))
     measures = [c for c, t in core.dtypes if not t.startswith(("array", "map", "struct"))]
     return base.select(
         F.col("_id").alias("alert_id"), F.lit(rule_id).alias("rule_id"), F.lit(cfg.version).alias("rule_version"), F.lit(entity_type).alias("entity_type"), F.col(entity).cast("string").alias("entity_id"), F.col("_claims").alias("claim_ids"),
-        F.col("_sev").alias("severity"), F.col("_est").alias("est_dollars"), F.array(evidence).alias("evidence"), F.lit(note).alias("fp_notes"),
+        F.col("_sev").alias("severity"), F.col("_est").alias("est_dollars"), listed.alias("evidence"), F.lit(note).alias("fp_notes"),
         F.map_from_arrays(F.array(*map(F.lit, measures)), F.array(*(F.col(c).cast("string") for c in measures))).alias("metadata"),
     )
 
@@ -439,7 +469,7 @@ def _defaults() -> None:
     claim = ("claim_id", "member_id", "provider_id", "procedure_code", "service_date")
     add("R01a", lambda t, c: to_alerts(exact_duplicates(t, c), "R01", "provider", "provider_id", _fmt("Claims %s and %s bill the same service, day and amount (%s).", "claim_id_a", "claim_id_b", C.money(F.col("est_dollars"))), "HIGH", _two("claim_id_a", "claim_id_b"), claim[1:], cfg=c), {"claims": claim})
     add("R01b", lambda t, c: to_alerts(near_duplicates(t, c), "R01", "provider", "provider_id", _fmt("Claims %s and %s bill the same service and amount %s day(s) apart.", "claim_id_a", "claim_id_b", "gap"), "MEDIUM", _two("claim_id_a", "claim_id_b"), claim[1:], cfg=c), {"claims": claim})
-    add("R02", lambda t, c: to_alerts(with_claims(upcoding(t, c), em_claims(t), ["provider_id"], c.listed_claims), "R02", "provider", "provider_id", _fmt("%s of %s visits are at the top two levels; peers' median is %s.", F.format_number(F.col("high_share"), 3), "total_em", F.format_number(F.col("peer_median"), 3)), "HIGH", fields=("procedure_code",), claim_ids=F.col("claim_ids"), cfg=c), {"claims": claim})
+    add("R02", lambda t, c: to_alerts(upcoding_findings(t, c), "R02", "provider", "provider_id", _fmt("%s of %s visits are at the top two levels; peers' median is %s.", F.format_number(F.col("high_share"), 3), "total_em", F.format_number(F.col("peer_median"), 3)), "HIGH", fields=("procedure_code",), claim_ids=F.col("claim_ids"), cfg=c), {"claims": claim})
     add("R03", lambda t, c: to_alerts(unbundling(t, c), "R03", "provider", "provider_id", _fmt("Component %s billed beside %s on %s.", "component_cpt", "comprehensive_cpt", "service_date"), F.col("severity"), F.col("claim_ids"), ("procedure_code",), cfg=c), {"claims": claim, "bundling_pairs": ("comprehensive_cpt", "component_cpt")})
     add("R04a", lambda t, c: to_alerts(after_death(t), "R04", "provider", "provider_id", _fmt("Claim %s is for %s, after the member's death on %s.", "claim_id", "service_date", "death_date"), "CRITICAL", _one(), ("service_date", "death_date"), cfg=c), {"claims": claim, "members": ("death_date",)})
     add("R04b", lambda t, c: to_alerts(after_enrollment(t), "R04", "provider", "provider_id", _fmt("Claim %s is for %s, after enrolment ended on %s.", "claim_id", "service_date", "end_date"), "CRITICAL", _one(), ("service_date",), cfg=c), {"claims": claim, "members": ("enrollment_end",)})

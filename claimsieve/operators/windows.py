@@ -84,11 +84,51 @@ def median_of(x: str | Column) -> Column:
     return F.percentile(x, F.lit(0.5))
 
 
+def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """``keys``, a column for each of ``probs`` and ``n_values``: exact quantiles of groups of any size, NULL values left out.
+
+    Numbers are those of ``percentile`` (linear between ranks). Values are counted in each task first, ranged by group and value,
+    and ranks are sums over ranges, so that a group with most rows is dealt to many tasks and none holds its values. A NULL key
+    is a group; a group without values has no row.
+    """
+    from claimsieve.plans.storage import materialize
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    dealt = materialize(counts.repartitionByRange(parts, *keys, "_v").withColumn("_part", F.spark_partition_id()), "ranged")
+    # As many rows as groups and partitions together: only a group that spans partitions has several.
+    sums = dealt.groupBy(*keys, "_part").agg(F.sum("_n").alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*(F.col(k).alias(f"_b_{k}") for k in keys), F.col("_part").alias("_b_part"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"), F.sum("_sum").over(Window.partitionBy(*keys)).alias("n_values"))
+    own = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    met = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys), F.col("_part") == F.col("_b_part"))
+    rows = dealt.withColumn("_own", own).join(base, met).withColumn("_below", F.col("_own") + F.col("_base"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_below") <= rank) & (rank < F.col("_below") + F.col("_n")), F.col("_v")))
+
+    places = {name: (F.col("n_values") - 1) * F.lit(float(p)) for name, p in probs.items()}
+    found = rows.groupBy(*keys, "n_values").agg(*(c for name, x in places.items() for c in (at(F.floor(x)).alias(f"_low_{name}"), at(F.ceil(x)).alias(f"_high_{name}"))))
+
+    def between(name: str) -> Column:
+        low, high, x = F.col(f"_low_{name}"), F.col(f"_high_{name}"), places[name]
+        return F.when(low == high, low).otherwise((F.ceil(x) - x) * low + (x - F.floor(x)) * high).alias(name)
+
+    return found.select(*keys, *map(between, probs), "n_values")
+
+
+def with_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Rows with the quantiles of their group, NULL where it has no values."""
+    found = quantiles(df, keys, value, probs).select(*(F.col(k).alias(f"_q_{k}") for k in keys), *probs)
+    return df.join(found, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_q_{k}")) for k in keys)), "left").drop(*(f"_q_{k}" for k in keys))
+
+
 def with_mad_z(df: DataFrame, value: str, peer: str) -> DataFrame:
-    """Peer median, MAD and robust z (by 1.4826 MAD) of each row; a MAD of 0 gives 0."""
-    w = Window.partitionBy(peer)
-    df = df.withColumn("peer_median", median_of(value).over(w))
-    df = df.withColumn("_dev", F.abs(F.col(value) - F.col("peer_median"))).withColumn("peer_mad", median_of("_dev").over(w)).drop("_dev")
+    """Peer median, MAD and robust z (by 1.4826 MAD) of each row; a MAD of 0 gives 0. Groups of any size, see ``quantiles``."""
+    from claimsieve.plans.storage import materialize
+
+    df = with_quantiles(materialize(df, "metrics"), [peer], value, {"peer_median": 0.5})
+    df = with_quantiles(df.withColumn("_dev", F.abs(F.col(value) - F.col("peer_median"))), [peer], "_dev", {"peer_mad": 0.5}).drop("_dev")
     return df.withColumn("mad_z", F.when(F.col("peer_mad") > 0, (F.col(value) - F.col("peer_median")) / (1.4826 * F.col("peer_mad"))).otherwise(0.0))
 
 

@@ -13,6 +13,7 @@ class RuleConfig:
     version: str = "1.0.0"
     # claims that an alert lists; operators.rules has functions that give all of them as rows
     listed_claims: int = 100_000
+    listed_links: int = 1000
     listed_samples: int = 50
     # duplicates
     void_statuses: tuple[str, ...] = ("voided", "void", "reversed")

@@ -1,7 +1,10 @@
 """Rules on tiny tables: hits, exclusions, limits, NULL keys, empty and missing input."""
 
 import datetime as dt
+import itertools
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +180,79 @@ def test_rules_with_text_ids_and_a_rule_that_fails(spark):
     assert {r.rule: r.status for r in status.collect()} == {"R07a": "ok", "R99": "failed", "R04a": "skipped"}
     # Ties go to the smaller id; claims in order, those without one left out.
     assert [(r.entity_id, r.claim_ids) for r in found] == [("PRV002", [f"C{i:03}" for i in range(1, 24, 2)])]
+
+
+def test_quantiles_of_skewed_groups(spark):
+    """As ``percentile``, with a group of most rows, ties, NULL keys and values, one value, and no values."""
+    rng = random.Random(5)
+    rows = [("hot", rng.choice([rng.random() * 100, 7.0])) for _ in range(3000)] + [(f"g{i % 40}", float(rng.randrange(9))) for i in range(400)] + [(None, 1.0), (None, 4.0), ("one", 3.0), ("none", None), ("hot", None), ("hot", -0.5)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    probs = {"a": 0.25, "b": 0.5, "c": 0.99, "d": 0.0, "e": 1.0}
+    got = {r.k: r for r in W.quantiles(df, ["k"], "v", probs).collect()}
+    for r in df.groupBy("k").agg(*(F.percentile("v", F.lit(p)).alias(n) for n, p in probs.items()), F.count("v").alias("n")).collect():
+        assert (r.k not in got) if r.n == 0 else ([got[r.k][n] for n in probs] == [r[n] for n in probs] and got[r.k].n_values == r.n)
+    whole = W.quantiles(df, [], "v", {"m": 0.5}).collect()
+    assert [r.m for r in whole] == [df.agg(F.percentile("v", F.lit(0.5))).first()[0]]
+    assert W.quantiles(df.where("k = 'none'"), ["k"], "v", probs).count() == 0 and W.quantiles(df.limit(0), [], "v", probs).count() == 0
+    z = {(r.k, r.v): r for r in W.with_mad_z(df.distinct(), "v", "k").collect()}
+    assert len(z) == df.distinct().count() and z[(None, 1.0)].peer_median == 2.5 and z[(None, 1.0)].peer_mad == 1.5 and z[("none", None)].peer_median is None
+
+
+def test_shapley_is_the_mean_over_orders():
+    """Against all orders of features, on random trees that test a feature several times and categories."""
+    rng = random.Random(3)
+
+    def grow(nodes, depth):
+        me = len(nodes)
+        nodes.append(())
+        if depth == 0 or rng.random() < 0.15:
+            nodes[me] = (-1, 0.0, -1, -1, rng.uniform(-2, 2), False, 0.0)
+            return me
+        f, share = rng.randrange(4), rng.uniform(0.05, 0.95)
+        cut = ([0.0, 2.0], True) if f == 3 else (rng.random(), False)
+        left, right = grow(nodes, depth - 1), grow(nodes, depth - 1)
+        nodes[me] = (f, cut[0], left, right, nodes[left][4] * share + nodes[right][4] * (1 - share), cut[1], share)
+        return me
+
+    def worth(tree, x, known, at=0):
+        f, cut, left, right, value, categorical, share = tree[at]
+        if f < 0:
+            return value
+        if f in known:
+            return worth(tree, x, known, left if (x[f] in cut if categorical else x[f] <= cut) else right)
+        return share * worth(tree, x, known, left) + (1 - share) * worth(tree, x, known, right)
+
+    x = np.array([[rng.random(), rng.random(), rng.random(), float(rng.randrange(3))] for _ in range(6)])
+    for depth in (0, 1, 3, 5, 5):
+        trees = []
+        for _ in range(2):
+            trees.append([])
+            grow(trees[-1], depth)
+        parts, margin = M.shapley([p for t in trees for p in M.leaf_paths(t)], x)
+        for row, got, total in zip(x, parts, margin):
+            want, orders = np.zeros(4), list(itertools.permutations(range(4)))
+            for order in orders:
+                for i, f in enumerate(order):
+                    want[f] += sum(worth(t, row, set(order[: i + 1])) - worth(t, row, set(order[:i])) for t in trees) / len(orders)
+            assert got == pytest.approx(want, abs=1e-12)
+            assert total == pytest.approx(sum(worth(t, row, {0, 1, 2, 3}) for t in trees)) and total == pytest.approx(sum(t[0][4] for t in trees) + got.sum())
+
+
+def test_upcoding_tells_low_complexity_visits(spark):
+    """One evidence for the share and one for each of the first ten level-5 visits of low complexity, with short ones told."""
+    rows = [(f"c{p}-{i:03}", f"m{i}", f"p{p}", "99215" if p == 0 or i < 3 else "99212", D(2024, 1, 1 + i % 28), 1 if p == 0 and i < 14 else 4, 5.0 if p == 0 and i % 4 == 1 else 40.0) for p in range(9) for i in range(60 + p)]
+    claims = spark.createDataFrame(rows, "claim_id string, member_id string, provider_id string, procedure_code string, service_date date, dx_complexity int, service_minutes double")
+    tables = {"claims": claims}
+    cfg = RuleConfig(min_em_claims=10)
+    alerts, status = R.run_rules(spark, tables, cfg, ["R02"])
+    assert [s.status for s in status.collect()] == ["ok"]
+    flagged = {r.provider_id for r in R.upcoding(tables, cfg).collect()}
+    got = {r.entity_id: r for r in alerts.collect()}
+    assert set(got) == flagged and "p0" in flagged
+    told = got["p0"].evidence
+    assert len(told) == 11 and [e.claim_ids for e in told[1:]] == [[f"c0-{i:03}"] for i in range(10)] and {e.severity for e in told[1:]} == {"MEDIUM"} and len({e.evidence_id for e in told}) == 11
+    p25 = np.percentile([r[6] for r in rows if r[3] == "99215"], 25)
+    for i, e in enumerate(told[1:]):
+        short = bool(rows[i][6] < p25)
+        assert e.fields_matched == ["em_level", "dx_complexity"] + ["service_minutes"] * short and ("below peer p25" in e.plain_text) == short
+    assert all(len(r.evidence) == 1 for p, r in got.items() if p != "p0")
