@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -14,6 +15,7 @@ from claimsieve.operators import investigate as Q
 from claimsieve.plans.storage import materialize, new_path
 from claimsieve.queries.common import R2, R6, r2, r6
 from claimsieve.queries.risk import ALERTS, SCORES, V02, alerts, fused
+from claimsieve.sources import publish as P
 from claimsieve.sources import tables as T
 from claimsieve.sources import views as V
 from claimsieve.sources.config import CaseConfig, QueueConfig
@@ -291,6 +293,27 @@ def s07(spark, d):
 
 
 S07 = "SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"
+
+
+def s08(spark, d):
+    """Latest orders as a published set: older orders first, later ones merged by customer, then two versions that fail and change nothing."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_custkey", F.struct("o_orderdate", "o_orderkey").alias("load_ts"), "o_orderkey", F.to_date("o_orderdate").alias("day"), F.col("o_totalprice").cast("double").alias("price"))
+    newest = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("load_ts")))
+    old, new = (o.where(part).withColumn("_n", newest).where("_n = 1").drop("_n") for part in ("day < '1996-01-01'", "day >= '1996-01-01'"))
+    root = new_path(spark, "published")
+    more = {"checks": {"latest": {"price": F.col("price") >= 0}}, "keys": {"latest": ["o_custkey"]}, "merge": {"latest": "load_ts"}}
+    for version, tables in (("first", {"latest": old}), ("second", {"latest": new}), ("negative", {"latest": new.withColumn("price", -F.col("price"))}), ("empty", {"latest": new.limit(0)}), ("second", {"latest": old})):
+        try:
+            P.publish(spark, root, version, tables, **more)
+        except T.ContractError:
+            pass
+    rows = P.manifest(spark, root)["tables"]["latest"]["rows"]
+    return P.published(spark, root)["latest"].select("o_custkey", "o_orderkey", "day", F.lit(P.manifest(spark, root)["version"]).alias("version"), F.lit(rows).cast("long").alias("n_rows"))
+
+
+S08 = f"SELECT *, 'second' AS version, count(*) OVER () AS n_rows FROM ({S07})"
+
+
 def k02(spark, d):
     """Peers of each case in communities made from the last digits of providers; the smallest provider is the hub."""
     p = V.providers(spark, d).select(F.concat(F.lit("provider:"), F.col("provider_id").cast("string")).alias("provider"), (F.col("provider_id") % 13).cast("string").alias("community"), "provider_id")
@@ -358,5 +381,5 @@ F14 = f"SELECT event_id, CASE WHEN event_id % 5 < 3 THEN 0.0 ELSE {R6('least(gre
 ENTRIES = {
     "k01_cases": (k01, K01), "k02_peers": (k02, K02), "s01_csv_tables": (s01, S01), "s03_both_forms": (s03, S03), "s11_output_contracts": (s11, S11), "f14_clipped": (f14, F14), "k03_case_evidence": (k03, K03), "k05_priority": (k05, K05), "k06_queue": (k06, K06), "k07_integrated_cases": (k07, K07), "k07_fixture_cases": (k07b, K07B), "k08_queue_evaluation": (k08, K08), "k09_decisions": (k09, K09),
     "q01_summary": (q01, Q01), "q02_queue_hours": (q02, Q02), "q02_deferred_page": (q02b, Q02B), "q04_evidence_ledger": (q04, Q04), "q05_timeline": (q05, Q05), "q03_case_detail": (q03, Q03), "q06_ego_network": (q06, Q06), "q07_audit": (q07, Q07), "q08_networks": (q08, Q08), "q09_claims_page": (q09, Q09), "q10_providers_page": (q10, Q10), "q11_risk_info": (q11, Q11), "q12_evaluation": (q12, Q12), "q13_packets": (q13, Q13), "q14_narrative_audit": (q14, Q14),
-    "s06_contract": (s06, S06), "s07_latest_by_key": (s07, S07),
+    "s06_contract": (s06, S06), "s07_latest_by_key": (s07, S07), "s08_published": (s08, S08),
 }
