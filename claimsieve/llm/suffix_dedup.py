@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimsieve.llm.common import bounded, portions, spare
+from claimsieve.plans.storage import materialize
 
 LENGTH = 200
 GRAM = 24
@@ -376,13 +377,17 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", out_col: str = "spans") -> DataFrame:
+def repeated_spans(docs: DataFrame, text_col: str = "text", out_col: str = "spans", stored: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` and ``out_col array<struct<start long, stop long>>``, the byte runs to remove.
 
     A column that has the name of ``out_col`` already is replaced.
 
     A byte is in a run if a string of 200 bytes that covers it starts at two places or more, in one text or in several.
     Strings never go over the end of a text. NULL, empty and shorter texts have no spans; NULL stays NULL.
+
+    Spans find their rows by numbers, which must be the same each time the rows are read. The numbered rows are therefore
+    written to the shared folder, unless ``stored`` says that ``docs`` is read from files as it is: then a task that is run
+    again numbers its part of a file as before.
     """
     spark = docs.sparkSession
     docs = bounded(docs).drop(out_col)
@@ -390,7 +395,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", out_col: str = "span
     # One exchange of the rows, used three times: each use takes all columns, or pruning would make them differ.
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     text = names[text_col]
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), *(F.col(f"`{c}`").alias(x) for c, x in names.items())).repartition(n, "rid")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), *(F.col(f"`{c}`").alias(x) for c, x in names.items()))
+    rows = (rows if stored else materialize(rows, "numbered")).repartition(n, "rid")
     grams = rows.mapInArrow(_anchor_rows(text), "rid long, gram long, n long")
     counts = grams.groupBy("gram").agg(F.sum("n").alias("total")).where("total > 1").select("gram", (F.col("total") > HOT_GRAM).alias("is_hot"))
     repeated = grams.join(counts, "gram").groupBy("rid").agg(F.collect_list(F.when(~F.col("is_hot"), F.col("gram"))).alias("cold"), F.collect_list(F.when(F.col("is_hot"), F.col("gram"))).alias("hot"))
@@ -404,8 +410,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", out_col: str = "span
     return rows.join(spans.hint("shuffle_hash"), "rid", "left").select(*(F.col(x).alias(c) for c, x in names.items()), F.coalesce("spans", none).alias(out_col))
 
 
-def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``: one for every row."""
+def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stored: bool = False) -> DataFrame:
+    """Rows ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``: one for every row; ``stored`` as in ``repeated_spans``."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in portions(batches, "text"):
@@ -419,14 +425,14 @@ def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_bytes": pa.array(a, pa.int64()), "n_removed": pa.array(b, pa.int64()), "n_spans": pa.array(c, pa.int64()), "kept_sha256": pa.array(d)})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return repeated_spans(rows).mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return repeated_spans(rows, stored=stored).mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, text_col: str = "text", stored: bool = False) -> DataFrame:
     """All rows and columns with repeated strings cut out of the text; a character that is cut through goes too.
 
     NULL texts stay NULL. Repeated rows stay rows; what they repeat of each other is cut like any other repetition. Columns of
-    any names stay as they are, and an empty table gives an empty one.
+    any names stay as they are, and an empty table gives an empty one. ``stored`` as in ``repeated_spans``.
     """
     schema, at = docs.schema, docs.columns.index(text_col)
 
@@ -439,7 +445,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 new.append(None if z else _without(t.encode(), gone).decode(errors="ignore") if gone else t)
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:-1])], names=batch.schema.names[:-1])
 
-    return repeated_spans(docs, text_col, spare(docs, "_repeated_spans")).mapInArrow(cut, schema)
+    return repeated_spans(docs, text_col, spare(docs, "_repeated_spans"), stored).mapInArrow(cut, schema)
 
 
 def _without(raw: bytes, gone: list[tuple[int, int]]) -> bytes:
@@ -454,4 +460,4 @@ def _without(raw: bytes, gone: list[tuple[int, int]]) -> bytes:
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated strings of 200 bytes over all ``documents``."""
-    return dedup_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return dedup_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), stored=True)

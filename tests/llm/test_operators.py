@@ -284,11 +284,13 @@ def brute_repeats(texts, n=200):
 
 
 @pytest.mark.parametrize("hot", [50_000, 2])
-def test_suffix_dedup(spark, docs, empty, monkeypatch, hot):
+def test_suffix_dedup(spark, docs, empty, monkeypatch, tmp_path, hot):
     monkeypatch.setattr(suffix_dedup, "HOT_GRAM", hot)
     rows = [r if r[1] is None or len(r[1]) < 50_000 else (*r[:1], r[1][:9000], *r[2:]) for r in ROWS]
     got = sorted(tuple(r)[1:] for r in suffix_dedup.dedup_digest(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == sorted(brute_repeats([r[1] for r in rows]))
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/rows")
+    assert got == sorted(tuple(r)[1:] for r in suffix_dedup.dedup_digest(spark.read.parquet(f"{tmp_path}/rows"), stored=True).collect())
     assert suffix_dedup.dedup_digest(empty).count() == 0
 
 
