@@ -237,13 +237,95 @@ def integrated_cases(scores: DataFrame, alerts: DataFrame, claims: DataFrame) ->
     return out.join(slots.select("provider_id", "slot"), "provider_id")
 
 
-def fixture_cases(alerts: DataFrame) -> DataFrame:
-    """Cases from alerts alone: a base by the worst severity, more for rules and claims, at most 99."""
+#: What a case says of its rules.
+RULE_NAMES = {
+    "R01": "Duplicate Billing",
+    "R02": "Upcoding",
+    "R03": "Unbundling",
+    "R04": "Phantom Services",
+    "R05": "Excessive Utilization",
+    "R06": "Impossible Timing",
+    "R07": "Referral Anomaly",
+    "R08": "Geographic Anomaly",
+    "R09": "Shared Identity Link",
+    "R10": "Burst / Spike",
+}
+_ENTITY = ["entity_type", "entity_id"]
+
+
+def _rule_name(rule: Column) -> Column:
+    names = F.create_map(*(F.lit(x) for pair in RULE_NAMES.items() for x in pair))
+    return F.coalesce(F.try_element_at(names, rule), rule)
+
+
+def _entity_case() -> Column:
+    return F.concat(F.lit("CASE-"), F.upper(F.substring("entity_type", 1, 3)), F.lit("-"), F.col("entity_id"))
+
+
+def fixture_cases(alerts: DataFrame, claims: DataFrame | None = None, networks: DataFrame | None = None, providers: DataFrame | None = None, listed: DataFrame | None = None) -> DataFrame:
+    """A case for each entity that has alerts, from alerts alone: a base by the worst severity, more for rules and claims, at most 99.
+
+    ``listed``: claims of the alerts as rows (``rules.alert_claims``), else those that the alerts list. ``claims`` gives the members
+    affected (1 without them), ``networks`` (hub_provider_id, network_id, hard_link_score) the network of a hub, ``providers`` names.
+    Reasons are the first four different texts by alert id, rules go by id. Alerts without an entity make no case.
+    """
+    alerts = alerts.where("entity_type is not null and entity_id is not null")
     base = F.when(F.col("worst") == 4, 35).when(F.col("worst") == 3, 25).when(F.col("worst") == 2, 15).otherwise(8)
-    per = alerts.groupBy("entity_type", "entity_id").agg(F.max(C.severity_rank(F.col("severity"))).alias("worst"), F.countDistinct("rule_id").alias("rules"), F.size(F.array_distinct(F.flatten(F.collect_list("claim_ids")))).alias("claims"), F.sum("est_dollars").alias("dollars"))
-    scored = per.withColumn("score", F.least(base + F.least(12 * F.col("rules"), F.lit(35)) + F.least(1.5 * F.col("claims"), F.lit(20)), F.lit(99)))
-    order = [F.desc("score"), F.desc("dollars"), F.col("entity_type"), F.col("entity_id")]
-    return W.ranked(scored, order, "case_rank").withColumn("case_id", F.format_string("CASE-%06d", F.col("case_rank"))).drop("case_rank")
+    why = F.concat(F.lit("Triggered "), F.col("rule_id"), F.lit(" ("), _rule_name(F.col("rule_id")), F.lit(")"))
+    by_rule = alerts.groupBy(*_ENTITY, "rule_id").agg(F.max(C.severity_rank(F.col("severity"))).alias("worst"), F.sum("est_dollars").alias("dollars"))
+    per = by_rule.groupBy(*_ENTITY).agg(F.max("worst").alias("worst"), F.count("rule_id").alias("rules"), F.coalesce(F.sum("dollars"), F.lit(0.0)).alias("dollars"), F.sort_array(F.collect_list(why)).alias("why_flagged"))
+    own = (alerts.select(*_ENTITY, F.explode("claim_ids").alias("claim_id")) if listed is None else listed.select(*_ENTITY, "claim_id")).distinct()
+    counted = own.groupBy(*_ENTITY).agg(F.count("claim_id").alias("claims"))
+    texts = alerts.select(*_ENTITY, "alert_id", F.posexplode("evidence").alias("at", "e")).select(*_ENTITY, F.struct("alert_id", "at").alias("place"), F.coalesce("e.plain_text", F.lit("")).alias("text"), F.col("e.fp_notes").alias("note"))
+    first = texts.groupBy(*_ENTITY, "text").agg(F.min("place").alias("place"))
+    top = first.withColumn("n", F.row_number().over(Window.partitionBy(*_ENTITY).orderBy("place"))).where(F.col("n") <= 4).groupBy(*_ENTITY).agg(F.sort_array(F.collect_list(F.struct("n", "text"))).alias("top"))
+    notes = texts.where("note <> ''").select(*_ENTITY, "note").distinct().groupBy(*_ENTITY).agg(F.sort_array(F.collect_list("note")).alias("benign_explanations"))  # a few fixed notes a rule
+    out = per.join(counted, _ENTITY, "left").join(top, _ENTITY, "left").join(notes, _ENTITY, "left")
+    if claims is not None:
+        people = own.join(claims.select(F.col("claim_id").cast("string").alias("claim_id"), "member_id"), "claim_id").groupBy(*_ENTITY).agg(F.countDistinct("member_id").alias("members_affected"))
+        out = out.join(people, _ENTITY, "left")
+    else:
+        out = out.withColumn("members_affected", F.lit(None).cast("bigint"))
+    if networks is not None:
+        hubs = networks.where("hub_provider_id is not null").groupBy(F.col("hub_provider_id").cast("string").alias("entity_id")).agg(F.max_by(F.struct("network_id", "hard_link_score"), "network_id").alias("net"))
+        out = out.join(hubs, "entity_id", "left").withColumns({"network_id": F.col("net.network_id").cast("string"), "network_risk": F.round(F.coalesce(F.col("net.hard_link_score").cast("double"), F.lit(0.0)), 3)}).drop("net")
+    else:
+        out = out.withColumns({"network_id": F.lit(None).cast("string"), "network_risk": F.lit(0.0)})
+    if providers is not None:
+        named = providers.groupBy(F.col("provider_id").cast("string").alias("entity_id")).agg(F.min("provider_name").alias("_name"))
+        out = out.join(named, "entity_id", "left")
+    else:
+        out = out.withColumn("_name", F.lit(None).cast("string"))
+    none = F.array().cast("array<string>")
+    scored = out.withColumn("claims", _count("claims")).withColumn("score", F.least(base + F.least(12 * F.col("rules"), F.lit(35)) + F.least(1.5 * F.col("claims"), F.lit(20)), F.lit(99)))
+    tier = F.when(F.col("score") >= 80, "CRITICAL").when(F.col("score") >= 60, "HIGH").when(F.col("score") >= 35, "MEDIUM").otherwise("LOW")
+    scored = scored.withColumns(
+        {
+            "case_id": _entity_case(), "entity_name": F.coalesce("_name", F.concat(F.initcap("entity_type"), F.lit(" "), F.col("entity_id"))), "status": F.lit("NEW"), "priority": tier, "confidence": F.lit(0.88), "evidence_strength": F.lit(0.85),
+            "exposure_low": F.round(0.8 * F.col("dollars"), 2), "exposure_high": F.round(F.greatest(1.2 * F.col("dollars"), F.lit(500.0)), 2), "members_affected": F.coalesce("members_affected", F.lit(1)), "benign_explanations": F.coalesce("benign_explanations", none),
+            "top_reasons": F.when(F.size("top") > 0, F.col("top.text")).otherwise(F.col("why_flagged")), "rule_risk": F.round(F.least(F.col("score") / 100, F.lit(1.0)), 3), "anomaly_risk": F.least(0.25 * F.col("rules"), F.lit(1.0)), "future_velocity_risk": F.round(0.7 * F.col("score"), 1),
+        }
+    )
+    return scored.drop("top", "_name")
+
+
+def fixture_evidence(alerts: DataFrame) -> DataFrame:
+    """A ledger row for each evidence of each alert: its case, first claim, fields, text, amount (of the alert where it has none) and source."""
+    e = alerts.where("entity_type is not null and entity_id is not null").select(_entity_case().alias("case_id"), "rule_id", "entity_id", "claim_ids", "est_dollars", F.col("severity").alias("_severity"), F.explode("evidence").alias("e"))
+    claims = F.coalesce("e.claim_ids", "claim_ids")
+    fields = F.array_join("e.fields_matched", ", ")
+    amount = F.col("e.est_overpay")
+    return e.select(
+        F.col("e.evidence_id").alias("evidence_id"), "case_id", "rule_id", _rule_name(F.col("rule_id")).alias("rule_name"), F.try_element_at(claims, F.lit(1)).alias("claim_id"), "entity_id", F.when(fields != "", fields).otherwise("multiple").alias("field_name"), F.col("e.plain_text").alias("plain_text"),
+        F.when(amount > 0, amount).otherwise(F.coalesce("est_dollars", F.lit(0.0))).alias("est_overpay"), F.coalesce("e.severity", "_severity").alias("severity"), F.lit("alerts").alias("source_table"), F.concat(F.lit("rule_engine/"), F.lower("rule_id")).alias("source_artifact"), F.when(F.col("e.fp_notes") != "", F.col("e.fp_notes")).alias("fp_notes"),
+    )
+
+
+def fixture_queue(cases: DataFrame) -> DataFrame:
+    """Fixture cases in their working order: score, then kind and id of the entity; effort by claims, exposure an hour, rank as slot."""
+    ranks = W.ranked(cases.select("case_id", "score", *_ENTITY), [F.desc("score"), F.col("entity_type"), F.col("entity_id")], "queue_rank").select("case_id", "queue_rank")
+    effort = F.round(F.least(2 + 0.1 * F.col("claims"), F.lit(8.0)), 1)
+    return cases.join(ranks, "case_id").withColumn("effort_hours", effort).withColumns({"ev_per_hour": F.round(F.col("exposure_high") / F.greatest(F.col("effort_hours"), F.lit(1.0)), 2), "slot": F.col("queue_rank"), "baseline_rank": F.col("queue_rank")})
 
 
 def queue_evaluation(queue: DataFrame, top: int = 20) -> DataFrame:
@@ -255,6 +337,42 @@ def queue_evaluation(queue: DataFrame, top: int = 20) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def queue_report(cases: DataFrame, queue: DataFrame, cfg: QueueConfig = QueueConfig()) -> DataFrame:
+    """The evaluation of a queue as rows ``section, metric, value``: counts, tiers, scores, what is selected and what deferred,
+    the first cases by priority, by risk and by exposure, and how many cases lack a signal. No labels are used.
+
+    A signal that a case lacks counts as 0. The median is exact at any size; the first cases are limits of ``capacity`` rows.
+    """
+    selected = F.col("queue_status") == "QUEUED"
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int")).cast("double")
+    mean = lambda c, where: F.coalesce(F.avg(F.when(where, F.col(c))), F.lit(0.0))
+    lacks = {f"{k}_missing": F.coalesce(F.col(f"q_{k}"), F.lit(0.0)) == 0 for k in ("network", "anomaly", "future", "behaviour")}
+    one = {
+        ("count", "eligible_cases"): F.count(F.lit(1)).cast("double"), ("count", "selected"): n(selected), ("count", "deferred"): n(~selected), ("score", "average_priority"): F.avg("priority_score"),
+        ("risk", "average_selected"): mean("risk_score", selected), ("risk", "average_deferred"): mean("risk_score", ~selected), ("exposure", "average_selected"): mean("estimated_exposure", selected), ("exposure", "average_deferred"): mean("estimated_exposure", ~selected),
+        **{("missing", k): n(c) for k, c in lacks.items()}, ("missing", "exposure_zero"): n(F.coalesce(F.col("estimated_exposure"), F.lit(0.0)) == 0),
+    }
+    measures = {"average_risk": F.avg("risk_score"), "average_exposure": F.avg("estimated_exposure"), "total_exposure": F.sum("estimated_exposure"), "average_evidence": F.avg("evidence_strength"), "average_priority": F.avg("priority_score")}
+
+    def told(df: DataFrame, figures: dict[tuple[str, str], Column]) -> DataFrame:
+        names = [f"v{i}" for i in range(len(figures))]
+        row = df.agg(*(x.alias(v) for v, x in zip(names, figures.values(), strict=True)))
+        listed = F.array(*(F.struct(F.lit(a).alias("section"), F.lit(b).alias("metric"), F.col(v).cast("double").alias("value")) for v, (a, b) in zip(names, figures, strict=True)))
+        return row.select(F.explode(listed).alias("r")).select("r.*")
+
+    all_cases = cases.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(queue.agg(F.count(F.lit(1)).alias("q"))))
+    parts = [
+        told(queue, one), told(all_cases, {("count", "total_cases"): F.max("n"), ("count", "excluded_cases"): F.max(F.col("n") - F.col("q")), ("count", "capacity"): F.lit(float(cfg.capacity))}),
+        queue.groupBy("priority_tier").agg(F.count(F.lit(1)).alias("n")).select(F.lit("tier").alias("section"), F.col("priority_tier").alias("metric"), F.col("n").cast("double").alias("value")),
+        W.quantiles(queue.select(F.lit(1).alias("_all_rows"), "priority_score"), ["_all_rows"], "priority_score", {"p50": 0.5}).select(F.lit("score").alias("section"), F.lit("median_priority").alias("metric"), F.col("p50").alias("value")),
+    ]
+    orders = {"by_priority": ["queue_rank"], "by_risk": [F.desc("risk_score"), F.desc("evidence_strength"), F.desc("estimated_exposure"), "case_id"], "by_exposure": [F.desc("estimated_exposure"), F.desc("risk_score"), F.desc("evidence_strength"), "case_id"]}
+    for name, order in orders.items():
+        first = queue.where(selected) if name == "by_priority" else queue
+        parts.append(told(first.orderBy(*order).limit(cfg.capacity), {(name, k): x for k, x in measures.items()}))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 STATUS_OF = {"accept": "IN_REVIEW", "reject": "CLOSED", "escalate": "ESCALATED"}
 
 

@@ -26,8 +26,11 @@ def rule_quality(alerts: DataFrame, scenarios: DataFrame, entity_labels: DataFra
 
 
 def claim_quality(alerts: DataFrame, truth: DataFrame) -> DataFrame:
-    """By rule, over claims (truth: claim_id, rule_id, is_fraud): true and false positives, misses, precision, recall and F1."""
-    got = alerts.select("rule_id", F.explode("claim_ids").alias("claim_id")).distinct().withColumn("got", F.lit(1))
+    """By rule, over claims (truth: claim_id, rule_id, is_fraud): true and false positives, misses, precision, recall and F1.
+
+    ``alerts`` lists claims (``claim_ids``) or has one a row, as ``rules.alert_claims`` gives them at any size.
+    """
+    got = alerts.select("rule_id", "claim_id" if "claim_id" in alerts.columns else F.explode("claim_ids").alias("claim_id")).distinct().withColumn("got", F.lit(1))
     bad = truth.where("is_fraud").select("rule_id", F.col("claim_id").cast("string").alias("claim_id")).distinct().withColumn("bad", F.lit(1))
     both = got.join(bad, ["rule_id", "claim_id"], "full")
     g, b = F.coalesce("got", F.lit(0)), F.coalesce("bad", F.lit(0))
@@ -54,6 +57,50 @@ def ring_recovery(rings: DataFrame, membership: DataFrame) -> DataFrame:
     return out.withColumns({"recovery": F.col("overlap") / F.col("ring_size"), "one_community": (F.col("n_communities") == 1) & (F.col("overlap") == F.col("ring_size")), "false_members": F.col("community_size") - F.col("overlap")})
 
 
+def scenario_breakdown(rings: DataFrame, membership: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """For each ring its scenario, the rules expected of it, and how many of its providers one community holds.
+
+    ``scenarios``: ring_id, scenario_id, scenario_type and expected_rules as comma-separated text. A ring without a scenario goes
+    by its own id and expects the rules of relations and timing.
+    """
+    found = ring_recovery(rings, membership).join(scenarios, "ring_id", "left")
+    kind = F.coalesce("scenario_type", F.lit("collusion"))
+    told = F.concat(F.initcap(F.translate(kind, "_", " ")), F.lit(" planted collusion ring ("), F.col("ring_id"), F.lit(")"))
+    return found.select(
+        F.coalesce("scenario_id", "ring_id").alias("scenario_id"), kind.alias("scenario_type"), told.alias("description"), "ring_id", F.coalesce("expected_rules", F.lit(",".join(RING_RULES))).alias("expected_rules"), (F.col("overlap") > 0).alias("detected"),
+        F.col("recovery").alias("recovery"), F.col("ring_size").alias("providers_count"), F.col("overlap").alias("providers_detected"),
+    )
+
+
+#: Rules that a planted ring is expected to set off where its scenario names none.
+RING_RULES = ("R06", "R07", "R08", "R09", "R10")
+
+
+def _quality(got: DataFrame, bad: DataFrame, key: str, prefix: str) -> DataFrame:
+    """One row: true and false positives, misses, precision, recall and F1 of distinct ``key`` found against those labelled."""
+    both = got.select(key).distinct().withColumn("got", F.lit(1)).join(bad.select(key).distinct().withColumn("bad", F.lit(1)), key, "full")
+    g, b = F.coalesce("got", F.lit(0)), F.coalesce("bad", F.lit(0))
+    n = both.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(k) for k, x in {"tp": g * b, "fp": g * (1 - b), "fn": (1 - g) * b}.items()))
+    share = lambda a, c: F.when(c > 0, a / c).otherwise(0.0)
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    measures = {"tp": tp, "fp": fp, "fn": fn, "precision": share(tp, tp + fp), "recall": share(tp, tp + fn), "f1": share(2 * tp, 2 * tp + fp + fn)}
+    return n.select(*(x.alias(f"{prefix}_{k}") for k, x in measures.items()))
+
+
+def evaluation_summary(listed: DataFrame, claims: DataFrame, providers: DataFrame, bad_claims: DataFrame, bad_providers: DataFrame, breakdown: DataFrame) -> DataFrame:
+    """One row, all of it counted: what was evaluated, quality over claims and over providers, scenarios found and mean recovery.
+
+    ``listed``: alerts with one claim a row (``rules.alert_claims``). ``bad_claims`` and ``bad_providers``: labelled ids.
+    """
+    of_claims = _quality(listed.select(F.col("claim_id").cast("string").alias("claim_id")).dropna(), bad_claims.select(F.col("claim_id").cast("string").alias("claim_id")), "claim_id", "claim")
+    alerted = listed.where("entity_type = 'provider'").select(F.col("entity_id").alias("provider_id"))
+    of_providers = _quality(alerted, bad_providers.select(F.col("provider_id").cast("string").alias("provider_id")), "provider_id", "provider")
+    rings = breakdown.agg(F.count(F.lit(1)).alias("total_scenarios"), F.coalesce(F.sum(F.col("detected").cast("int")), F.lit(0)).alias("detected_scenarios"), F.coalesce(F.avg("recovery"), F.lit(0.0)).alias("mean_recovery"))
+    rings = rings.withColumn("scenario_recall", F.col("detected_scenarios") / F.greatest("total_scenarios", F.lit(1)))
+    sizes = claims.agg(F.count(F.lit(1)).alias("total_claims")).join(F.broadcast(providers.agg(F.count(F.lit(1)).alias("total_providers"))))
+    return reduce(lambda a, b: a.join(F.broadcast(b)), (of_claims, of_providers, rings), sizes)  # single rows
+
+
 def ranking_metrics(scored: DataFrame, ks: tuple[int, ...] = (10, 25, 50, 100)) -> DataFrame:
     """ROC-AUC (ties by mean rank), average precision, base rate, and precision, recall and lift of the top k (of all rows, if fewer).
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -408,6 +409,33 @@ def with_claims(core: DataFrame, rows: DataFrame, keys: list[str], most: int, fi
     return listed.select(*own, F.col("_listed._claim").alias("claim_ids"))
 
 
+def _long_lists() -> tuple[tuple[str, str, str, tuple[str, ...], Callable[[Tables, RuleConfig], DataFrame]], ...]:
+    """Findings that list many claims: rule, kind of entity, a measure that only they have, their keys, their claims as rows."""
+    return (
+        ("R02", "provider", "high_share", ("provider_id",), lambda t, c: em_claims(t)),
+        ("R05", "member", "peak", ("member_id", "code_group"), over_cap_claims),
+        ("R05", "provider", "visits_per_member", ("provider_id",), lambda t, c: provider_claims(t)),
+        ("R06", "provider", "total_minutes", ("provider_id", "service_date"), lambda t, c: provider_claims(t, "service_date")),
+    )
+
+
+def alert_claims(alerts: DataFrame, tables: Tables, cfg: RuleConfig = RuleConfig()) -> DataFrame:
+    """Rows ``alert_id, rule_id, entity_type, entity_id, claim_id``: every claim of every alert, also beyond the list it shows.
+
+    Lists shorter than ``listed_claims`` are whole and are taken as they are. The rest is joined from the claims by the keys that
+    the alert's measures tell, one claim a row, so no task holds the claims of a provider. An alert without claims has no row.
+    """
+    head = ["alert_id", "rule_id", "entity_type", "entity_id"]
+    rows, cut = [], F.lit(False)
+    for rule, kind, measure, keys, claims_of in _long_lists() if "claims" in tables else ():
+        mine = F.coalesce((F.col("rule_id") == rule) & (F.col("entity_type") == kind) & F.map_contains_key("metadata", F.lit(measure)) & (F.size("claim_ids") >= cfg.listed_claims), F.lit(False))
+        cut = cut | mine
+        found = alerts.where(mine).select(*head, *(F.col("metadata")[k].alias(k) for k in keys))
+        own = claims_of(tables, cfg).where("claim_id is not null").select(*(F.col(k).cast("string").alias(k) for k in keys), F.col("claim_id").cast("string").alias("claim_id"))
+        rows.append(found.join(own, list(keys)).select(*head, "claim_id"))
+    return reduce(lambda a, b: a.unionByName(b), rows, alerts.where(~cut).select(*head, F.explode("claim_ids").alias("claim_id")))
+
+
 # -- alerts
 
 

@@ -35,6 +35,18 @@ def m02(spark, d):
     return rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("provider_id").alias("providers"), F.sum("label").alias("positives"))
 
 
+def m04(spark, d):
+    """Isotonic calibration of a score with few values: the calibrated probability of each value."""
+    rows = V.claims(spark, d).select((F.col("service_minutes") / 50).alias("ml_probability"), (F.col("order_id") * 7 % 53 < F.col("service_minutes")).cast("int").alias("label"))
+    out = M.calibrated(rows, M.fit_isotonic(rows))
+    return out.groupBy("ml_probability").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("calibrated_probability")).alias("calibrated"))
+
+
+# The least of the means of what follows, over the greatest of where they begin: the isotonic value of each score.
+M04 = f"""{V.with_views('claims')}, s AS (SELECT service_minutes / 50 AS p, count(*) AS n, sum(CASE WHEN order_id * 7 % 53 < service_minutes THEN 1 ELSE 0 END) AS y FROM claims GROUP BY 1), c AS (SELECT *, sum(n) OVER (ORDER BY p) AS cn, sum(y) OVER (ORDER BY p) AS cy FROM s),
+ w AS (SELECT a.p AS lo, b.p AS hi, (b.cy - a.cy + a.y) / (b.cn - a.cn + a.n) AS m FROM c a JOIN c b ON a.p <= b.p), f AS (SELECT s.p, s.n, lo, min(m) AS v FROM s JOIN w ON lo <= s.p AND s.p <= hi GROUP BY 1, 2, 3) SELECT p AS ml_probability, n, {R6('max(v)')} AS calibrated FROM f GROUP BY 1, 2"""
+
+
 def m03(spark, d):
     """Out-of-fold, calibrated scores of all claims: rows and bounds by fold."""
     m, c = _matrix(spark, d)
@@ -159,4 +171,6 @@ def m16(spark, d):
     return out["evaluation"].select("part", "metric", r6("value").alias("value"))
 
 
-ENTRIES = {"m01_target": (m01, M01), "m02_grouped_folds": (m02, None), "m03_claim_scores": (m03, None), "m08_provider_anomaly": (m08, None), "m09_future_targets": (m09, M09), "m10_snapshot_panel": (m10, M10), "m14_baselines": (m14, None), "m06_attributions": (m06, None), "m11_future_risk": (m11, None), "m12_ablation": (m12, None), "m07_claim_table": (m07, None), "m14_amount": (m14b, M14B), "m15_anomaly_evaluation": (m15, M15), "m15_future_evaluation": (m15b, M15B), "m16_learning_run": (m16, None)}
+ENTRIES = {
+    "m04_calibration": (m04, M04),
+    "m01_target": (m01, M01), "m02_grouped_folds": (m02, None), "m03_claim_scores": (m03, None), "m08_provider_anomaly": (m08, None), "m09_future_targets": (m09, M09), "m10_snapshot_panel": (m10, M10), "m14_baselines": (m14, None), "m06_attributions": (m06, None), "m11_future_risk": (m11, None), "m12_ablation": (m12, None), "m07_claim_table": (m07, None), "m14_amount": (m14b, M14B), "m15_anomaly_evaluation": (m15, M15), "m15_future_evaluation": (m15b, M15B), "m16_learning_run": (m16, None)}

@@ -307,6 +307,22 @@ def _alert(rule: str, kind: str, entity: str, severity: str, ids: str) -> str:
     return f"SELECT '{rule}' AS rule_id, '{kind}' AS entity_type, CAST({entity} AS VARCHAR) AS entity_id, '{severity}' AS severity, {_LISTED.format(x=ids)}"
 
 
+def r00_rows(spark, d):
+    """Alerts list three claims at most here; their claims as rows are all there."""
+    t = tables(spark, d)
+    t["claims"] = t["claims"].withColumn("em_level", F.least(F.lit(5), F.floor(F.col("service_minutes") / 10).cast("int") + 1))
+    cfg = RuleConfig(listed_claims=3, mad_z=1.0, share_multiplier=1.02, min_em_claims=20, caps={"ones": (("Brand#1",), 2), "twos": (("Brand#2",), 1)}, peer_multiplier=1.01, day_minutes=100)
+    found, _ = R.run_rules(spark, t, cfg, only=["R02", "R05", "R06a"])
+    return R.alert_claims(found, t, cfg).groupBy("rule_id", "entity_type", "entity_id").agg(F.countDistinct("alert_id").alias("n_alerts"), F.count(F.lit(1)).alias("n_claims"), F.min("claim_id").alias("first_claim"), F.max("claim_id").alias("last_claim"))
+
+
+R00_ROWS = f"""{V.with_views('claims')}, g AS (SELECT *, CASE WHEN procedure_code LIKE 'Brand#1%' THEN 'ones' ELSE 'twos' END AS code_group, CASE WHEN procedure_code LIKE 'Brand#1%' THEN 2 ELSE 1 END AS cap FROM claims WHERE procedure_code LIKE 'Brand#1%' OR procedure_code LIKE 'Brand#2%'),
+ r AS (SELECT *, count(*) OVER (PARTITION BY member_id, code_group ORDER BY service_date RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW) AS n FROM g),
+ e AS (SELECT 'R02' AS rule_id, 'provider' AS entity_type, CAST(provider_id AS VARCHAR) AS entity_id, '' AS part, claim_id FROM claims WHERE provider_id IN (SELECT provider_id FROM ({R02})) UNION ALL SELECT 'R05', 'member', CAST(member_id AS VARCHAR), code_group, claim_id FROM r WHERE n > cap
+  UNION ALL SELECT 'R05', 'provider', CAST(provider_id AS VARCHAR), '', claim_id FROM claims WHERE provider_id IN (SELECT provider_id FROM ({R05B})) UNION ALL SELECT 'R06', 'provider', CAST(provider_id AS VARCHAR), CAST(service_date AS VARCHAR), claim_id FROM claims JOIN ({R06A}) USING (provider_id, service_date))
+ SELECT rule_id, entity_type, entity_id, count(DISTINCT part) AS n_alerts, count(*) AS n_claims, min(claim_id) AS first_claim, max(claim_id) AS last_claim FROM e GROUP BY 1, 2, 3"""
+
+
 R00_CLAIMS = f"""{V.with_views('claims', 'providers', 'members', 'referrals')}, own AS (SELECT provider_id, list(claim_id ORDER BY claim_id) AS ids FROM claims GROUP BY 1), day AS (SELECT provider_id, service_date, list(claim_id ORDER BY claim_id) AS ids FROM claims GROUP BY 1, 2),
  g AS (SELECT *, CASE WHEN procedure_code LIKE 'Brand#1%' THEN 'ones' ELSE 'twos' END AS code_group, CASE WHEN procedure_code LIKE 'Brand#1%' THEN 2 ELSE 1 END AS cap FROM claims WHERE procedure_code LIKE 'Brand#1%' OR procedure_code LIKE 'Brand#2%'),
  r AS (SELECT *, count(*) OVER (PARTITION BY member_id, code_group ORDER BY service_date RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW) AS n FROM g), over AS (SELECT member_id, code_group, list(claim_id ORDER BY claim_id) AS ids FROM r WHERE n > cap GROUP BY 1, 2),
@@ -327,7 +343,7 @@ R00_CLAIMS = f"""{V.with_views('claims', 'providers', 'members', 'referrals')},
  UNION ALL {_alert('R08', 'provider', 'f.provider_id', 'LOW', 'own.ids[1:50]')} FROM ({R08B}) f LEFT JOIN own USING (provider_id)"""
 
 ENTRIES = {
-    "r00_rule_runner": (r00, R00), "r00_claim_ids": (r00_claims, R00_CLAIMS), "r01a_exact_duplicates": (r01a, R01A), "r01b_near_duplicates": (r01b, R01B), "r02_upcoding": (r02, R02), "r03_unbundling": (r03, R03), "r04a_after_death": (r04a, R04A),
+    "r00_rule_runner": (r00, R00), "r00_claim_ids": (r00_claims, R00_CLAIMS), "r00_claim_rows": (r00_rows, R00_ROWS), "r01a_exact_duplicates": (r01a, R01A), "r01b_near_duplicates": (r01b, R01B), "r02_upcoding": (r02, R02), "r03_unbundling": (r03, R03), "r04a_after_death": (r04a, R04A),
     "r04b_after_enrollment": (r04b, R04B), "r04c_during_stay": (r04c, R04C), "r04d_closed_facility": (r04d, R04D), "r04e_non_operating_day": (r04e, R04E), "r04f_orphan_ambulance": (r04f, R04F), "r04g_ghost_members": (r04g, R04G),
     "r05a_over_caps": (r05a, R05A), "r05b_excessive_providers": (r05b, R05B), "r06a_overloaded_days": (r06a, R06A), "r06b_impossible_travel": (r06b, R06B), "r06c_member_overlaps": (r06c, R06C), "r07a_concentration": (r07a, R07A),
     "r07b_reciprocal_loops": (r07b, R07B), "r07c_same_day_labs": (r07c, R07C), "r07d_referral_spikes": (r07d, R07D), "r08a_distance": (r08a, R08A), "r08b_many_counties": (r08b, R08B), "r08c_facility_type": (r08c, R08C), "r10_weekly_burst": (r10, R10),

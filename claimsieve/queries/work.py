@@ -11,10 +11,11 @@ from pyspark.sql.types import StructType
 from claimsieve.functions import columns as C
 from claimsieve.functions.columns import PROHIBITED
 from claimsieve.operators import cases as K
+from claimsieve.operators import evaluation as Ev
 from claimsieve.operators import investigate as Q
 from claimsieve.plans.storage import materialize, new_path
 from claimsieve.queries.common import R2, R6, r2, r6
-from claimsieve.queries.risk import ALERTS, SCORES, V02, alerts, fused
+from claimsieve.queries.risk import ALERTS, SCORES, V02, V02B, alerts, fused
 from claimsieve.sources import publish as P
 from claimsieve.sources import tables as T
 from claimsieve.sources import views as V
@@ -118,19 +119,76 @@ K07 = f"""{SCORES}, ka AS (SELECT provider_id, order_id % 40 AS k, round(sum(pai
  {R6("100 * (0.3 * least(risk / 100, 1) + 0.25 * least(hi / 50000, 1) + 0.15 * least(m / 10, 1) + 0.1 * CASE tier WHEN 'CRITICAL' THEN 1 WHEN 'HIGH' THEN 0.75 WHEN 'MEDIUM' THEN 0.5 ELSE 0.25 END + 0.2 * ev)")} AS queue_priority, CAST(row_number() OVER (ORDER BY risk DESC, provider_id) AS INTEGER) AS slot FROM y"""
 
 
+def _told(spark, d):
+    """Alerts with whole evidence: texts by rule and severity, LOW ones without an amount, R01 without fields, R04 with a note."""
+    low, rule = F.col("severity") == "LOW", F.col("rule_id")
+    e = F.struct(
+        F.concat(F.lit("E-"), "alert_id").alias("evidence_id"), rule.alias("rule_id"), F.col("claim_ids").alias("claim_ids"), F.when(rule == "R01", F.array().cast("array<string>")).otherwise(F.array(F.lit("provider_id"), F.lit("service_date"))).alias("fields_matched"),
+        F.concat(F.lit("Found by "), rule, F.lit(", "), F.lower("severity")).alias("plain_text"), F.when(low, 0.0).otherwise(F.col("est_dollars") / 2).alias("est_overpay"), F.col("severity").alias("severity"), F.when(rule == "R04", "Never opens a case alone.").otherwise("").alias("fp_notes"),
+    )
+    return alerts(spark, d).withColumn("evidence", F.array(e))
+
+
+def _fixture(spark, d):
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    hubs = s.where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("hub_provider_id"), F.concat(F.lit("NET-"), "s_suppkey").alias("network_id"), (F.col("s_suppkey") % 10 / 10).alias("hard_link_score"))
+    names = s.where("s_suppkey % 4 <> 0").select(F.col("s_suppkey").alias("provider_id"), F.col("s_name").alias("provider_name"))
+    return K.fixture_cases(_told(spark, d), V.claims(spark, d), hubs, names)
+
+
 def k07b(spark, d):
-    out = K.fixture_cases(alerts(spark, d))
-    return out.select("entity_id", "worst", "rules", "claims", "score", r2("dollars").alias("dollars"))
+    out = _fixture(spark, d)
+    texts = [F.array_join(c, "; ").alias(c) for c in ("why_flagged", "top_reasons", "benign_explanations")]
+    return out.select("case_id", "entity_id", "entity_name", "worst", "rules", "claims", "members_affected", "score", "priority", r2("dollars").alias("dollars"), r2("exposure_low").alias("exposure_low"), r2("exposure_high").alias("exposure_high"), "network_id", "network_risk", "anomaly_risk", *texts)
+
+
+_RULE_SQL = "CASE rule_id " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.RULE_NAMES.items()) + " END"
+FIXTURE = f"""{V.with_views('claims')}, {ALERTS}, a AS (SELECT CAST(provider_id AS VARCHAR) AS entity_id, max(CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END) AS worst, count(DISTINCT rule_id) AS rules, count(DISTINCT claim_id) AS claims, sum(est_dollars) AS d,
+  string_agg(DISTINCT 'Triggered ' || rule_id || ' (' || {_RULE_SQL} || ')', '; ' ORDER BY 'Triggered ' || rule_id || ' (' || {_RULE_SQL} || ')') AS why_flagged, CASE WHEN count(*) FILTER (WHERE rule_id = 'R04') > 0 THEN 'Never opens a case alone.' ELSE '' END AS benign FROM alerts GROUP BY 1),
+ m AS (SELECT CAST(alerts.provider_id AS VARCHAR) AS entity_id, count(DISTINCT member_id) AS members_affected FROM alerts JOIN claims USING (claim_id) GROUP BY 1), t0 AS (SELECT CAST(provider_id AS VARCHAR) AS entity_id, 'Found by ' || rule_id || ', ' || lower(severity) AS text, min(alert_id) AS place FROM alerts GROUP BY 1, 2),
+ t1 AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY place) AS n FROM t0), t AS (SELECT entity_id, string_agg(text, '; ' ORDER BY n) AS top_reasons FROM t1 WHERE n <= 4 GROUP BY 1),
+ f AS (SELECT *, 'CASE-PRO-' || entity_id AS case_id, CAST(least(CASE worst WHEN 4 THEN 35 WHEN 3 THEN 25 WHEN 2 THEN 15 ELSE 8 END + least(12 * rules, 35) + least(1.5 * claims, 20), 99) AS DOUBLE) AS score, round(0.8 * d, 2) AS lo, round(greatest(1.2 * d, 500), 2) AS hi FROM a JOIN m USING (entity_id) JOIN t USING (entity_id))"""
+K07B = f"""{FIXTURE} SELECT case_id, entity_id, CASE WHEN s_suppkey % 4 <> 0 THEN s_name ELSE 'Provider ' || entity_id END AS entity_name, worst, rules, claims, members_affected, score, CASE WHEN score >= 80 THEN 'CRITICAL' WHEN score >= 60 THEN 'HIGH' WHEN score >= 35 THEN 'MEDIUM' ELSE 'LOW' END AS priority,
+ {R2('d')} AS dollars, {R2('lo')} AS exposure_low, {R2('hi')} AS exposure_high, CASE WHEN s_suppkey % 3 = 0 THEN 'NET-' || s_suppkey END AS network_id, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 10 / 10 ELSE 0.0 END AS network_risk, CAST(least(0.25 * rules, 1) AS DOUBLE) AS anomaly_risk, why_flagged, top_reasons, benign AS benign_explanations FROM f JOIN supplier ON s_suppkey = CAST(entity_id AS BIGINT)"""
+
+
+def k07c(spark, d):
+    out = K.fixture_evidence(_told(spark, d))
+    return out.select("evidence_id", "case_id", "rule_name", "claim_id", "field_name", "plain_text", r2("est_overpay").alias("est_overpay"), "severity", "source_artifact", "fp_notes")
+
 
+K07C = f"""{V.with_views('claims')}, {ALERTS} SELECT 'E-' || alert_id AS evidence_id, 'CASE-PRO-' || provider_id AS case_id, {_RULE_SQL} AS rule_name, claim_id, CASE WHEN rule_id = 'R01' THEN 'multiple' ELSE 'provider_id, service_date' END AS field_name, 'Found by ' || rule_id || ', ' || lower(severity) AS plain_text,
+ {R2("CASE WHEN severity <> 'LOW' AND est_dollars > 0 THEN est_dollars / 2 ELSE est_dollars END")} AS est_overpay, severity, 'rule_engine/' || lower(rule_id) AS source_artifact, CASE WHEN rule_id = 'R04' THEN 'Never opens a case alone.' END AS fp_notes FROM alerts"""
 
-K07B = f"""{V.with_views('claims')}, {ALERTS}, a AS (SELECT CAST(provider_id AS VARCHAR) AS entity_id, max(CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END) AS worst, count(DISTINCT rule_id) AS rules, CAST(count(DISTINCT claim_id) AS INTEGER) AS claims, sum(est_dollars) AS d FROM alerts GROUP BY 1)
- SELECT entity_id, worst, rules, claims, CAST(least(CASE worst WHEN 4 THEN 35 WHEN 3 THEN 25 WHEN 2 THEN 15 ELSE 8 END + least(12 * rules, 35) + least(1.5 * claims, 20), 99) AS DOUBLE) AS score, {R2('d')} AS dollars FROM a"""
+
+def k07d(spark, d):
+    return K.fixture_queue(materialize(_fixture(spark, d), "fixture")).select("case_id", F.col("queue_rank").cast("int").alias("queue_rank"), "score", r2("effort_hours").alias("effort_hours"), r2("ev_per_hour").alias("ev_per_hour"), F.col("slot").cast("int").alias("slot"))
+
+
+K07D = f"""{FIXTURE}, h AS (SELECT *, round(least(2 + 0.1 * claims, 8), 1) AS hours, CAST(row_number() OVER (ORDER BY score DESC, entity_id) AS INTEGER) AS r FROM f)
+ SELECT case_id, r AS queue_rank, score, {R2('hours')} AS effort_hours, {R2('round(hi / greatest(hours, 1), 2)')} AS ev_per_hour, r AS slot FROM h"""
 
 
 def k08(spark, d):
     return K.queue_evaluation(_queue(spark, d)).select("strategy", "n", r6("mean_risk").alias("mean_risk"), r2("exposure").alias("exposure"))
 
 
+def k08b(spark, d):
+    cs = _cases(spark, d)
+    return K.queue_report(cs, materialize(K.build_queue(cs), "queue")).select("section", "metric", r6("value").alias("value"))
+
+
+_TOP = {"average_risk": "avg(risk_score)", "average_exposure": "avg(estimated_exposure)", "total_exposure": "sum(estimated_exposure)", "average_evidence": "avg(evidence_strength)", "average_priority": "avg(priority_score)"}
+_TOP_ORDERS = {"by_priority": "queue_rank", "by_risk": "risk_score DESC, evidence_strength DESC, estimated_exposure DESC, case_id", "by_exposure": "estimated_exposure DESC, risk_score DESC, evidence_strength DESC, case_id"}
+_REPORT = [
+    *((x, "count", k) for k, x in {"total_cases": "count(*)", "eligible_cases": "count(*)", "excluded_cases": "max(0)", "capacity": "max(20)", "selected": "count(*) FILTER (WHERE queue_rank <= 20)", "deferred": "count(*) FILTER (WHERE queue_rank > 20)"}.items()),
+    ("avg(priority_score)", "score", "average_priority"), ("median(priority_score)", "score", "median_priority"),
+    *((f"coalesce(avg({c}) FILTER (WHERE queue_rank {o} 20), 0)", part, f"average_{k}") for part, c in (("risk", "risk_score"), ("exposure", "estimated_exposure")) for k, o in (("selected", "<="), ("deferred", ">"))),
+    *((f"count(*) FILTER (WHERE coalesce(q_{k}, 0) = 0)", "missing", f"{k}_missing") for k in ("network", "anomaly", "future", "behaviour")), ("count(*) FILTER (WHERE coalesce(estimated_exposure, 0) = 0)", "missing", "exposure_zero"),
+]
+K08B = f"{QUEUE} SELECT 'tier' AS section, priority_tier AS metric, CAST(count(*) AS DOUBLE) AS value FROM queue GROUP BY 1, 2" + "".join(f" UNION ALL SELECT '{a}', '{b}', {R6(x)} FROM queue" for x, a, b in _REPORT) + "".join(f" UNION ALL SELECT '{n}', '{k}', {R6(x)} FROM (SELECT * FROM queue ORDER BY {o} LIMIT 20)" for n, o in _TOP_ORDERS.items() for k, x in _TOP.items())
+
+
 def k09(spark, d):
     """Decisions on claims taken as cases: the latest decides."""
     c = V.claims(spark, d).select(F.col("claim_id").alias("case_id"), F.lit("NEW").alias("status"), "service_date", "service_minutes", "order_id")
@@ -203,6 +261,57 @@ def q12(spark, d):
     return per.agg(F.count(F.lit(1)).alias("rules"), r6(F.avg("f1")).alias("mean_f1"), F.sum("fn").alias("missed"))
 
 
+def _breakdown(spark, d):
+    """Rings by nation; those of the first twenty nations have a scenario."""
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    rings = s.select(F.col("s_nationkey").cast("string").alias("ring_id"), F.col("s_suppkey").cast("string").alias("provider")).where("s_suppkey % 3 <> 1")
+    groups = s.where("s_suppkey % 3 <> 0 or s_suppkey % 2 = 0").select(F.col("s_suppkey").cast("string").alias("provider"), (F.col("s_suppkey") % 9).cast("string").alias("community"))
+    n = spark.read.parquet(f"{d}/nation.parquet").where("n_nationkey < 20")
+    kinds = F.when(F.col("n_nationkey") % 3 == 0, "shared_identity").when(F.col("n_nationkey") % 3 == 1, "referral_ring").otherwise("burst")
+    return Ev.scenario_breakdown(rings, groups, n.select(F.col("n_nationkey").cast("string").alias("ring_id"), F.format_string("S%03d", "n_nationkey").alias("scenario_id"), kinds.alias("scenario_type"), F.when(F.col("n_nationkey") % 3 == 1, "R07").otherwise("R06,R09").alias("expected_rules")))
+
+
+def q12b(spark, d):
+    return _breakdown(spark, d).withColumn("recovery", r6("recovery"))
+
+
+_SCENARIOS = """ring AS (SELECT s_nationkey AS k, s_suppkey AS p FROM supplier WHERE s_suppkey % 3 <> 1), grp AS (SELECT s_suppkey AS p, CAST(s_suppkey % 9 AS VARCHAR) AS g FROM supplier WHERE s_suppkey % 3 <> 0 OR s_suppkey % 2 = 0),
+ size AS (SELECT k, count(*) AS n FROM ring GROUP BY 1), best AS (SELECT k, max(c) AS c FROM (SELECT k, g, count(*) AS c FROM ring JOIN grp USING (p) GROUP BY 1, 2) GROUP BY 1),
+ sc AS (SELECT k, n, coalesce(c, 0) AS c, coalesce(c, 0) / n AS recovery, CASE WHEN k >= 20 THEN 'collusion' WHEN k % 3 = 0 THEN 'shared_identity' WHEN k % 3 = 1 THEN 'referral_ring' ELSE 'burst' END AS kind FROM size LEFT JOIN best USING (k))"""
+Q12B = f"""WITH {_SCENARIOS} SELECT CASE WHEN k >= 20 THEN CAST(k AS VARCHAR) ELSE 'S' || lpad(CAST(k AS VARCHAR), 3, '0') END AS scenario_id, kind AS scenario_type, CASE kind WHEN 'collusion' THEN 'Collusion' WHEN 'burst' THEN 'Burst' WHEN 'referral_ring' THEN 'Referral Ring' ELSE 'Shared Identity' END || ' planted collusion ring (' || k || ')' AS description,
+ CAST(k AS VARCHAR) AS ring_id, CASE WHEN k >= 20 THEN 'R06,R07,R08,R09,R10' WHEN k % 3 = 1 THEN 'R07' ELSE 'R06,R09' END AS expected_rules, c > 0 AS detected, {R6('recovery')} AS recovery, n AS providers_count, c AS providers_detected FROM sc"""
+
+
+def q12c(spark, d):
+    """The summary in one row: claims of 40 minutes or more and every third provider are labelled."""
+    listed = alerts(spark, d).where("severity = 'CRITICAL'").select("entity_type", "entity_id", F.explode("claim_ids").alias("claim_id"))
+    c, s = V.claims(spark, d), spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("provider_id"))
+    out = Ev.evaluation_summary(listed, c, s, c.where("service_minutes >= 40"), s.where("provider_id % 3 = 0"), _breakdown(spark, d))
+    return out.select(*(r6(k).alias(k) if t == "double" else k for k, t in out.dtypes))
+
+
+def _quality_sql(prefix: str, found: str, bad: str) -> str:
+    return f"""{prefix}_q AS (SELECT count(*) FILTER (WHERE g AND b) AS tp, count(*) FILTER (WHERE g AND NOT b) AS fp, count(*) FILTER (WHERE b AND NOT g) AS fn FROM (SELECT coalesce(g, false) AS g, coalesce(b, false) AS b FROM (SELECT DISTINCT x, true AS g FROM ({found})) FULL JOIN (SELECT DISTINCT x, true AS b FROM ({bad})) USING (x)))"""
+
+
+def _measures_sql(p: str) -> str:
+    q = f"{p}_q"
+    return f"{q}.tp AS {p}_tp, {q}.fp AS {p}_fp, {q}.fn AS {p}_fn, {R6(f'coalesce({q}.tp / nullif({q}.tp + {q}.fp, 0), 0)')} AS {p}_precision, {R6(f'coalesce({q}.tp / nullif({q}.tp + {q}.fn, 0), 0)')} AS {p}_recall, {R6(f'coalesce(2 * {q}.tp / nullif(2 * {q}.tp + {q}.fp + {q}.fn, 0), 0)')} AS {p}_f1"
+
+
+_CRITICAL = "FROM alerts WHERE severity = 'CRITICAL'"
+Q12C = f"""{V.with_views('claims')}, {ALERTS}, {_SCENARIOS}, {_quality_sql('claim', f'SELECT claim_id AS x {_CRITICAL}', 'SELECT claim_id AS x FROM claims WHERE service_minutes >= 40')}, {_quality_sql('provider', f'SELECT provider_id AS x {_CRITICAL}', 'SELECT s_suppkey AS x FROM supplier WHERE s_suppkey % 3 = 0')},
+ rs AS (SELECT count(*) AS total_scenarios, count(*) FILTER (WHERE c > 0) AS detected_scenarios, {R6('avg(recovery)')} AS mean_recovery, {R6('count(*) FILTER (WHERE c > 0) / count(*)')} AS scenario_recall FROM sc)
+ SELECT (SELECT count(*) FROM claims) AS total_claims, (SELECT count(*) FROM supplier) AS total_providers, {_measures_sql('claim')}, {_measures_sql('provider')}, rs.* FROM claim_q, provider_q, rs"""
+
+
+def s04(spark, d):
+    """A report of severities, written as JSON lines and read again."""
+    path = new_path(spark, "report")
+    T.write_report(Ev.severity_distribution(alerts(spark, d)), path)
+    return spark.read.schema("rule_id string, severity string, n long, dollars double").json(path).withColumn("dollars", r2("dollars"))
+
+
 def q13(spark, d):
     cs = _cases(spark, d)
     p = Q.evidence_packets(cs, K.case_evidence(cs, alerts(spark, d)))
@@ -379,7 +488,7 @@ F14 = f"SELECT event_id, CASE WHEN event_id % 5 < 3 THEN 0.0 ELSE {R6('least(gre
 
 
 ENTRIES = {
-    "k01_cases": (k01, K01), "k02_peers": (k02, K02), "s01_csv_tables": (s01, S01), "s03_both_forms": (s03, S03), "s11_output_contracts": (s11, S11), "f14_clipped": (f14, F14), "k03_case_evidence": (k03, K03), "k05_priority": (k05, K05), "k06_queue": (k06, K06), "k07_integrated_cases": (k07, K07), "k07_fixture_cases": (k07b, K07B), "k08_queue_evaluation": (k08, K08), "k09_decisions": (k09, K09),
-    "q01_summary": (q01, Q01), "q02_queue_hours": (q02, Q02), "q02_deferred_page": (q02b, Q02B), "q04_evidence_ledger": (q04, Q04), "q05_timeline": (q05, Q05), "q03_case_detail": (q03, Q03), "q06_ego_network": (q06, Q06), "q07_audit": (q07, Q07), "q08_networks": (q08, Q08), "q09_claims_page": (q09, Q09), "q10_providers_page": (q10, Q10), "q11_risk_info": (q11, Q11), "q12_evaluation": (q12, Q12), "q13_packets": (q13, Q13), "q14_narrative_audit": (q14, Q14),
-    "s06_contract": (s06, S06), "s07_latest_by_key": (s07, S07), "s08_published": (s08, S08),
+    "k01_cases": (k01, K01), "k02_peers": (k02, K02), "s01_csv_tables": (s01, S01), "s03_both_forms": (s03, S03), "s11_output_contracts": (s11, S11), "f14_clipped": (f14, F14), "k03_case_evidence": (k03, K03), "k05_priority": (k05, K05), "k06_queue": (k06, K06), "k07_integrated_cases": (k07, K07), "k07_fixture_cases": (k07b, K07B), "k07_fixture_evidence": (k07c, K07C), "k07_fixture_queue": (k07d, K07D), "k08_queue_report": (k08b, K08B), "k08_queue_evaluation": (k08, K08), "k09_decisions": (k09, K09),
+    "q01_summary": (q01, Q01), "q02_queue_hours": (q02, Q02), "q02_deferred_page": (q02b, Q02B), "q04_evidence_ledger": (q04, Q04), "q05_timeline": (q05, Q05), "q03_case_detail": (q03, Q03), "q06_ego_network": (q06, Q06), "q07_audit": (q07, Q07), "q08_networks": (q08, Q08), "q09_claims_page": (q09, Q09), "q10_providers_page": (q10, Q10), "q11_risk_info": (q11, Q11), "q12_evaluation": (q12, Q12), "q12_scenarios": (q12b, Q12B), "q12_summary": (q12c, Q12C), "q13_packets": (q13, Q13), "q14_narrative_audit": (q14, Q14),
+    "s04_report": (s04, V02B), "s06_contract": (s06, S06), "s07_latest_by_key": (s07, S07), "s08_published": (s08, S08),
 }

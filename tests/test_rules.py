@@ -256,3 +256,52 @@ def test_upcoding_tells_low_complexity_visits(spark):
         short = bool(rows[i][6] < p25)
         assert e.fields_matched == ["em_level", "dx_complexity"] + ["service_minutes"] * short and ("below peer p25" in e.plain_text) == short
     assert all(len(r.evidence) == 1 for p, r in got.items() if p != "p0")
+
+
+def test_alerts_name_all_their_claims(spark):
+    """Lists are cut at two claims here; rows have all, a claim without an id has none, and short lists are taken as they are."""
+    day = D(2024, 1, 1)
+    rows = [(f"c{i:02d}", f"m{i % 3}", "p", "1", day, 5.0, None, None, 300.0) for i in range(9)] + [(None, "m", "p", "1", day, 5.0, None, None, 300.0), ("z1", "m", "q", "1", day, 5.0, None, None, 10.0)]
+    rows += [("d1", "m", "q", "1", day, 7.0, None, None, 1.0), ("d2", "m", "q", "1", day, 7.0, None, None, 1.0)]
+    t = {"claims": spark.createDataFrame(rows, CLAIM + ", service_minutes double")}
+    cfg = RuleConfig(listed_claims=2, day_minutes=600)
+    found, _ = R.run_rules(spark, t, cfg, only=["R01a", "R06a"])
+    assert {r.rule_id: len(r.claim_ids) for r in found.collect() if r.rule_id == "R06"} == {"R06": 2}
+    got = R.alert_claims(found, t, cfg)
+    assert sorted(r.claim_id for r in got.where("rule_id = 'R06'").collect()) == [f"c{i:02d}" for i in range(9)]
+    pairs = found.where("rule_id = 'R01'").select("alert_id", F.explode("claim_ids").alias("claim_id"))
+    assert sorted(map(tuple, got.where("rule_id = 'R01'").select("alert_id", "claim_id").collect())) == sorted(map(tuple, pairs.collect())) and pairs.count() > 2
+    truth = spark.createDataFrame([("R06", f"c{i:02d}", True) for i in range(9)], "rule_id string, claim_id string, is_fraud boolean")
+    assert {r.rule_id: (r.tp, r.fn) for r in Ev.claim_quality(got, truth).collect()}["R06"] == (9, 0)
+    assert {r.rule_id: (r.tp, r.fn) for r in Ev.claim_quality(found, truth).collect()}["R06"] == (2, 7)
+    assert R.alert_claims(found.limit(0), t, cfg).count() == 0 and R.alert_claims(found, {}, cfg).where("rule_id = 'R06'").count() == 2
+
+
+def test_fixture_cases(spark):
+    """Entities of any kind, no claims, no evidence, missing tables, ties in the queue and an empty table."""
+    from claimsieve.operators import cases as K
+
+    alert = lambda i, kind, who, rule, sev, money, ids, ev: (i, rule, kind, who, ids, sev, money, ev)
+    e = lambda i, text, amount, note="", fields=("f", "g"), ids=("c1",): (i, None, None, list(ids) if ids is not None else None, list(fields), text, amount, None, note)
+    kind = "array<struct<evidence_id:string,rule_id:string,rule_version:string,claim_ids:array<string>,fields_matched:array<string>,plain_text:string,est_overpay:double,severity:string,fp_notes:string>>"
+    schema = f"alert_id string, rule_id string, entity_type string, entity_id string, claim_ids array<string>, severity string, est_dollars double, evidence {kind}"
+    rows = [
+        alert("a1", "provider", "p", "R02", "HIGH", 1000.0, ["c1", "c2"], [e(f"e{k}", f"text {k % 6}", 0.0, "note" if k == 3 else "") for k in range(8)]), alert("a2", "provider", "p", "R99", "CRITICAL", None, ["c2", "c3"], [e("e9", "text 0", 5.0, fields=(), ids=None)]),
+        alert("a3", "member", "m", "R05", "LOW", 10.0, [], []), alert("a4", "member", "n", "R05", "LOW", 10.0, [], []), alert("a5", "member", None, "R05", "LOW", 10.0, [], []),
+    ]
+    a = spark.createDataFrame(rows, schema)
+    got = {r.case_id: r for r in K.fixture_cases(a).collect()}
+    p, m = got["CASE-PRO-p"], got["CASE-MEM-m"]
+    assert len(got) == 3 and (p.score, p.priority, p.claims, p.members_affected) == (35 + 24 + 4.5, "HIGH", 3, 1) and p.top_reasons == [f"text {k}" for k in range(4)]
+    assert p.why_flagged == ["Triggered R02 (Upcoding)", "Triggered R99 (R99)"] and p.benign_explanations == ["note"] and (p.exposure_low, p.exposure_high, p.network_id) == (800.0, 1200.0, None)
+    assert (m.score, m.priority, m.claims, m.exposure_high, m.entity_name) == (20, "LOW", 0, 500.0, "Member m") and m.top_reasons == ["Triggered R05 (Excessive Utilization)"]
+    claims = spark.createDataFrame([("c1", "x"), ("c2", "y"), ("c3", "x"), ("c4", "z")], "claim_id string, member_id string")
+    nets = spark.createDataFrame([("p", "N1", 0.5), (None, "N2", 1.0)], "hub_provider_id string, network_id string, hard_link_score double")
+    full = {r.case_id: r for r in K.fixture_cases(a, claims, nets, spark.createDataFrame([("p", "Clinic")], "provider_id string, provider_name string")).collect()}
+    assert (full["CASE-PRO-p"].members_affected, full["CASE-PRO-p"].network_id, full["CASE-PRO-p"].network_risk, full["CASE-PRO-p"].entity_name) == (2, "N1", 0.5, "Clinic") and full["CASE-MEM-m"].members_affected == 1
+    ledger = {r.evidence_id: r for r in K.fixture_evidence(a).collect()}
+    assert len(ledger) == 9 and (ledger["e0"].est_overpay, ledger["e0"].field_name, ledger["e0"].severity, ledger["e0"].fp_notes) == (1000.0, "f, g", "HIGH", None)
+    assert (ledger["e9"].est_overpay, ledger["e9"].field_name, ledger["e9"].claim_id, ledger["e9"].source_artifact) == (5.0, "multiple", "c2", "rule_engine/r99")
+    queue = {r.case_id: (r.queue_rank, r.effort_hours, r.ev_per_hour) for r in K.fixture_queue(K.fixture_cases(a)).collect()}
+    assert queue == {"CASE-PRO-p": (1, 2.3, 521.74), "CASE-MEM-m": (2, 2.0, 250.0), "CASE-MEM-n": (3, 2.0, 250.0)}
+    assert K.fixture_cases(a.limit(0)).count() == 0 and K.fixture_evidence(a.limit(0)).count() == 0
