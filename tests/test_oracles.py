@@ -145,3 +145,8 @@ def test_entry_names():
     import __spark_entry__ as e
 
     assert set(ENTRIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_time_and_record_of_all_suppliers(spark, sf_dir):
+    want = {str(r.s_suppkey) for r in spark.read.parquet(f"{sf_dir}/supplier.parquet").collect()}
+    assert {r.provider_id for r in q(spark, sf_dir, "u06_time_and_record")} == want
