@@ -141,7 +141,7 @@ def d12b(spark, d):
     return rows.withColumn("value", r6("value"))
 
 
-D12B = f"""{V.with_views('claims', 'members', 'referrals')}, w AS (SELECT provider_id, strftime(service_date, '%G-W%V') AS w, count(*) AS n, sum(paid_amount) AS paid FROM claims GROUP BY 1, 2), t AS (SELECT provider_id, count(*) AS a, max(n) AS b, avg(paid) AS c, max(paid) AS e FROM w GROUP BY 1),
+D12B = f"""{V.with_views('claims', 'members', 'referrals')}, w AS (SELECT provider_id, strftime(service_date, '%G-W%V') AS w, count(*) AS n, sum(CAST(paid_amount AS DECIMAL(24, 6))) AS paid FROM claims GROUP BY 1, 2), t AS (SELECT provider_id, count(*) AS a, max(n) AS b, CAST(sum(paid) AS DOUBLE) / count(paid) AS c, max(paid) AS e FROM w GROUP BY 1),
  g AS (SELECT provider_id, count(DISTINCT county) AS a, count(DISTINCT member_id) AS b FROM claims JOIN members USING (member_id) GROUP BY 1), r AS (SELECT referring_provider_id AS provider_id, count(*) AS a, count(DISTINCT target_provider_id) AS b FROM referrals GROUP BY 1),
  l AS (SELECT 'temporal' AS kind, provider_id, unnest([struct_pack(f := 'active_weeks', v := a::DOUBLE), struct_pack(f := 'most_weekly_claims', v := b::DOUBLE), struct_pack(f := 'mean_weekly_paid', v := c::DOUBLE), struct_pack(f := 'most_weekly_paid', v := e::DOUBLE)]) AS x FROM t
  UNION ALL SELECT 'geographic', provider_id, unnest([struct_pack(f := 'counties', v := a::DOUBLE), struct_pack(f := 'members', v := b::DOUBLE)]) FROM g UNION ALL SELECT 'referral', provider_id, unnest([struct_pack(f := 'sent', v := a::DOUBLE), struct_pack(f := 'targets', v := b::DOUBLE)]) FROM r)
