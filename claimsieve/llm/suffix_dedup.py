@@ -11,7 +11,8 @@ at the same place in them. Windows whose anchor gram occurs once cannot repeat a
 * windows at d bytes before their anchor are equal if their suffixes share 200 - d bytes and their left contexts d bytes:
   both are runs in sorted order, so equal windows are found by numbers, exactly, for each d.
 * where the suffixes of a run stand is not merged: a run is told which of them have repeated windows, and marks their places.
-  So a passage that very many documents share is one entry of each run, and no task gets all its places.
+  So a passage that very many documents share is one entry of each run, and no task gets all its places. The runs that a task
+  sent together mark them together: what they cover of a text is one row, however many of its windows repeat.
 
 A gram that occurs very often (``HOT_GRAM``) is dealt by whole windows instead, so that no task gets all its places.
 """
@@ -40,6 +41,9 @@ SEGMENT = 1 << 22
 RUN_BYTES = 24 << 20
 #: Slots of each merge task: it merges the runs of one after the other, so that only those of one are in memory.
 SLOTS = 16
+#: Bits of a run's number that tell runs apart which were sent together, and parts in which these are located.
+SENT = 20
+PARTS = 4
 _WINDOW = LENGTH - GRAM + 1
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -282,14 +286,14 @@ def _anchor_rows(text_col: str):
 def _run_maker(text_col: str, slots: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs: dict[int, Run] = {}
-        size, number = 0, TaskContext.get().partitionId() << 32
+        size, number = 0, TaskContext.get().partitionId() << 2 * SENT
 
         def send() -> pa.RecordBatch:
             """A row for the slot of a run, and one with its places, which goes to any slot and on from there."""
             nonlocal number
             blobs = [r.blobs() for r in runs.values()]
             numbers = list(range(number, number + len(runs)))
-            number += len(runs)
+            number += 1 << SENT
             none = [None] * len(runs)
             slot = pa.array([*runs, *(x % slots for x in numbers)], pa.int32())
             return pa.record_batch({"slot": slot, "run": pa.array(numbers * 2, pa.int64()), "suffixes": pa.array([*(x for x, _ in blobs), *none], pa.binary()), "places": pa.array([*none, *(x for _, x in blobs)], pa.binary())})
@@ -346,25 +350,48 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from merged(runs)
 
 
+def covered(rid: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+    """Rows ``rid, spans``: one for each row id, with the union of its spans in order."""
+    by = np.lexsort((start, rid))
+    rid, start, stop = rid[by], start[by], stop[by]
+    first = np.diff(rid, prepend=-1) != 0
+    base = np.cumsum(first) * (stop.max() + 1)  # above all that ends in the row ids before
+    reach = np.maximum.accumulate(base + stop)
+    new = np.concatenate([[True], base[1:] + start[1:] > reach[:-1]])
+    at = np.flatnonzero(new)
+    ends = (reach - base)[np.concatenate([at[1:], [len(rid)]]) - 1]
+    lists = np.concatenate([np.flatnonzero(first[at]), [len(at)]]).astype(np.int32)
+    spans = pa.StructArray.from_arrays([pa.array(start[at]), pa.array(ends)], ["start", "stop"])
+    return pa.record_batch({"rid": pa.array(rid[first]), "spans": pa.ListArray.from_arrays(pa.array(lists), spans)})
+
+
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of their run: from places and hits of a run to spans."""
+    """Rows in order of their part and run: from places and hits of the runs of a part to what is covered of each row."""
+    run, part, places, hits, found = None, None, None, [], []
 
-    def located(places: bytes | None, hits: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def locate() -> None:
         if places is not None and hits:
-            rid, start, stop = found_places(places, np.frombuffer(b"".join(hits), "<i4").reshape(-1, 3))
-            yield pa.record_batch({"rid": pa.array(rid), "start": pa.array(start), "stop": pa.array(stop)})
+            found.append(found_places(places, np.frombuffer(b"".join(hits), "<i4").reshape(-1, 3)))
+
+    def located() -> Iterator[pa.RecordBatch]:
+        if found:
+            yield covered(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            found.clear()
 
-    run, places, hits = None, None, []
     for batch in batches:
-        for r, h, p in zip(batch.column("run").to_pylist(), batch.column("hits").to_pylist(), batch.column("places").to_pylist(), strict=True):
+        for k, r, h, p in zip(batch.column("part").to_pylist(), batch.column("run").to_pylist(), batch.column("hits").to_pylist(), batch.column("places").to_pylist(), strict=True):
             if r != run:
-                yield from located(places, hits)
+                locate()
                 run, places, hits = r, None, []
+            if k != part:
+                yield from located()
+                part = k
             if h is None:
                 places = p
             else:
                 hits.append(h)
-    yield from located(places, hits)
+    locate()
+    yield from located()
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -404,8 +431,9 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", out_col: str = "span
     marked = rows.join(repeated.hint("shuffle_hash"), "rid").sortWithinPartitions("rid")
     runs = marked.mapInArrow(_run_maker(text, n * SLOTS), "slot int, run long, suffixes binary, places binary")
     merged = runs.repartition(n, "slot").sortWithinPartitions("slot").mapInArrow(_merge, "run long, hits binary, places binary")
-    found = merged.repartition(n, "run").sortWithinPartitions("run").mapInArrow(_locate, "rid long, start long, stop long")
-    spans = found.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    part = F.shiftright("run", SENT) * PARTS + F.col("run") % PARTS
+    found = merged.withColumn("part", part).repartition(n, "part").sortWithinPartitions("part", "run").mapInArrow(_locate, "rid long, spans array<struct<start:bigint,stop:bigint>>")
+    spans = found.groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
     return rows.join(spans.hint("shuffle_hash"), "rid", "left").select(*(F.col(x).alias(c) for c, x in names.items()), F.coalesce("spans", none).alias(out_col))
 

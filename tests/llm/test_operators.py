@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -317,6 +318,29 @@ def test_runs_of_any_number_find_all_repeats(batch):
     assert [int(g.sum()) for g in gone] == [w[1] for w in want] and sum(w[1] for w in want) > 5000
 
 
+def test_located_repeats_are_one_row_a_text():
+    """However many windows of a text repeat, the runs that were sent together mark them in one row."""
+    r = random.Random(8)
+    texts = [bytes(r.choice(b"abcdef") for _ in range(1500))] * 7 + [bytes(r.choice(b"abcdef") for _ in range(1500))]
+    runs = [suffix_dedup.Run() for _ in range(3)]
+    for rid, raw in enumerate(texts):
+        for g, a, p, q in zip(*(x.tolist() for x in suffix_dedup.anchors(raw)), strict=True):
+            runs[g % 3].add(raw[a : q + 200], raw[p:a], a - q, rid, a)
+    blobs = [x.blobs() for x in runs]
+    hits = [np.concatenate([h for _, h in suffix_dedup.repeated_windows([suffix_dedup.RunReader(0, b)])] or [np.empty((0, 3), int)]).astype("<i4") for b, _ in blobs]
+    rows = [(0, i, h, p) for i, (h0, (_, p0)) in enumerate(zip(hits, blobs)) for h, p in ((None, p0), (h0.tobytes(), None))]
+    batch = pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["part", "run", "hits", "places"])
+    got = [x for b in suffix_dedup._locate(iter([batch])) for x in b.to_pylist()]
+    assert got == [{"rid": i, "spans": [{"start": 0, "stop": 1500}]} for i in range(7)]
+
+
+def test_covered_is_the_union_of_spans():
+    r = random.Random(9)
+    spans = [(r.randrange(5), a := r.randrange(300), a + r.randrange(1, 20)) for _ in range(80)]
+    got = {x["rid"]: [(s["start"], s["stop"]) for s in x["spans"]] for x in suffix_dedup.covered(*np.array(spans).T).to_pylist()}
+    assert got == {k: suffix_dedup._union([(a, b) for i, a, b in spans if i == k]) for k in {x[0] for x in spans}}
+
+
 def test_removal_keeps_rows_and_columns(docs):
     out = suffix_dedup.remove_repeats(docs)
     assert out.columns == docs.columns and out.count() == len(ROWS)
