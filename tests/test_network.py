@@ -89,6 +89,16 @@ def test_betweenness_is_exact_both_ways(spark):
     assert {k: joined.get(k, 0.0) for k in nodes} == want
 
 
+def test_neighbours_over_columns(spark):
+    """Neighbours in other columns of bitmaps count, once each, and are not made as pairs or rows of a bitmap for each member."""
+    n = N.WIDE + 700
+    members = spark.range(n).selectExpr("id", "id % 2 as cls").union(spark.range(N.WIDE - 1, N.WIDE + 2).selectExpr("id", "9 as cls"))
+    direct = spark.createDataFrame([(0, N.WIDE + 1), (0, 2), (3, N.WIDE + 3)], "a long, b long")
+    got = {r.id: r.n for r in N.neighbour_counts(members, direct).where(f"id in (0, 2, 3, {N.WIDE}, {N.WIDE + 1}, {N.WIDE + 3})").collect()}
+    even, odd = (n + 1) // 2 - 1, n // 2 - 1
+    assert got == {0: even + 1, 2: even, 3: odd, N.WIDE: even + 2, N.WIDE + 1: odd + 2, N.WIDE + 3: odd}
+
+
 def test_projection_in_tiles(spark, monkeypatch):
     """A shared node gives all pairs once, whatever the size of a tile."""
     rows = [(f"provider:{i}", "facility:1", "works_at", float(i % 3 + 1)) for i in range(23)] + [("provider:1", "provider:2", "refers_to", 2.0), ("provider:2", "provider:1", "refers_to", 1.0)]
