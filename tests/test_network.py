@@ -89,6 +89,22 @@ def test_betweenness_is_exact_both_ways(spark):
     assert {k: joined.get(k, 0.0) for k in nodes} == want
 
 
+def test_betweenness_without_detours(spark, monkeypatch):
+    """Where each edge is shorter than any detour no source is walked, at any number of edges; one long edge makes its ends count."""
+    names = [f"n{i}" for i in range(7)]
+    edges = {(a, b): 10.0 + i % 3 for i, (a, b) in enumerate((a, b) for a in names for b in names if a < b)}
+    frame = lambda e: spark.createDataFrame([(*k, w) for k, w in e.items()], "u string, v string, weight double")
+    monkeypatch.setattr(N, "ADJACENCY_EDGES", 3)
+    with monkeypatch.context() as m:
+        m.setattr(N, "_over_joins", None)
+        assert {r.betweenness for r in N.betweenness_centrality(frame(edges)).collect()} == {0.0}
+    edges["n2", "n5"] = 50.0
+    joined = {r.provider: r.betweenness for r in N.betweenness_centrality(frame(edges)).collect()}
+    assert sum(joined.values()) > 0 and joined["n2"] == joined["n5"] == 0.0
+    monkeypatch.setattr(N, "ADJACENCY_EDGES", 1000)
+    assert {r.provider: pytest.approx(r.betweenness) for r in N.betweenness_centrality(frame(edges)).collect()} == joined
+
+
 def test_neighbours_over_columns(spark):
     """Neighbours in other columns of bitmaps count, once each, and are not made as pairs or rows of a bitmap for each member."""
     n = N.WIDE + 700
