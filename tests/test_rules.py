@@ -17,6 +17,7 @@ from claimsieve.operators import risk as U
 from claimsieve.operators import rules as R
 from claimsieve.operators import windows as W
 from claimsieve.plans.components import connected_components
+from claimsieve.plans.storage import materialize
 from claimsieve.sources import tables as T
 from claimsieve.sources.config import QueueConfig, RiskConfig, RuleConfig
 
@@ -305,3 +306,14 @@ def test_fixture_cases(spark):
     queue = {r.case_id: (r.queue_rank, r.effort_hours, r.ev_per_hour) for r in K.fixture_queue(K.fixture_cases(a)).collect()}
     assert queue == {"CASE-PRO-p": (1, 2.3, 521.74), "CASE-MEM-m": (2, 2.0, 250.0), "CASE-MEM-n": (3, 2.0, 250.0)}
     assert K.fixture_cases(a.limit(0)).count() == 0 and K.fixture_evidence(a.limit(0)).count() == 0
+
+
+def test_unbundling_groups_claims_once(spark):
+    """The pairs and the rates come from one grouping of the claims, which is written; a modifier allows a day's pairs."""
+    rows = [("c1", 1, 7, "A", 10.0, None), ("c2", 1, 7, "B", 4.0, None), ("c3", 1, 7, "B", 5.0, "X"), ("c4", 2, 7, "A", 1.0, "59"), ("c5", 2, 7, "B", 2.0, None), ("c6", 3, 8, "A", 3.0, None), (None, 1, 7, "A", 1.0, None)]
+    claims = materialize(spark.createDataFrame(rows, "claim_id string, member_id long, provider_id long, procedure_code string, paid_amount double, modifier string").withColumn("service_date", F.to_date(F.lit("2024-01-02"))), "bundling-claims")
+    pairs = spark.createDataFrame([("A", "B"), ("B", "C")], "comprehensive_cpt string, component_cpt string")
+    found = R.unbundling({"claims": claims, "bundling_pairs": pairs}, R.RuleConfig(override_modifiers=("59",)))
+    got = [(r.member_id, r.provider_id, r.comprehensive_cpt, r.component_cpt, r.est_dollars, r.claim_ids) for r in found.collect()]
+    assert got == [(1, 7, "A", "B", 9.0, ["c1", "c2", "c3"])]
+    assert "bundling-claims" not in found._jdf.queryExecution().toString()
