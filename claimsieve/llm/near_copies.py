@@ -1,8 +1,9 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Fingerprints of such pairs differ in about 10 of 64 bits and some in twice as many, a radius that no tables of bit blocks can
-select by. So candidates come from MinHash: 40 keys of six least hashes each, of which a pair at 0.8 shares none once in
-200,000 times, and a closer pair more rarely. Each link is decided on the sets of shingle hashes (64 bits).
+Candidates come from SimHash first: fingerprints, tables and bit-sliced comparison of operator 2, within 3 bits. Fingerprints of
+many similar pairs differ in about 10 of 64 bits and some in twice as many, a radius that no tables of bit blocks can select by.
+So what SimHash has not linked is completed by MinHash: 40 keys of six least hashes each, of which a pair at 0.8 shares none
+once in 200,000 times, and a closer pair more rarely. Each link is decided on the sets of shingle hashes (64 bits).
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimsieve.llm.common import bounded, portions
+from claimsieve.llm.simhash import close_pairs_forest, fingerprint
 from claimsieve.plans.components import connected_components
 from claimsieve.plans.storage import materialize
 
@@ -68,15 +70,16 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in portions(batches, "text"):
-        same, n, keys = [], [], []
+        same, fp, n, keys = [], [], [], []
         for t in texts:
             w = t.encode().lower().split()
             s = shingles(w)
             same.append(xxhash.xxh64_intdigest(b" ".join(w), 7))
+            fp.append(fingerprint(t))
             n.append(len(s))
             keys.append(band_keys(s) if len(s) else np.empty(0, np.int64))
-        of = pa.array(np.array(same, np.uint64).view(np.int64))
-        yield pa.record_batch({"id": batch.column("id"), "same": of, "n": pa.array(n, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+        of = lambda hashes: pa.array(np.array(hashes, np.uint64).view(np.int64))
+        yield pa.record_batch({"id": batch.column("id"), "same": of(same), "fp": of(fp), "n": pa.array(n, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
 
 
 def _sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -158,31 +161,45 @@ def _crowd_pairs(crowd: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.where("is_rest").join(other, "shingle").where((F.col("c") != F.col("d")) & enough).select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
 
 
+def _simhash_pairs(own: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of ``own`` (id, fp, n) that connect all texts with words whose fingerprints differ in at most 3 bits."""
+    own = own.where("n > 0").select("id", "fp")
+    heads = materialize(own.groupBy("fp").agg(F.min("id").alias("head")), "distinct-fingerprints")
+    same = own.join(heads, "fp").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    x, y = (heads.select(F.col("fp").alias(end), F.col("head").alias(to)) for end, to in (("src", "x"), ("dst", "y")))
+    close = close_pairs_forest(heads.select("fp")).join(x, "src").join(y, "dst").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return materialize(same.unionByName(close), "simhash-pairs")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows ``doc_id, component_id`` of every row (ids are distinct): the smallest id linked over any path of near copies.
 
-    Texts of the same words are one from the start; texts without words, NULL among them, are all the same. In each key all
-    are compared with a few leaders, then what is not yet linked to most of its key with all of the key, in keys of very many
+    Texts of the same words are one from the start; texts without words, NULL among them, are all the same. Those of close
+    fingerprints are linked next. In each key of MinHash all that are not yet linked to them are compared with a few leaders, then what is not yet linked to most of its key with all of the key, in keys of very many
     by their rarest hashes. So pairs are left out only where both are linked already or cannot be similar: many copies of one
     text, and many texts that are one with different edits, do not give the square of them.
     """
     rows = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    all_rows = materialize(rows.mapInArrow(_sketch, "id long, same long, n long, keys array<long>"), "sketches")
+    all_rows = materialize(rows.mapInArrow(_sketch, "id long, same long, fp long, n long, keys array<long>"), "sketches")
     texts = materialize(all_rows.groupBy("same").agg(F.min("id").alias("id")), "distinct-texts")
     own = all_rows.join(texts.select("id"), "id", "left_semi")
     count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = own.select("id", "n", F.explode("keys").alias("key")).repartition(count, "key")  # one exchange for both uses
     met = materialize(keyed.join(keyed.groupBy("key").count().where("count > 1"), "key").select("key", "id", "n", "count"), "met-keys")
-    sets = _sets(rows, met)
-    met = materialize(met.join(_own_shingles(met, sets), "id", "left").select("key", "id", "n", "count", "u"), "sized-keys")
+    close = _simhash_pairs(own)
+    sets = _sets(rows, met.select("id").unionByName(close.select(F.explode(F.array("a", "b")).alias("id"))))
+    of_simhash = _links(close, sets)
+    linked = materialize(connected_components(of_simhash, "a", "b").withColumnRenamed("node", "id"), "components")
+    met = met.join(_own_shingles(met, sets), "id", "left").join(linked, "id", "left")
+    met = materialize(met.select("key", "id", "n", "count", "u", F.coalesce("component", "id").alias("c")), "sized-keys")
     # Leaders have few hashes of their own: of copies of one text with edits, those with the fewest.
-    leaders = F.array_distinct(F.array(*(F.min_by(F.struct("id", "n", "u"), F.struct(F.coalesce("u", F.lit(0)) / F.col("n"), F.xxhash64("id", F.lit(s)))) for s in range(LEADERS))))
+    leaders = F.array_distinct(F.array(*(F.min_by(F.struct("id", "n", "u", "c"), F.struct(F.coalesce("u", F.lit(0)) / F.col("n"), F.xxhash64("id", F.lit(s)))) for s in range(LEADERS))))
     heads = met.groupBy("key").agg(leaders.alias("leaders"))
-    first = met.join(heads, "key").select("id", "n", "u", F.explode("leaders").alias("o")).select("id", "n", "u", F.col("o.id").alias("o"), F.col("o.n").alias("m"), F.col("o.u").alias("v"))
-    pairs = first.where(F.col("id") != F.col("o")).where(_may_link("n", "u", "m", "v")).select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
-    links = _links(pairs, sets)
+    first = met.join(heads, "key").select("id", "n", "u", "c", F.explode("leaders").alias("o")).select("id", "n", "u", "c", F.col("o.id").alias("o"), F.col("o.n").alias("m"), F.col("o.u").alias("v"), F.col("o.c").alias("d"))
+    pairs = first.where("c <> d").where(_may_link("n", "u", "m", "v")).select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
+    links = of_simhash.unionByName(_links(pairs, sets))
     found = materialize(connected_components(links, "a", "b"), "components")
-    now = met.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "u", "count", F.coalesce("component", "id").alias("c"))
+    now = met.drop("c").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "u", "count", F.coalesce("component", "id").alias("c"))
     now = materialize(now, "linked-keys")
     parts = now.groupBy("key", "c").agg(F.count(F.lit(1)).alias("count"))
     most = parts.groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
